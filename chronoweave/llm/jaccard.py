@@ -11,7 +11,9 @@ shingles in one order for all documents) share a shingle.
    The order puts frequent shingles last, so that passages in many documents
    hardly reach prefixes. Frequencies come from a counting sketch of all
    shingles of fixed size; its errors change speed, never results.
-3. Groups expand to their distinct sets, and all sets under a leader are
+3. Pairs of sets under a leader are filtered by size and by parity bitmaps,
+   whose differing bits never outnumber the shingles in which two sets differ.
+4. Groups expand to those of their distinct sets that are left, which are
    verified against each other on whole sets, in blocks of bounded size.
    A task gives a spanning forest of the links it finds.
 """
@@ -89,20 +91,21 @@ def _signer(levels):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
         hot_from = int(np.median(table)) + 6
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in sub_batches(batches):
-            sizes, sets, groups, rare, hot = [], [], [], [], []
+            sizes, sets, groups, rare, hot, bits = [], [], [], [], [], []
             for x in shingle_sets(batch.column("text")):
                 n = len(x)
                 sizes.append(n)
                 if not n:
-                    sets.append(None), groups.append(None), rare.append(None), hot.append(None)
+                    sets.append(None), groups.append(None), rare.append(None), hot.append(None), bits.append(None)
                     continue
+                bits.append(parity(x))
                 level = table[_cell(x)]
                 take = np.argsort(level, kind="stable")[: n - -(-PERCENT * n // 100) + 1]
                 prefix = x[take]
                 sets.append(xxhash.xxh3_128_digest(x.tobytes()))
-                group = xxhash.xxh3_128_digest(prefix.tobytes() + n.to_bytes(8, "little"))
+                group = int.from_bytes(xxhash.xxh3_64_digest(prefix.tobytes() + n.to_bytes(8, "little")), "big", signed=True)
                 groups.append(group)
                 if group in seen:
                     rare.append(None), hot.append(None)
@@ -113,13 +116,55 @@ def _signer(levels):
                 rare.append(prefix[~often].view(np.int64))
                 hot.append(prefix[often].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("version"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()), _lists(rare), _lists(hot)],
-                names=["doc_id", "version", "n", "s", "g", "rare", "hot"],
+                [batch.column("doc_id"), batch.column("version"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(groups, pa.int64()), _lists(rare), _lists(hot), pa.array(bits, pa.binary())],
+                names=["doc_id", "version", "n", "s", "g", "rare", "hot", "bits"],
             )
 
     return sign
 
 
+def parity(codes: np.ndarray) -> bytes:
+    """A bitmap of about as many bits as shingles: whether a shingle hash's low bits occur an odd number of times."""
+    size = 256
+    while size < len(codes) * 4 // 5 and size < 1 << 16:
+        size *= 2
+    return np.packbits((np.bincount((codes & U(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def may_link(sizes: list[int], bitmaps: list[bytes]) -> list[int]:
+    """The sets that may link with another of the list; a set left out can't.
+
+    A bitmap folds to half its size by XOR. Two sets that link differ in a
+    seventh of their summed sizes at most, and in as many bits.
+    """
+    order = np.argsort(np.array(sizes), kind="stable")
+    n = np.array(sizes)[order]
+    words = [np.frombuffer(bitmaps[i], U) for i in order]
+    ok = np.zeros(len(n), bool)
+    folded: dict[int, np.ndarray] = {}
+    width = np.array([len(w) for w in words])
+    for i in range(len(n) - 1):
+        last = int(np.searchsorted(n, n[i] * 100 // PERCENT, side="right"))
+        if last <= i + 1:
+            continue
+        k = int(width[i])
+        if k not in folded:
+            folded = {k: np.stack([w.reshape(-1, k) if len(w) < k else np.bitwise_xor.reduce(w.reshape(-1, k), axis=0) for w in words[i:]])}
+            base = i
+        near = folded[k][i - base + 1 : last - base]
+        differ = np.bitwise_count(near ^ folded[k][i - base]).sum(1, dtype=np.int64)
+        hit = (100 + PERCENT) * differ <= (100 - PERCENT) * (n[i] + n[i + 1 : last])
+        if hit.any():
+            ok[i] = True
+            ok[i + 1 : last] |= hit
+    return order[ok].tolist()
+
+
+def _filter(table: pa.Table) -> pa.Table:
+    keep = may_link(table.column("n").to_pylist(), table.column("bits").to_pylist()) if table.num_rows > 1 else []
+    return table.select(["leader", "s"]).take(pa.array(keep, pa.int64()))
+
+
 def _lists(parts: list) -> pa.Array:
     offsets = np.cumsum([0, *(0 if p is None else len(p) for p in parts)]).astype(np.int32)
     values = np.concatenate([p for p in parts if p is not None] or [np.empty(0, np.int64)])
@@ -186,24 +231,29 @@ def _verify(table: pa.Table) -> pa.Table:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, n, s, g, rare, hot) of each row: set size, key of the set, key of its group, prefix shingles unless sent before."""
+    """(doc_id, version, n, s, g, rare, hot, bits) of each row: set size, key of the set, key of its group, prefix shingles unless sent before, bitmap."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     df = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("version"))
-    return stage(df.mapInArrow(_signer(levels), f"doc_id {kind}, version long, n long, s binary, g binary, rare array<long>, hot array<long>"), "signatures")
+    return stage(df.mapInArrow(_signer(levels), f"doc_id {kind}, version long, n long, s binary, g long, rare array<long>, hot array<long>, bits binary"), "signatures")
 
 
 def leaders(signed: DataFrame) -> DataFrame:
     """(leader, g): each group under the first group, by size and key, of each prefix shingle that it shares.
 
+    Where sizes in a bucket leap by more than the similarity allows, no pair
+    across can link, and the larger ones get a leader of their own.
+
     Shingles the sketch calls frequent are dealt to SALTS tasks first.
     """
     rare = signed.select(F.explode("rare").alias("t"), F.lit(0).alias("salt"), "n", "g")
     hot = signed.select(F.explode("hot").alias("t"), (F.lit(1) + F.pmod(F.xxhash64("g"), F.lit(SALTS))).cast("int").alias("salt"), "n", "g")
     bucket = Window.partitionBy("t", "salt").orderBy("n", "g")
-    first = F.first(F.struct("n", "g")).over(bucket.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rare.unionAll(hot).withColumn("first", first).withColumn("alone", F.lag("g").over(bucket).isNull() & F.lead("g").over(bucket).isNull())
-    rows = stage(rows.where("salt > 0 OR NOT alone").select("t", "salt", "first", "g").distinct(), "shared")
+    upto = bucket.rowsBetween(Window.unboundedPreceding, 0)
+    leap = lambda before, after: before.isNull() | after.isNull() | (after * PERCENT > before * 100)
+    rows = rare.unionAll(hot).withColumn("opens", leap(F.lag("n").over(bucket), F.col("n"))).withColumn("closes", leap(F.col("n"), F.lead("n").over(bucket)))
+    rows = rows.withColumn("first", F.when(F.col("salt") > 0, F.first(F.struct("n", "g")).over(upto)).otherwise(F.last(F.when(F.col("opens"), F.struct("n", "g")), ignorenulls=True).over(upto)))
+    rows = stage(rows.where("salt > 0 OR NOT (opens AND closes)").select("t", "salt", "first", "g").distinct(), "shared")
     common = rows.where("salt > 0")
     top = common.groupBy("t").agg(F.min("first").alias("top"))
     out = rows.where("salt = 0").select(F.col("first.g").alias("leader"), "g")
@@ -212,25 +262,29 @@ def leaders(signed: DataFrame) -> DataFrame:
 
 def linked_sets(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(s, component) of the sets that link with another set."""
-    sets = signed.where("n > 0").groupBy("g", "s").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    sets = signed.where("n > 0").groupBy("g", "s").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"))
     sets = stage(sets, "sets")
     own = sets.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("leader"), "g")
-    members = leaders(signed).unionAll(own).distinct().join(sets, "g").select("leader", "s", "n", "doc_id").distinct()
-    members = stage(members, "members")
-    size = members.groupBy("leader").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
-    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    members = stage(members.join(size.select("leader", blocks.alias("blocks")), "leader"), "members")
-    wanted = members.select("doc_id").distinct()
+    members = leaders(signed).unionAll(own).distinct().join(sets.select("g", "s", "n", "bits"), "g").dropDuplicates(["leader", "s"])
+    pairs = _blocks(stage(members.select("leader", "s", "n", "bits"), "members"))
+    kept = pairs.groupBy("leader", "i", "j").applyInArrow(_filter, "leader long, s binary").distinct()
+    kept = stage(kept.join(sets.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "s"), "kept")
+    wanted = kept.select("doc_id").distinct()
     text = docs.select("doc_id", F.col("text").cast("string").alias("text")).alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
-    codes = text.select("text").mapInArrow(_read_sets, "s binary, codes binary").join(members.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"])
-    block = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = members.withColumn("own", block).select("leader", "s", "own", F.explode(other).alias("other"))
-    rows = rows.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "s").join(codes, "s")
-    edges = rows.groupBy("leader", "i", "j").applyInArrow(_verify, "a binary, b binary")
+    codes = text.select("text").mapInArrow(_read_sets, "s binary, codes binary").join(kept.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"])
+    edges = _blocks(kept.drop("doc_id")).drop("n").join(codes, "s").groupBy("leader", "i", "j").applyInArrow(_verify, "a binary, b binary")
     return components(edges).withColumnRenamed("node", "s")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """members once for each pair (i, j) of blocks of their leader that holds their own block; a block is of bounded size."""
+    size = members.groupBy("leader").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    rows = members.join(size.select("leader", blocks.alias("blocks")), "leader").withColumn("own", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "blocks")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, version, n_shingles, component_id, label), a row for each row of docs; label keys the component.
 
