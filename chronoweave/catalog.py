@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from chronoweave import catalog_facts, catalog_text
+
+QUERIES: dict = {**catalog_facts.QUERIES, **catalog_text.QUERIES}
+ORACLE_SQL: dict = {**catalog_facts.ORACLE_SQL, **catalog_text.ORACLE_SQL}
+
+
+def flagship(spark, sf_dir: str):
+    """The best fact of every request under its own time rule: one as-of join."""
+    return QUERIES["t_asof_join"](spark, sf_dir)
