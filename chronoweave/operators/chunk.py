@@ -104,7 +104,7 @@ def table_entries(text: str) -> list[tuple[str, int | None, int, str, str, str,
     lines = [x.strip() for x in (text or "").splitlines() if x.strip()]
     heads = [i for i, x in enumerate(lines) if _HEADER.match(x)]
     out = []
-    for i, stop in zip(heads, [*heads[1:], len(lines)], strict=True):
+    for i, stop in zip(heads, [*heads[1:], len(lines)][: len(heads)], strict=True):
         planet, at, total, nth = _HEADER.match(lines[i])[1], i + 1, None, 0
         if at < stop and re.fullmatch(r"[-+]?\d+", lines[at]):
             total, at = int(lines[at]), at + 1
