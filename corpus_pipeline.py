@@ -8,7 +8,7 @@ benchmark items, and mixing decides how often each of the rest is taken.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronoweave.llm import jaccard, language, leaks, lines, mixing
 from chronoweave.llm.staging import read_table, stage
@@ -19,7 +19,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.dedup(docs)
+    """Also brings n_chars up to date, where documents have it."""
+    out = lines.dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
