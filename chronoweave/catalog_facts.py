@@ -40,7 +40,7 @@ WITH f AS (
   FROM orders),
 w AS (
   SELECT *, CASE length(time) WHEN 4 THEN time::INT * 10000 + 101 WHEN 7 THEN replace(time, '-', '')::INT * 100 + 1 ELSE replace(time, '-', '')::INT END AS t_start,
-         CASE length(time) WHEN 4 THEN time::INT * 10000 + 1231 WHEN 7 THEN replace(time, '-', '')::INT * 100 + day(last_day((time || '-01')::DATE)) ELSE replace(time, '-', '')::INT END AS t_end
+         (CASE length(time) WHEN 4 THEN time::INT * 10000 + 1231 WHEN 7 THEN replace(time, '-', '')::INT * 100 + day(last_day((time || '-01')::DATE)) ELSE replace(time, '-', '')::INT END)::INT AS t_end
   FROM f)
 """
 LATEST = "t_end DESC NULLS LAST, t_start DESC NULLS LAST, pos"
@@ -131,7 +131,7 @@ def k_retrieve(spark, d):
     + """, r AS (SELECT c_custkey AS qid, c_custkey::VARCHAR AS subject FROM customer),
 h AS (SELECT qid, w.*, min(pos) OVER (PARTITION BY qid, subject, predicate) AS g FROM r JOIN w USING (subject) WHERE t_start <= 19980331),
 o AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY qid, subject, predicate ORDER BY -t_end, -t_start, pos) = 1),
-k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coalesce(time, '') DESC, g) AS rank FROM o)
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coalesce(time, '') DESC, g)::INT AS rank FROM o)
 SELECT qid, rank, pos, time FROM k WHERE rank <= 3"""
 )
 def k_retrieve_batch(spark, d):
@@ -154,7 +154,7 @@ def e_distinct_first(spark, d):
     return asof.distinct_first(table(spark, d, "events").withColumnRenamed("event_id", "pos"), "user_id", "event_type").select("user_id", "event_type", F.col("pos").alias("event_id"))
 
 
-@query("SELECT p_type, price, row_number() OVER (ORDER BY price, p_type) AS place FROM (SELECT p_type, min(p_retailprice) AS price FROM part GROUP BY p_type)")
+@query("SELECT p_type, price, row_number() OVER (ORDER BY price, p_type)::INT AS place FROM (SELECT p_type, min(p_retailprice) AS price FROM part GROUP BY p_type)")
 def e_pool_min(spark, d):
     pool = table(spark, d, "part").groupBy("p_type").agg(F.min("p_retailprice").alias("price"))
     return pool.withColumn("place", F.row_number().over(Window.orderBy("price", "p_type")))
@@ -171,7 +171,7 @@ def e_filter_reference(spark, d):
     return part.crossJoin(first).where(checks[0] & checks[1] & checks[2] & checks[3]).select("p_partkey", "p_retailprice")
 
 
-@query("SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier WHERE s_acctbal > 0")
+@query("SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey)::INT AS place FROM supplier WHERE s_acctbal > 0")
 def e_ordered_list(spark, d):
     s = table(spark, d, "supplier").where("s_acctbal > 0")
     return s.select("s_nationkey", "s_suppkey", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("place"))

@@ -44,7 +44,7 @@ sections AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec)
 """
 
 
-@query(SECTIONS + "SELECT doc_id, section, heading, text FROM sections")
+@query(SECTIONS + "SELECT doc_id, section::INT AS section, heading, text FROM sections")
 def c_sections(spark, d):
     return chunk.sections(_docs(spark, d))
 
@@ -86,14 +86,14 @@ def c_chunks(spark, d):
     """WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN year(o_orderdate) * 100 + month(o_orderdate) END AS ym FROM orders),
 u AS (SELECT o_custkey, count(*) FILTER (ym IS NULL) AS u FROM o GROUP BY 1),
 p AS (SELECT o_custkey, ym, count(*) AS c, max(o_orderkey) AS last FROM o WHERE ym IS NOT NULL GROUP BY 1, 2)
-SELECT o_custkey, ym AS "at", (sum(c) OVER (PARTITION BY o_custkey ORDER BY ym) + u)::BIGINT AS n, last FROM p JOIN u USING (o_custkey)"""
+SELECT o_custkey, ym::INT AS "at", (sum(c) OVER (PARTITION BY o_custkey ORDER BY ym) + u)::BIGINT AS n, last FROM p JOIN u USING (o_custkey)"""
 )
 def c_running_counts(spark, d):
     at = F.when(F.col("o_orderkey") % 5 != 0, F.year("o_orderdate") * 100 + F.month("o_orderdate"))
     return chunk.cumulative_counts(table(spark, d, "orders"), "o_custkey", at, "o_orderkey")
 
 
-@query('SELECT o_orderkey, year(o_orderdate) * 100 + month(o_orderdate) AS "at" FROM orders')
+@query('SELECT o_orderkey, (year(o_orderdate) * 100 + month(o_orderdate))::INT AS "at" FROM orders')
 def c_circular_month(spark, d):
     letter = F.substring(F.lit(chunk.HALF_MONTHS), F.month("o_orderdate") * 2 - 1 + F.when(F.dayofmonth("o_orderdate") > 15, 1).otherwise(0), F.lit(1))
     ref = F.concat(F.lit("see MPEC "), F.year("o_orderdate").cast("string"), F.lit("-"), letter, F.lit("12"))
