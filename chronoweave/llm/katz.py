@@ -35,9 +35,13 @@ from chronoweave.llm.language import fold
 from chronoweave.llm.staging import read_table, stage
 from chronoweave.llm.textops import U, mix, words_of
 
-START, END = U(0x5151515151515151), U(0xE0E0E0E0E0E0E0E0)
+#: Words are known by 52 bits of their hash, which sorted tables keep in about 5 bytes each.
+HASH_BITS = 52
+START, END = U(0x5151515151515), U(0xE0E0E0E0E0E0E)
+#: Histories that an unseen bigram asks for are marked in so many bits (512 KB); a stray mark only sends a sum in vain.
+ASKED_BITS = 22
 CUT, LEAST, MOST = 5, 0.1, 0.95
-CHUNK_BYTES = 1 << 23
+CHUNK_BYTES = 1 << 22
 #: A word of this share of a chunk, and of half of it in all chunks where it had that, is dealt out by history.
 GREAT = 1 / 256
 FOLDS = 10
@@ -91,15 +95,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(batch: pa.RecordBatch):
-    """Token codes (words, then END, of each document), the documents of the tokens, and which are first of theirs."""
-    w = words_of(batch.column("text"), lower=True)
-    n = batch.num_rows
-    sizes = w.counts + 1
-    out = np.full(int(sizes.sum()), END, U)
-    doc = np.repeat(np.arange(n), sizes)
-    out[np.arange(len(w.starts)) + w.doc()] = w.hashes()
-    first = np.cumsum(sizes) - sizes
-    return out, doc, first, sizes
+    """Token codes (words, then END, of each document), the documents of the tokens, and the first place and number of each document's."""
+    codes, counts = [], []
+    for piece in textops.sub_batches(iter([batch])):
+        w = words_of(piece.column("text"), lower=True)
+        out = np.full(int(w.counts.sum()) + piece.num_rows, END, U)
+        out[np.arange(len(w.starts)) + w.doc()] = w.hashes() >> U(64 - HASH_BITS)
+        codes.append(out), counts.append(w.counts + 1)
+    sizes = np.concatenate(counts)
+    return np.concatenate(codes), np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes, sizes
 
 
 def _great(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,128 +147,167 @@ def _split(buckets: int, great):
             for b in range(buckets):
                 mine, seen, own = order[p[b] : p[b + 1]], spot_order[s[b] : s[b + 1]], word_order[v[b] : v[b + 1]]
                 if len(mine) or len(own):
-                    hs, h_at = np.unique(h[mine], return_inverse=True)
-                    ws, w_at = np.unique(w[mine], return_inverse=True)
-                    rows.append(pack(gaps(words[own]), small(word_count[own]), gaps(hs), small(h_at), gaps(ws), small(w_at), small(count[mine]), small(place[spots[seen] // n]), small(spots[seen] % n), small(often[seen])))
+                    hs, runs = _runs(h[mine])
+                    docs_of = np.bincount(place[spots[seen] // n], minlength=len(mine))
+                    rows.append(pack(gaps(words[own]), small(word_count[own]), gaps(hs), small(runs), small(_at(w[mine], words[own], great.value)), small(count[mine]), small(docs_of), small(spots[seen] % n), small(often[seen])))
                 else:
                     rows.append(None)
             keep = [b for b in range(buckets) if rows[b] is not None]
             chunk = (part << 24) + i
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([chunk] * len(keep), pa.int64()), pa.array([rows[b] for b in keep], pa.binary()), pa.array([0] * len(keep), pa.int64())], names=["bucket", "chunk", "blob", "docs"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([chunk], pa.int64()), pa.array([pack(sizes, train)], pa.binary()), pa.array([int(train.sum())], pa.int64())], names=["bucket", "chunk", "blob", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk % buckets], pa.int32()), pa.array([chunk], pa.int64()), pa.array([pack(small(sizes))], pa.binary()), pa.array([int(train.sum())], pa.int64())], names=["bucket", "chunk", "blob", "docs"])
 
     return run
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of runs."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def _at(w: np.ndarray, words: np.ndarray, great: np.ndarray) -> np.ndarray:
+    """Places of words in a bucket's own sorted words, or, after these, in the great ones."""
+    i = np.searchsorted(words, w)
+    own = i < len(words)
+    own[own] = words[i[own]] == w[own]
+    return np.where(own, i, len(words) + np.searchsorted(great, w))
+
+
 def _merge(great):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        chunks = table.column("chunk").to_pylist()
+        if bucket < 0:  # chunks' sizes pass
+            empty = {"words": None, "pairs": None, "tokens": 0, "types": 0, "n1": [0] * (CUT + 3), "n2": [0] * (CUT + 3), "great": [], "asked": None}
+            return pa.Table.from_pylist([{"bucket": bucket, "spots": pickle.dumps(table.column("blob").to_pylist()), "chunks": chunks, "docs": sum(table.column("docs").to_pylist()), **empty}], schema=SCHEMA)
         parts = [unpack(x) for x in table.column("blob").to_pylist()]
-        word, at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+        own = [np.cumsum(p[0]) for p in parts]
+        word, at = np.unique(np.concatenate(own), return_inverse=True)
         count = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(word)).astype(np.int64)
-        h = np.concatenate([np.cumsum(p[2])[p[3]] for p in parts])
-        w = np.concatenate([np.cumsum(p[4])[p[5]] for p in parts])
-        _, one, at = np.unique(mix(h * U(0x9E3779B97F4A7C15) + w), return_index=True, return_inverse=True)
-        pair_count = np.bincount(at, weights=np.concatenate([p[6] for p in parts]), minlength=len(one)).astype(np.int64)
-        hs, h_at = np.unique(h[one], return_inverse=True)
-        ws, w_at = np.unique(w[one], return_inverse=True)
+        h = np.concatenate([np.repeat(np.cumsum(p[2]), p[3]) for p in parts])
+        w = np.concatenate([np.append(o, great.value)[p[4]] for o, p in zip(own, parts, strict=True)])
+        key = np.lexsort((w, h))
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (h[key][1:] != h[key][:-1]) | (w[key][1:] != w[key][:-1])
+        one = key[fresh]
+        at = np.empty(len(key), np.int64)
+        at[key] = np.cumsum(fresh) - 1
+        pair_count = np.bincount(at, weights=np.concatenate([p[5] for p in parts]), minlength=len(one)).astype(np.int64)
+        hs, runs = _runs(h[one])
         spots, begin = [], 0
         for p in parts:
-            spots.append((small(at[begin : begin + len(p[3])][p[7]]), p[8], p[9]))
-            begin += len(p[3])
+            spots.append(pack(small(at[begin : begin + len(p[4])]), p[6], p[7], p[8]))
+            begin += len(p[4])
+        marks = np.zeros(1 << ASKED_BITS, bool)
+        marks[_mark(h[one][pair_count == 0])] = True
         numbers = [np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3).tolist() for c in (count, pair_count)]
         known = np.flatnonzero(np.isin(word, great.value))
-        return pa.table(
-            {
-                "bucket": pa.array([bucket], pa.int32()),
-                "words": pa.array([pack(gaps(word), small(count))], pa.binary()),
-                "pairs": pa.array([pack(gaps(hs), small(h_at), gaps(ws), small(w_at), small(pair_count))], pa.binary()),
-                "spots": pa.array([pickle.dumps([pack(*x) for x in spots])], pa.binary()),
-                "chunks": pa.array([table.column("chunk").to_pylist()], pa.list_(pa.int64())),
-                "tokens": pa.array([int(count.sum())], pa.int64()),
-                "types": pa.array([int((count > 0).sum())], pa.int64()),
-                "n1": pa.array([numbers[0]], pa.list_(pa.int64())),
-                "n2": pa.array([numbers[1]], pa.list_(pa.int64())),
-                "great": pa.array([[{"word": int(word[i].view(np.int64)), "n": int(count[i])} for i in known]], pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))),
-            }
-        )
+        row = {
+            "bucket": bucket,
+            "words": pack(gaps(word), small(count)),
+            "pairs": pack(gaps(hs), small(runs), small(_at(w[one], word, great.value)), small(pair_count)),
+            "spots": pickle.dumps(spots),
+            "chunks": chunks,
+            "docs": 0,
+            "tokens": int(count.sum()),
+            "types": int((count > 0).sum()),
+            "n1": numbers[0],
+            "n2": numbers[1],
+            "great": [{"word": int(word[i]), "n": int(count[i])} for i in known],
+            "asked": pack(np.packbits(marks)),
+        }
+        return pa.Table.from_pylist([row], schema=SCHEMA)
 
     return run
 
 
-TABLES = "bucket int, words binary, pairs binary, spots binary, chunks array<long>, tokens long, types long, n1 array<long>, n2 array<long>, great array<struct<word:long,n:long>>"
+def _mark(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> U(64 - ASKED_BITS)).astype(np.int64)
+
+
+TABLES = "bucket int, words binary, pairs binary, spots binary, chunks array<long>, docs long, tokens long, types long, n1 array<long>, n2 array<long>, great array<struct<word:long,n:long>>, asked binary"
+SCHEMA = pa.schema(
+    [("bucket", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("spots", pa.binary()), ("chunks", pa.list_(pa.int64())), ("docs", pa.int64()), ("tokens", pa.int64()), ("types", pa.int64())]
+    + [("n1", pa.list_(pa.int64())), ("n2", pa.list_(pa.int64())), ("great", pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))), ("asked", pa.binary())]
+)
 
 
 def _evaluate(settings, buckets: int):
-    """Rows (to, kind, chunk, blob): of kind 0 to a chunk, its documents' terms; of kinds 1 and 2 to a history bucket, sums and requests."""
+    """Rows (to, kind, chunk, blob): of kind 0 a chunk's documents' terms, of kind 1 a history bucket's sums and the requests for it, of kind 3 a chunk's sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, lost1, lost2, great_words, great_counts, free = settings.value
+        total, lost1, lost2, great_words, great_counts, free, asked_bits = settings.value
+        marks = np.unpackbits(asked_bits).astype(bool)
         for batch in batches:
             for row in batch.to_pylist():
+                if row["bucket"] < 0:
+                    sizes = [(c % buckets, 3, c, blob) for c, blob in zip(row["chunks"], pickle.loads(row["spots"]), strict=True)]
+                    yield _flow(sizes)
+                    continue
                 words, counts = unpack(row["words"])
                 words = np.cumsum(words)
-                hs, h_at, ws, w_at, pair = unpack(row["pairs"])
-                hs, ws, pair = np.cumsum(hs), np.cumsum(ws), pair.astype(np.int64)
-                c = np.zeros(len(ws), np.int64)
-                for names, n in ((words, counts), (great_words, great_counts)):
-                    if len(names):
-                        i = np.minimum(np.searchsorted(names, ws), len(names) - 1)
-                        c = np.where(names[i] == ws, n[i], c)
+                hs, runs, w_at, pair = unpack(row["pairs"])
+                hs, pair = np.cumsum(hs), pair.astype(np.int64)
+                h_at = np.repeat(np.arange(len(hs)), runs)
+                ws, c = np.append(words, great_words), np.append(counts.astype(np.int64), great_counts)
                 p = np.where(c > 0, less(c, lost1) / max(total, 1), free)
                 as_history = np.where((c > 0) & (ws != END), np.log10(np.maximum(c, 1)), 0.0)
                 seen = pair > 0
                 term = np.where(seen, np.log10(np.where(seen, less(pair, lost2), 1)), np.log10(p)[w_at]) - as_history[w_at]
                 base, known = np.log10(c + 0.1)[w_at], (c > 0)[w_at]
-                out = []
-                asked = {}
+                out, asked = [], []
                 for chunk, blob in zip(row["chunks"], pickle.loads(row["spots"]), strict=True):
-                    i, doc, n = (x.astype(np.int64) for x in unpack(blob))
+                    local, docs_of, doc, n = (x.astype(np.int64) for x in unpack(blob))
+                    i = np.repeat(local, docs_of)
                     docs, doc_at = np.unique(doc, return_inverse=True)
                     sums = [np.bincount(doc_at, weights=x[i] * n, minlength=len(docs)) for x in (term, base, known)]
-                    out.append((chunk, 0, chunk, pack(small(docs), sums[0], sums[1], small(sums[2].astype(np.int64)))))
+                    out.append((chunk % buckets, 0, chunk, pack(small(docs), sums[0], sums[1], small(sums[2].astype(np.int64)))))
                     fresh = ~seen[i]
                     if fresh.any():
-                        asked[chunk] = (h_at[i[fresh]].astype(np.int64), doc[fresh], n[fresh])
+                        asked.append((h_at[i[fresh]].astype(np.int64), np.full(int(fresh.sum()), chunk, np.int64), doc[fresh], n[fresh]))
                 have, have_at = np.unique(h_at[seen], return_inverse=True)
                 sums = [np.bincount(have_at, weights=x, minlength=len(have)) for x in (pair[seen], lost2[np.minimum(pair[seen], CUT + 1)], p[w_at[seen]])]
                 to = _bucket(hs, buckets)
-                have_to = to[have]
-                for b in np.unique(have_to):
-                    m = have_to == b
-                    out.append((int(b), 1, 0, pack(gaps(hs[have[m]]), small(sums[0][m].astype(np.int64)), sums[1][m].astype(np.float32), sums[2][m])))
-                for chunk, (x, doc, n) in asked.items():
-                    x_to = to[x]
-                    for b in np.unique(x_to):
-                        m = x_to == b
-                        names, at = np.unique(x[m], return_inverse=True)
-                        out.append((int(b), 2, chunk, pack(gaps(hs[names]), small(at), small(doc[m]), small(n[m]))))
+                have_to = np.where(marks[_mark(hs[have])], to[have], -1)
+                ask = [np.concatenate(x) for x in zip(*asked, strict=True)] if asked else [np.empty(0, np.int64)] * 4
+                ask_to = to[ask[0]]
+                for b in np.unique(np.concatenate([have_to[have_to >= 0], ask_to])):
+                    m, r = have_to == b, ask_to == b
+                    names, at = np.unique(ask[0][r], return_inverse=True)
+                    held, held_at = np.unique(ask[1][r], return_inverse=True)
+                    out.append((int(b), 1, 0, pack(gaps(hs[have[m]]), small(sums[0][m].astype(np.int64)), sums[1][m], sums[2][m], gaps(hs[names]), small(at), held, small(held_at), small(ask[2][r]), small(ask[3][r]))))
                 for begin in range(0, len(out), 512):
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out[begin : begin + 512], strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["to", "kind", "chunk", "blob"])
+                    yield _flow(out[begin : begin + 512])
 
     return run
 
 
+def _flow(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["to", "kind", "chunk", "blob"])
+
+
 def _back_off(table: pa.Table) -> pa.Table:
     kinds, blobs, chunks = (table.column(c).to_pylist() for c in ("kind", "blob", "chunk"))
+    out = [(chunk, k, chunk, blob) for k, blob, chunk in zip(kinds, blobs, chunks, strict=True) if k in (0, 3)]
     parts = [unpack(b) for k, b in zip(kinds, blobs, strict=True) if k == 1]
-    names, weight = np.empty(0, U), np.empty(0)
     if parts:
         names, at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
         count, lost, lower = (np.bincount(at, weights=np.concatenate([p[k] for p in parts]), minlength=len(names)) for k in (1, 2, 3))
         # log10 alpha(h), and log10 c(h) back, which the documents' terms took off for every token that follows h
         weight = np.log10(lost / count) - np.log10(np.maximum(1 - lower, 1e-300)) + np.log10(count)
-    out = []
-    for k, blob, chunk in zip(kinds, blobs, chunks, strict=True):
-        if k == 2:
-            hs, at, doc, n = unpack(blob)
-            hs = np.cumsum(hs)
-            i = np.minimum(np.searchsorted(names, hs), max(len(names) - 1, 0))
-            value = np.where(names[i] == hs, weight[i], 0.0) if len(names) else np.zeros(len(hs))
-            docs, doc_at = np.unique(doc, return_inverse=True)
-            out.append((chunk, 0, chunk, pack(small(docs), np.bincount(doc_at, weights=value[at] * n, minlength=len(docs)))))
-    columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-    return pa.table([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["to", "kind", "chunk", "blob"])
+        asked = np.concatenate([np.cumsum(p[4])[p[5]] for p in parts])
+        chunk, doc, n = np.concatenate([p[6][p[7]] for p in parts]), np.concatenate([p[8] for p in parts]).astype(np.int64), np.concatenate([p[9] for p in parts])
+        i = np.minimum(np.searchsorted(names, asked), max(len(names) - 1, 0))
+        value = np.where(names[i] == asked, weight[i], 0.0) * n if len(names) else np.zeros(len(asked))
+        order = np.lexsort((doc, chunk))
+        chunk, doc, value = chunk[order], doc[order], value[order]
+        held, runs = _runs(chunk)
+        for c, end, size in zip(held.tolist(), np.cumsum(runs).tolist(), runs.tolist(), strict=True):
+            docs, doc_at = np.unique(doc[end - size : end], return_inverse=True)
+            out.append((c, 0, c, pack(small(docs), np.bincount(doc_at, weights=value[end - size : end], minlength=len(docs)))))
+    return pa.Table.from_batches([_flow(out)])
 
 
 def _total(table: pa.Table) -> pa.Table:
@@ -300,29 +343,30 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = (fold("doc_id", FOLDS) == 0) if held_out is None else held_out
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"), held.alias("held_out"))
     often = text.select("text", "held_out").mapInArrow(_great, "word long, n long, all boolean")
-    often = often.groupBy("word", "all").agg(F.sum("n").alias("n"))
+    often = stage(often.groupBy("word", "all").agg(F.sum("n").alias("n")), "great")
     often = often.join(F.broadcast(often.where("all").select(F.col("n").alias("everything"))), F.col("n") * 2 >= F.col("everything") * GREAT).where("NOT all").select("word").collect()
     great = sc.broadcast(np.sort(np.array([r.word for r in often], np.int64).view(U)))
-    dealt = stage(text.mapInArrow(_split(buckets, great), "bucket int, chunk long, blob binary, docs long"), "chunks")
-    tables = stage(dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(_merge(great), TABLES), "ngrams")
-    facts = tables.select("tokens", "types", "n1", "n2", "great").collect()
-    total, types = sum(r.tokens for r in facts), sum(r.types for r in facts)
-    learnt = dealt.where("bucket < 0").agg(F.sum("docs")).first()[0] or 0
+    dealt = text.mapInArrow(_split(buckets, great), "bucket int, chunk long, blob binary, docs long")
+    tables = stage(dealt.groupBy("bucket").applyInArrow(_merge(great), TABLES), "ngrams")
+    facts = tables.select("tokens", "types", "n1", "n2", "great", "docs", "asked").collect()
+    total, types, learnt = sum(r.tokens for r in facts), sum(r.types for r in facts), sum(r.docs for r in facts)
     lost1, lost2 = (discounts(np.sum([r[k] for r in facts] or [[0] * (CUT + 3)], axis=0)) for k in ("n1", "n2"))
     seen = np.sum([r.n1 for r in facts] or [[0] * (CUT + 3)], axis=0)
     free = float((seen[1 : CUT + 2] * lost1[1 : CUT + 2]).sum() + seen[CUT + 2] * lost1[CUT + 1]) / total if total else 1.0
-    pairs = sorted((np.int64(x.word).view(U), x.n) for r in facts for x in r.great)
-    settings = sc.broadcast((total, lost1, lost2, np.array([w for w, _ in pairs], U), np.array([n for _, n in pairs], np.int64), free))
+    counted = {np.uint64(x.word): x.n for r in facts for x in r.great}
+    asked = np.zeros((1 << ASKED_BITS) // 8, np.uint8)
+    for r in facts:
+        if r.asked is not None:
+            asked |= unpack(r.asked)[0]
+    settings = sc.broadcast((total, lost1, lost2, great.value, np.array([counted.get(w, 0) for w in great.value], np.int64), free, asked))
     flow = "to long, kind int, chunk long, blob binary"
-    terms = stage(tables.mapInArrow(_evaluate(settings, buckets), flow), "terms")
-    backed = terms.where("kind > 0").groupBy("to").applyInArrow(_back_off, flow)
-    sizes = dealt.where("bucket < 0").select(F.col("chunk").alias("to"), F.lit(3).alias("kind"), "chunk", "blob")
-    sums = terms.where("kind = 0").unionAll(backed).unionAll(sizes).groupBy("chunk").applyInArrow(_total, "chunk long, nth int, n_tokens long, term double, base double, n_known long")
+    terms = tables.mapInArrow(_evaluate(settings, buckets), flow).groupBy("to").applyInArrow(_back_off, flow)
+    sums = terms.groupBy("chunk").applyInArrow(_total, "chunk long, nth int, n_tokens long, term double, base double, n_known long")
     place = text.mapInArrow(_numbered, f"doc_id {kind}, held_out boolean, chunk long, nth int")
     out = place.join(sums, ["chunk", "nth"])
     start = float(np.log10(learnt)) if learnt else 0.0
