@@ -41,7 +41,7 @@ START, END = U(0x5151515151515), U(0xE0E0E0E0E0E0E)
 #: Histories that an unseen bigram asks for are marked in so many bits (512 KB); a stray mark only sends a sum in vain.
 ASKED_BITS = 22
 CUT, LEAST, MOST = 5, 0.1, 0.95
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 3 << 20
 #: A word of this share of a chunk, and of half of it in all chunks where it had that, is dealt out by history.
 GREAT = 1 / 256
 FOLDS = 10
@@ -343,7 +343,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // 2
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = (fold("doc_id", FOLDS) == 0) if held_out is None else held_out
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"), held.alias("held_out"))
