@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from chronoweave.llm.staging import read_table, stage
 from chronoweave.llm.textops import U, Words, sub_batches, windows, words_of
 
+KEYS = ["doc_id", "version", "item_id", "item_version", "item_words", "passage"]
+
 WINDOW, MIN_LITERALS = 5, 3
 FILTER_BITS = 24
 COVERED, CONSISTENT = 0.75, 0.8
@@ -132,6 +134,72 @@ def _rows(df: DataFrame, key: str, bits) -> DataFrame:
     return df.mapInArrow(_windows_of(key, bits), f"{key} {kind}, version long, code long, pos int, words int, slots array<string>")
 
 
+def _consistency(slots: list[tuple]) -> float:
+    """Of the placeholder words in pairs of windows, the share whose item value goes with its most frequent document value."""
+    counts: dict[str, dict[str, int]] = {}
+    for own, other in slots:
+        for a, b in zip(own or (), other or (), strict=True):
+            if a is not None:
+                to = counts.setdefault(a, {})
+                to[b] = to.get(b, 0) + 1
+    total = sum(sum(to.values()) for to in counts.values())
+    return sum(max(to.values()) for to in counts.values()) / total if total else 1.0
+
+
+def alignments(pos: np.ndarray, item_pos: np.ndarray, slots: list[tuple], item_words: int, covered: float, consistent: float) -> list[tuple]:
+    """(begin, finish, coverage, consistency) of the alignments in a passage that cover the item consistently and don't overlap.
+
+    Around each diagonal (pos - item_pos) every place of the item takes its
+    match nearest to it, at most a passage's gap away, so that insertions
+    pass and a phrase that repeats, or a variant next to this one, stays apart.
+    """
+    diagonal = pos - item_pos
+    anchors, support = np.unique(diagonal, return_counts=True)
+    places = np.unique(item_pos)
+    reach = max(item_words / 2, WINDOW * 2)
+    chosen = np.full((len(anchors), len(places)), -1, np.int32)
+    for k, place in enumerate(places):
+        mine = np.flatnonzero(item_pos == place)
+        mine = mine[np.argsort(diagonal[mine], kind="stable")]
+        own = diagonal[mine]
+        right = np.minimum(np.searchsorted(own, anchors), len(own) - 1)
+        left = np.maximum(right - 1, 0)
+        near = np.where(np.abs(own[left] - anchors) < np.abs(own[right] - anchors), left, right)
+        chosen[:, k] = np.where(np.abs(own[near] - anchors) <= reach, mine[near], -1)
+    taken, out = [], []
+    for x in np.lexsort((anchors, -support)).tolist():
+        at = chosen[x][chosen[x] >= 0]
+        spots = np.unique((item_pos[at][:, None] + np.arange(WINDOW)).ravel())
+        begin, finish = int(pos[at].min()), int(pos[at].max()) + WINDOW
+        if len(spots) < covered * item_words or any(begin < f and b < finish for b, f in taken):
+            continue
+        share = _consistency([slots[i] for i in at.tolist()])
+        if share >= consistent:
+            taken.append((begin, finish))
+            out.append((begin, finish, len(spots) / item_words, share))
+    return out
+
+
+def _aligned(covered: float, consistent: float):
+    def run(table: pa.Table) -> pa.Table:
+        pos, item_pos = (table.column(c).to_numpy().astype(np.int64) for c in ("pos", "item_pos"))
+        slots = list(zip(table.column("item_slots").to_pylist(), table.column("slots").to_pylist(), strict=True))
+        found = alignments(pos, item_pos, slots, table.column("item_words")[0].as_py(), covered, consistent)
+        out = table.select(KEYS).take(pa.array([0] * len(found), pa.int64()))
+        for i, (c, t) in enumerate((("begin", pa.int32()), ("finish", pa.int32()), ("coverage", pa.float64()), ("consistency", pa.float64()))):
+            out = out.append_column(c, pa.array([x[i] for x in found], t))
+        return out
+
+    return run
+
+
+def _same(left: str, right: str, by: list[str]):
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return same
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, consistent: float = CONSISTENT) -> DataFrame:
     """(doc_id, version, item_id, begin, finish, coverage, consistency): passages of docs that repeat benchmark items.
 
@@ -144,6 +212,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, con
     the share whose item value goes with its most frequent document value;
     1 if there are none. A re-parameterised question replaces each value by
     one other throughout, so it is consistent; tables of numbers are not.
+    A passage that is not consistent as a whole is judged by its alignments, a
+    row for each that is: phrases that repeat within an item and variants that
+    follow each other don't count against one another.
 
     Items shorter than a window match nothing. Null text has no windows; rows
     alike in id and text count as one; null ids and other columns pass; empty
@@ -161,19 +232,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, con
     own = Window.partitionBy("doc_id", "version", "item_id", "item_version").orderBy("pos", "item_pos")
     gap = (F.col("pos") - F.lag("pos").over(own) > F.greatest(F.col("item_words") / 2, F.lit(WINDOW * 2))).cast("int")
     met = met.withColumn("passage", F.sum(F.coalesce(gap, F.lit(0))).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    by = ["doc_id", "version", "item_id", "item_version", "item_words", "passage"]
-    met = stage(met, "met")
+    met, by = stage(met, "met"), KEYS
     spots = F.explode(F.sequence(F.col("item_pos"), F.col("item_pos") + WINDOW - 1))
     cover = met.select(*by, "pos", spots.alias("spot")).groupBy(*by).agg(F.count_distinct("spot").alias("n"), F.min("pos").alias("begin"), (F.max("pos") + WINDOW).alias("finish"))
     pairs = met.where("item_slots IS NOT NULL").select(*by, F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("x"))
     pairs = pairs.where("x.a IS NOT NULL").groupBy(*by, F.col("x.a").alias("a"), F.col("x.b").alias("b")).agg(F.count("*").alias("c"))
     slots = pairs.groupBy(*by, "a").agg(F.max("c").alias("best"), F.sum("c").alias("all")).groupBy(*by).agg((F.sum("best") / F.sum("all")).alias("consistency"))
-    same = None
-    for c in by:
-        one = F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}"))
-        same = one if same is None else same & one
-    out = cover.alias("c").join(slots.alias("s"), same, "left").select(*[F.col(f"c.{c}") for c in by], "begin", "finish", (F.col("n") / F.col("c.item_words")).alias("coverage"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
-    out = out.where((F.col("coverage") >= covered) & (F.col("consistency") >= consistent))
+    whole = cover.alias("c").join(slots.alias("s"), _same("c", "s", by), "left").select(*[F.col(f"c.{c}") for c in by], "begin", "finish", (F.col("n") / F.col("c.item_words")).alias("coverage"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
+    whole = stage(whole.where(F.col("coverage") >= covered), "covered")
+    mixed = whole.where(F.col("consistency") < consistent)
+    apart = met.alias("m").join(mixed.alias("w"), _same("m", "w", by), "left_semi").groupBy(*by)
+    apart = apart.applyInArrow(_aligned(covered, consistent), whole.schema)
+    out = whole.where(F.col("consistency") >= consistent).unionByName(apart)
     return out.select("doc_id", "version", "item_id", "begin", "finish", F.round("coverage", 6).alias("coverage"), F.round("consistency", 6).alias("consistency"))
 
 

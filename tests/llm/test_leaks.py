@@ -53,3 +53,13 @@ def test_remove(spark):
     docs = table(spark, [(1, ITEM), (2, "clean text of its own"), (None, None), (3, ITEM + " " + ITEM), (2, "clean text of its own")])
     out = leaks.remove_leaks(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
     assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == ["2", "2", "None"]
+
+
+def test_alignments_are_judged_apart(spark):
+    boxes = "Then the red box holds 3 apples, the red box holds 8 apples, the red box holds 12 apples, the red box holds 40 apples and nobody knows why"
+    variant = lambda a, b, c: ITEM.replace("Boston", a).replace("60", b).replace("45", b + "5").replace("Alice", c)
+    row = [variant("Denver", "75", "Bob"), variant("Oslo", "81", "Eve"), variant("Rome", "99", "Kim")]
+    texts = ["Well, " + boxes, ITEM + " " + row[0], " ".join(row[:2]), " ".join(row), "Then the red box is here. " * 30]
+    got = find(spark, texts, [(1, ITEM), (2, boxes)])
+    assert {(0, 2), (1, 1), (2, 1), (3, 1)} == set(got)
+    assert all(r.coverage >= leaks.COVERED and r.consistency >= leaks.CONSISTENT for r in got.values())
