@@ -36,7 +36,7 @@ SENTENCES = {
     "z": "this source code form is subject to the terms of the mozilla public license v. 2.0",
 }
 #: Every known sentence has one of these words; texts with none of them need no sentences.
-ANCHORS = ("licens", "permission", "software", "redistribut")
+ANCHORS = ("licens", "permission", "software", "redistribut", "warranty")
 GAP = r"\.{0,2}"
 #: In order: a rule consumes what it matches, so the longer sequences stand first. Up to two unknown sentences may stand between.
 RULES = (

@@ -41,3 +41,10 @@ def test_odd_rows(spark):
 
 def test_anchors_cover_the_dictionary():
     assert all(any(a in s for a in licenses.ANCHORS) or any(a in s for a in ("copyright", "as is", "contributors", "warranty", "disclaimer")) or k == "s" for k, s in S.items())
+
+
+def test_every_known_sentence_is_found_alone(spark):
+    docs = table(spark, [(ord(k), f"{s.capitalize()}.") for k, s in S.items()])
+    got = {chr(r.doc_id): r for r in licenses.scan(docs).collect()}
+    assert all(any(a in s for a in licenses.ANCHORS) for s in S.values())
+    assert all(got[k].known == 1 and got[k].sequence == k and got[k].n_matches == 1 for k in S if k != "z")
