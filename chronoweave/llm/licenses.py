@@ -60,11 +60,25 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _sentences(text: Column) -> Column:
-    """Sentences end at a line's end, or at . ! ? ; : before white space."""
+def _sequence(text: Column) -> Column:
+    """A letter for each known sentence and a dot for each other piece of text.
+
+    Pieces end at a line's end, or at . ! ? ; : before white space. A known
+    sentence is a piece, or pieces in a row where the sentence is wrapped or
+    has a ; or . within it: longer sentences are looked for first. A blank line, or
+    one of comment marks, and . ! ? : end a sentence.
+    """
     cut = F.split(F.regexp_replace(F.translate(text, UPPER, LOWER), r"([.!?;:])[\x20\x09-\x0D]+", "$1\n"), "\n")
-    plain = F.transform(cut, lambda s: F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.]+", " "), r"^[ .]+|[ .]+$", ""))
-    return F.filter(plain, lambda s: s != "")
+    stop = F.lit("\n!\n")
+    mark = lambda x: F.when(x.rlike(r"[.!?:][\"')\]]*[\x20\x09-\x0D]*$"), stop).otherwise(F.lit("\n"))
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9.]+", " "), r"^[ .]+|[ .]+$", "")
+    pieces = F.transform(cut, lambda x: F.when(plain(x) == "", stop).otherwise(F.concat(plain(x), mark(x))))
+    left = F.concat(F.lit("\n"), F.array_join(pieces, ""))
+    for letter, sentence in sorted(SENTENCES.items(), key=lambda x: -len(x[1])):
+        left = F.regexp_replace(left, r"(?<=\n)" + sentence.replace(". ", "@").replace(".", r"\.").replace(" ", r"[ \n]").replace("@", r"(?:\. |\n!?\n?)") + r"(?=\n)", letter.upper())
+    for pattern, to in ((r"!", ""), (r"\n+", "\n"), (r"(?<=\n)[^A-Z\n][^\n]*(?=\n)", "."), (r"\n", "")):
+        left = F.regexp_replace(left, pattern, to)
+    return F.translate(left, UPPER, LOWER)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -78,14 +92,12 @@ def scan(docs: DataFrame) -> DataFrame:
     Null or empty text: 0, '', '', 0. Null ids, repeated rows and other columns
     pass; an empty table gives no rows.
     """
-    dictionary = F.create_map(*[F.lit(x) for letter, s in SENTENCES.items() for x in (s, letter)])
     text = F.coalesce(F.col("text"), F.lit(""))
     lowered = F.translate(text, UPPER, LOWER)
     may = F.lit(False)
     for a in ANCHORS:
         may = may | lowered.contains(a)
-    letters = F.array_join(F.transform(_sentences(text), lambda s: F.coalesce(F.element_at(dictionary, s), F.lit("."))), "")
-    df = docs.select("doc_id", F.regexp_replace(F.when(may, letters).otherwise(F.lit("")), r"^\.+|\.+$", "").alias("sequence"))
+    df = docs.select("doc_id", F.regexp_replace(F.when(may, _sequence(text)).otherwise(F.lit("")), r"^\.+|\.+$", "").alias("sequence"))
     left, counts, names = F.col("sequence"), [], []
     for name, pattern in RULES:
         hit = F.regexp_count(left, F.lit(pattern))

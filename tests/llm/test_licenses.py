@@ -1,5 +1,7 @@
 """Licence sequences on small texts."""
 
+import textwrap
+
 from chronoweave.llm import licenses
 from tests.llm.common import corpus, table
 
@@ -48,3 +50,19 @@ def test_every_known_sentence_is_found_alone(spark):
     got = {chr(r.doc_id): r for r in licenses.scan(docs).collect()}
     assert all(any(a in s for a in licenses.ANCHORS) for s in S.values())
     assert all(got[k].known == 1 and got[k].sequence == k and got[k].n_matches == 1 for k in S if k != "z")
+
+
+def test_wrapped_notices(spark):
+    wrap = lambda k, mark="": "\n".join(mark + x for x in textwrap.wrap(S[k].capitalize() + ".", 70))
+    mit = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + "\n\n".join(wrap(k) for k in "cde") + "\n"
+    apache = "/*\n" + wrap("f", " * ") + "\n *\n" + wrap("h", " * ") + "\n * You may obtain a copy at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n *\n" + wrap("i", " * ") + "\n */\ncode"
+    gpl = wrap("l", "# ") + "\n#\n" + wrap("n", "# ").replace("any warranty", "any warranty;").replace("any\n# warranty", "any\n# warranty;")
+    bsd = "\n\n".join(f"{i}. {wrap(k)}" if i else wrap(k).rstrip(".") + ":" for i, k in enumerate("opqr"))
+    parted = "Licensed under the\n\nMIT License\n\nsoftware"
+    lines = "Licensed under the Apache License,\r\nVersion 2.0 (the \"License\");\r\nyou may not use this file except in\r\ncompliance with the License."
+    texts = [mit, apache, gpl, bsd, parted, lines, "A title\nReleased under the MIT License\nand more", wrap("z", "// ")]
+    got = {r.doc_id: r for r in licenses.scan(table(spark, list(enumerate(texts)))).collect()}
+    want = ["MIT", "Apache-2.0", "GPL-3.0-or-later", "BSD-3-Clause", "", "Apache-2.0", "MIT", "MPL-2.0"]
+    assert [got[i].licenses for i in range(len(texts))] == want
+    assert [got[i].known for i in range(len(texts))] == [3, 3, 2, 4, 0, 2, 1, 1] and got[2].n_matches == 1
+    assert got[5].sequence == "gh"
