@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from chronoweave.llm.staging import read_table, stage
-from chronoweave.llm.textops import U, Words, sub_batches, windows, words_of
+from chronoweave.llm.textops import U, Words, sub_batches, window, windows, words_of
 
 KEYS = ["doc_id", "version", "item_id", "item_version", "item_words", "passage"]
 
@@ -49,10 +49,11 @@ def _unit_hashes() -> np.ndarray:
 
 
 def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words of the texts, the hashes of their template tokens, and the tokens' kinds (0: literal).
+    """Words of the texts, the hashes of their template tokens, and the tokens' kinds (0: literal; 4: literal that may be a name).
 
     A number has a digit. A name begins with A-Z and does not follow the end
-    of a sentence or line, or follows a name. A unit stands in UNITS and
+    of a sentence or line, or follows a name; where it does follow such an
+    end, it may be a name. A unit stands in UNITS and
     follows a number. Literals compare in lower case without punctuation at
     their ends.
     """
@@ -76,6 +77,7 @@ def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
     unit = np.zeros(n, bool)
     unit[1:] = (known[at[1:]] == codes[1:]) & number[:-1] & ~fresh[1:]
+    kinds[_UPPER[raw.data[starts]] & fresh & ~number] = 4
     kinds[name], kinds[unit], kinds[number] = 2, 3, 1
     out = codes.copy()
     for kind, code in ((1, NUMBER), (2, NAME), (3, UNIT)):
@@ -84,12 +86,23 @@ def templates(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
 
 
 def _found(column: pa.Array):
-    """Windows that count, of each text: hash, index of the first word, and the words."""
+    """Windows that count, of each text: hash, index of the first word, bits of the words read as names that may be one, and the words."""
     raw, tokens, kinds = templates(column)
     codes, at = windows(tokens, raw.first, WINDOW)
-    literal = np.concatenate([[0], np.cumsum(kinds == 0)])
-    ok = literal[at + WINDOW] - literal[at] >= MIN_LITERALS
-    return raw, kinds, codes[ok], at[ok]
+    literal = np.concatenate([[0], np.cumsum((kinds == 0) | (kinds == 4))])
+    plain = literal[at + WINDOW] - literal[at]
+    may = np.zeros(len(at), np.uint8)
+    for j in range(WINDOW):
+        may |= (kinds[at + j] == 4).astype(np.uint8) << j
+    some = np.flatnonzero((may > 0) & (plain > MIN_LITERALS))
+    ok = plain >= MIN_LITERALS
+    out = [(codes[ok], at[ok], np.zeros(int(ok.sum()), np.uint8))]
+    for mask in range(1, 1 << WINDOW):
+        pick = some[(may[some] & mask == mask) & (plain[some] - mask.bit_count() >= MIN_LITERALS)]
+        if len(pick):
+            read = [np.where(mask >> j & 1, NAME, tokens[at[pick] + j]) for j in range(WINDOW)]
+            out.append((window(read), at[pick], np.full(len(pick), mask, np.uint8)))
+    return raw, kinds, *(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _bits(codes: np.ndarray) -> np.ndarray:
@@ -102,20 +115,21 @@ def _windows_of(key: str, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = None if bits is None else np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
         for batch in sub_batches(batches):
-            raw, kinds, codes, at = _found(batch.column("text"))
+            raw, kinds, codes, at, named = _found(batch.column("text"))
             if may is not None:
                 ok = may[_bits(codes)]
-                codes, at = codes[ok], at[ok]
+                codes, at, named = codes[ok], at[ok], named[ok]
             if not len(codes):
                 continue
             doc = np.searchsorted(raw.first, at, side="right") - 1
             data = raw.data.tobytes()
             slots = []
-            for i in at.tolist():
-                slots.append([data[raw.starts[i + j] : raw.ends[i + j]].decode("utf-8", "replace") if kinds[i + j] else None for j in range(WINDOW)] if kinds[i : i + WINDOW].any() else None)
+            for i, m in zip(at.tolist(), named.tolist(), strict=True):
+                slot = [0 < kinds[i + j] < 4 or m >> j & 1 for j in range(WINDOW)]
+                slots.append([data[raw.starts[i + j] : raw.ends[i + j]].decode("utf-8", "replace") if slot[j] else None for j in range(WINDOW)] if any(slot) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key).take(pa.array(doc)), batch.column("version").take(pa.array(doc)), pa.array(codes.view(np.int64)), pa.array((at - raw.first[doc]).astype(np.int32)), pa.array(raw.counts[doc].astype(np.int32)), pa.array(slots, pa.list_(pa.string()))],
-                names=[key, "version", "code", "pos", "words", "slots"],
+                [batch.column(key).take(pa.array(doc)), batch.column("version").take(pa.array(doc)), pa.array(codes.view(np.int64)), pa.array((at - raw.first[doc]).astype(np.int32)), pa.array(raw.counts[doc].astype(np.int32)), pa.array(np.bitwise_count(named).astype(np.int32)), pa.array(slots, pa.list_(pa.string()))],
+                names=[key, "version", "code", "pos", "words", "named", "slots"],
             )
 
     return run
@@ -131,7 +145,7 @@ def _filter_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rows(df: DataFrame, key: str, bits) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     df = df.select(key, F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("version"))
-    return df.mapInArrow(_windows_of(key, bits), f"{key} {kind}, version long, code long, pos int, words int, slots array<string>")
+    return df.mapInArrow(_windows_of(key, bits), f"{key} {kind}, version long, code long, pos int, words int, named int, slots array<string>")
 
 
 def _consistency(slots: list[tuple]) -> float:
@@ -204,7 +218,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, con
     """(doc_id, version, item_id, begin, finish, coverage, consistency): passages of docs that repeat benchmark items.
 
     Windows of WINDOW template tokens, of which MIN_LITERALS are literal, meet
-    by hash. Documents first pass a bit filter of the items' windows: 2 MB
+    by hash; a capital word at the start of a sentence is read as itself and as
+    a name. Documents first pass a bit filter of the items' windows: 2 MB
     whatever the benchmark's size, and no window that meets an item is lost.
     Matches of a document and item whose places lie within an item's length
     make a passage; coverage is the share of the item's words under matched
@@ -227,12 +242,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, con
     for r in parts:
         bits |= np.frombuffer(r.bits, np.uint8)
     found = _rows(docs, "doc_id", spark.sparkContext.broadcast(bits.tobytes()))
-    item = items.select("code", "item_id", F.col("version").alias("item_version"), F.col("pos").alias("item_pos"), F.col("words").alias("item_words"), F.col("slots").alias("item_slots"))
+    item = items.select("code", "item_id", F.col("version").alias("item_version"), F.col("pos").alias("item_pos"), F.col("words").alias("item_words"), F.col("named").alias("item_named"), F.col("slots").alias("item_slots"))
     met = found.drop("words").join(item, "code").drop("code")
-    own = Window.partitionBy("doc_id", "version", "item_id", "item_version").orderBy("pos", "item_pos")
+    own = Window.partitionBy("doc_id", "version", "item_id", "item_version").orderBy("pos", "item_pos", F.col("named") + F.col("item_named"), "named")
+    # of two readings of one pair the one with fewer names
+    again = F.lag("pos").over(own).eqNullSafe(F.col("pos")) & F.lag("item_pos").over(own).eqNullSafe(F.col("item_pos"))
     gap = (F.col("pos") - F.lag("pos").over(own) > F.greatest(F.col("item_words") / 2, F.lit(WINDOW * 2))).cast("int")
     met = met.withColumn("passage", F.sum(F.coalesce(gap, F.lit(0))).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    met, by = stage(met, "met"), KEYS
+    met, by = stage(met.withColumn("again", again).where("NOT again").drop("again", "named", "item_named"), "met"), KEYS
     spots = F.explode(F.sequence(F.col("item_pos"), F.col("item_pos") + WINDOW - 1))
     cover = met.select(*by, "pos", spots.alias("spot")).groupBy(*by).agg(F.count_distinct("spot").alias("n"), F.min("pos").alias("begin"), (F.max("pos") + WINDOW).alias("finish"))
     pairs = met.where("item_slots IS NOT NULL").select(*by, F.explode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("x"))

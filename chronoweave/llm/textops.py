@@ -94,6 +94,15 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(out[at]), at
 
 
+def window(parts: list[np.ndarray]) -> np.ndarray:
+    """Hashes of windows as windows() gives them, from the hashes of their first words, second words and so on."""
+    out = parts[0].copy()
+    for x in parts[1:]:
+        out *= U(_MIX)
+        out += x
+    return mix(out)
+
+
 def words_of(column: pa.Array, lower: bool) -> Words:
     """The words of a string column; null counts as empty."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column

@@ -63,3 +63,12 @@ def test_alignments_are_judged_apart(spark):
     got = find(spark, texts, [(1, ITEM), (2, boxes)])
     assert {(0, 2), (1, 1), (2, 1), (3, 1)} == set(got)
     assert all(r.coverage >= leaks.COVERED and r.consistency >= leaks.CONSISTENT for r in got.values())
+
+
+def test_names_that_open_sentences(spark):
+    item = "Tom has 5 apples. Ann has 3 more apples. Tom gives 2 apples away. How many are left?"
+    other = "Sara has 9 apples. Luis has 4 more apples. Sara gives 6 apples away. How many are left?"
+    mixed = "Sara has 9 apples. Luis has 4 more apples. Omar gives 6 pears home. Where were they?"
+    got = find(spark, [item, "Read this.\n" + other + "\nThe end.", mixed], [(1, item)])
+    assert set(got) == {(0, 1), (1, 1)} and got[1, 1].consistency == 1.0
+    assert find(spark, ["Well, " + item.replace("Tom has", "tom has")], [(1, item)])[0, 1].coverage >= leaks.COVERED
