@@ -1,28 +1,36 @@
-"""Katz backoff bigram model: Good-Turing discounts, exactly normalised backoff weights, tables partitioned by word.
+"""Katz backoff n-gram model: Good-Turing discounts, exactly normalised backoff weights, counts in partitioned tables.
 
-P(w | h) = c*(h w) / c(h) if h w was seen, else alpha(h) P(w);
+P(w | h) = c*(h w) / c(h) if h w was seen in training, else alpha(h) P(w | h')
+where h' is h without its first word, and so on down to single words:
 P(w) = c*(w) / N if w was seen, else the mass that discounting set free.
 c* is c less its Good-Turing discount (r - (r + 1) n[r + 1] / n[r] up to r = 5,
 that of 5 above), held within LEAST and MOST so that every history keeps mass
-for unseen words; alpha(h) = (1 - sum of seen P(w | h)) / (1 - sum of P(w) over
-the same words), which makes every history's probabilities sum to 1. A history
-never seen has alpha 1.
-
-All counts are of all training documents and move as packed arrays, one for
-each chunk of documents and bucket of words, so a shuffled n-gram costs a few
-bytes. Words of great share have their bigrams dealt out by the history.
-
-1. chunks -> word buckets: counts are added up and written as the model's tables.
-2. tables -> per document: terms of the seen bigrams; per history: its part of
-   the sums in alpha, and the unseen bigrams that ask for it.
-3. history buckets: alpha, and the backed-off terms of each document.
-4. the terms of a chunk's documents are added.
+for unseen words; alpha(h) = (1 - sum of seen P(w | h)) / (1 - sum of P(w | h')
+over the same words), which makes every history's probabilities sum to 1. A
+history never seen has alpha 1. Texts begin with START as often as needed.
+
+1. Documents are read once, into chunks: rows of whole documents as word
+   numbers, their ids with them, written as a table. All that follows reads
+   that table, so results don't depend on the order in which docs is read.
+2. For each order, from 1 up: a chunk sends its distinct n-grams, packed, to
+   the bucket of their history; a bucket adds counts up (the model's table of
+   that order, written) and answers each chunk with the counts of the n-grams
+   it sent, and, where one of them was never seen, the sums that alpha needs.
+   N-grams whose history no other chunk has, or that training never saw, stay:
+   the chunk knows their counts already. Histories of great share are dealt
+   to several buckets by the next word; their sums are put together again.
+3. Each chunk evaluates its documents' tokens recursively.
+
+What is shuffled is in proportion to the input: packed n-grams of chunks and
+their counts, never a value for each document and bucket. The buckets' number
+follows the number of tokens.
 """
 
 from __future__ import annotations
 
-import pickle
+import struct
 from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +43,36 @@ from chronoweave.llm.language import fold
 from chronoweave.llm.staging import read_table, stage
 from chronoweave.llm.textops import U, mix, words_of
 
-#: Words are known by 52 bits of their hash, which sorted tables keep in about 5 bytes each.
-HASH_BITS = 52
-START, END = U(0x5151515151515), U(0xE0E0E0E0E0E0E)
-#: Histories that an unseen bigram asks for are marked in so many bits (512 KB); a stray mark only sends a sum in vain.
-ASKED_BITS = 22
+ORDER = 3
+#: Words and histories are known by so many bits of their hash.
+HASH_BITS = 56
+START, END = U(0x51515151515151), U(0xE0E0E0E0E0E0E0)
 CUT, LEAST, MOST = 5, 0.1, 0.95
-CHUNK_BYTES = 3 << 20
-#: A word of this share of a chunk, and of half of it in all chunks where it had that, is dealt out by history.
-GREAT = 1 / 256
+CHUNK_BYTES = 8 << 20
+BUCKET_TOKENS = 1 << 22
+#: At most so many parts of histories are put together again on the driver, whatever the input.
+PARTS = 1 << 16
 FOLDS = 10
+_STEP = U(0xD1342543DE82EF95)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    """Arrays by byte planes, so that high bytes, mostly alike, compress well."""
+    head = b"".join(struct.pack("<BI", a.itemsize | (128 if a.dtype.kind == "f" else 0), len(a)) for a in arrays)
+    body = [a.tobytes() if a.itemsize == 1 else np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([bytes([len(arrays)]), head, *body]))
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    at, out = 1 + 5 * data[0], []
+    for i in range(data[0]):
+        kind, n = struct.unpack_from("<BI", data, 1 + 5 * i)
+        size = kind & 127
+        planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<f{size}" if kind & 128 else f"<u{size}"))
+        at += n * size
+    return out
 
 
 def small(x: np.ndarray) -> np.ndarray:
@@ -80,298 +100,334 @@ def less(c: np.ndarray, lost: np.ndarray) -> np.ndarray:
     return c - lost[np.minimum(c, CUT + 1)]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of whole documents of about CHUNK_BYTES, across batches."""
-    held, size = [], 0
+def _seen_times(counts: np.ndarray) -> np.ndarray:
+    """The number of n-grams seen r = 0 .. CUT + 1 times, and more often."""
+    return np.bincount(np.minimum(counts, CUT + 2), minlength=CUT + 3)
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+
+
+def _by_size(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of whole documents of about that many bytes, across batches."""
+    held, total = [], 0
     for batch in batches:
         for piece in textops.sub_batches(iter([batch])):
             held.append(piece)
-            size += piece.nbytes
-            if size >= CHUNK_BYTES:
+            total += piece.nbytes
+            if total >= size:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
+                held, total = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _tokens(batch: pa.RecordBatch):
-    """Token codes (words, then END, of each document), the documents of the tokens, and the first place and number of each document's."""
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Token codes (words, then END, of each document) and the number of each document's."""
     codes, counts = [], []
     for piece in textops.sub_batches(iter([batch])):
         w = words_of(piece.column("text"), lower=True)
         out = np.full(int(w.counts.sum()) + piece.num_rows, END, U)
         out[np.arange(len(w.starts)) + w.doc()] = w.hashes() >> U(64 - HASH_BITS)
         codes.append(out), counts.append(w.counts + 1)
-    sizes = np.concatenate(counts)
-    return np.concatenate(codes), np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes, sizes
-
-
-def _great(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _chunks(batches):
-        tokens, n = np.unique(_tokens(batch)[0], return_counts=True)
-        often = n >= max(16, GREAT * n.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(tokens[often].view(np.int64), 0)), pa.array(np.append(n[often], n.sum())), pa.array(np.append(np.zeros(often.sum(), bool), True))], names=["word", "n", "all"])
-
-
-def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(codes ^ U(0xABCDEF)) % U(buckets)).astype(np.int64)
+    return np.concatenate(codes), np.concatenate(counts)
 
 
-def _split(buckets: int, great):
+def _chunk(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for i, batch in enumerate(_chunks(batches)):
-            tokens, doc, first, sizes = _tokens(batch)
-            n = batch.num_rows
+        for i, batch in enumerate(_by_size(batches, size)):
+            tokens, sizes = _tokens(batch)
+            words, at, often = np.unique(tokens, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            words, at = np.unique(tokens, return_inverse=True)
-            before = np.empty_like(at)
-            before[1:] = at[:-1]
-            before[first] = len(words)
-            names = np.append(words, START)
-            pairs, which = np.unique(before * len(words) + at, return_inverse=True)
-            count = np.bincount(which, weights=train[doc], minlength=len(pairs)).astype(np.int64)
-            spots, often = np.unique(which * n + doc, return_counts=True)
-            word_count = np.bincount(at, weights=train[doc], minlength=len(words)).astype(np.int64)
-            h, w = names[pairs // len(words)], words[pairs % len(words)]
-            home = _bucket(words, buckets)
-            to = np.where(np.isin(w, great.value), _bucket(h, buckets), home[pairs % len(words)])
-            order, per = np.argsort(to, kind="stable"), np.bincount(to, minlength=buckets)
-            place = np.empty(len(pairs), np.int64)
-            place[order] = np.arange(len(pairs)) - np.repeat(np.cumsum(per) - per, per)
-            spot_to = to[spots // n]
-            spot_order, spot_per = np.argsort(spot_to, kind="stable"), np.bincount(spot_to, minlength=buckets)
-            word_order, word_per = np.argsort(home, kind="stable"), np.bincount(home, minlength=buckets)
-            p, s, v = (np.concatenate([[0], np.cumsum(x)]) for x in (per, spot_per, word_per))
-            rows = []
-            for b in range(buckets):
-                mine, seen, own = order[p[b] : p[b + 1]], spot_order[s[b] : s[b + 1]], word_order[v[b] : v[b + 1]]
-                if len(mine) or len(own):
-                    hs, runs = _runs(h[mine])
-                    docs_of = np.bincount(place[spots[seen] // n], minlength=len(mine))
-                    rows.append(pack(gaps(words[own]), small(word_count[own]), gaps(hs), small(runs), small(_at(w[mine], words[own], great.value)), small(count[mine]), small(docs_of), small(spots[seen] % n), small(often[seen])))
-                else:
-                    rows.append(None)
-            keep = [b for b in range(buckets) if rows[b] is not None]
-            chunk = (part << 24) + i
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([chunk] * len(keep), pa.int64()), pa.array([rows[b] for b in keep], pa.binary()), pa.array([0] * len(keep), pa.int64())], names=["bucket", "chunk", "blob", "docs"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk % buckets], pa.int32()), pa.array([chunk], pa.int64()), pa.array([pack(small(sizes))], pa.binary()), pa.array([int(train.sum())], pa.int64())], names=["bucket", "chunk", "blob", "docs"])
+            one = lambda x, t: pa.array([x], t)
+            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(c))
+            yield pa.RecordBatch.from_arrays(
+                [one((part << 24) + i, pa.int64()), one(0, pa.int32()), one(0, pa.int32()), whole("doc_id"), whole("held_out"), one(len(tokens), pa.int64()), one(int(train.sum()), pa.int64()), one(int(sizes[train].sum()), pa.int64()), one(pack(words[order], small(rank[at]), small(sizes)), pa.binary())],
+                names=["chunk", "kind", "part", "ids", "held", "tokens", "train", "train_tokens", "blob"],
+            )
 
     return run
 
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and lengths of runs."""
-    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
-    return x[first], np.diff(np.append(first, len(x)))
+def _hash(code: np.ndarray, part=U(0)) -> np.ndarray:
+    return mix(code ^ (part * _STEP)) >> U(64 - HASH_BITS)
 
 
-def _at(w: np.ndarray, words: np.ndarray, great: np.ndarray) -> np.ndarray:
-    """Places of words in a bucket's own sorted words, or, after these, in the great ones."""
-    i = np.searchsorted(words, w)
-    own = i < len(words)
-    own[own] = words[i[own]] == w[own]
-    return np.where(own, i, len(words) + np.searchsorted(great, w))
+@dataclass
+class Learnt:
+    """What all chunks know. total, docs: training tokens and documents. buckets: by order. most: training tokens of a part
+    of a history. free: what words never seen share. lost: discounts, by order. splits: by order, the routes of the
+    parts of histories that have several, with how many n-grams each saw 1 .. CUT + 1 times and the sum of their words'
+    lower probabilities."""
 
+    total: int
+    docs: int
+    buckets: list[int]
+    most: int
+    free: float = 1.0
+    lost: list[np.ndarray] = field(default_factory=list)
+    splits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
-def _merge(great):
+
+class _Grams:
+    """The distinct n-grams of a chunk, of one order.
+
+    of: the n-gram at each token. hist, word, below: numbers of its history
+    (that of START after all others), its last word, and the n-gram without
+    its first word. code: hash; start: that of as many STARTs. own: training
+    count in the chunk. known: training count of the history. Once answered,
+    count: training count; sole: whether no other chunk has it; p: the
+    probability of the last word after the history.
+    """
+
+    def __init__(self, lower: _Grams | None, tokens: np.ndarray, words: np.ndarray, first: np.ndarray, train: np.ndarray, learnt: Learnt):
+        self.lower, self.words = lower, words
+        if lower is None:
+            self.of, self.word, self.hist = tokens.astype(np.int64), np.arange(len(words)), np.zeros(len(words), np.int64)
+            self.code, self.start = words, START
+            self.known = np.full(len(words), learnt.total)
+        else:
+            before = np.empty(len(tokens), np.int64)
+            before[1:] = lower.of[:-1]
+            before[first] = len(lower.code)
+            keys, self.of = np.unique(before * len(words) + tokens, return_inverse=True)
+            self.hist, self.word = keys // len(words), keys % len(words)
+            self.below = np.empty(len(keys), np.int64)
+            self.below[self.of] = lower.of
+            self.start = lower.start + U(1)
+            self.code = mix(np.append(lower.code, lower.start)[self.hist] * _STEP + words[self.word])
+            self.known = np.append(lower.count, learnt.docs)[self.hist]
+        self.own = np.bincount(self.of, weights=train, minlength=len(self.code)).astype(np.int64)
+
+    def route(self, learnt: Learnt, buckets: int) -> None:
+        """Which n-grams are sent, and where: sent, their numbers in order; begins, where each part of a history begins among
+        them, routes its hash, split whether there are several; edges and runs: where each bucket begins among sent and begins."""
+        if self.lower is None:
+            stays, self.parts, route = np.zeros(len(self.code), bool), np.ones(len(self.code), np.int64), _hash(self.code)
+        else:
+            stays = (self.known == 0) | np.append(self.lower.sole, False)[self.hist]
+            self.parts = np.maximum(-(-self.known // learnt.most), 1)
+            part = mix(self.words[self.word]) % self.parts.astype(U)
+            route = _hash(np.append(self.lower.code, self.lower.start)[self.hist], part)
+        self.stays, sent = stays, np.flatnonzero(~stays)
+        self.sent = sent[np.argsort(route[sent], kind="stable")]
+        ordered = route[self.sent]
+        self.begins = _starts(ordered)
+        self.routes = ordered[self.begins]
+        self.split = self.parts[self.sent[self.begins]] > 1
+        bucket = ((ordered >> U(HASH_BITS - 32)) * U(buckets) >> U(32)).astype(np.int64)
+        self.edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        self.runs = np.searchsorted(self.begins, self.edges)
+
+    def requests(self) -> Iterator[tuple[int, bytes]]:
+        """(bucket, blob): routes and lengths of its parts of histories, whether split, the denominator below; the n-grams'
+        last words, own counts and numerators below."""
+        lengths = np.diff(np.append(self.begins, len(self.sent)))
+        own = self.own[self.sent]
+        if self.lower is None:
+            under, over, word = np.zeros(len(self.sent), np.int64), np.zeros(len(self.begins), np.int64), np.zeros(len(self.sent), U)
+        else:
+            below = self.below[self.sent]
+            under, over = np.where(own > 0, self.lower.count[below], 0), self.lower.known[below[self.begins]]
+            word = self.words[self.word[self.sent]]
+        for b in np.flatnonzero(np.diff(self.edges)).tolist():
+            mine, runs = slice(self.edges[b], self.edges[b + 1]), slice(self.runs[b], self.runs[b + 1])
+            names, at = np.unique(word[mine], return_inverse=True)
+            yield b, pack(gaps(self.routes[runs]), small(lengths[runs]), self.split[runs].view(np.uint8), small(over[runs]), gaps(names), small(at), small(own[mine]), small(under[mine]))
+
+    def answered(self, answers: dict[int, bytes], order: int, learnt: Learnt) -> None:
+        self.count, self.sole = self.own.copy(), self.known > 0
+        lost = learnt.lost[order]
+        got = [(b, unpack(answers[b])) for b in sorted(answers)]
+        if got:
+            self.count[self.sent] = np.concatenate([x[0] for _, x in got])
+            self.sole[self.sent] = np.concatenate([x[1] for _, x in got]).astype(bool)
+        seen = self.count > 0
+        self.p = np.where(seen, less(self.count, lost) / np.maximum(self.known, 1), learnt.free)
+        if self.lower is None:
+            return
+        low = self.lower.p[self.below]
+        asks = ~seen & (self.known > 0)
+        self.p[~seen] = low[~seen]
+        if not asks.any():
+            return
+        size = len(self.lower.code) + 1
+        stay = self.stays & seen
+        freed, taken = (np.bincount(self.hist[stay], weights=x[stay], minlength=size).astype(np.float64) for x in (lost[np.minimum(self.count, CUT + 1)], low))
+        for b, x in got:
+            mine = self.hist[self.sent[self.begins[x[2].astype(np.int64) + self.runs[b]]]]
+            freed[mine] = sum(x[2 + r] * lost[r] for r in range(1, CUT + 2))
+            taken[mine] = x[CUT + 4]
+        many = np.flatnonzero(asks & (self.parts > 1))
+        if len(many):
+            routes, times, sums = learnt.splits[order]
+            mine, one = np.unique(self.hist[many], return_index=True)
+            parts = self.parts[many[one]]
+            part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            owner = np.repeat(mine, parts)
+            wanted = _hash(np.append(self.lower.code, self.lower.start)[owner], part.astype(U))
+            i = np.minimum(np.searchsorted(routes, wanted), max(len(routes) - 1, 0))
+            ok = routes[i] == wanted if len(routes) else np.zeros(len(wanted), bool)
+            freed += np.bincount(owner[ok], weights=times[i[ok]] @ lost[1:], minlength=size)
+            taken += np.bincount(owner[ok], weights=sums[i[ok]], minlength=size)
+        at = self.hist[asks]
+        self.p[asks] *= freed[at] / self.known[asks] / np.maximum(1 - taken[at], 1e-300)
+
+
+def _climb(table: pa.Table, order: int, learnt: Learnt) -> tuple[int, _Grams, np.ndarray, list[_Grams]]:
+    """Row of the chunk's documents, its n-grams of that order, each document's first token, and all orders' n-grams."""
+    kinds, parts, blobs = (table.column(c).to_pylist() for c in ("kind", "part", "blob"))
+    row = kinds.index(0)
+    words, tokens, sizes = unpack(blobs[row])
+    tokens, sizes = tokens.astype(np.int64), sizes.astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    held = table.column("held")[row].values.to_numpy(zero_copy_only=False).astype(bool)
+    train = np.repeat(~held, sizes)
+    found: list[_Grams] = []
+    for k in range(1, order + 1):
+        grams = _Grams(found[-1] if found else None, tokens, words, first, train, learnt)
+        grams.route(learnt, learnt.buckets[k])
+        found.append(grams)
+        if k < len(learnt.lost):
+            grams.answered({p: b for p, b, kind in zip(parts, blobs, kinds, strict=True) if kind == k}, k, learnt)
+    return row, found[-1], first, found
+
+
+REQUESTS = "bucket int, chunk long, blob binary, n array<long>"
+ANSWERS = "chunk long, kind int, part int, blob binary, n array<long>, split array<struct<route:long,n:array<long>,low:double>>"
+
+
+def _ask(order: int, learnt):
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        chunks = table.column("chunk").to_pylist()
-        if bucket < 0:  # chunks' sizes pass
-            empty = {"words": None, "pairs": None, "tokens": 0, "types": 0, "n1": [0] * (CUT + 3), "n2": [0] * (CUT + 3), "great": [], "asked": None}
-            return pa.Table.from_pylist([{"bucket": bucket, "spots": pickle.dumps(table.column("blob").to_pylist()), "chunks": chunks, "docs": sum(table.column("docs").to_pylist()), **empty}], schema=SCHEMA)
-        parts = [unpack(x) for x in table.column("blob").to_pylist()]
-        own = [np.cumsum(p[0]) for p in parts]
-        word, at = np.unique(np.concatenate(own), return_inverse=True)
-        count = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(word)).astype(np.int64)
-        h = np.concatenate([np.repeat(np.cumsum(p[2]), p[3]) for p in parts])
-        w = np.concatenate([np.append(o, great.value)[p[4]] for o, p in zip(own, parts, strict=True)])
-        key = np.lexsort((w, h))
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (h[key][1:] != h[key][:-1]) | (w[key][1:] != w[key][:-1])
-        one = key[fresh]
-        at = np.empty(len(key), np.int64)
-        at[key] = np.cumsum(fresh) - 1
-        pair_count = np.bincount(at, weights=np.concatenate([p[5] for p in parts]), minlength=len(one)).astype(np.int64)
-        hs, runs = _runs(h[one])
-        spots, begin = [], 0
-        for p in parts:
-            spots.append(pack(small(at[begin : begin + len(p[4])]), p[6], p[7], p[8]))
-            begin += len(p[4])
-        marks = np.zeros(1 << ASKED_BITS, bool)
-        marks[_mark(h[one][pair_count == 0])] = True
-        numbers = [np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3).tolist() for c in (count, pair_count)]
-        known = np.flatnonzero(np.isin(word, great.value))
-        row = {
-            "bucket": bucket,
-            "words": pack(gaps(word), small(count)),
-            "pairs": pack(gaps(hs), small(runs), small(_at(w[one], word, great.value)), small(pair_count)),
-            "spots": pickle.dumps(spots),
-            "chunks": chunks,
-            "docs": 0,
-            "tokens": int(count.sum()),
-            "types": int((count > 0).sum()),
-            "n1": numbers[0],
-            "n2": numbers[1],
-            "great": [{"word": int(word[i]), "n": int(count[i])} for i in known],
-            "asked": pack(np.packbits(marks)),
-        }
-        return pa.Table.from_pylist([row], schema=SCHEMA)
+        s: Learnt = learnt.value
+        chunk = table.column("chunk")[0].as_py()
+        grams = _climb(table, order, s)[1]
+        rows = list(grams.requests())
+        stay = _seen_times(grams.own[grams.stays])
+        rows.append((-1 - chunk % s.buckets[order], None))
+        return pa.table({
+            "bucket": pa.array([b for b, _ in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int64()),
+            "blob": pa.array([x for _, x in rows], pa.binary()), "n": pa.array([None] * (len(rows) - 1) + [stay.tolist()], pa.list_(pa.int64())),
+        })
 
     return run
 
 
-def _mark(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> U(64 - ASKED_BITS)).astype(np.int64)
+def _add_up(order: int, learnt):
+    """Counts of a bucket's n-grams, answered to its chunks; a last row with the numbers of n-grams by count and the split histories' sums."""
 
+    def answer(rows: list[dict]) -> pa.Table:
+        part = pa.struct([("route", pa.int64()), ("n", pa.list_(pa.int64())), ("low", pa.float64())])
+        schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary()), ("n", pa.list_(pa.int64())), ("split", pa.list_(part))])
+        return pa.Table.from_pylist(rows, schema=schema)
 
-TABLES = "bucket int, words binary, pairs binary, spots binary, chunks array<long>, docs long, tokens long, types long, n1 array<long>, n2 array<long>, great array<struct<word:long,n:long>>, asked binary"
-SCHEMA = pa.schema(
-    [("bucket", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("spots", pa.binary()), ("chunks", pa.list_(pa.int64())), ("docs", pa.int64()), ("tokens", pa.int64()), ("types", pa.int64())]
-    + [("n1", pa.list_(pa.int64())), ("n2", pa.list_(pa.int64())), ("great", pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))), ("asked", pa.binary())]
-)
+    def run(table: pa.Table) -> pa.Table:
+        s: Learnt = learnt.value
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            return answer([{"kind": order, "part": bucket, "n": np.sum(table.column("n").to_pylist(), axis=0).tolist(), "split": []}])
+        chunks, parts = table.column("chunk").to_pylist(), [unpack(x) for x in table.column("blob").to_pylist()]
+        lengths = [p[1].astype(np.int64) for p in parts]
+        routes = [np.cumsum(p[0].astype(U), dtype=U) for p in parts]
+        route = np.concatenate([np.repeat(r, n) for r, n in zip(routes, lengths, strict=True)])
+        over = np.concatenate([np.repeat(p[3].astype(np.float64), n) for p, n in zip(parts, lengths, strict=True)])
+        word = np.concatenate([np.cumsum(p[4].astype(U), dtype=U)[p[5]] for p in parts])
+        own, under = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in (6, 7))
+        low = np.where(under > 0, less(under, s.lost[order - 1]) / np.maximum(over, 1), 0.0) if order > 1 else np.zeros(len(own))
+        by = np.lexsort((word, route))
+        route, word = route[by], word[by]
+        begins = np.flatnonzero(np.concatenate([[True], (route[1:] != route[:-1]) | (word[1:] != word[:-1])]))
+        at = np.empty(len(by), np.int64)
+        at[by] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(by))))
+        count, low = np.add.reduceat(own[by], begins), np.maximum.reduceat(low[by], begins)
+        sole = np.diff(np.append(begins, len(by))) == 1
+        route = route[begins]
+        first = _starts(route)
+        names, history = route[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(route))))
+        times = np.stack([np.bincount(history[np.minimum(count, CUT + 1) == r], minlength=len(names)) for r in range(1, CUT + 2)])
+        sums = np.bincount(history, weights=np.where(count > 0, low, 0), minlength=len(names))
+        out, begin = [], 0
+        several = np.unique(np.concatenate([r[p[2] > 0] for r, p in zip(routes, parts, strict=True)]))
+        for chunk, own_routes, p, n in zip(chunks, routes, parts, lengths, strict=True):
+            mine = at[begin : begin + int(n.sum())]
+            begin += len(mine)
+            c = count[mine]
+            asked = np.flatnonzero((np.bincount(np.repeat(np.arange(len(n)), n)[c == 0], minlength=len(n)) > 0) & (p[2] == 0)) if order > 1 else np.empty(0, np.int64)
+            i = np.searchsorted(names, own_routes[asked])
+            out.append({"chunk": chunk, "kind": order, "part": bucket, "blob": pack(small(c), sole[mine].view(np.uint8), small(asked), *(small(x) for x in times[:, i]), sums[i])})
+        i = np.searchsorted(names, several)
+        split = [{"route": int(r), "n": t, "low": x} for r, t, x in zip(several.tolist(), times[:, i].T.tolist(), sums[i].tolist(), strict=True)]
+        out.append({"kind": order, "part": bucket, "n": _seen_times(count).tolist(), "split": split})
+        return answer(out)
 
+    return run
 
-def _evaluate(settings, buckets: int):
-    """Rows (to, kind, chunk, blob): of kind 0 a chunk's documents' terms, of kind 1 a history bucket's sums and the requests for it, of kind 3 a chunk's sizes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, lost1, lost2, great_words, great_counts, free, asked_bits = settings.value
-        marks = np.unpackbits(asked_bits).astype(bool)
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] < 0:
-                    sizes = [(c % buckets, 3, c, blob) for c, blob in zip(row["chunks"], pickle.loads(row["spots"]), strict=True)]
-                    yield _flow(sizes)
-                    continue
-                words, counts = unpack(row["words"])
-                words = np.cumsum(words)
-                hs, runs, w_at, pair = unpack(row["pairs"])
-                hs, pair = np.cumsum(hs), pair.astype(np.int64)
-                h_at = np.repeat(np.arange(len(hs)), runs)
-                ws, c = np.append(words, great_words), np.append(counts.astype(np.int64), great_counts)
-                p = np.where(c > 0, less(c, lost1) / max(total, 1), free)
-                as_history = np.where((c > 0) & (ws != END), np.log10(np.maximum(c, 1)), 0.0)
-                seen = pair > 0
-                term = np.where(seen, np.log10(np.where(seen, less(pair, lost2), 1)), np.log10(p)[w_at]) - as_history[w_at]
-                base, known = np.log10(c + 0.1)[w_at], (c > 0)[w_at]
-                out, asked = [], []
-                for chunk, blob in zip(row["chunks"], pickle.loads(row["spots"]), strict=True):
-                    local, docs_of, doc, n = (x.astype(np.int64) for x in unpack(blob))
-                    i = np.repeat(local, docs_of)
-                    docs, doc_at = np.unique(doc, return_inverse=True)
-                    sums = [np.bincount(doc_at, weights=x[i] * n, minlength=len(docs)) for x in (term, base, known)]
-                    out.append((chunk % buckets, 0, chunk, pack(small(docs), sums[0], sums[1], small(sums[2].astype(np.int64)))))
-                    fresh = ~seen[i]
-                    if fresh.any():
-                        asked.append((h_at[i[fresh]].astype(np.int64), np.full(int(fresh.sum()), chunk, np.int64), doc[fresh], n[fresh]))
-                have, have_at = np.unique(h_at[seen], return_inverse=True)
-                sums = [np.bincount(have_at, weights=x, minlength=len(have)) for x in (pair[seen], lost2[np.minimum(pair[seen], CUT + 1)], p[w_at[seen]])]
-                to = _bucket(hs, buckets)
-                have_to = np.where(marks[_mark(hs[have])], to[have], -1)
-                ask = [np.concatenate(x) for x in zip(*asked, strict=True)] if asked else [np.empty(0, np.int64)] * 4
-                ask_to = to[ask[0]]
-                for b in np.unique(np.concatenate([have_to[have_to >= 0], ask_to])):
-                    m, r = have_to == b, ask_to == b
-                    names, at = np.unique(ask[0][r], return_inverse=True)
-                    held, held_at = np.unique(ask[1][r], return_inverse=True)
-                    out.append((int(b), 1, 0, pack(gaps(hs[have[m]]), small(sums[0][m].astype(np.int64)), sums[1][m], sums[2][m], gaps(hs[names]), small(at), held, small(held_at), small(ask[2][r]), small(ask[3][r]))))
-                for begin in range(0, len(out), 512):
-                    yield _flow(out[begin : begin + 512])
+def _evaluate(order: int, types: int, learnt):
+    def run(table: pa.Table) -> pa.Table:
+        s: Learnt = learnt.value
+        row, last, first, found = _climb(table, order, s)
+        one = found[0]
+        total = lambda x, g: np.add.reduceat(x[g.of], first)
+        base = np.log10((one.count + 0.1) / (s.total + 0.1 * (types + 1)))
+        n = len(first)
+        return pa.table({
+            "doc_id": table.column("ids")[row].values, "held_out": table.column("held")[row].values, "n_tokens": pa.array(np.diff(np.append(first, len(one.of)))), "n_known": pa.array(total((one.count > 0).astype(np.int64), one)),
+            "train_tokens": pa.array(np.full(n, s.total, np.int64)), "base_score": pa.array(total(base, one)), "score": pa.array(total(np.log10(last.p), last)),
+        })
 
     return run
 
 
-def _flow(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["to", "kind", "chunk", "blob"])
-
-
-def _back_off(table: pa.Table) -> pa.Table:
-    kinds, blobs, chunks = (table.column(c).to_pylist() for c in ("kind", "blob", "chunk"))
-    out = [(chunk, k, chunk, blob) for k, blob, chunk in zip(kinds, blobs, chunks, strict=True) if k in (0, 3)]
-    parts = [unpack(b) for k, b in zip(kinds, blobs, strict=True) if k == 1]
-    if parts:
-        names, at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
-        count, lost, lower = (np.bincount(at, weights=np.concatenate([p[k] for p in parts]), minlength=len(names)) for k in (1, 2, 3))
-        # log10 alpha(h), and log10 c(h) back, which the documents' terms took off for every token that follows h
-        weight = np.log10(lost / count) - np.log10(np.maximum(1 - lower, 1e-300)) + np.log10(count)
-        asked = np.concatenate([np.cumsum(p[4])[p[5]] for p in parts])
-        chunk, doc, n = np.concatenate([p[6][p[7]] for p in parts]), np.concatenate([p[8] for p in parts]).astype(np.int64), np.concatenate([p[9] for p in parts])
-        i = np.minimum(np.searchsorted(names, asked), max(len(names) - 1, 0))
-        value = np.where(names[i] == asked, weight[i], 0.0) * n if len(names) else np.zeros(len(asked))
-        order = np.lexsort((doc, chunk))
-        chunk, doc, value = chunk[order], doc[order], value[order]
-        held, runs = _runs(chunk)
-        for c, end, size in zip(held.tolist(), np.cumsum(runs).tolist(), runs.tolist(), strict=True):
-            docs, doc_at = np.unique(doc[end - size : end], return_inverse=True)
-            out.append((c, 0, c, pack(small(docs), np.bincount(doc_at, weights=value[end - size : end], minlength=len(docs)))))
-    return pa.Table.from_batches([_flow(out)])
-
-
-def _total(table: pa.Table) -> pa.Table:
-    blobs, kinds = table.column("blob").to_pylist(), table.column("kind").to_pylist()
-    sizes = next(unpack(b)[0] for k, b in zip(kinds, blobs, strict=True) if k == 3)
-    n = len(sizes)
-    sums = np.zeros((3, n))
-    for k, b in zip(kinds, blobs, strict=True):
-        if k == 0:
-            docs, *values = unpack(b)
-            for i, v in enumerate(values):
-                sums[i][docs] += v
-    chunk = table.column("chunk")[0].as_py()
-    return pa.table({"chunk": pa.array([chunk] * n, pa.int64()), "nth": pa.array(range(n), pa.int32()), "n_tokens": pa.array(sizes, pa.int64()), "term": pa.array(sums[0]), "base": pa.array(sums[1]), "n_known": pa.array(sums[2].astype(np.int64))})
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunk and place of each document, as _split dealt them."""
-    part = TaskContext.get().partitionId()
-    for i, batch in enumerate(_chunks(batches)):
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([(part << 24) + i] * n, pa.int64()), pa.array(range(n), pa.int32())], names=["doc_id", "held_out", "chunk", "nth"])
-
-
-def score(docs: DataFrame, held_out=None) -> DataFrame:
+def score(docs: DataFrame, held_out=None, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
 
     Learns from the rows that are not held out (by default a tenth is, by
-    CRC-32 of doc_id) and scores all. Null text is empty: its one token is the
-    end. With nothing to learn from, every token has the whole mass: score 0.
-    Null ids hash as empty; repeated rows count each; other columns are
-    ignored; an empty table gives no rows.
+    CRC-32 of doc_id) and scores all. order: words in the longest n-gram. A
+    chunk holds chunk_bytes of text or one longer document, and a bucket the
+    n-grams of bucket_tokens tokens: both bound a task's memory, and grow with
+    it on large clusters, so that a chunk still sends long runs to each bucket.
+
+    Null text is empty: its one token is the end. With nothing to learn from,
+    every token has the whole mass: score 0. Null ids hash as empty; repeated
+    rows count each; ties can't occur; a very long text is a chunk of its own;
+    other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // 2
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = (fold("doc_id", FOLDS) == 0) if held_out is None else held_out
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    often = text.select("text", "held_out").mapInArrow(_great, "word long, n long, all boolean")
-    often = stage(often.groupBy("word", "all").agg(F.sum("n").alias("n")), "great")
-    often = often.join(F.broadcast(often.where("all").select(F.col("n").alias("everything"))), F.col("n") * 2 >= F.col("everything") * GREAT).where("NOT all").select("word").collect()
-    great = sc.broadcast(np.sort(np.array([r.word for r in often], np.int64).view(U)))
-    dealt = text.mapInArrow(_split(buckets, great), "bucket int, chunk long, blob binary, docs long")
-    tables = stage(dealt.groupBy("bucket").applyInArrow(_merge(great), TABLES), "ngrams")
-    facts = tables.select("tokens", "types", "n1", "n2", "great", "docs", "asked").collect()
-    total, types, learnt = sum(r.tokens for r in facts), sum(r.types for r in facts), sum(r.docs for r in facts)
-    lost1, lost2 = (discounts(np.sum([r[k] for r in facts] or [[0] * (CUT + 3)], axis=0)) for k in ("n1", "n2"))
-    seen = np.sum([r.n1 for r in facts] or [[0] * (CUT + 3)], axis=0)
-    free = float((seen[1 : CUT + 2] * lost1[1 : CUT + 2]).sum() + seen[CUT + 2] * lost1[CUT + 1]) / total if total else 1.0
-    counted = {np.uint64(x.word): x.n for r in facts for x in r.great}
-    asked = np.zeros((1 << ASKED_BITS) // 8, np.uint8)
-    for r in facts:
-        if r.asked is not None:
-            asked |= unpack(r.asked)[0]
-    settings = sc.broadcast((total, lost1, lost2, great.value, np.array([counted.get(w, 0) for w in great.value], np.int64), free, asked))
-    flow = "to long, kind int, chunk long, blob binary"
-    terms = tables.mapInArrow(_evaluate(settings, buckets), flow).groupBy("to").applyInArrow(_back_off, flow)
-    sums = terms.groupBy("chunk").applyInArrow(_total, "chunk long, nth int, n_tokens long, term double, base double, n_known long")
-    place = text.mapInArrow(_numbered, f"doc_id {kind}, held_out boolean, chunk long, nth int")
-    out = place.join(sums, ["chunk", "nth"])
-    start = float(np.log10(learnt)) if learnt else 0.0
-    below = float(np.log10(total + 0.1 * (types + 1)))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(below)).alias("base_score"), (F.col("term") - F.lit(start)).alias("score"))
+    chunks = stage(text.mapInArrow(_chunk(chunk_bytes), f"chunk long, kind int, part int, ids array<{kind}>, held array<boolean>, tokens long, train long, train_tokens long, blob binary"), "chunks")
+    size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "train", "train_tokens")]).first()
+    buckets = [max(sc.defaultParallelism, -(-size.tokens // bucket_tokens))] * (order + 1)
+    learnt = Learnt(size.train_tokens, size.train, buckets, max(bucket_tokens // 8, size.train_tokens // PARTS, 1), lost=[np.zeros(CUT + 2)], splits=[None])
+    known = chunks.select("chunk", "kind", "part", "ids", "held", "blob")
+    types = 0
+    for k in range(1, order + 1):
+        now = sc.broadcast(learnt)
+        asked = known.groupBy("chunk").applyInArrow(_ask(k, now), REQUESTS)
+        counts = stage(asked.groupBy("bucket").applyInArrow(_add_up(k, now), ANSWERS), "ngrams")
+        sums = counts.where("blob IS NULL").select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
+        n = np.zeros(CUT + 3, np.int64)
+        for r in sums:
+            n[r.r] = r.n
+        lost = discounts(n)
+        if k == 1:
+            types = int(n[1:].sum())
+            learnt.free = float((n[1 : CUT + 2] * lost[1:]).sum() + n[CUT + 2] * lost[CUT + 1]) / learnt.total if learnt.total else 1.0
+        split = sorted((r.route, r.n, r.low) for r in counts.where("blob IS NULL").select(F.inline("split")).collect())
+        arrays = (np.array([x[0] for x in split], np.int64).astype(U), np.array([x[1] for x in split], np.float64).reshape(-1, CUT + 1), np.array([x[2] for x in split], np.float64))
+        learnt = replace(learnt, lost=[*learnt.lost, lost], splits=[*learnt.splits, arrays])
+        known = known.unionByName(counts.where("blob IS NOT NULL").select("chunk", "kind", "part", "blob"), allowMissingColumns=True)
+    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return known.groupBy("chunk").applyInArrow(_evaluate(order, types, sc.broadcast(learnt)), out)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.llm import katz
 from chronoweave.llm.textops import WORD
@@ -18,37 +19,46 @@ def words(text):
     return [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(WORD, text or "")] + ["</s>"]
 
 
-def brute(rows):
-    """{doc_id: (n_tokens, n_known, train_tokens, base, score)} and P(w | h)."""
+def brute(rows, order=katz.ORDER):
+    """{doc_id: (n_tokens, n_known, train_tokens, base, score)} and P(w | h), by dictionaries."""
     held = {d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0 for d, _ in rows}
-    uni, bi = Counter(), Counter()
+    counts = [Counter() for _ in range(order + 1)]
     for d, t in rows:
         if not held[d]:
-            ws = words(t)
-            uni.update(ws)
-            bi.update(zip(["<s>", *ws], ws, strict=False))
-    total, kinds = sum(uni.values()), len(uni)
-    lost = [katz.discounts(np.bincount(np.minimum(list(c.values()) or [0], katz.CUT + 2), minlength=katz.CUT + 3)) for c in (uni, bi)]
+            ws = ["<s>"] * (order - 1) + words(t)
+            for i in range(order - 1, len(ws)):
+                for k in range(1, order + 1):
+                    counts[k][tuple(ws[i - k + 1 : i + 1])] += 1
+    total, kinds = sum(counts[1].values()), len(counts[1])
+    lost = [None] + [katz.discounts(np.bincount(np.minimum(list(c.values()) or [0], katz.CUT + 2), minlength=katz.CUT + 3)) for c in counts[1:]]
     star = lambda c, k: c - lost[k][min(c, katz.CUT + 1)]
-    free = (total - sum(star(c, 0) for c in uni.values())) / total if total else 1.0
-    low = lambda w: star(uni[w], 0) / total if w in uni else free
+    free = (total - sum(star(c, 1) for c in counts[1].values())) / total if total else 1.0
     after, history = {}, Counter()
-    for (h, w), c in bi.items():
-        after.setdefault(h, []).append((w, c))
-        history[h] += c
-    alpha = {h: (1 - sum(star(c, 1) for _, c in own) / history[h]) / (1 - sum(low(w) for w, _ in own)) for h, own in after.items()}
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            after.setdefault(g[:-1], []).append((g[-1], c))
+            history[g[:-1]] += c
+    weights = {}
 
     def p(w, h):
-        if (h, w) in bi:
-            return star(bi[h, w], 1) / history[h]
-        return alpha.get(h, 1.0) * low(w)
+        if not h:
+            return star(counts[1][w,], 1) / total if (w,) in counts[1] else free
+        if h not in history:
+            return p(w, h[1:])
+        k = len(h) + 1
+        if (*h, w) in counts[k]:
+            return star(counts[k][*h, w], k) / history[h]
+        if h not in weights:
+            weights[h] = (1 - sum(star(c, k) for _, c in after[h]) / history[h]) / (1 - sum(p(x, h[1:]) for x, _ in after[h]))
+        return weights[h] * p(w, h[1:])
 
     out = {}
     for d, t in rows:
         ws = words(t)
-        base = sum(math.log10((uni[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws)
-        out[d] = (len(ws), sum(w in uni for w in ws), total, base, sum(math.log10(p(w, h)) for h, w in zip(["<s>", *ws], ws, strict=False)))
-    return out, p, after, uni
+        base = sum(math.log10((counts[1][w,] + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws)
+        full = ["<s>"] * (order - 1) + ws
+        out[d] = (len(ws), sum((w,) in counts[1] for w in ws), total, base, sum(math.log10(p(full[i], tuple(full[i - order + 1 : i]))) for i in range(order - 1, len(full))))
+    return out, p, after, [w for w, in counts[1]]
 
 
 def test_like_brute_force(spark):
@@ -65,6 +75,7 @@ def test_like_brute_force(spark):
         assert g.score == pytest.approx(x[4], rel=1e-6)
     for h in list(after)[:20]:
         assert sum(p(w, h) for w in [*uni, "<unseen>"]) == pytest.approx(1)
+    assert {len(h) for h in after} == {1, 2}
 
 
 def test_repeated_rows_and_empty_table(spark):
@@ -74,9 +85,28 @@ def test_repeated_rows_and_empty_table(spark):
     assert katz.score(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_great_words_are_dealt_out_alike(spark, monkeypatch):
-    rows = [(i, " ".join("the" if j % 3 == 0 else f"w{(i * j) % 50}" for j in range(60))) for i in range(50)]
+def mixed_rows():
+    return [(i, " ".join("the" if j % 3 == 0 else f"w{(i * j) % 50}" for j in range(60 + i))) for i in range(50)]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_small_chunks_and_split_histories_like_brute_force(spark, order):
+    """Chunks of a few documents, histories dealt to many buckets, every order."""
+    rows = mixed_rows()
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], SCHEMA).repartition(4)
-    want = brute(rows)[0]
-    for r in katz.score(df).collect():
+    want = brute(rows, order)[0]
+    got = katz.score(df, order=order, chunk_bytes=1000, bucket_tokens=100).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.base_score == pytest.approx(want[r.doc_id][3], rel=1e-9)
         assert r.score == pytest.approx(want[r.doc_id][4], rel=1e-6)
+
+
+def test_input_in_another_order_at_each_read(spark):
+    """Scores belong to their documents though a read of the input gives its rows in another order than the read before."""
+    rows = mixed_rows()
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], SCHEMA).withColumn("turn", F.rand()).orderBy("turn").drop("turn")
+    shaken = df.mapInPandas(lambda parts: (p.sample(frac=1) for p in parts), df.schema)
+    want = brute(rows)[0]
+    for r in katz.score(shaken, chunk_bytes=2000).collect():
+        assert (r.n_tokens, r.score) == (want[r.doc_id][0], pytest.approx(want[r.doc_id][4], rel=1e-6))
