@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chronoweave.llm import textops
 from chronoweave.llm.language import fold
-from chronoweave.llm.staging import read_table, stage
+from chronoweave.llm.staging import read_table, release, stage
 from chronoweave.llm.textops import U, mix, words_of
 
 ORDER = 3
@@ -49,7 +49,7 @@ HASH_BITS = 56
 START, END = U(0x51515151515151), U(0xE0E0E0E0E0E0E0)
 CUT, LEAST, MOST = 5, 0.1, 0.95
 CHUNK_BYTES = 8 << 20
-BUCKET_TOKENS = 1 << 22
+BUCKET_TOKENS = 1 << 21
 #: At most so many parts of histories are put together again on the driver, whatever the input.
 PARTS = 1 << 16
 FOLDS = 10
@@ -148,8 +148,8 @@ def _chunk(size: int):
             one = lambda x, t: pa.array([x], t)
             whole = lambda c: pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(c))
             yield pa.RecordBatch.from_arrays(
-                [one((part << 24) + i, pa.int64()), one(0, pa.int32()), one(0, pa.int32()), whole("doc_id"), whole("held_out"), one(len(tokens), pa.int64()), one(int(train.sum()), pa.int64()), one(int(sizes[train].sum()), pa.int64()), one(pack(words[order], small(rank[at]), small(sizes)), pa.binary())],
-                names=["chunk", "kind", "part", "ids", "held", "tokens", "train", "train_tokens", "blob"],
+                [one((part << 24) + i, pa.int64()), whole("doc_id"), whole("held_out"), one(len(tokens), pa.int64()), one(int(train.sum()), pa.int64()), one(int(sizes[train].sum()), pa.int64()), one(pack(words[order], small(rank[at]), small(sizes)), pa.binary())],
+                names=["chunk", "ids", "held", "tokens", "train", "train_tokens", "blob"],
             )
 
     return run
@@ -161,14 +161,14 @@ def _hash(code: np.ndarray, part=U(0)) -> np.ndarray:
 
 @dataclass
 class Learnt:
-    """What all chunks know. total, docs: training tokens and documents. buckets: by order. most: training tokens of a part
+    """What all chunks know. total, docs: training tokens and documents. buckets: of each order. most: training tokens of a part
     of a history. free: what words never seen share. lost: discounts, by order. splits: by order, the routes of the
     parts of histories that have several, with how many n-grams each saw 1 .. CUT + 1 times and the sum of their words'
     lower probabilities."""
 
     total: int
     docs: int
-    buckets: list[int]
+    buckets: int
     most: int
     free: float = 1.0
     lost: list[np.ndarray] = field(default_factory=list)
@@ -189,57 +189,84 @@ class _Grams:
     def __init__(self, lower: _Grams | None, tokens: np.ndarray, words: np.ndarray, first: np.ndarray, train: np.ndarray, learnt: Learnt):
         self.lower, self.words = lower, words
         if lower is None:
-            self.of, self.word, self.hist = tokens.astype(np.int64), np.arange(len(words)), np.zeros(len(words), np.int64)
+            self.of, self.word, self.hist = tokens, np.arange(len(words), dtype=np.int32), np.zeros(len(words), np.int32)
             self.code, self.start = words, START
             self.known = np.full(len(words), learnt.total)
         else:
             before = np.empty(len(tokens), np.int64)
             before[1:] = lower.of[:-1]
             before[first] = len(lower.code)
-            keys, self.of = np.unique(before * len(words) + tokens, return_inverse=True)
-            self.hist, self.word = keys // len(words), keys % len(words)
-            self.below = np.empty(len(keys), np.int64)
+            before *= len(words)
+            before += tokens
+            keys, of = np.unique(before, return_inverse=True)
+            del before
+            self.of = of.astype(np.int32)
+            self.hist, self.word = (x.astype(np.int32) for x in np.divmod(keys, len(words)))
+            del keys, of
+            self.below = np.empty(len(self.hist), np.int32)
             self.below[self.of] = lower.of
             self.start = lower.start + U(1)
             self.code = mix(np.append(lower.code, lower.start)[self.hist] * _STEP + words[self.word])
             self.known = np.append(lower.count, learnt.docs)[self.hist]
-        self.own = np.bincount(self.of, weights=train, minlength=len(self.code)).astype(np.int64)
+        self.own = np.bincount(self.of[train], minlength=len(self.code))
 
     def route(self, learnt: Learnt, buckets: int) -> None:
-        """Which n-grams are sent, and where: sent, their numbers in order; begins, where each part of a history begins among
-        them, routes its hash, split whether there are several; edges and runs: where each bucket begins among sent and begins."""
+        """Which n-grams are sent, and where.
+
+        stays: n-grams of histories that no other chunk has or training never
+        saw. Of the others those of which the n-gram without its first word is
+        in this chunk alone can't be elsewhere either; where they are unseen or
+        seen once, their part of a history has only their number (ones) and
+        whether there are unseen ones (wants). held: the others' numbers in the
+        order of their parts of histories; begins, where each part begins among
+        them, routes its hash, split whether the history has several; sent: the
+        n-grams sent, lengths how many a part has; edges and runs: where each
+        bucket begins among sent and among the parts.
+        """
         if self.lower is None:
-            stays, self.parts, route = np.zeros(len(self.code), bool), np.ones(len(self.code), np.int64), _hash(self.code)
+            self.stays, self.parts = np.zeros(len(self.code), bool), np.ones(len(self.code), np.int64)
+            route, here = _hash(self.code), self.stays
         else:
-            stays = (self.known == 0) | np.append(self.lower.sole, False)[self.hist]
+            self.stays = (self.known == 0) | np.append(self.lower.sole, False)[self.hist]
             self.parts = np.maximum(-(-self.known // learnt.most), 1)
             part = mix(self.words[self.word]) % self.parts.astype(U)
             route = _hash(np.append(self.lower.code, self.lower.start)[self.hist], part)
-        self.stays, sent = stays, np.flatnonzero(~stays)
-        self.sent = sent[np.argsort(route[sent], kind="stable")]
-        ordered = route[self.sent]
-        self.begins = _starts(ordered)
-        self.routes = ordered[self.begins]
-        self.split = self.parts[self.sent[self.begins]] > 1
-        bucket = ((ordered >> U(HASH_BITS - 32)) * U(buckets) >> U(32)).astype(np.int64)
-        self.edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        self.runs = np.searchsorted(self.begins, self.edges)
+            here = self.lower.sole[self.below] & (self.own == np.minimum(self.lower.count[self.below], 1)) & (self.own < 2)
+            here &= self.lower.count[self.below] < 2
+        held = np.flatnonzero(~self.stays)
+        held = held[np.argsort(route[held], kind="stable")]
+        ordered = route[held]
+        begins = _starts(ordered)
+        self.routes, leaders, here = ordered[begins], held[begins], here[held]
+        self.leaders, self.split = leaders, self.parts[leaders] > 1
+        add = lambda x: np.add.reduceat(x, begins, dtype=np.int64) if len(begins) else np.empty(0, np.int64)
+        self.sent, self.lengths = held[~here], add(~here)
+        self.ones, self.wants = add(here & (self.own[held] > 0)), add(here & (self.own[held] == 0)) > 0
+        bucket = ((self.routes >> U(HASH_BITS - 32)) * U(buckets) >> U(32)).astype(np.int64)
+        self.runs = np.searchsorted(bucket, np.arange(buckets + 1))
+        self.edges = np.concatenate([[0], np.cumsum(self.lengths)])[self.runs]
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
-        """(bucket, blob): routes and lengths of its parts of histories, whether split, the denominator below; the n-grams'
-        last words, own counts and numerators below."""
-        lengths = np.diff(np.append(self.begins, len(self.sent)))
+        """(bucket, blob): of its parts of histories the routes, lengths, ones, bits (1: split, 2: wants) and denominators below;
+        of the n-grams the last words, own counts and numerators below."""
         own = self.own[self.sent]
+        bits = self.split.astype(np.uint8) + 2 * self.wants.astype(np.uint8)
         if self.lower is None:
-            under, over, word = np.zeros(len(self.sent), np.int64), np.zeros(len(self.begins), np.int64), np.zeros(len(self.sent), U)
+            under, over, word = np.zeros(len(self.sent), np.int64), np.zeros(len(self.leaders), np.int64), np.zeros(len(self.sent), U)
         else:
             below = self.below[self.sent]
-            under, over = np.where(own > 0, self.lower.count[below], 0), self.lower.known[below[self.begins]]
+            under, over = np.where(own > 0, self.lower.count[below], 0), self.lower.known[self.below[self.leaders]]
             word = self.words[self.word[self.sent]]
-        for b in np.flatnonzero(np.diff(self.edges)).tolist():
+        for b in np.flatnonzero(np.diff(self.runs)).tolist():
             mine, runs = slice(self.edges[b], self.edges[b + 1]), slice(self.runs[b], self.runs[b + 1])
             names, at = np.unique(word[mine], return_inverse=True)
-            yield b, pack(gaps(self.routes[runs]), small(lengths[runs]), self.split[runs].view(np.uint8), small(over[runs]), gaps(names), small(at), small(own[mine]), small(under[mine]))
+            yield b, pack(gaps(self.routes[runs]), small(self.lengths[runs]), small(self.ones[runs]), bits[runs], small(over[runs]), gaps(names), small(at), small(own[mine]), small(under[mine]))
+
+    def unsent(self) -> np.ndarray:
+        """How many of the training n-grams that are not sent stand how often."""
+        own = self.own.copy()
+        own[self.sent] = 0
+        return _seen_times(own)
 
     def answered(self, answers: dict[int, bytes], order: int, learnt: Learnt) -> None:
         self.count, self.sole = self.own.copy(), self.known > 0
@@ -255,48 +282,47 @@ class _Grams:
         low = self.lower.p[self.below]
         asks = ~seen & (self.known > 0)
         self.p[~seen] = low[~seen]
-        if not asks.any():
-            return
-        size = len(self.lower.code) + 1
-        stay = self.stays & seen
-        freed, taken = (np.bincount(self.hist[stay], weights=x[stay], minlength=size).astype(np.float64) for x in (lost[np.minimum(self.count, CUT + 1)], low))
-        for b, x in got:
-            mine = self.hist[self.sent[self.begins[x[2].astype(np.int64) + self.runs[b]]]]
-            freed[mine] = sum(x[2 + r] * lost[r] for r in range(1, CUT + 2))
-            taken[mine] = x[CUT + 4]
-        many = np.flatnonzero(asks & (self.parts > 1))
-        if len(many):
-            routes, times, sums = learnt.splits[order]
-            mine, one = np.unique(self.hist[many], return_index=True)
-            parts = self.parts[many[one]]
-            part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            owner = np.repeat(mine, parts)
-            wanted = _hash(np.append(self.lower.code, self.lower.start)[owner], part.astype(U))
-            i = np.minimum(np.searchsorted(routes, wanted), max(len(routes) - 1, 0))
-            ok = routes[i] == wanted if len(routes) else np.zeros(len(wanted), bool)
-            freed += np.bincount(owner[ok], weights=times[i[ok]] @ lost[1:], minlength=size)
-            taken += np.bincount(owner[ok], weights=sums[i[ok]], minlength=size)
-        at = self.hist[asks]
-        self.p[asks] *= freed[at] / self.known[asks] / np.maximum(1 - taken[at], 1e-300)
-
-
-def _climb(table: pa.Table, order: int, learnt: Learnt) -> tuple[int, _Grams, np.ndarray, list[_Grams]]:
-    """Row of the chunk's documents, its n-grams of that order, each document's first token, and all orders' n-grams."""
-    kinds, parts, blobs = (table.column(c).to_pylist() for c in ("kind", "part", "blob"))
-    row = kinds.index(0)
-    words, tokens, sizes = unpack(blobs[row])
-    tokens, sizes = tokens.astype(np.int64), sizes.astype(np.int64)
+        if asks.any():
+            size = len(self.lower.code) + 1
+            stay = self.stays & seen
+            freed, taken = (np.bincount(self.hist[stay], weights=x[stay], minlength=size).astype(np.float64) for x in (lost[np.minimum(self.count, CUT + 1)], low))
+            for b, x in got:
+                mine = self.hist[self.leaders[x[2].astype(np.int64) + self.runs[b]]]
+                freed[mine] = sum(x[2 + r] * lost[r] for r in range(1, CUT + 2))
+                taken[mine] = x[CUT + 4]
+            many = np.flatnonzero(asks & (self.parts > 1))
+            if len(many):
+                routes, times, sums = learnt.splits[order]
+                mine, one = np.unique(self.hist[many], return_index=True)
+                parts = self.parts[many[one]]
+                part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                owner = np.repeat(mine, parts)
+                wanted = _hash(np.append(self.lower.code, self.lower.start)[owner], part.astype(U))
+                i = np.minimum(np.searchsorted(routes, wanted), max(len(routes) - 1, 0))
+                ok = routes[i] == wanted if len(routes) else np.zeros(len(wanted), bool)
+                freed += np.bincount(owner[ok], weights=times[i[ok]] @ lost[1:], minlength=size)
+                taken += np.bincount(owner[ok], weights=sums[i[ok]], minlength=size)
+            at = self.hist[asks]
+            self.p[asks] *= freed[at] / self.known[asks] / np.maximum(1 - taken[at], 1e-300)
+        for name in ("stays", "parts", "routes", "leaders", "split", "sent", "lengths", "ones", "wants"):
+            delattr(self, name)
+
+
+def _climb(chunk: pa.Table, answers: pa.Table | None, order: int, learnt: Learnt) -> tuple[np.ndarray, list[_Grams]]:
+    """Each document's first token, and the chunk's n-grams of all orders up to that one."""
+    words, tokens, sizes = unpack(chunk.column("blob")[0].as_py())
+    tokens, sizes = tokens.astype(np.int32), sizes.astype(np.int64)
     first = np.cumsum(sizes) - sizes
-    held = table.column("held")[row].values.to_numpy(zero_copy_only=False).astype(bool)
-    train = np.repeat(~held, sizes)
+    train = np.repeat(~chunk.column("held")[0].values.to_numpy(zero_copy_only=False).astype(bool), sizes)
+    rows = [] if answers is None else list(zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "blob")), strict=True))
     found: list[_Grams] = []
     for k in range(1, order + 1):
         grams = _Grams(found[-1] if found else None, tokens, words, first, train, learnt)
-        grams.route(learnt, learnt.buckets[k])
+        grams.route(learnt, learnt.buckets)
         found.append(grams)
         if k < len(learnt.lost):
-            grams.answered({p: b for p, b, kind in zip(parts, blobs, kinds, strict=True) if kind == k}, k, learnt)
-    return row, found[-1], first, found
+            grams.answered({p: b for kind, p, b in rows if kind == k}, k, learnt)
+    return first, found
 
 
 REQUESTS = "bucket int, chunk long, blob binary, n array<long>"
@@ -304,18 +330,27 @@ ANSWERS = "chunk long, kind int, part int, blob binary, n array<long>, split arr
 
 
 def _ask(order: int, learnt):
-    def run(table: pa.Table) -> pa.Table:
+    def ask(chunk: pa.Table, answers: pa.Table | None = None) -> pa.Table:
         s: Learnt = learnt.value
-        chunk = table.column("chunk")[0].as_py()
-        grams = _climb(table, order, s)[1]
-        rows = list(grams.requests())
-        stay = _seen_times(grams.own[grams.stays])
-        rows.append((-1 - chunk % s.buckets[order], None))
+        name = chunk.column("chunk")[0].as_py()
+        grams = _climb(chunk, answers, order, s)[1][-1]
+        rows = [*grams.requests(), (-1 - name % s.buckets, None)]
         return pa.table({
-            "bucket": pa.array([b for b, _ in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int64()),
-            "blob": pa.array([x for _, x in rows], pa.binary()), "n": pa.array([None] * (len(rows) - 1) + [stay.tolist()], pa.list_(pa.int64())),
+            "bucket": pa.array([b for b, _ in rows], pa.int32()), "chunk": pa.array([name] * len(rows), pa.int64()),
+            "blob": pa.array([x for _, x in rows], pa.binary()), "n": pa.array([None] * (len(rows) - 1) + [grams.unsent().tolist()], pa.list_(pa.int64())),
         })
 
+    return ask
+
+
+def _ask_first(learnt):
+    ask = _ask(1, learnt)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from ask(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
+
     return run
 
 
@@ -333,36 +368,40 @@ def _add_up(order: int, learnt):
         if bucket < 0:
             return answer([{"kind": order, "part": bucket, "n": np.sum(table.column("n").to_pylist(), axis=0).tolist(), "split": []}])
         chunks, parts = table.column("chunk").to_pylist(), [unpack(x) for x in table.column("blob").to_pylist()]
-        lengths = [p[1].astype(np.int64) for p in parts]
-        routes = [np.cumsum(p[0].astype(U), dtype=U) for p in parts]
-        route = np.concatenate([np.repeat(r, n) for r, n in zip(routes, lengths, strict=True)])
-        over = np.concatenate([np.repeat(p[3].astype(np.float64), n) for p, n in zip(parts, lengths, strict=True)])
-        word = np.concatenate([np.cumsum(p[4].astype(U), dtype=U)[p[5]] for p in parts])
-        own, under = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in (6, 7))
-        low = np.where(under > 0, less(under, s.lost[order - 1]) / np.maximum(over, 1), 0.0) if order > 1 else np.zeros(len(own))
-        by = np.lexsort((word, route))
-        route, word = route[by], word[by]
-        begins = np.flatnonzero(np.concatenate([[True], (route[1:] != route[:-1]) | (word[1:] != word[:-1])]))
-        at = np.empty(len(by), np.int64)
-        at[by] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(by))))
-        count, low = np.add.reduceat(own[by], begins), np.maximum.reduceat(low[by], begins)
-        sole = np.diff(np.append(begins, len(by))) == 1
-        route = route[begins]
-        first = _starts(route)
-        names, history = route[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(route))))
+        lengths, routes = [p[1].astype(np.int64) for p in parts], [np.cumsum(p[0], dtype=U) for p in parts]
+        names, run_at = np.unique(np.concatenate(routes), return_inverse=True)
+        run_at = np.split(run_at, np.cumsum([len(r) for r in routes])[:-1])
+        over, ones = np.zeros(len(names)), np.zeros(len(names), np.int64)
+        for p, at in zip(parts, run_at, strict=True):
+            over[at] = np.maximum(p[4], 1)
+            ones[at] += p[2]
+        route = np.concatenate([np.repeat(at.astype(np.int32), n) for at, n in zip(run_at, lengths, strict=True)])
+        words, word = np.unique(np.concatenate([np.cumsum(p[5], dtype=U) for p in parts]), return_inverse=True)
+        word = np.split(word.astype(np.int32), np.cumsum([len(p[5]) for p in parts])[:-1])
+        word = np.concatenate([w[p[6]] for w, p in zip(word, parts, strict=True)])
+        key = route.astype(np.int64) * max(1, len(words)) + word
+        del route, word
+        own, under = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (7, 8))
+        types, at = np.unique(key, return_inverse=True)
+        del key
+        count, many = np.bincount(at, weights=own, minlength=len(types)).astype(np.int64), np.bincount(at, minlength=len(types))
+        low = np.zeros(len(types), np.int64)
+        np.maximum.at(low, at, under)
+        history = types // max(1, len(words))
+        chance = np.where(low > 0, less(low, s.lost[order - 1]), 0.0) / over[history]
         times = np.stack([np.bincount(history[np.minimum(count, CUT + 1) == r], minlength=len(names)) for r in range(1, CUT + 2)])
-        sums = np.bincount(history, weights=np.where(count > 0, low, 0), minlength=len(names))
+        times[0] += ones
+        sums = np.bincount(history, weights=np.where(count > 0, chance, 0), minlength=len(names)) + ones * (1 - s.lost[order - 1][1]) / np.maximum(over, 1)
         out, begin = [], 0
-        several = np.unique(np.concatenate([r[p[2] > 0] for r, p in zip(routes, parts, strict=True)]))
-        for chunk, own_routes, p, n in zip(chunks, routes, parts, lengths, strict=True):
+        for chunk, r, p, n in zip(chunks, run_at, parts, lengths, strict=True):
             mine = at[begin : begin + int(n.sum())]
             begin += len(mine)
             c = count[mine]
-            asked = np.flatnonzero((np.bincount(np.repeat(np.arange(len(n)), n)[c == 0], minlength=len(n)) > 0) & (p[2] == 0)) if order > 1 else np.empty(0, np.int64)
-            i = np.searchsorted(names, own_routes[asked])
-            out.append({"chunk": chunk, "kind": order, "part": bucket, "blob": pack(small(c), sole[mine].view(np.uint8), small(asked), *(small(x) for x in times[:, i]), sums[i])})
-        i = np.searchsorted(names, several)
-        split = [{"route": int(r), "n": t, "low": x} for r, t, x in zip(several.tolist(), times[:, i].T.tolist(), sums[i].tolist(), strict=True)]
+            unseen = (np.bincount(np.repeat(np.arange(len(n)), n)[c == 0], minlength=len(n)) > 0) | (p[3] & 2 > 0)
+            asked = np.flatnonzero(unseen & (p[3] & 1 == 0)) if order > 1 else np.empty(0, np.int64)
+            out.append({"chunk": chunk, "kind": order, "part": bucket, "blob": pack(small(c), (many[mine] == 1).view(np.uint8), small(asked), *(small(x) for x in times[:, r[asked]]), sums[r[asked]])})
+        several = np.unique(np.concatenate([r[p[3] & 1 > 0] for r, p in zip(run_at, parts, strict=True)]))
+        split = [{"route": int(x), "n": t, "low": y} for x, t, y in zip(names[several].tolist(), times[:, several].T.tolist(), sums[several].tolist(), strict=True)]
         out.append({"kind": order, "part": bucket, "n": _seen_times(count).tolist(), "split": split})
         return answer(out)
 
@@ -370,16 +409,15 @@ def _add_up(order: int, learnt):
 
 
 def _evaluate(order: int, types: int, learnt):
-    def run(table: pa.Table) -> pa.Table:
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         s: Learnt = learnt.value
-        row, last, first, found = _climb(table, order, s)
-        one = found[0]
+        first, found = _climb(chunk, answers, order, s)
+        one, last = found[0], found[-1]
         total = lambda x, g: np.add.reduceat(x[g.of], first)
         base = np.log10((one.count + 0.1) / (s.total + 0.1 * (types + 1)))
-        n = len(first)
         return pa.table({
-            "doc_id": table.column("ids")[row].values, "held_out": table.column("held")[row].values, "n_tokens": pa.array(np.diff(np.append(first, len(one.of)))), "n_known": pa.array(total((one.count > 0).astype(np.int64), one)),
-            "train_tokens": pa.array(np.full(n, s.total, np.int64)), "base_score": pa.array(total(base, one)), "score": pa.array(total(np.log10(last.p), last)),
+            "doc_id": chunk.column("ids")[0].values, "held_out": chunk.column("held")[0].values, "n_tokens": pa.array(np.diff(np.append(first, len(one.of)))), "n_known": pa.array(total((one.count > 0).astype(np.int64), one)),
+            "train_tokens": pa.array(np.full(len(first), s.total, np.int64)), "base_score": pa.array(total(base, one)), "score": pa.array(total(np.log10(last.p), last)),
         })
 
     return run
@@ -404,16 +442,17 @@ def score(docs: DataFrame, held_out=None, order: int = ORDER, chunk_bytes: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = (fold("doc_id", FOLDS) == 0) if held_out is None else held_out
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    chunks = stage(text.mapInArrow(_chunk(chunk_bytes), f"chunk long, kind int, part int, ids array<{kind}>, held array<boolean>, tokens long, train long, train_tokens long, blob binary"), "chunks")
+    chunks = text.mapInArrow(_chunk(chunk_bytes), f"chunk long, ids array<{kind}>, held array<boolean>, tokens long, train long, train_tokens long, blob binary")
+    chunks = stage(chunks, "chunks", by="chunk")
     size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "train", "train_tokens")]).first()
-    buckets = [max(sc.defaultParallelism, -(-size.tokens // bucket_tokens))] * (order + 1)
+    buckets = max(sc.defaultParallelism, -(-size.tokens // bucket_tokens))
     learnt = Learnt(size.train_tokens, size.train, buckets, max(bucket_tokens // 8, size.train_tokens // PARTS, 1), lost=[np.zeros(CUT + 2)], splits=[None])
-    known = chunks.select("chunk", "kind", "part", "ids", "held", "blob")
-    types = 0
+    own, answers, types = chunks.select("chunk", "ids", "held", "blob"), None, 0
     for k in range(1, order + 1):
         now = sc.broadcast(learnt)
-        asked = known.groupBy("chunk").applyInArrow(_ask(k, now), REQUESTS)
+        asked = own.mapInArrow(_ask_first(now), REQUESTS) if k == 1 else _with(own, answers).applyInArrow(_ask(k, now), REQUESTS)
         counts = stage(asked.groupBy("bucket").applyInArrow(_add_up(k, now), ANSWERS), "ngrams")
+        del asked
         sums = counts.where("blob IS NULL").select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
         n = np.zeros(CUT + 3, np.int64)
         for r in sums:
@@ -425,9 +464,16 @@ def score(docs: DataFrame, held_out=None, order: int = ORDER, chunk_bytes: int =
         split = sorted((r.route, r.n, r.low) for r in counts.where("blob IS NULL").select(F.inline("split")).collect())
         arrays = (np.array([x[0] for x in split], np.int64).astype(U), np.array([x[1] for x in split], np.float64).reshape(-1, CUT + 1), np.array([x[2] for x in split], np.float64))
         learnt = replace(learnt, lost=[*learnt.lost, lost], splits=[*learnt.splits, arrays])
-        known = known.unionByName(counts.where("blob IS NOT NULL").select("chunk", "kind", "part", "blob"), allowMissingColumns=True)
+        counts = counts.where("blob IS NOT NULL").select("chunk", "kind", "part", "blob")
+        answers = counts if answers is None else answers.unionAll(counts)
+        release(spark)
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return known.groupBy("chunk").applyInArrow(_evaluate(order, types, sc.broadcast(learnt)), out)
+    return _with(own, answers).applyInArrow(_evaluate(order, types, sc.broadcast(learnt)), out)
+
+
+def _with(chunks: DataFrame, answers: DataFrame):
+    """Each chunk with the answers to it. The chunks' table is bucketed by chunk, so only the answers move."""
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -9,14 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chronoweave.llm.staging import read_table
+from chronoweave.llm.staging import read_table, spare
 from chronoweave.llm.textops import sub_batches
 
 #: Bounds of the labelled sample that a language learns from: so many slices of so many characters.
 SLICES, SLICE_CHARS = 64, 256
+#: Texts are parsed in blocks of so many symbols at a time, and phrases go on from block to block.
 BLOCK = 512
-SYMBOLS = 64
+#: A label is held to be wrong if another language's normalised phrases are this share fewer.
+CONFIDENT = 0.1
 UNKNOWN = "und"
+_CODES = 0x110000
 
 
 def fold(doc_id: str, n: int) -> Column:
@@ -25,45 +28,77 @@ def fold(doc_id: str, n: int) -> Column:
 
 @dataclass
 class Model:
-    """languages: names by code point. symbol: symbol of each code unit below 65536, 0 for what is no letter, 1 for letters
-    not learnt. moves[language, state, symbol]: next state, 0 where the text read so far goes on in no learnt text; 1 is the start."""
+    """languages: names by code point. symbol: symbol of each code point, 0 for what is no letter, 1 for letters that no
+    language showed, however many others there are. base, check, to: all languages' transitions, row by row in one
+    vector: state s goes on with symbol c to to[base[s] + c] if check[base[s] + c] is s. starts: the languages' first
+    states. learnt: the symbols that each language learnt from."""
 
     languages: list[str]
     symbol: np.ndarray
-    moves: np.ndarray
+    base: np.ndarray
+    check: np.ndarray
+    to: np.ndarray
+    starts: np.ndarray
+    learnt: np.ndarray
 
 
-def _automaton(text: list[int]) -> np.ndarray:
-    """The transitions of the suffix automaton of a sequence of symbols; state 1 is the start."""
-    size = 2 * len(text) + 2
-    moves = np.zeros((size, SYMBOLS), np.uint16)
-    link, length, last, count = [0] * size, [0] * size, 1, 2
-    nxt: list[dict[int, int]] = [{} for _ in range(size)]
+def automaton(text: list[int]) -> list[dict[int, int]]:
+    """The transitions of the suffix automaton of a sequence of symbols, by state; state 0 is the start."""
+    link, length, last = [-1], [0], 0
+    nxt: list[dict[int, int]] = [{}]
     for c in text:
-        new, count = count, count + 1
-        length[new] = length[last] + 1
+        new = len(nxt)
+        nxt.append({}), length.append(length[last] + 1), link.append(0)
         p = last
-        while p and c not in nxt[p]:
+        while p >= 0 and c not in nxt[p]:
             nxt[p][c] = new
             p = link[p]
-        if not p:
-            link[new] = 1
-        else:
+        if p >= 0:
             q = nxt[p][c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                copy, count = count, count + 1
-                length[copy], link[copy], nxt[copy] = length[p] + 1, link[q], dict(nxt[q])
-                while p and nxt[p].get(c) == q:
+                copy = len(nxt)
+                nxt.append(dict(nxt[q])), length.append(length[p] + 1), link.append(link[q])
+                while p >= 0 and nxt[p].get(c) == q:
                     nxt[p][c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    for state in range(1, count):
-        for c, to in nxt[state].items():
-            moves[state, c] = to
-    return moves[:count]
+    return nxt
+
+
+def lay_out(automata: list[list[dict[int, int]]], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """base, check, to and starts of a Model: rows of transitions laid over each other where they leave gaps, the fullest first."""
+    starts = np.cumsum([1, *map(len, automata)])
+    rows = [(starts[a] + s, starts[a], own) for a, found in enumerate(automata) for s, own in enumerate(found) if own]
+    rows.sort(key=lambda r: (-len(r[2]), r[0]))
+    slots = sum(len(r[2]) for r in rows)
+    check = np.zeros(slots + 2 * symbols + 2, np.int64)
+    base, to, free = np.zeros(int(starts[-1]), np.int64), np.zeros_like(check), symbols
+    used = bytearray(len(check))
+    size = hint = 0
+    for state, first, own in rows:
+        codes = sorted(own)
+        while used[free]:
+            free += 1
+        spot = free if len(own) != size or size == 1 else max(free, hint)  # rows of one size follow each other
+        while True:
+            if spot - codes[0] + codes[-1] >= len(used):
+                more = len(used)
+                used += bytearray(more)
+                check, to = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (check, to))
+            if not used[spot] and not any(used[spot - codes[0] + c] for c in codes):
+                break
+            spot += 1
+        size, hint = len(own), spot
+        base[state] = spot - codes[0]
+        for c in codes:
+            at = spot - codes[0] + c
+            used[at], check[at], to[at] = 1, state, first + own[c]
+    end = int(max(np.flatnonzero(check), default=0)) + symbols + 1
+    check, to = (np.concatenate([x, np.zeros(max(0, end - len(x)), np.int64)])[:end].astype(np.int32) for x in (check, to))
+    return base.astype(np.int32), check, to, starts[:-1].astype(np.int64)
 
 
 def learn(docs: DataFrame) -> Model:
@@ -77,115 +112,146 @@ def learn(docs: DataFrame) -> Model:
     rows = df.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= SLICES).collect()
     pieces: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.nth)):
-        pieces.setdefault(r.lang, []).append(r.piece.lower())
-    often: dict[str, int] = {}
-    for own in pieces.values():
-        for x in "".join(own):
-            if x.isalpha() and ord(x) < 65536:
-                often[x] = often.get(x, 0) + 1
-    letters = {x: i + 2 for i, x in enumerate(sorted(sorted(often), key=lambda x: -often[x])[: SYMBOLS - 2])}
-    symbol = np.zeros(65536, np.uint8)
-    for code in range(65536):
+        pieces.setdefault(r.lang, []).append(r.piece)
+    return model_of({name: "\n".join(own) for name, own in pieces.items()})
+
+
+def model_of(texts: dict[str, str]) -> Model:
+    """From a text of each language."""
+    languages = sorted(texts)
+    letters = {x: i + 2 for i, x in enumerate(sorted({_folded(x) for t in texts.values() for x in set(t) if x.isalpha()}))}
+    symbol = np.zeros(_CODES, np.uint16 if len(letters) < 65534 else np.int32)
+    for code in range(_CODES):
         x = chr(code)
         if x.isalpha():
-            symbol[code] = letters.get(x.lower()[:1], 1)
-    languages = sorted(pieces)
-    tables = []
-    for name in languages:
-        text = _symbols("\n".join(pieces[name]), symbol)[0]
-        tables.append(_automaton([x for x in text.tolist() if x != 1]))
-    moves = np.zeros((len(tables), max([2, *map(len, tables)]), SYMBOLS), np.uint16)
-    for i, t in enumerate(tables):
-        moves[i, : len(t)] = t
-    return Model(languages, symbol, moves)
-
-
-def _symbols(text: str, symbol: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Letters as symbols, runs of anything else as one 0; whether there is a letter. Letters beyond 65535 count as not learnt."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    out = symbol[np.minimum(codes, 65535)]
-    if len(codes) and codes.max() > 65535:
-        for i in np.flatnonzero(codes > 65535):
-            out[i] = chr(codes[i]).isalpha()
-    has = bool(out.any())
+            symbol[code] = letters.get(_folded(x), 1)
+    learnt = [symbols_of(texts[name], symbol)[0].tolist() for name in languages]
+    base, check, to, starts = lay_out([automaton(x) for x in learnt], len(letters) + 2)
+    return Model(languages, symbol, base, check, to, starts, np.array([len(x) for x in learnt], np.int64))
+
+
+def _folded(x: str) -> str:
+    return x.lower()[:1]
+
+
+def symbols_of(text: str, symbol: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Letters as symbols, runs of anything else as one 0; whether there is a letter."""
+    out = symbol[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
     keep = out > 0
+    has = bool(keep.any())
     keep[1:] |= out[:-1] > 0
     return out[keep], has
 
 
-def phrases(texts: list[np.ndarray], moves: np.ndarray) -> np.ndarray:
+def phrases(texts: list[np.ndarray], m: Model) -> np.ndarray:
     """The number of phrases of each text (rows) in each language.
 
     A phrase is the longest match from where the last one ended, or one symbol
-    that the language never showed. Texts are parsed in blocks of BLOCK
-    symbols, all blocks of a batch and all languages in step.
+    that the language never showed. All blocks of all texts are first parsed in
+    step, each as if a phrase began with it. Then, block by block of each text,
+    the phrase that comes from the block before is carried on until it ends
+    where the block's own parse ends one; from there on both are the same.
     """
-    languages = len(moves)
-    blocks, owner = [], []
-    for d, t in enumerate(texts):
-        for i in range(0, len(t), BLOCK):
-            blocks.append(t[i : i + BLOCK])
-            owner.append(d)
-    out = np.zeros((len(texts), languages), np.int64)
-    if not blocks or not languages:
-        return out
-    sizes = np.array([len(b) for b in blocks])
-    order = np.argsort(-sizes, kind="stable")
-    sizes = sizes[order]
-    width = int(sizes[0])
-    grid = np.zeros((width, len(blocks)), np.uint8)
-    for col, b in enumerate(order):
-        grid[: len(blocks[b]), col] = blocks[b]
-    flat = moves.reshape(-1)
-    base = (np.arange(languages, dtype=np.int64) * moves.shape[1])[:, None]
-    start = (base + 1) * SYMBOLS
-    state = np.zeros((languages, len(blocks)), np.int64)
-    count = np.zeros((languages, len(blocks)), np.int64)
-    active = np.searchsorted(-sizes, -np.arange(width), side="left")  # blocks longer than the step
-    for step in range(width):
-        n = int(active[step])
-        c = grid[step, :n].astype(np.int64)
-        to = flat[(base + state[:, :n]) * SYMBOLS + c]
-        ended = to == 0
-        count[:, :n] += ended
-        state[:, :n] = np.where(ended, flat[start + c], to)
-    np.add.at(out, np.array(owner)[order], count.T)
+    out = np.zeros((len(texts), len(m.languages)), np.int64)
+    for i, start in enumerate(m.starts):
+        out[:, i] = _phrases(texts, m, int(start))
     return out
 
 
+def _phrases(texts: list[np.ndarray], m: Model, start: int) -> np.ndarray:
+    count = np.zeros(len(texts), np.int64)
+    sizes = np.array([len(t) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), -(-sizes // BLOCK))
+    if not len(owner):
+        return count
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    lengths = np.minimum(sizes[owner] - nth * BLOCK, BLOCK)
+    order = np.argsort(-lengths, kind="stable")
+    owner, nth, lengths = owner[order], nth[order], lengths[order]
+    grid = np.zeros((int(lengths[0]), len(owner)), m.symbol.dtype)
+    for col, (d, k, n) in enumerate(zip(owner.tolist(), nth.tolist(), lengths.tolist(), strict=True)):
+        grid[:n, col] = texts[d][k * BLOCK : k * BLOCK + n]
+
+    def step(state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase begins. State 0 goes on with nothing."""
+        at = m.base[state] + c
+        begins = (m.check[at] != state) | (state == 0)
+        again = m.base[start] + c[begins]
+        to = m.to[at]
+        to[begins] = np.where(m.check[again] == start, m.to[again], 0)
+        return to, begins
+
+    state = np.zeros(len(owner), np.int32)
+    marks = np.zeros(grid.shape, bool)
+    active = np.searchsorted(-lengths, -np.arange(len(grid)), side="left")  # blocks longer than the step
+    for i, n in enumerate(active.tolist()):
+        state[:n], marks[i, :n] = step(state[:n], grid[i, :n].astype(np.int32))
+    total = marks.sum(0)
+    np.add.at(count, owner[nth == 0], total[nth == 0])
+    place = {(d, k): col for col, (d, k) in enumerate(zip(owner.tolist(), nth.tolist(), strict=True))} if nth.any() else {}
+    for k in range(1, int(nth.max()) + 1):
+        cols = np.flatnonzero(nth == k)
+        carried = state[[place[d, k - 1] for d in owner[cols].tolist()]]
+        own, i = total[cols].astype(np.int64), 0
+        while len(cols) and i < len(grid):
+            # those whose blocks end here stay with the carried state, as their last phrase goes on
+            ended = lengths[cols] <= i
+            if ended.any():
+                np.add.at(count, owner[cols[ended]], own[ended])
+                state[cols[ended]] = carried[ended]
+                cols, carried, own = cols[~ended], carried[~ended], own[~ended]
+                continue
+            carried, begins = step(carried, grid[i, cols].astype(np.int32))
+            own += begins.astype(np.int64) - marks[i, cols]
+            met = begins & marks[i, cols]
+            np.add.at(count, owner[cols[met]], own[met])
+            cols, carried, own = cols[~met], carried[~met], own[~met]
+            i += 1
+        np.add.at(count, owner[cols], own)
+        state[cols] = carried
+    return count
+
+
+def normalised(counts: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+    """Phrases by the bits that one costs: a language that learnt from little has short matches, and cheap ones."""
+    return counts * np.log2(learnt + 2.0)
+
+
 def _identifier(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         names = np.array(m.languages, object)
         for batch in sub_batches(batches):
-            found = [_symbols(t or "", m.symbol) for t in batch.column("text").to_pylist()]
-            counts = phrases([x for x, _ in found], m.moves)
+            found = [symbols_of(t or "", m.symbol) for t in batch.column("text").to_pylist()]
+            costs = normalised(phrases([x for x, _ in found], m), m.learnt)
             pred, score = [], []
-            for (_, letters), c in zip(found, counts, strict=True):
+            for (_, letters), c in zip(found, costs, strict=True):
                 if not letters or not len(names):
                     pred.append(UNKNOWN), score.append(0.0)
                     continue
                 order = np.argsort(c, kind="stable")
                 pred.append(names[order[0]])
-                score.append(1.0 if len(c) == 1 else float(1 - c[order[0]] / max(1, c[order[1]])))
+                score.append(1.0 if len(c) == 1 else float(1 - c[order[0]] / max(1e-9, c[order[1]])))
             arrays = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "__lang_pred", "__score"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return run
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __lang_pred and __score. The prediction reads text alone.
-
-    Phrases are compared per symbol of the same text, so the fewest win; ties
-    go to the language first by code point. score: 1 less the ratio of the
-    fewest phrases to the next fewest. Null text and text without a letter is
-    'und' with score 0, as is everything if nothing was learnt. Repeated rows,
-    null ids and other columns pass; an empty table gives no rows.
+    """docs with columns for the predicted language and its score at the end, under names that docs hasn't (spare()).
+
+    The prediction reads text alone, whole, however long. The fewest phrases
+    win, each weighed by log2 of the symbols that the language learnt from;
+    ties go to the language first by code point. score: 1 less the ratio of
+    the least cost to the next. Null text and text without a letter is 'und'
+    with score 0, as is everything if nothing was learnt. Repeated rows, null
+    ids and other columns pass; an empty table gives no rows.
     """
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
+    names = [spare(docs, "lang_pred"), spare(docs, "score")]
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(_identifier(docs.sparkSession.sparkContext.broadcast(model)), schema)
 
 
@@ -194,13 +260,16 @@ def predict(docs: DataFrame, learn_from: Column | None = None) -> DataFrame:
     held_out = fold("doc_id", 3) == 1
     model = learn(docs.where(~held_out if learn_from is None else learn_from))
     found = identify(docs.select("doc_id", F.col("text").cast("string").alias("text")), model)
-    return found.select("doc_id", held_out.alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language is 'und'."""
+def keep_identified(docs: DataFrame, confident: float = CONFIDENT) -> DataFrame:
+    """docs without the rows whose language is 'und', and without those whose label is a learnt language other than the
+    predicted one while the prediction's score reaches confident."""
     model = learn(docs.where(fold("doc_id", 3) != 1))
-    return identify(docs, model).where(F.col("__lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    pred, score = (F.col(f"`{spare(docs, c)}`") for c in ("lang_pred", "score"))
+    wrong = F.col("lang").isin(model.languages) & (F.col("lang") != pred) & (score >= confident)
+    return identify(docs, model).where((pred != UNKNOWN) & ~F.coalesce(wrong, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -22,15 +22,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again."""
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again.
+
+    With by, as a table bucketed by that column into as many buckets as there
+    are shuffle partitions: what groups or joins by it reads it without a shuffle.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    name = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
     if not _WRITTEN:
         atexit.register(_remove)
     _WRITTEN.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if by is None:
+        writer.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = name.replace("-", "_")
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of results that nothing refers to any more; it does so when the driver's JVM collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def _remove() -> None:
@@ -44,5 +59,13 @@ def _remove() -> None:
             return
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
