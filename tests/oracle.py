@@ -1,5 +1,7 @@
 """Comparison of a DataFrame with DuckDB's rows for the same SQL."""
 
+import os
+
 import duckdb
 
 SMALL = "/root/testdata/sf0.001"
@@ -10,10 +12,11 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-def same_rows(df, sql, folder):
+def same_rows(df, sql, folder, tables=TABLES):
     con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    for t in tables:
+        files = f"{folder}/{t}.parquet" + ("/*.parquet" if os.path.isdir(f"{folder}/{t}.parquet") else "")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{files}'")
     rel = con.sql(sql)
     names = sorted(df.columns)
     assert names == sorted(rel.columns)
