@@ -46,7 +46,7 @@ from chronoweave.llm.textops import U, mix, words_of
 ORDER = 3
 #: Words and histories are known by so many bits of their hash.
 HASH_BITS = 56
-START, END = U(0x51515151515151), U(0xE0E0E0E0E0E0E0)
+END = U(0xE0E0E0E0E0E0E0)
 CUT, LEAST, MOST = 5, 0.1, 0.95
 CHUNK_BYTES = 8 << 20
 BUCKET_TOKENS = 1 << 21
@@ -155,16 +155,12 @@ def _chunk(size: int):
     return run
 
 
-def _hash(code: np.ndarray, part=U(0)) -> np.ndarray:
-    return mix(code ^ (part * _STEP)) >> U(64 - HASH_BITS)
-
-
 @dataclass
 class Learnt:
-    """What all chunks know. total, docs: training tokens and documents. buckets: of each order. most: training tokens of a part
-    of a history. free: what words never seen share. lost: discounts, by order. splits: by order, the routes of the
-    parts of histories that have several, with how many n-grams each saw 1 .. CUT + 1 times and the sum of their words'
-    lower probabilities."""
+    """What all chunks know. total, docs: training tokens and documents. buckets: of each order. most: training tokens of a
+    part of a history. free: what words never seen share. By order: lost, discounts; places, the number of distinct n-grams
+    in all buckets before each; splits, the histories that have several parts, with how many n-grams each saw 1 .. CUT + 1
+    times and the sum of their words' lower probabilities."""
 
     total: int
     docs: int
@@ -172,30 +168,35 @@ class Learnt:
     most: int
     free: float = 1.0
     lost: list[np.ndarray] = field(default_factory=list)
+    places: list[np.ndarray] = field(default_factory=list)
     splits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
 
+def _sums(at: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, weights=weights, minlength=size).astype(np.float64)
+
+
 class _Grams:
     """The distinct n-grams of a chunk, of one order.
 
     of: the n-gram at each token. hist, word, below: numbers of its history
     (that of START after all others), its last word, and the n-gram without
-    its first word. code: hash; start: that of as many STARTs. own: training
-    count in the chunk. known: training count of the history. Once answered,
-    count: training count; sole: whether no other chunk has it; p: the
-    probability of the last word after the history.
+    its first word. own: training count in the chunk. known: training count of
+    the history. Once answered, count: training count; sole: whether no other
+    chunk has it; number: its place among all n-grams of the order, if it was
+    sent; p: the probability of the last word after the history. Words stand
+    in the order of their hashes, which is that of their numbers too.
     """
 
     def __init__(self, lower: _Grams | None, tokens: np.ndarray, words: np.ndarray, first: np.ndarray, train: np.ndarray, learnt: Learnt):
-        self.lower, self.words = lower, words
+        self.lower, self.words, self.one = lower, words, self if lower is None else lower.one
         if lower is None:
             self.of, self.word, self.hist = tokens, np.arange(len(words), dtype=np.int32), np.zeros(len(words), np.int32)
-            self.code, self.start = words, START
             self.known = np.full(len(words), learnt.total)
         else:
             before = np.empty(len(tokens), np.int64)
             before[1:] = lower.of[:-1]
-            before[first] = len(lower.code)
+            before[first] = len(lower.count)
             before *= len(words)
             before += tokens
             keys, of = np.unique(before, return_inverse=True)
@@ -205,62 +206,64 @@ class _Grams:
             del keys, of
             self.below = np.empty(len(self.hist), np.int32)
             self.below[self.of] = lower.of
-            self.start = lower.start + U(1)
-            self.code = mix(np.append(lower.code, lower.start)[self.hist] * _STEP + words[self.word])
             self.known = np.append(lower.count, learnt.docs)[self.hist]
-        self.own = np.bincount(self.of[train], minlength=len(self.code))
+        self.own = np.bincount(self.of[train], minlength=len(self.hist))
 
-    def route(self, learnt: Learnt, buckets: int) -> None:
+    def route(self, order: int, learnt: Learnt) -> None:
         """Which n-grams are sent, and where.
 
         stays: n-grams of histories that no other chunk has or training never
         saw. Of the others those of which the n-gram without its first word is
         in this chunk alone can't be elsewhere either; where they are unseen or
-        seen once, their part of a history has only their number (ones) and
-        whether there are unseen ones (wants). held: the others' numbers in the
-        order of their parts of histories; begins, where each part begins among
-        them, routes its hash, split whether the history has several; sent: the
-        n-grams sent, lengths how many a part has; edges and runs: where each
-        bucket begins among sent and among the parts.
+        seen once, a bucket is told their number (ones) and whether there are
+        unseen ones (wants). The others are sent, by bucket and history: the
+        histories' numbers (names), first n-grams (leaders), how many of their
+        n-grams are sent (lengths), whether they are dealt to several buckets
+        (split); edges and runs: where each bucket begins among sent and names.
         """
+        buckets = learnt.buckets
         if self.lower is None:
-            self.stays, self.parts = np.zeros(len(self.code), bool), np.ones(len(self.code), np.int64)
-            route, here = _hash(self.code), self.stays
-        else:
-            self.stays = (self.known == 0) | np.append(self.lower.sole, False)[self.hist]
-            self.parts = np.maximum(-(-self.known // learnt.most), 1)
-            part = mix(self.words[self.word]) % self.parts.astype(U)
-            route = _hash(np.append(self.lower.code, self.lower.start)[self.hist], part)
-            here = self.lower.sole[self.below] & (self.own == np.minimum(self.lower.count[self.below], 1)) & (self.own < 2)
-            here &= self.lower.count[self.below] < 2
+            self.stays, self.parts = np.zeros(len(self.words), bool), np.ones(len(self.words), np.int64)
+            self.sent = np.arange(len(self.words))
+            self.edges = np.searchsorted((self.words >> U(HASH_BITS - 32)) * U(buckets) >> U(32), np.arange(buckets + 1).astype(U))
+            return
+        self.stays = (self.known == 0) | np.append(self.lower.sole, False)[self.hist]
+        self.parts = np.maximum(-(-self.known // learnt.most), 1)
         held = np.flatnonzero(~self.stays)
-        held = held[np.argsort(route[held], kind="stable")]
-        ordered = route[held]
-        begins = _starts(ordered)
-        self.routes, leaders, here = ordered[begins], held[begins], here[held]
-        self.leaders, self.split = leaders, self.parts[leaders] > 1
+        name = np.append(self.lower.number, learnt.places[order - 1][-1])[self.hist[held]]
+        part = mix(self.words[self.word[held]]) % self.parts[held].astype(U)
+        key = (mix(name.astype(U) ^ (part * _STEP)) % U(buckets)).astype(np.int64) << 44 | name
+        order = np.argsort(key, kind="stable")
+        held, key = held[order], key[order]
+        begins = _starts(key)
+        seen = self.lower.count[self.below[held]]
+        here = self.lower.sole[self.below[held]] & (seen < 2) & (self.own[held] == seen)
         add = lambda x: np.add.reduceat(x, begins, dtype=np.int64) if len(begins) else np.empty(0, np.int64)
+        self.leaders, self.names = held[begins], key[begins] & (1 << 44) - 1
+        self.split = self.parts[self.leaders] > 1
         self.sent, self.lengths = held[~here], add(~here)
         self.ones, self.wants = add(here & (self.own[held] > 0)), add(here & (self.own[held] == 0)) > 0
-        bucket = ((self.routes >> U(HASH_BITS - 32)) * U(buckets) >> U(32)).astype(np.int64)
-        self.runs = np.searchsorted(bucket, np.arange(buckets + 1))
+        self.runs = np.searchsorted(key[begins] >> 44, np.arange(buckets + 1))
         self.edges = np.concatenate([[0], np.cumsum(self.lengths)])[self.runs]
 
-    def requests(self) -> Iterator[tuple[int, bytes]]:
-        """(bucket, blob): of its parts of histories the routes, lengths, ones, bits (1: split, 2: wants) and denominators below;
-        of the n-grams the last words, own counts and numerators below."""
+    def requests(self, order: int) -> Iterator[tuple[int, bytes]]:
+        """(bucket, blob): the n-grams' own counts and, of words, their hashes; else also their words and the lower counts of what
+        they mean without the first word, and, of histories, names, lengths, ones, bits (1: split, 2: wants) and lower counts."""
         own = self.own[self.sent]
-        bits = self.split.astype(np.uint8) + 2 * self.wants.astype(np.uint8)
         if self.lower is None:
-            under, over, word = np.zeros(len(self.sent), np.int64), np.zeros(len(self.leaders), np.int64), np.zeros(len(self.sent), U)
-        else:
-            below = self.below[self.sent]
-            under, over = np.where(own > 0, self.lower.count[below], 0), self.lower.known[self.below[self.leaders]]
-            word = self.words[self.word[self.sent]]
+            for b in np.flatnonzero(np.diff(self.edges)).tolist():
+                mine = slice(self.edges[b], self.edges[b + 1])
+                yield b, pack(small(own[mine]), gaps(self.words[mine]))
+            return
+        bits = self.split.astype(np.uint8) + 2 * self.wants.astype(np.uint8)
+        word = self.word[self.sent]
+        if order > 2:
+            under, over = np.where(own > 0, self.lower.count[self.below[self.sent]], 0), self.lower.known[self.below[self.leaders]]
         for b in np.flatnonzero(np.diff(self.runs)).tolist():
             mine, runs = slice(self.edges[b], self.edges[b + 1]), slice(self.runs[b], self.runs[b + 1])
-            names, at = np.unique(word[mine], return_inverse=True)
-            yield b, pack(gaps(self.routes[runs]), small(self.lengths[runs]), small(self.ones[runs]), bits[runs], small(over[runs]), gaps(names), small(at), small(own[mine]), small(under[mine]))
+            words, at = np.unique(word[mine], return_inverse=True)
+            lower = (self.one.count[words], np.zeros(0, np.int64)) if order == 2 else (under[mine], over[runs])
+            yield b, pack(small(own[mine]), small(gaps(self.one.number[words])), small(at), small(lower[0]), small(gaps(self.names[runs])), small(self.lengths[runs]), small(self.ones[runs]), bits[runs], small(lower[1]))
 
     def unsent(self) -> np.ndarray:
         """How many of the training n-grams that are not sent stand how often."""
@@ -269,12 +272,13 @@ class _Grams:
         return _seen_times(own)
 
     def answered(self, answers: dict[int, bytes], order: int, learnt: Learnt) -> None:
-        self.count, self.sole = self.own.copy(), self.known > 0
+        self.count, self.sole, self.number = self.own.copy(), self.known > 0, np.full(len(self.own), -1)
         lost = learnt.lost[order]
         got = [(b, unpack(answers[b])) for b in sorted(answers)]
         if got:
             self.count[self.sent] = np.concatenate([x[0] for _, x in got])
             self.sole[self.sent] = np.concatenate([x[1] for _, x in got]).astype(bool)
+            self.number[self.sent] = np.concatenate([np.cumsum(x[2], dtype=np.int64) + learnt.places[order][b] for b, x in got])
         seen = self.count > 0
         self.p = np.where(seen, less(self.count, lost) / np.maximum(self.known, 1), learnt.free)
         if self.lower is None:
@@ -283,42 +287,38 @@ class _Grams:
         asks = ~seen & (self.known > 0)
         self.p[~seen] = low[~seen]
         if asks.any():
-            size = len(self.lower.code) + 1
+            size = len(self.lower.count) + 1
             stay = self.stays & seen
-            freed, taken = (np.bincount(self.hist[stay], weights=x[stay], minlength=size).astype(np.float64) for x in (lost[np.minimum(self.count, CUT + 1)], low))
+            freed, taken = (_sums(self.hist[stay], x[stay], size) for x in (lost[np.minimum(self.count, CUT + 1)], low))
             for b, x in got:
-                mine = self.hist[self.leaders[x[2].astype(np.int64) + self.runs[b]]]
-                freed[mine] = sum(x[2 + r] * lost[r] for r in range(1, CUT + 2))
-                taken[mine] = x[CUT + 4]
-            many = np.flatnonzero(asks & (self.parts > 1))
+                mine = self.hist[self.leaders[x[3].astype(np.int64) + self.runs[b]]]
+                freed[mine] = sum(x[3 + r] * lost[r] for r in range(1, CUT + 2))
+                taken[mine] = x[CUT + 5]
+            many = np.unique(self.hist[asks & (self.parts > 1)])
             if len(many):
-                routes, times, sums = learnt.splits[order]
-                mine, one = np.unique(self.hist[many], return_index=True)
-                parts = self.parts[many[one]]
-                part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-                owner = np.repeat(mine, parts)
-                wanted = _hash(np.append(self.lower.code, self.lower.start)[owner], part.astype(U))
-                i = np.minimum(np.searchsorted(routes, wanted), max(len(routes) - 1, 0))
-                ok = routes[i] == wanted if len(routes) else np.zeros(len(wanted), bool)
-                freed += np.bincount(owner[ok], weights=times[i[ok]] @ lost[1:], minlength=size)
-                taken += np.bincount(owner[ok], weights=sums[i[ok]], minlength=size)
+                names, times, sums = learnt.splits[order]
+                at = np.searchsorted(names, np.append(self.lower.number, learnt.places[order - 1][-1])[many])
+                freed[many], taken[many] = times[at] @ lost[1:], sums[at]
             at = self.hist[asks]
             self.p[asks] *= freed[at] / self.known[asks] / np.maximum(1 - taken[at], 1e-300)
-        for name in ("stays", "parts", "routes", "leaders", "split", "sent", "lengths", "ones", "wants"):
-            delattr(self, name)
+        for name in ("stays", "parts", "leaders", "names", "split", "sent", "lengths", "ones", "wants"):
+            self.__dict__.pop(name, None)
 
 
 def _climb(chunk: pa.Table, answers: pa.Table | None, order: int, learnt: Learnt) -> tuple[np.ndarray, list[_Grams]]:
     """Each document's first token, and the chunk's n-grams of all orders up to that one."""
     words, tokens, sizes = unpack(chunk.column("blob")[0].as_py())
-    tokens, sizes = tokens.astype(np.int32), sizes.astype(np.int64)
+    by_hash = np.argsort(words)
+    rank = np.empty(len(words), np.int32)
+    rank[by_hash] = np.arange(len(words))
+    words, tokens, sizes = words[by_hash], rank[tokens], sizes.astype(np.int64)
     first = np.cumsum(sizes) - sizes
     train = np.repeat(~chunk.column("held")[0].values.to_numpy(zero_copy_only=False).astype(bool), sizes)
     rows = [] if answers is None else list(zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "blob")), strict=True))
     found: list[_Grams] = []
     for k in range(1, order + 1):
         grams = _Grams(found[-1] if found else None, tokens, words, first, train, learnt)
-        grams.route(learnt, learnt.buckets)
+        grams.route(k, learnt)
         found.append(grams)
         if k < len(learnt.lost):
             grams.answered({p: b for kind, p, b in rows if kind == k}, k, learnt)
@@ -326,7 +326,7 @@ def _climb(chunk: pa.Table, answers: pa.Table | None, order: int, learnt: Learnt
 
 
 REQUESTS = "bucket int, chunk long, blob binary, n array<long>"
-ANSWERS = "chunk long, kind int, part int, blob binary, n array<long>, split array<struct<route:long,n:array<long>,low:double>>"
+ANSWERS = "chunk long, kind int, part int, blob binary, types long, n array<long>, split array<struct<name:long,n:array<long>,low:double>>"
 
 
 def _ask(order: int, learnt):
@@ -334,7 +334,7 @@ def _ask(order: int, learnt):
         s: Learnt = learnt.value
         name = chunk.column("chunk")[0].as_py()
         grams = _climb(chunk, answers, order, s)[1][-1]
-        rows = [*grams.requests(), (-1 - name % s.buckets, None)]
+        rows = [*grams.requests(order), (-1 - name % s.buckets, None)]
         return pa.table({
             "bucket": pa.array([b for b, _ in rows], pa.int32()), "chunk": pa.array([name] * len(rows), pa.int64()),
             "blob": pa.array([x for _, x in rows], pa.binary()), "n": pa.array([None] * (len(rows) - 1) + [grams.unsent().tolist()], pa.list_(pa.int64())),
@@ -354,55 +354,63 @@ def _ask_first(learnt):
     return run
 
 
+def _joint(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct values of some arrays, and the places of each array's among them."""
+    names, at = np.unique(np.concatenate(parts), return_inverse=True)
+    return names, np.split(at.astype(np.int32), np.cumsum([len(x) for x in parts])[:-1])
+
+
 def _add_up(order: int, learnt):
-    """Counts of a bucket's n-grams, answered to its chunks; a last row with the numbers of n-grams by count and the split histories' sums."""
+    """Counts of a bucket's n-grams, answered to its chunks; a last row with the numbers of n-grams, also by count, and the split histories' sums."""
 
     def answer(rows: list[dict]) -> pa.Table:
-        part = pa.struct([("route", pa.int64()), ("n", pa.list_(pa.int64())), ("low", pa.float64())])
-        schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary()), ("n", pa.list_(pa.int64())), ("split", pa.list_(part))])
+        part = pa.struct([("name", pa.int64()), ("n", pa.list_(pa.int64())), ("low", pa.float64())])
+        schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary()), ("types", pa.int64()), ("n", pa.list_(pa.int64())), ("split", pa.list_(part))])
         return pa.Table.from_pylist(rows, schema=schema)
 
     def run(table: pa.Table) -> pa.Table:
         s: Learnt = learnt.value
         bucket = table.column("bucket")[0].as_py()
         if bucket < 0:
-            return answer([{"kind": order, "part": bucket, "n": np.sum(table.column("n").to_pylist(), axis=0).tolist(), "split": []}])
+            return answer([{"kind": order, "part": bucket, "types": 0, "n": np.sum(table.column("n").to_pylist(), axis=0).tolist(), "split": []}])
         chunks, parts = table.column("chunk").to_pylist(), [unpack(x) for x in table.column("blob").to_pylist()]
-        lengths, routes = [p[1].astype(np.int64) for p in parts], [np.cumsum(p[0], dtype=U) for p in parts]
-        names, run_at = np.unique(np.concatenate(routes), return_inverse=True)
-        run_at = np.split(run_at, np.cumsum([len(r) for r in routes])[:-1])
-        over, ones = np.zeros(len(names)), np.zeros(len(names), np.int64)
-        for p, at in zip(parts, run_at, strict=True):
-            over[at] = np.maximum(p[4], 1)
-            ones[at] += p[2]
-        route = np.concatenate([np.repeat(at.astype(np.int32), n) for at, n in zip(run_at, lengths, strict=True)])
-        words, word = np.unique(np.concatenate([np.cumsum(p[5], dtype=U) for p in parts]), return_inverse=True)
-        word = np.split(word.astype(np.int32), np.cumsum([len(p[5]) for p in parts])[:-1])
-        word = np.concatenate([w[p[6]] for w, p in zip(word, parts, strict=True)])
-        key = route.astype(np.int64) * max(1, len(words)) + word
-        del route, word
-        own, under = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (7, 8))
-        types, at = np.unique(key, return_inverse=True)
-        del key
+        words, word = _joint([np.cumsum(p[1], dtype=U) for p in parts])
+        own = np.concatenate([p[0] for p in parts]).astype(np.int64)
+        if order == 1:
+            types, at = words, np.concatenate(word)
+        else:
+            names, run_at = _joint([np.cumsum(p[4], dtype=np.int64) for p in parts])
+            lengths = [p[5].astype(np.int64) for p in parts]
+            key = np.concatenate([np.repeat(r, n) for r, n in zip(run_at, lengths, strict=True)]).astype(np.int64) * max(1, len(words))
+            key += np.concatenate([w[p[2]] for w, p in zip(word, parts, strict=True)])
+            types, at = np.unique(key, return_inverse=True)
+            del key
         count, many = np.bincount(at, weights=own, minlength=len(types)).astype(np.int64), np.bincount(at, minlength=len(types))
-        low = np.zeros(len(types), np.int64)
-        np.maximum.at(low, at, under)
-        history = types // max(1, len(words))
-        chance = np.where(low > 0, less(low, s.lost[order - 1]), 0.0) / over[history]
-        times = np.stack([np.bincount(history[np.minimum(count, CUT + 1) == r], minlength=len(names)) for r in range(1, CUT + 2)])
-        times[0] += ones
-        sums = np.bincount(history, weights=np.where(count > 0, chance, 0), minlength=len(names)) + ones * (1 - s.lost[order - 1][1]) / np.maximum(over, 1)
+        split: list[dict] = []
+        if order > 1:
+            history, lost = types // max(1, len(words)), s.lost[order - 1]
+            over, ones, low = np.full(len(names), s.total if order == 2 else 1), np.zeros(len(names), np.int64), np.zeros(len(types), np.int64)
+            np.maximum.at(low, at, np.concatenate([p[3][p[2]] if order == 2 else p[3] for p in parts]).astype(np.int64))
+            for p, r in zip(parts, run_at, strict=True):
+                ones[r] += p[6]
+                if order > 2:
+                    over[r] = np.maximum(p[8], 1)
+            times = np.stack([np.bincount(history[np.minimum(count, CUT + 1) == r], minlength=len(names)) for r in range(1, CUT + 2)])
+            times[0] += ones
+            sums = _sums(history, np.where(count > 0, less(low, lost), 0) / over[history], len(names)) + ones * (1 - lost[1]) / over
+            several = np.unique(np.concatenate([r[p[7] & 1 > 0] for r, p in zip(run_at, parts, strict=True)]))
+            split = [{"name": int(x), "n": t, "low": y} for x, t, y in zip(names[several].tolist(), times[:, several].T.tolist(), sums[several].tolist(), strict=True)]
         out, begin = [], 0
-        for chunk, r, p, n in zip(chunks, run_at, parts, lengths, strict=True):
-            mine = at[begin : begin + int(n.sum())]
+        for i, p in enumerate(parts):
+            mine = at[begin : begin + len(p[0])]
             begin += len(mine)
-            c = count[mine]
-            unseen = (np.bincount(np.repeat(np.arange(len(n)), n)[c == 0], minlength=len(n)) > 0) | (p[3] & 2 > 0)
-            asked = np.flatnonzero(unseen & (p[3] & 1 == 0)) if order > 1 else np.empty(0, np.int64)
-            out.append({"chunk": chunk, "kind": order, "part": bucket, "blob": pack(small(c), (many[mine] == 1).view(np.uint8), small(asked), *(small(x) for x in times[:, r[asked]]), sums[r[asked]])})
-        several = np.unique(np.concatenate([r[p[3] & 1 > 0] for r, p in zip(run_at, parts, strict=True)]))
-        split = [{"route": int(x), "n": t, "low": y} for x, t, y in zip(names[several].tolist(), times[:, several].T.tolist(), sums[several].tolist(), strict=True)]
-        out.append({"kind": order, "part": bucket, "n": _seen_times(count).tolist(), "split": split})
+            c, more = count[mine], ()
+            if order > 1:
+                unseen = (np.bincount(np.repeat(np.arange(len(lengths[i])), lengths[i])[c == 0], minlength=len(lengths[i])) > 0) | (p[7] & 2 > 0)
+                asked = np.flatnonzero(unseen & (p[7] & 1 == 0))
+                more = (small(asked), *(small(x) for x in times[:, run_at[i][asked]]), sums[run_at[i][asked]])
+            out.append({"chunk": chunks[i], "kind": order, "part": bucket, "blob": pack(small(c), (many[mine] == 1).view(np.uint8), small(gaps(mine.astype(np.int64))), *more)})
+        out.append({"kind": order, "part": bucket, "types": len(types), "n": _seen_times(count).tolist(), "split": split})
         return answer(out)
 
     return run
@@ -446,24 +454,24 @@ def score(docs: DataFrame, held_out=None, order: int = ORDER, chunk_bytes: int =
     chunks = stage(chunks, "chunks", by="chunk")
     size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "train", "train_tokens")]).first()
     buckets = max(sc.defaultParallelism, -(-size.tokens // bucket_tokens))
-    learnt = Learnt(size.train_tokens, size.train, buckets, max(bucket_tokens // 8, size.train_tokens // PARTS, 1), lost=[np.zeros(CUT + 2)], splits=[None])
+    learnt = Learnt(size.train_tokens, size.train, buckets, max(bucket_tokens // 8, size.train_tokens // PARTS, 1), lost=[np.zeros(CUT + 2)], places=[None], splits=[None])
     own, answers, types = chunks.select("chunk", "ids", "held", "blob"), None, 0
     for k in range(1, order + 1):
         now = sc.broadcast(learnt)
         asked = own.mapInArrow(_ask_first(now), REQUESTS) if k == 1 else _with(own, answers).applyInArrow(_ask(k, now), REQUESTS)
         counts = stage(asked.groupBy("bucket").applyInArrow(_add_up(k, now), ANSWERS), "ngrams")
         del asked
-        sums = counts.where("blob IS NULL").select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
+        facts = counts.where("blob IS NULL")
         n = np.zeros(CUT + 3, np.int64)
-        for r in sums:
+        for r in facts.select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect():
             n[r.r] = r.n
-        lost = discounts(n)
+        lost, sizes = discounts(n), np.zeros(buckets, np.int64)
+        for r in facts.where("part >= 0").select("part", "types").collect():
+            sizes[r.part] = r.types
         if k == 1:
             types = int(n[1:].sum())
             learnt.free = float((n[1 : CUT + 2] * lost[1:]).sum() + n[CUT + 2] * lost[CUT + 1]) / learnt.total if learnt.total else 1.0
-        split = sorted((r.route, r.n, r.low) for r in counts.where("blob IS NULL").select(F.inline("split")).collect())
-        arrays = (np.array([x[0] for x in split], np.int64).astype(U), np.array([x[1] for x in split], np.float64).reshape(-1, CUT + 1), np.array([x[2] for x in split], np.float64))
-        learnt = replace(learnt, lost=[*learnt.lost, lost], splits=[*learnt.splits, arrays])
+        learnt = replace(learnt, lost=[*learnt.lost, lost], places=[*learnt.places, np.concatenate([[0], np.cumsum(sizes)])], splits=[*learnt.splits, _splits(facts)])
         counts = counts.where("blob IS NOT NULL").select("chunk", "kind", "part", "blob")
         answers = counts if answers is None else answers.unionAll(counts)
         release(spark)
@@ -471,6 +479,16 @@ def score(docs: DataFrame, held_out=None, order: int = ORDER, chunk_bytes: int =
     return _with(own, answers).applyInArrow(_evaluate(order, types, sc.broadcast(learnt)), out)
 
 
+def _splits(facts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, counts and sums of the histories that several buckets have, of all buckets together: 2 * PARTS rows at most."""
+    found: dict[int, tuple[np.ndarray, float]] = {}
+    for r in facts.select(F.inline("split")).collect():
+        n, low = found.get(r.name, (0, 0.0))
+        found[r.name] = (n + np.array(r.n), low + r.low)
+    names = sorted(found)
+    return np.array(names, np.int64), np.array([found[x][0] for x in names], np.float64).reshape(-1, CUT + 1), np.array([found[x][1] for x in names], np.float64)
+
+
 def _with(chunks: DataFrame, answers: DataFrame):
     """Each chunk with the answers to it. The chunks' table is bucketed by chunk, so only the answers move."""
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))

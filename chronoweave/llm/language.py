@@ -16,6 +16,7 @@ from chronoweave.llm.textops import sub_batches
 SLICES, SLICE_CHARS = 64, 256
 #: Texts are parsed in blocks of so many symbols at a time, and phrases go on from block to block.
 BLOCK = 512
+LITERAL = 256
 #: A label is held to be wrong if another language's normalised phrases are this share fewer.
 CONFIDENT = 0.1
 UNKNOWN = "und"
@@ -29,16 +30,15 @@ def fold(doc_id: str, n: int) -> Column:
 @dataclass
 class Model:
     """languages: names by code point. symbol: symbol of each code point, 0 for what is no letter, 1 for letters that no
-    language showed, however many others there are. base, check, to: all languages' transitions, row by row in one
-    vector: state s goes on with symbol c to to[base[s] + c] if check[base[s] + c] is s. starts: the languages' first
-    states. learnt: the symbols that each language learnt from."""
+    language showed, however many others there are. Of each language: moves, the automaton's transitions, row by row in
+    one vector, a state being the place where its row begins: state s goes on with symbol c to the low half of
+    moves[s + c] if the high half is s; first: where its start goes on with each symbol. 0 is no state. learnt: the
+    number of symbols that the language learnt from."""
 
     languages: list[str]
     symbol: np.ndarray
-    base: np.ndarray
-    check: np.ndarray
-    to: np.ndarray
-    starts: np.ndarray
+    moves: list[np.ndarray]
+    first: list[np.ndarray]
     learnt: np.ndarray
 
 
@@ -68,37 +68,35 @@ def automaton(text: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-def lay_out(automata: list[list[dict[int, int]]], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """base, check, to and starts of a Model: rows of transitions laid over each other where they leave gaps, the fullest first."""
-    starts = np.cumsum([1, *map(len, automata)])
-    rows = [(starts[a] + s, starts[a], own) for a, found in enumerate(automata) for s, own in enumerate(found) if own]
-    rows.sort(key=lambda r: (-len(r[2]), r[0]))
-    slots = sum(len(r[2]) for r in rows)
-    check = np.zeros(slots + 2 * symbols + 2, np.int64)
-    base, to, free = np.zeros(int(starts[-1]), np.int64), np.zeros_like(check), symbols
-    used = bytearray(len(check))
-    size = hint = 0
-    for state, first, own in rows:
-        codes = sorted(own)
-        while used[free]:
+def lay_out(found: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """moves and first of a Model, from an automaton: rows of transitions laid over each other where they leave gaps, the
+    fullest first, no two at one place. States that go nowhere are all state 1."""
+    rows = sorted((s for s, own in enumerate(found) if own), key=lambda s: (-len(found[s]), s))
+    used = bytearray(sum(map(len, found)) + 2 * symbols + 2)
+    place, taken, free, size, hint = [1] * len(found), {0, 1}, symbols, 0, 0
+    for state in rows:
+        codes = sorted(found[state])
+        while free < len(used) and used[free]:
             free += 1
-        spot = free if len(own) != size or size == 1 else max(free, hint)  # rows of one size follow each other
+        spot = free if len(codes) != size else max(free, hint)  # rows of one size follow each other
         while True:
-            if spot - codes[0] + codes[-1] >= len(used):
-                more = len(used)
-                used += bytearray(more)
-                check, to = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (check, to))
-            if not used[spot] and not any(used[spot - codes[0] + c] for c in codes):
+            while spot + symbols >= len(used):
+                used += bytearray(len(used))
+            if not used[spot] and spot - codes[0] not in taken and not any(used[spot - codes[0] + c] for c in codes):
                 break
             spot += 1
-        size, hint = len(own), spot
-        base[state] = spot - codes[0]
+        size, hint, place[state] = len(codes), spot, spot - codes[0]
+        taken.add(place[state])
         for c in codes:
-            at = spot - codes[0] + c
-            used[at], check[at], to[at] = 1, state, first + own[c]
-    end = int(max(np.flatnonzero(check), default=0)) + symbols + 1
-    check, to = (np.concatenate([x, np.zeros(max(0, end - len(x)), np.int64)])[:end].astype(np.int32) for x in (check, to))
-    return base.astype(np.int32), check, to, starts[:-1].astype(np.int64)
+            used[place[state] + c] = 1
+    moves = np.full(max(place) + symbols, -1, np.int64)
+    for state in rows:
+        for c, to in found[state].items():
+            moves[place[state] + c] = place[state] << 32 | place[to]
+    first = np.zeros(symbols, np.int64)
+    for c, to in found[0].items():
+        first[c] = place[to]
+    return moves, first
 
 
 def learn(docs: DataFrame) -> Model:
@@ -126,8 +124,8 @@ def model_of(texts: dict[str, str]) -> Model:
         if x.isalpha():
             symbol[code] = letters.get(_folded(x), 1)
     learnt = [symbols_of(texts[name], symbol)[0].tolist() for name in languages]
-    base, check, to, starts = lay_out([automaton(x) for x in learnt], len(letters) + 2)
-    return Model(languages, symbol, base, check, to, starts, np.array([len(x) for x in learnt], np.int64))
+    laid = [lay_out(automaton(x), len(letters) + 2) for x in learnt]
+    return Model(languages, symbol, [x for x, _ in laid], [x for _, x in laid], np.array([len(x) for x in learnt], np.int64))
 
 
 def _folded(x: str) -> str:
@@ -153,71 +151,64 @@ def phrases(texts: list[np.ndarray], m: Model) -> np.ndarray:
     where the block's own parse ends one; from there on both are the same.
     """
     out = np.zeros((len(texts), len(m.languages)), np.int64)
-    for i, start in enumerate(m.starts):
-        out[:, i] = _phrases(texts, m, int(start))
-    return out
-
-
-def _phrases(texts: list[np.ndarray], m: Model, start: int) -> np.ndarray:
-    count = np.zeros(len(texts), np.int64)
     sizes = np.array([len(t) for t in texts])
     owner = np.repeat(np.arange(len(texts)), -(-sizes // BLOCK))
     if not len(owner):
-        return count
+        return out
     nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
     lengths = np.minimum(sizes[owner] - nth * BLOCK, BLOCK)
     order = np.argsort(-lengths, kind="stable")
     owner, nth, lengths = owner[order], nth[order], lengths[order]
-    grid = np.zeros((int(lengths[0]), len(owner)), m.symbol.dtype)
+    grid = np.zeros((int(lengths[0]), len(owner)), np.int64)
     for col, (d, k, n) in enumerate(zip(owner.tolist(), nth.tolist(), lengths.tolist(), strict=True)):
         grid[:n, col] = texts[d][k * BLOCK : k * BLOCK + n]
+    before = np.full(len(owner), -1)
+    if nth.any():
+        place = {(d, k): col for col, (d, k) in enumerate(zip(owner.tolist(), nth.tolist(), strict=True))}
+        before = np.array([place.get((d, k - 1), -1) for d, k in zip(owner.tolist(), nth.tolist(), strict=True)])
+    for i in range(len(m.languages)):
+        np.add.at(out[:, i], owner, _parse(grid, lengths, nth, before, m.moves[i], m.first[i]))
+    return out
+
+
+def _parse(grid: np.ndarray, lengths: np.ndarray, nth: np.ndarray, before: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The phrases that begin in each block; lengths fall, nth is a block's place in its text, before the block before it."""
 
     def step(state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next states, and where a phrase begins. State 0 goes on with nothing."""
-        at = m.base[state] + c
-        begins = (m.check[at] != state) | (state == 0)
-        again = m.base[start] + c[begins]
-        to = m.to[at]
-        to[begins] = np.where(m.check[again] == start, m.to[again], 0)
-        return to, begins
-
-    state = np.zeros(len(owner), np.int32)
+        """The next states, and where a phrase begins."""
+        move = moves.take(state + c)
+        begins = move >> 32 != state
+        return np.where(begins, first.take(c), move & 0xFFFFFFFF), begins
+
+    state = np.zeros(len(lengths), np.int64)
     marks = np.zeros(grid.shape, bool)
-    active = np.searchsorted(-lengths, -np.arange(len(grid)), side="left")  # blocks longer than the step
-    for i, n in enumerate(active.tolist()):
-        state[:n], marks[i, :n] = step(state[:n], grid[i, :n].astype(np.int32))
+    for i, n in enumerate(np.searchsorted(-lengths, -np.arange(len(grid)), side="left").tolist()):
+        state[:n], marks[i, :n] = step(state[:n], grid[i, :n])
     total = marks.sum(0)
-    np.add.at(count, owner[nth == 0], total[nth == 0])
-    place = {(d, k): col for col, (d, k) in enumerate(zip(owner.tolist(), nth.tolist(), strict=True))} if nth.any() else {}
     for k in range(1, int(nth.max()) + 1):
-        cols = np.flatnonzero(nth == k)
-        carried = state[[place[d, k - 1] for d in owner[cols].tolist()]]
-        own, i = total[cols].astype(np.int64), 0
+        cols, i = np.flatnonzero(nth == k), 0
+        carried = state[before[cols]]
         while len(cols) and i < len(grid):
-            # those whose blocks end here stay with the carried state, as their last phrase goes on
-            ended = lengths[cols] <= i
-            if ended.any():
-                np.add.at(count, owner[cols[ended]], own[ended])
-                state[cols[ended]] = carried[ended]
-                cols, carried, own = cols[~ended], carried[~ended], own[~ended]
+            open_ = lengths[cols] > i  # the others' last phrase goes on
+            if not open_.all():
+                state[cols[~open_]] = carried[~open_]
+                cols, carried = cols[open_], carried[open_]
                 continue
-            carried, begins = step(carried, grid[i, cols].astype(np.int32))
-            own += begins.astype(np.int64) - marks[i, cols]
-            met = begins & marks[i, cols]
-            np.add.at(count, owner[cols[met]], own[met])
-            cols, carried, own = cols[~met], carried[~met], own[~met]
-            i += 1
-        np.add.at(count, owner[cols], own)
+            carried, begins = step(carried, grid[i, cols])
+            total[cols] += begins.astype(np.int64) - marks[i, cols]
+            apart = ~(begins & marks[i, cols])
+            cols, carried, i = cols[apart], carried[apart], i + 1
         state[cols] = carried
-    return count
+    return total
 
 
 def normalised(counts: np.ndarray, learnt: np.ndarray) -> np.ndarray:
-    """Phrases by the bits that one costs: a language that learnt from little has short matches, and cheap ones."""
-    return counts * np.log2(learnt + 2.0)
+    """Phrases by the bits that one costs, which says where among so many symbols it is: a language that learnt from little
+    has short matches, and cheaper ones. LITERAL places more are single symbols."""
+    return counts * np.log2(learnt + float(LITERAL))
 
 
-def _identifier(model):
+def _identifier(model, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         names = np.array(m.languages, object)
@@ -233,7 +224,7 @@ def _identifier(model):
                 pred.append(names[order[0]])
                 score.append(1.0 if len(c) == 1 else float(1 - c[order[0]] / max(1e-9, c[order[1]])))
             arrays = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *added])
 
     return run
 
@@ -252,7 +243,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     names = [spare(docs, "lang_pred"), spare(docs, "score")]
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.mapInArrow(_identifier(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return docs.mapInArrow(_identifier(docs.sparkSession.sparkContext.broadcast(model), names), schema)
 
 
 def predict(docs: DataFrame, learn_from: Column | None = None) -> DataFrame:

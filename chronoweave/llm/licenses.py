@@ -4,102 +4,103 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chronoweave.llm.license_data import RULES, SENTENCES
 from chronoweave.llm.staging import read_table
 
-#: One letter for each known licence sentence, normalised: A-Z lower-cased, other than letters, digits and dots to one space.
-SENTENCES = {
-    "a": "released under the mit license",
-    "b": "licensed under the mit license",
-    "c": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "d": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "e": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "f": "licensed under the apache license version 2.0",
-    "g": "licensed under the apache license version 2.0 the license",
-    "h": "you may not use this file except in compliance with the license",
-    "i": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "j": "this work is licensed under the gnu general public license version 3",
-    "k": "this work is licensed under the gnu general public license version 2",
-    "l": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "m": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "n": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "o": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "p": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "q": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "r": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "s": "licensed under cc by nc 4.0",
-    "t": "licensed under cc by 4.0",
-    "u": "licensed under cc by sa 4.0",
-    "v": "this work is licensed under a creative commons attribution 4.0 international license",
-    "w": "this work is licensed under a creative commons attribution sharealike 4.0 international license",
-    "x": "this work is licensed under a creative commons attribution noncommercial 4.0 international license",
-    "y": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "z": "this source code form is subject to the terms of the mozilla public license v. 2.0",
-}
-#: Every known sentence has one of these words; texts with none of them need no sentences.
-ANCHORS = ("licens", "permission", "software", "redistribut", "warranty")
-GAP = r"\.{0,2}"
-#: In order: a rule consumes what it matches, so the longer sequences stand first. Up to two unknown sentences may stand between.
-RULES = (
-    ("BSD-3-Clause", f"o{GAP}p{GAP}q{GAP}r"),
-    ("BSD-2-Clause", f"o{GAP}p{GAP}q"),
-    ("MIT", f"[ab]?{GAP}c{GAP}d(?:{GAP}e)?"),
-    ("Apache-2.0", f"[fg]{GAP}h(?:{GAP}i)?"),
-    ("GPL-3.0-or-later", f"l(?:{GAP}n)?"),
-    ("GPL-2.0-or-later", f"m(?:{GAP}n)?"),
-    ("ISC", "y"),
-    ("MPL-2.0", "z"),
-    ("MIT", "[ab]"),
-    ("Apache-2.0", "[fg]"),
-    ("GPL-3.0-only", "j"),
-    ("GPL-2.0-only", "k"),
-    ("CC-BY-NC-4.0", "[sx]"),
-    ("CC-BY-SA-4.0", "[uw]"),
-    ("CC-BY-4.0", "[tv]"),
-    ("unknown-licence", "[a-z]"),
-)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Identifiers count from 1, in the order of SENTENCES.
+IDS = {key: i for i, key in enumerate(SENTENCES, 1)}
+#: Sentences of so many words are known wherever they stand, shorter ones only as whole pieces of text.
+LONG = 12
+UNKNOWN = "unknown-licence"
+
+
+def anchors(sentences: list[str]) -> list[str]:
+    """Beginnings of words, six letters each, of which every sentence has one: each time that in most of the rest, of ties the one of the longest word."""
+    left, out = list(sentences), []
+    while left:
+        counts: dict[str, tuple] = {}
+        for s in left:
+            for w in {w for w in s.split() if len(w) >= 6 and w.isalpha()}:
+                counts[w[:6]] = (counts.get(w[:6], (0,))[0] + 1, len(w), w)
+        out.append(max(counts, key=lambda w: counts[w]))
+        left = [s for s in left if out[-1] not in s]
+    return out
+
+
+ANCHORS = anchors(list(SENTENCES.values()))
+
+#: In turn, the changes that normalise a lower-cased text to pieces, each between line ends of its own; ! is a blank line or one of comment marks.
+STEPS = (
+    (r"[^a-z0-9.!?;:\n]+", " "),
+    (r"[!?;:.]+[ \n]", "\n"),
+    (r"\n[^a-z0-9\n]*\n[^a-z0-9]*", "\n_\n"),
+    (r"[^a-z0-9._\n]+", " "),
+    (r"[ .]*\n[ .]*", "\n\n"),
+)
+
+
+def _pattern() -> str:
+    """One pattern for all known sentences, the longest first; spaces of a sentence may be the ends of pieces."""
+    whole, inside = [], []
+    for s in sorted(SENTENCES.values(), key=lambda s: (-len(s), s)):
+        own = s.replace(".", r"\.").replace(" ", "(?: |\n\n)")
+        (inside if s.count(" ") + 1 >= LONG else whole).append(own)
+    return f"[ \n](?:{'|'.join(inside)})[ \n]|\n(?:{'|'.join(whole)})\n"
+
+
+PATTERN = _pattern()
+
+
+def _rule(sequence: str) -> str:
+    """The pattern of a rule over identifiers written as <1><2>."""
+    out = ""
+    for part in sequence.split():
+        one = "|".join(f"<{IDS[k]}>" for k in part.rstrip("?").split("|"))
+        out += f"(?:{one})" + ("?" if part.endswith("?") else "")
+    return out
+
+
+PATTERNS = [(name, _rule(sequence)) for name, sequence in RULES] + [(UNKNOWN, "<[0-9]+>")]
 
 
-def _sequence(text: Column) -> Column:
-    """A letter for each known sentence and a dot for each other piece of text.
+def known_sentences(text: Column) -> Column:
+    """The identifiers of the known sentences of a text, in order.
 
-    Pieces end at a line's end, or at . ! ? ; : before white space. A known
-    sentence is a piece, or pieces in a row where the sentence is wrapped or
-    has a ; or . within it: longer sentences are looked for first. A blank line, or
-    one of comment marks, and . ! ? : end a sentence.
+    Pieces end at a line's end, or at . ! ? ; : before white space. A sentence
+    is a piece, or pieces in a row, as where it is wrapped or has a ; or : in
+    it; LONG words or more are also known within a piece, as after a title
+    or a copyright notice on the same line. Blank lines, also of comment
+    marks only, end a sentence.
     """
-    cut = F.split(F.regexp_replace(F.translate(text, UPPER, LOWER), r"([.!?;:])[\x20\x09-\x0D]+", "$1\n"), "\n")
-    stop = F.lit("\n!\n")
-    mark = lambda x: F.when(x.rlike(r"[.!?:][\"')\]]*[\x20\x09-\x0D]*$"), stop).otherwise(F.lit("\n"))
-    plain = lambda x: F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9.]+", " "), r"^[ .]+|[ .]+$", "")
-    pieces = F.transform(cut, lambda x: F.when(plain(x) == "", stop).otherwise(F.concat(plain(x), mark(x))))
-    left = F.concat(F.lit("\n"), F.array_join(pieces, ""))
-    for letter, sentence in sorted(SENTENCES.items(), key=lambda x: -len(x[1])):
-        left = F.regexp_replace(left, r"(?<=\n)" + sentence.replace(". ", "@").replace(".", r"\.").replace(" ", r"[ \n]").replace("@", r"(?:\. |\n!?\n?)") + r"(?=\n)", letter.upper())
-    for pattern, to in ((r"!", ""), (r"\n+", "\n"), (r"(?<=\n)[^A-Z\n][^\n]*(?=\n)", "."), (r"\n", "")):
-        left = F.regexp_replace(left, pattern, to)
-    return F.translate(left, UPPER, LOWER)
+    s = F.concat(F.lit("\n"), F.translate(text, UPPER, LOWER), F.lit("\n"))
+    for pattern, to in STEPS:
+        s = F.regexp_replace(s, pattern, to)
+    found = F.regexp_extract_all(s, F.lit(PATTERN), F.lit(0))
+    names = F.create_map(*[F.lit(x) for key, s in SENTENCES.items() for x in (s, IDS[key])])
+    return F.transform(found, lambda x: F.element_at(names, F.regexp_replace(F.regexp_replace(x, r"^[ \n]+|[ \n]+$", ""), r"\n+", " ")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, known, sequence, licenses, n_matches), a row for each row of docs.
 
     known: how many known licence sentences the text has; sequence: their
-    letters in order, a dot for each unknown sentence between two of them;
-    licenses: identifiers found, each once, by code point, with commas between;
-    n_matches: rule matches. No shuffle: every text is scanned where it lies.
+    identifiers in order, with spaces between; licenses: what the rules find,
+    each once, by code point, with commas between; n_matches: rule matches.
+    Known sentences that no rule consumes are 'unknown-licence', one match
+    each. Of two sentences that begin alike the longer counts. No shuffle:
+    every whole text is scanned where it lies, if it has a word of ANCHORS, as
+    every known sentence has.
 
     Null or empty text: 0, '', '', 0. Null ids, repeated rows and other columns
-    pass; an empty table gives no rows.
+    pass, very long texts take time in proportion; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    lowered = F.translate(text, UPPER, LOWER)
-    may = F.lit(False)
-    for a in ANCHORS:
-        may = may | lowered.contains(a)
-    df = docs.select("doc_id", F.regexp_replace(F.when(may, _sequence(text)).otherwise(F.lit("")), r"^\.+|\.+$", "").alias("sequence"))
-    left, counts, names = F.col("sequence"), [], []
-    for name, pattern in RULES:
+    may = F.translate(text, UPPER, LOWER).rlike("|".join(ANCHORS))
+    df = docs.select("doc_id", F.when(may, known_sentences(text)).otherwise(F.array().cast("array<int>")).alias("ids"))
+    df = df.select("doc_id", "ids", F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x.cast("string"), F.lit(">"))), "").alias("left"))
+    left, counts, names = F.col("left"), [], []
+    for name, pattern in PATTERNS:
         hit = F.regexp_count(left, F.lit(pattern))
         counts.append(hit)
         names.append(F.when(hit > 0, F.lit(name)))
@@ -107,12 +108,13 @@ def scan(docs: DataFrame) -> DataFrame:
     total = counts[0]
     for c in counts[1:]:
         total = total + c
+    some = lambda x, none: F.when(F.size("ids") > 0, x).otherwise(F.lit(none))
     return df.select(
         "doc_id",
-        F.length(F.regexp_replace("sequence", r"\.", "")).cast("long").alias("known"),
-        "sequence",
-        F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))), ",").alias("licenses"),
-        total.cast("long").alias("n_matches"),
+        F.size("ids").cast("long").alias("known"),
+        F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("sequence"),
+        some(F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))), ","), "").alias("licenses"),
+        some(total.cast("long"), 0).cast("long").alias("n_matches"),
     )
 
 
@@ -121,24 +123,24 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    pairs = ", ".join(f"'{s}': '{k}'" for k, s in SENTENCES.items())
-    steps, left = [], "seq0"
-    for i, (name, pattern) in enumerate(RULES):
+    quote = lambda s: "E'" + s.replace("\\", "\\\\").replace("\n", "\\n").replace("'", "''") + "'"
+    text = f"E'\\n' || translate(coalesce(text, ''), '{UPPER}', '{LOWER}') || E'\\n'"
+    for pattern, to in STEPS:
+        text = f"regexp_replace({text}, {quote(pattern)}, {quote(to)}, 'g')"
+    pairs = ", ".join(f"'{s}': {IDS[key]}" for key, s in SENTENCES.items())
+    steps = []
+    for i, (_, pattern) in enumerate(PATTERNS):
         steps.append(f"r{i} AS (SELECT *, regexp_replace(seq{i}, '{pattern}', '#', 'g') AS seq{i + 1}, len(regexp_extract_all(seq{i}, '{pattern}')) AS n{i} FROM {'s' if not i else f'r{i - 1}'})")
-    n = len(RULES)
-    names = ", ".join(f"CASE WHEN n{i} > 0 THEN '{name}' END" for i, (name, _) in enumerate(RULES))
+    n = len(PATTERNS)
+    names = ", ".join(f"CASE WHEN n{i} > 0 THEN '{name}' END" for i, (name, _) in enumerate(PATTERNS))
     return rf"""
-WITH cut AS (
-  SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '([.!?;:])[\x20\x09-\x0D]+', E'\\1\n', 'g'), E'\n') AS parts
-  FROM documents),
-plain AS (
-  SELECT doc_id, list_filter(list_transform(parts, lambda s: regexp_replace(regexp_replace(s, '[^a-z0-9.]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')), lambda s: s <> '') AS parts
-  FROM cut),
-s AS (
-  SELECT doc_id, regexp_replace(array_to_string(list_transform(parts, lambda s: coalesce(MAP {{{pairs}}}[s], '.')), ''), '^\.+|\.+$', '', 'g') AS seq0
+WITH plain AS (SELECT doc_id, {text} AS t FROM documents),
+f AS (
+  SELECT doc_id, list_transform(regexp_extract_all(t, {quote(PATTERN)}), lambda x: MAP {{{pairs}}}[regexp_replace(trim(x, E' \n'), E'\n+', ' ', 'g')]) AS ids
   FROM plain),
+s AS (SELECT doc_id, ids, array_to_string(list_transform(ids, lambda x: '<' || x || '>'), '') AS seq0 FROM f),
 {", ".join(steps)}
-SELECT doc_id, length(replace(seq0, '.', ''))::BIGINT AS known, seq0 AS sequence,
+SELECT doc_id, len(ids)::BIGINT AS known, coalesce(array_to_string(ids, ' '), '') AS sequence,
        coalesce(array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x IS NOT NULL))), ','), '') AS licenses,
        ({" + ".join(f"n{i}" for i in range(n))})::BIGINT AS n_matches
 FROM r{n - 1}

@@ -1,127 +1,198 @@
-"""Line dedup: repeated line runs by prefix doubling over line identifiers, in DataFrame operations only."""
+"""Line dedup: a suffix array over line identifiers by prefix doubling, and the maximal repeated line runs that its longest common prefixes give, in DataFrame operations only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chronoweave.llm.staging import read_table, stage
+from chronoweave.llm.staging import read_table, spare, stage
+from chronoweave.llm.textops import WORD
 
 BLANK = " \t\n\x0b\x0c\r"
-MIN_LINES = 2
+#: A run is deleted from so many lines on, or from so many words in one line.
+MIN_LINES, MIN_WORDS = 2, 50
 KEY = ["doc_id", "version"]
+RUN = [*KEY, "pos", "first_doc", "first_version", "first_pos", "length", "top"]
 
 
 def _key(docs: DataFrame):
     return docs.withColumn("version", F.xxhash64("text"))
 
 
-def line_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, pos, at, h1, h2): the lines with a word; pos counts them, at counts all lines."""
-    parts = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(F.btrim(x, F.lit(BLANK)).alias("s"), i.alias("at")))
-    df = _key(docs.select("doc_id", "text")).select(*KEY, F.posexplode(F.filter(parts, lambda x: x["s"] != "")).alias("pos", "line"))
-    return df.select(*KEY, "pos", F.col("line.at").alias("at"), F.xxhash64("line.s").alias("h1"), F.hash("line.s", F.lit(1)).alias("h2"))
+def _has_word(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANK)) != ""
 
 
-def _named(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Ranks the keys of two rows or more in their order; rows: those of such keys, with rank and whether an equal one stands earlier."""
-    first = F.min(F.struct("doc_id", "version", "pos"))
-    keys = rows.groupBy(*by).agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").drop("n")
+def line_ids(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, version, pos, h1, h2, long): the lines with a word, by two hashes; pos counts them; long: min_words words or more."""
+    parts = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
+    df = _key(docs.select("doc_id", "text")).select(*KEY, F.posexplode(parts).alias("pos", "line"))
+    long = (F.length("line") >= 2 * min_words - 1) & (F.regexp_count("line", F.lit(WORD)) >= min_words)
+    return df.select(*KEY, "pos", F.xxhash64("line").alias("h1"), F.hash("line", F.lit(1)).alias("h2"), long.alias("long"))
+
+
+def _ranked(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The keys of two rows or more, ranked in their order, with their first place; and rows of such keys with rank and first place."""
+    keys = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "pos")).alias("first")).where("n > 1").drop("n")
     ranked = stage(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id()), "ranks")
-    later = F.struct("doc_id", "version", "pos") > F.col("first")
-    return ranked, rows.join(ranked, by).select(*KEY, "pos", "at", F.col("name").alias("rank"), later.alias("later"), F.col("first.doc_id").alias("first_doc"), (F.col("pos") - F.col("first.pos")).alias("shift"))
+    return ranked, rows.join(ranked, by).select(*KEY, "pos", F.col("name").alias("rank"), "first", "long")
 
 
-def repeated_blocks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, version, pos, at, length, later, first_doc, shift): each place where a block of 2^j >= min_lines lines starts that stands more than once.
+def suffix_ranks(docs: DataFrame, min_words: int = MIN_WORDS) -> list[DataFrame]:
+    """For j = 0, 1, ..: (doc_id, version, pos, rank, first, long), the places where a block of 2^j lines stands that stands more than once.
 
     Prefix doubling: the rank of a place among all blocks of 2^(j+1) lines is
     that of its pair of ranks at j, here and 2^j lines on. Ranks keep the
-    order of the sorted suffixes, and places of one rank are the interval whose
-    longest common prefix is at least 2^j. Lines that stand once end every run,
-    so they leave after the first round, and places that have become unique
-    leave after theirs. Rounds go on until nothing repeats.
+    order of the suffixes; places of one rank are an interval of the suffix
+    array whose longest common prefix is 2^j lines or more, and first is the
+    first of them. Lines that stand once end every run, so they leave after
+    the first round, and places that have become unique leave after theirs.
+    Rounds go on until nothing repeats.
     """
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
-    step, found, by = 1, None, ["h1", "h2"]
-    rows = stage(line_ids(docs), "lines")
+    found: list[DataFrame] = []
+    rows, by, step = stage(line_ids(docs, min_words), "lines"), ["h1", "h2"], 1
     while True:
-        ranked, rows = _named(rows, by)
+        ranked, rows = _ranked(rows, by)
         if ranked.isEmpty():
-            break
-        rows = stage(rows, "suffixes")
-        if step >= min_lines:
-            here = rows.select(*KEY, "pos", "at", F.lit(step).alias("length"), "later", "first_doc", "shift")
-            found = here if found is None else found.unionAll(here)
+            return found
+        rows = stage(rows if found else rows.dropDuplicates([*KEY, "pos"]), "suffixes")
+        found.append(rows)
         ahead = Window.partitionBy(*KEY).orderBy("pos").rangeBetween(step, step)
-        rows = rows.withColumn("next", F.max("rank").over(ahead)).where("next IS NOT NULL").select(*KEY, "pos", "at", "rank", "next")
+        rows = rows.withColumn("next", F.max("rank").over(ahead)).where("next IS NOT NULL").select(*KEY, "pos", "rank", "next", "long")
         step, by = step * 2, ["rank", "next"]
-    if found is None:
-        found = rows.select(*KEY, "pos", "at", F.lit(step).alias("length"), "later", "first_doc", "shift").where("false")
-    return found
 
 
-def _deleted(docs: DataFrame, min_lines: int) -> DataFrame:
-    """(doc_id, version, gone, longest): positions, among lines with a word, that later copies cover; the longest run of those."""
-    blocks = repeated_blocks(docs, min_lines).where("later")
-    spots = blocks.select(*KEY, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("pos")).distinct()
-    return spots.groupBy(*KEY).agg(F.sort_array(F.collect_list("pos")).alias("gone"))
+def _same(a: str, b: str, pairs: list[tuple[str, str]]) -> Column:
+    out = F.lit(True)
+    for x, y in pairs:
+        out = out & F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{y}"))
+    return out
 
 
-def dedup_report(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, n_lines, n_deleted, deleted), a row for each row of docs.
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, version, pos, length, first_doc, first_version, first_pos, upto): maximal runs of lines that stand earlier too; upto: where the runs before it end.
 
-    A line is deleted if it lies in a run of min_lines lines or more that
-    stands earlier too, in the order of (doc_id nulls first, text hash, line).
-    Lines compare without white space at their ends; lines without a word are
-    no lines: they are kept and do not break runs. deleted: the deleted lines'
-    positions among the lines with a word, with commas between.
+    At each place the longest block of 2^j lines that stands earlier is looked
+    up, and the first place that has it. Where the place before goes on to the
+    same, its run holds this one; at the others the longest common prefix of
+    both suffixes is found from the ranks, adding 2^i lines, i going down,
+    where both have one rank at i. Of these runs those count that no run from
+    an earlier place of the document holds. A line of min_words words is a run.
+    """
+    if min_lines < 1 or min_lines & (min_lines - 1):
+        raise ValueError("min_lines must be a power of two")
+    ranks = suffix_ranks(docs, min_words)
+    least = min_lines.bit_length() - 1
+    earlier = None
+    for j, rows in enumerate(ranks):
+        rows = rows.where(F.struct("doc_id", "version", "pos") > F.col("first"))
+        rows = (rows if j >= least else rows.where("long" if j == 0 else "false")).select(*KEY, "pos", F.struct(F.lit(j).alias("top"), "first").alias("best"))
+        earlier = rows if earlier is None else earlier.unionAll(rows)
+    if earlier is None:
+        return line_ids(docs, min_words).where("false").select(*KEY, "pos", F.col("pos").alias("length"), F.col("doc_id").alias("first_doc"), F.col("version").alias("first_version"), F.col("pos").alias("first_pos"), F.col("pos").alias("upto"))
+    best = earlier.repartition(*KEY).groupBy(*KEY, "pos").agg(F.max_by("best", "best.top").alias("best"))
+    runs = best.select(*KEY, "pos", F.col("best.top").alias("top"), F.col("best.first.doc_id").alias("first_doc"), F.col("best.first.version").alias("first_version"), F.col("best.first.pos").alias("first_pos"))
+    before = lambda c: F.lag(c).over(Window.partitionBy(*KEY).orderBy("pos"))
+    held = (before("pos") == F.col("pos") - 1) & before("first_doc").eqNullSafe(F.col("first_doc")) & (before("first_version") == F.col("first_version")) & (before("first_pos") == F.col("first_pos") - 1)
+    runs = runs.withColumn("held", F.coalesce(held, F.lit(False))).where("NOT held")
+    runs = stage(runs.withColumn("length", F.expr("shiftleft(1, top)")).select(*RUN), "runs")
+    for i in range(len(ranks) - 2, -1, -1):
+        more = runs.where(F.col("top") > i)
+        own = more.alias("r").join(ranks[i].alias("a"), _same("r", "a", [("doc_id", "doc_id"), ("version", "version")]) & (F.col("r.pos") + F.col("r.length") == F.col("a.pos")), "left").select("r.*", F.col("a.rank").alias("here"))
+        both = own.alias("r").join(ranks[i].alias("b"), _same("r", "b", [("first_doc", "doc_id"), ("first_version", "version")]) & (F.col("r.first_pos") + F.col("r.length") == F.col("b.pos")), "left").select("r.*", F.col("b.rank").alias("there"))
+        longer = both.withColumn("length", F.col("length") + F.when(F.col("here") == F.col("there"), 1 << i).otherwise(0)).select(*RUN)
+        runs = stage(longer.unionAll(runs.where(F.col("top") <= i)), "runs")
+    past = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.max(F.col("pos") + F.col("length")).over(past), F.lit(0))
+    return runs.withColumn("upto", upto).where("pos + length > upto").select(*KEY, "pos", "length", "first_doc", "first_version", "first_pos", "upto")
+
+
+def _runs_of(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """(doc_id, version, runs, gone): a document's runs in order, and the stretches [begin, finish) of its lines that they cover, each line once."""
+    runs = repeated_runs(docs, min_lines, min_words)
+    row = F.struct("pos", "length", "first_doc", "first_pos", F.greatest("pos", "upto").alias("begin"), (F.col("pos") + F.col("length")).alias("finish"))
+    return runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(row)).alias("runs"))
+
+
+def _deleted() -> Column:
+    """Positions, among lines with a word, that a document's runs cover."""
+    return F.flatten(F.transform("g.runs", lambda r: F.sequence(r["begin"], r["finish"] - 1)))
+
+
+def dedup_report(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, n_lines, n_deleted, deleted, n_runs, longest, runs), a row for each row of docs.
+
+    A line is deleted if it lies in a run of min_lines lines or more, or in a
+    line of min_words words or more, that stands earlier too, in the order of
+    (doc_id nulls first, text hash, line); the earliest copy stays. Lines
+    compare without white space at their ends; lines without a word are no
+    lines: they are kept and do not break runs. deleted: the deleted lines'
+    positions among the lines with a word, with commas between. n_runs,
+    longest: the number of maximal runs and the lines of the longest. runs:
+    their place, length and first place (doc_id.line), as 4+12<7.0.
 
     Null or empty text has no lines. Rows alike in doc_id and text count as
-    one document. Null ids, other columns and an empty table pass.
+    one document. Null ids, other columns and an empty table pass; very long
+    texts are a row of lines each, like others.
+    """
+    parts = F.filter(F.split("text", "\n", -1), _has_word)
+    base = _key(docs.select("doc_id", "text")).select(*KEY, F.greatest(F.coalesce(F.size(parts), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"))
+    out = base.alias("b").join(_runs_of(docs, min_lines, min_words).alias("g"), _same("b", "g", [(c, c) for c in KEY]), "left")
+    name = lambda r: F.concat(r["pos"].cast("string"), F.lit("+"), r["length"].cast("string"), F.lit("<"), F.coalesce(r["first_doc"].cast("string"), F.lit("")), F.lit("."), r["first_pos"].cast("string"))
+    some = lambda x, none: F.when(F.col("g.runs").isNotNull(), x).otherwise(F.lit(none))
+    return out.select(
+        "b.doc_id",
+        "n_lines",
+        some(F.aggregate("g.runs", F.lit(0), lambda a, r: a + r["finish"] - r["begin"]), 0).cast("long").alias("n_deleted"),
+        some(F.array_join(F.transform(_deleted(), lambda x: x.cast("string")), ","), "").alias("deleted"),
+        some(F.size("g.runs"), 0).cast("long").alias("n_runs"),
+        some(F.array_max(F.transform("g.runs", lambda r: r["length"])), 0).cast("long").alias("longest"),
+        some(F.array_join(F.transform("g.runs", name), ","), "").alias("runs"),
+    )
+
+
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs without the later copies of repeated line runs; documents that lose their last line with a word go.
+
+    A text is put together again from the numbers of the lines that stay, in
+    time proportional to its lines.
     """
-    gone = _deleted(docs, min_lines)
-    parts = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    base = _key(docs.select("doc_id", "text")).select(*KEY, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"))
-    base = base.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    same = F.col("b.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("b.version") == F.col("g.version"))
-    out = base.alias("b").join(gone.alias("g"), same, "left")
-    return out.select("b.doc_id", "n_lines", F.coalesce(F.greatest(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_deleted"), F.coalesce(F.array_join(F.transform("gone", lambda x: x.cast("string")), ","), F.lit("")).alias("deleted"))
-
-
-def dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """docs without the later copies of repeated line runs; documents that lose their last line with a word go."""
-    gone = _deleted(docs, min_lines)
-    keyed = docs.withColumn("__version", F.xxhash64("text"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.__version") == F.col("g.version"))
-    out = keyed.alias("d").join(gone.alias("g"), same, "left")
-    marked = F.transform(F.split("d.text", "\n", -1), lambda x: F.struct(x.alias("s"), (F.btrim(x, F.lit(BLANK)) != "").alias("word")))
-    numbered = F.aggregate(
-        marked,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
-        lambda a, x: F.struct(
-            (a["n"] + x["word"].cast("int")).alias("n"),
-            F.when(x["word"] & F.array_contains("g.gone", a["n"]), a["kept"]).otherwise(F.concat(a["kept"], F.array(x["s"]))).alias("kept"),
-        ),
-    )["kept"]
-    text = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(F.array_join(numbered, "\n"))
-    columns = [text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
-    out = out.select(*columns, F.col("g.gone").isNotNull().alias("__cut"))
-    return out.where(~F.col("__cut") | (F.btrim(F.col("text"), F.lit(BLANK)) != "")).drop("__cut")
+    version, at, lines, worded = (spare(docs, c) for c in ("version", "cut_runs", "cut_lines", "cut_worded"))
+    runs = _runs_of(docs, min_lines, min_words).withColumnRenamed("runs", at)
+    # lines and the numbers of those with a word are made below the join, so that nothing above repeats that for each line
+    keyed = docs.withColumn(version, F.xxhash64("text")).withColumn(lines, F.split("text", "\n", -1))
+    words = F.transform(F.col(lines), lambda x, i: F.when(_has_word(x), i))
+    keyed = keyed.withColumn(worded, F.array_compact(words)).drop("text")
+    out = keyed.alias("d").join(runs.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{version}") == F.col("g.version")), "left")
+    out = out.select("d.*", F.col(f"g.{at}").alias(at))
+    n_gone = F.aggregate(at, F.lit(0), lambda a, r: a + r["finish"] - r["begin"])
+    out = out.where(F.col(at).isNull() | (F.size(worded) > n_gone))
+    gone = F.flatten(F.transform(at, lambda r: F.slice(F.col(worded), r["begin"] + 1, r["finish"] - r["begin"])))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    text = F.when(F.col(at).isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     return dedup_report(read_table(spark, sf_dir, "documents"))
 
 
+#: Blocks of every length 2^j spelled out; the longest at each place that stands earlier; maximal runs by comparing line for line.
 OP9_SQL = r"""
 WITH parts AS (
   SELECT doc_id, list_filter(list_transform(string_split(text, E'\n'), lambda s: trim(s, E' \t\n\x0b\x0c\r')), lambda s: s <> '') AS l FROM documents),
-lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM parts),
-pairs AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM lines),
-runs AS (SELECT *, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, pos) AS nth FROM pairs WHERE nxt IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM runs WHERE nth > 1),
-per AS (SELECT doc_id, count(*) AS n_deleted, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS deleted FROM gone GROUP BY doc_id)
-SELECT p.doc_id, coalesce(len(p.l), 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted, coalesce(deleted, '') AS deleted
-FROM parts p LEFT JOIN per USING (doc_id)
+lines AS (SELECT doc_id, l, unnest(range(len(l)))::INT AS pos FROM parts),
+blocks AS (SELECT doc_id, pos, j, md5(array_to_string(l[pos + 1 : pos + (1 << j)], E'\n')) AS h FROM lines, (SELECT unnest(range(14))::INT AS j)
+  WHERE pos + (1 << j) <= len(l) AND (j > 0 OR len(regexp_extract_all(l[pos + 1], '[^\x20\x09-\x0D]+')) >= 50)),
+firsts AS (SELECT doc_id, pos, j, first_value({'d': doc_id, 'p': pos}) OVER (PARTITION BY j, h ORDER BY doc_id, pos) AS f FROM blocks),
+tops AS (SELECT doc_id, pos, arg_max(f, j) AS f FROM firsts WHERE doc_id <> f.d OR pos <> f.p GROUP BY ALL),
+starts AS (SELECT * FROM tops WINDOW w AS (PARTITION BY doc_id ORDER BY pos) QUALIFY NOT coalesce(lag(pos) OVER w = pos - 1 AND lag(f.d) OVER w = f.d AND lag(f.p) OVER w = f.p - 1, false)),
+pairs AS (SELECT s.doc_id, s.pos, s.f, least(len(a.l) - s.pos, len(b.l) - s.f.p) AS m, a.l AS x, b.l AS y FROM starts s JOIN parts a ON a.doc_id = s.doc_id JOIN parts b ON b.doc_id = s.f.d),
+lengths AS (SELECT doc_id, pos, f, coalesce(nullif(list_position(list_transform(range(m), lambda i: x[pos + 1 + i] = y[f.p + 1 + i]), false), 0) - 1, m)::INT AS n FROM pairs),
+runs AS (SELECT *, coalesce(max(pos + n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM lengths QUALIFY pos + n > upto),
+gone AS (SELECT doc_id, unnest(range(greatest(pos, upto), pos + n)) AS pos FROM runs),
+per AS (SELECT doc_id, count(*) AS n_deleted, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS deleted FROM gone GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest, string_agg(pos || '+' || n || '<' || f.d || '.' || f.p, ',' ORDER BY pos) AS runs FROM runs GROUP BY doc_id)
+SELECT p.doc_id, coalesce(len(p.l), 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted, coalesce(deleted, '') AS deleted,
+       coalesce(n_runs, 0)::BIGINT AS n_runs, coalesce(longest, 0)::BIGINT AS longest, coalesce(runs, '') AS runs
+FROM parts p LEFT JOIN per USING (doc_id) LEFT JOIN named USING (doc_id)
 """

@@ -14,11 +14,14 @@ from chronoweave.llm.textops import sub_batches, windows, words_of
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: Integer features (measure, per, scale): scale * measure div per.
-FEATURES = {"word_length": ("word_chars", "n_words", 100), "symbols": ("n_symbols", "n_words", 1000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "repeats": ("n_repeat_words", "n_words", 1000)}
-#: Least distance of a fence from the median, by feature, so that a feature that hardly varies rejects nothing near it.
-LEAST = {"word_length": 200, "symbols": 150, "dup_lines": 500, "repeats": 200}
-FENCE, MIN_DOCS = 4, 30
+#: Integer features (measure, per, scale): scale * measure div per, the more telling reasons first.
+FEATURES = {"symbols": ("n_symbols", "n_words", 1000), "dup_lines": ("n_dup_lines", "n_lines", 1000), "repeats": ("n_repeat_words", "n_words", 1000), "word_length": ("word_chars", "n_words", 100)}
+#: Quantiles of the accepted documents, per mille: a fence lies as far beyond the outer one as that is from the median.
+LOW, MIDDLE, HIGH = 25, 500, 975
+#: A group's fences weigh as its documents, those of the group above it as so many.
+PRIOR = 200
+#: More fences than that are not broadcast but joined, each once for each of SALTS parts of its group.
+BROADCAST_ROWS, SALTS = 50_000, 64
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,40 +79,49 @@ def sketches(df: DataFrame, by: list[str]) -> DataFrame:
     return df.select(*by, F.inline(pairs)).groupBy(*by, "feature", "edge").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """q1, q2, q3 (bucket edges) and n of each group and feature."""
+def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """low, middle, high (bucket edges) and n of each group and feature."""
     from pyspark.sql import Window
 
     run = Window.partitionBy(*by, "feature").orderBy("edge")
     df = sketch.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(*by, "feature")))
-    edge = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("edge")))
-    return df.groupBy(*by, "feature").agg(edge(1).alias("q1"), edge(2).alias("q2"), edge(3).alias("q3"), F.max("all").alias("n"))
+    edge = lambda q, name: F.min(F.when(F.col("upto") * 1000 >= F.col("all") * q, F.col("edge"))).alias(name)
+    return df.groupBy(*by, "feature").agg(edge(LOW, "low"), edge(MIDDLE, "middle"), edge(HIGH, "high"), F.max("all").alias("n"))
 
 
-def thresholds(measured: DataFrame, fence: int = FENCE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(g_lang, g_source, <feature>_low, <feature>_high): fences around the quartiles of each language and source.
+def thresholds(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(g_lang, g_source, <feature>_low, <feature>_high): fences from the quantiles of each language and source.
 
-    Groups under min_docs documents take their language's fences, and
-    languages under it all documents'. Low and high lie fence times the
-    quartiles' distance beyond them, and LEAST from the median at least.
+    The high fence lies as far above the high quantile as that lies above the
+    median, the low one likewise below. All documents' fences pull those of a
+    language as prior documents would, and the language's those of a source
+    in it, so that small groups, where a quantile is one document, follow the
+    groups they belong to.
     """
-    from pyspark.sql import Window
-
     fine = stage(sketches(measured, ["g_lang", "g_source"]), "sketches")
-    spread = lambda c: F.greatest(F.lit(fence) * (F.col("q3") - F.col("q1")), F.lit(0))
-    least = F.create_map(*[F.lit(x) for f, v in LEAST.items() for x in (f, v)])[F.col("feature")]
-    low, high = F.least(F.col("q1") - spread("q1"), F.col("q2") - least), F.greatest(F.col("q3") + spread("q3"), F.col("q2") + least)
     levels = []
-    for level, by in enumerate((["g_lang", "g_source"], ["g_lang"], [])):
+    for by in ([], ["g_lang"], ["g_lang", "g_source"]):
         merged = fine.groupBy(*by, "feature", "edge").agg(F.sum("n").alias("n"))
-        levels.append(quartiles(merged, by).select(*by, "feature", "n", F.struct(low.alias("low"), high.alias("high")).alias(f"t{level}")))
-    df = levels[0].withColumnRenamed("n", "n0").join(levels[1].withColumnRenamed("n", "n1"), ["g_lang", "feature"]).join(levels[2].drop("n"), "feature")
-    df = df.withColumn("t", F.when(F.col("n0") >= min_docs, F.col("t0")).when(F.col("n1") >= min_docs, F.col("t1")).otherwise(F.col("t2")))
-    pick = lambda f, side: F.max(F.when(F.col("feature") == f, F.col("t")[side])).alias(f"{f}_{side}")
-    return df.groupBy("g_lang", "g_source").agg(*[pick(f, side) for f in FEATURES for side in ("low", "high")])
-
-
-def judge(docs: DataFrame, fence: int = FENCE, min_docs: int = MIN_DOCS) -> DataFrame:
+        own = quantiles(merged, by).select(*by, "feature", "n", F.greatest(2 * F.col("low") - F.col("middle"), F.lit(0)).alias("low"), (2 * F.col("high") - F.col("middle")).alias("high"))
+        if levels:
+            above = levels[-1].withColumnsRenamed({"low": "above_low", "high": "above_high"}).drop("n")
+            pull = lambda side: F.expr(f"(n * {side} + {prior} * above_{side}) div (n + {prior})").alias(side)
+            own = own.join(above, [*by[:-1], "feature"]).select(*by, "feature", "n", pull("low"), pull("high"))
+        levels.append(own)
+    pick = lambda f, side: F.max(F.when(F.col("feature") == f, F.col(side))).alias(f"{f}_{side}")
+    return levels[-1].groupBy("g_lang", "g_source").agg(*[pick(f, side) for f in FEATURES for side in ("low", "high")])
+
+
+def _with_fences(df: DataFrame, fences: DataFrame) -> DataFrame:
+    """df with its group's fences: broadcast if they are few, else joined by group and a part of it, so that a great group is many tasks'."""
+    if fences.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(fences), ["g_lang", "g_source"], "left")
+    salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
+    spread = fences.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("salt", salt).join(spread, ["g_lang", "g_source", "salt"], "left").drop("salt")
+
+
+def judge(docs: DataFrame, prior: int = PRIOR) -> DataFrame:
     """The measures of each row of docs with base_failed, kept and reason.
 
     base_failed: under 10 words, or more than a fifth of the words lie in
@@ -118,14 +130,15 @@ def judge(docs: DataFrame, fence: int = FENCE, min_docs: int = MIN_DOCS) -> Data
     fences and symbols, dup_lines and repeats do not exceed the high one.
     reason: base, the first feature beyond its fence, or null.
 
-    Null text has no words and fails; null lang or source is a group of its
-    own; repeated rows count each; other columns are ignored; an empty table
-    gives no rows.
+    Null or empty text has no words and fails; null lang or source is a group
+    of its own; repeated rows count each; values at a fence (ties) are kept;
+    very long texts are measured whole; other columns are ignored; an empty
+    table gives no rows.
     """
     group = lambda c: F.concat(F.when(F.col(c).isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(F.col(c), F.lit("")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     df = stage(measures(docs).withColumn("base_failed", failed).withColumn("g_lang", group("lang")).withColumn("g_source", group("source")), "measures")
-    out = df.join(thresholds(df.where("NOT base_failed"), fence, min_docs), ["g_lang", "g_source"], "left")
+    out = _with_fences(df, stage(thresholds(df.where("NOT base_failed"), prior), "fences"))
     reason = F.when(F.col("base_failed"), "base")
     for f, (a, b, scale) in FEATURES.items():
         value = F.expr(f"CASE WHEN {b} > 0 THEN {scale} * {a} div {b} ELSE 0 END")
@@ -140,16 +153,19 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     feats = " UNION ALL ".join(f"SELECT lang, source, '{f}' AS feature, {s} * {a} // {b} AS v FROM b WHERE NOT base_failed" for f, (a, b, s) in FEATURES.items())
-    least = "CASE feature " + " ".join(f"WHEN '{f}' THEN {v}" for f, v in LEAST.items()) + " END"
     edge = "(v // (1 << greatest(length(bin(v)) - 6, 0)::BIGINT)) * (1 << greatest(length(bin(v)) - 6, 0)::BIGINT)"
 
-    def level(name: str, by: str) -> str:
-        pre = f"{by}, " if by else ""
+    def level(name: str, by: list[str], above: str = "") -> str:
+        pre = "".join(f"{c}, " for c in by)
+        at = lambda q: f"min(edge) FILTER (upto * 1000 >= total * {q})"
+        same = "".join(f"o.{c} IS NOT DISTINCT FROM a.{c} AND " for c in by[:-1])
+        pull = ", ".join(f"(o.n * o.{x} + {PRIOR} * a.{x}) // (o.n + {PRIOR}) AS {x}" for x in ("low", "high"))
+        own = "".join(f"o.{c}, " for c in by)
         return f"""
 {name}c AS (SELECT {pre}feature, edge, count(*) AS n FROM e GROUP BY ALL),
 {name}r AS (SELECT *, sum(n) OVER (PARTITION BY {pre}feature ORDER BY edge) AS upto, sum(n) OVER (PARTITION BY {pre}feature) AS total FROM {name}c),
-{name}q AS (SELECT {pre}feature, min(edge) FILTER (upto * 4 >= total) AS q1, min(edge) FILTER (upto * 4 >= total * 2) AS q2, min(edge) FILTER (upto * 4 >= total * 3) AS q3, max(total) AS n FROM {name}r GROUP BY ALL),
-{name} AS (SELECT {pre}feature, n, least(q1 - {FENCE} * (q3 - q1), q2 - {least}) AS low, greatest(q3 + {FENCE} * (q3 - q1), q2 + {least}) AS high FROM {name}q)"""
+{name}q AS (SELECT {pre}feature, max(total) AS n, greatest(2 * {at(LOW)} - {at(MIDDLE)}, 0) AS low, 2 * {at(HIGH)} - {at(MIDDLE)} AS high FROM {name}r GROUP BY ALL),
+{name} AS (""" + (f"SELECT {own}o.feature, o.n, {pull} FROM {name}q o JOIN {above} a ON {same}o.feature = a.feature)" if above else f"SELECT * FROM {name}q)")
 
     checks = []
     for f, (a, b, s) in FEATURES.items():
@@ -171,13 +187,9 @@ m AS (
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 f AS ({feats}),
 e AS (SELECT lang, source, feature, {edge} AS edge FROM f),
-{level("t0", "lang, source")},
-{level("t1", "lang")},
-{level("t2", "")},
-t AS (
-  SELECT t0.lang, t0.source, t0.feature, CASE WHEN t0.n >= {MIN_DOCS} THEN t0.low WHEN t1.n >= {MIN_DOCS} THEN t1.low ELSE t2.low END AS low,
-         CASE WHEN t0.n >= {MIN_DOCS} THEN t0.high WHEN t1.n >= {MIN_DOCS} THEN t1.high ELSE t2.high END AS high
-  FROM t0 JOIN t1 ON t0.lang IS NOT DISTINCT FROM t1.lang AND t0.feature = t1.feature JOIN t2 ON t2.feature = t0.feature),
+{level("t0", [])},
+{level("t1", ["lang"], "t0")},
+{level("t", ["lang", "source"], "t1")},
 bad AS (SELECT DISTINCT doc_id FROM b JOIN t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source WHERE {" OR ".join(checks)})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept

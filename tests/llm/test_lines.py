@@ -1,5 +1,8 @@
 """Line dedup against windows of lines."""
 
+import random
+import time
+
 from chronoweave.llm import lines
 from tests.llm.common import corpus, table
 
@@ -60,6 +63,69 @@ def test_longer_runs(spark):
     assert got == {1: "", 2: "", 3: "0,1,2,3,4"}
 
 
+def longest_runs(rows):
+    """{doc_id: runs} by comparing lines from the first place of the longest block of 2^j lines on."""
+    docs = sorted((d, [x for x in (y.strip(BLANK) for y in (t or "").split("\n")) if x]) for d, t in dict(rows).items())
+    texts, first = dict(docs), {}
+    for d, own in docs:
+        for p in range(len(own)):
+            for j in range(12):
+                if p + (1 << j) <= len(own):
+                    first.setdefault((j, *own[p : p + (1 << j)]), (d, p))
+    out = {}
+    for d, own in docs:
+        upto, found = 0, []
+        for p in range(len(own)):
+            tops = [first[j, *own[p : p + (1 << j)]] for j in range(1, 12) if p + (1 << j) <= len(own)]
+            tops = [f for f in tops if f != (d, p)]
+            if tops:
+                (fd, fp), n = tops[-1], 0
+                while p + n < len(own) and fp + n < len(texts[fd]) and own[p + n] == texts[fd][fp + n]:
+                    n += 1
+                if p + n > upto:
+                    found.append(f"{p}+{n}<{fd}.{fp}")
+                    upto = p + n
+        out[d] = ",".join(found)
+    return out
+
+
+def test_maximal_runs(spark):
+    rnd = random.Random(3)
+    line = lambda: rnd.choice("abcdefgh") * 2
+    long = [f"line {i}" for i in range(77)]
+    rows = [(i, "\n".join(line() for _ in range(rnd.randint(0, 30)))) for i in range(12)]
+    rows += [(20, "\n".join(["x", *long, "y"])), (21, "\n".join([*long[:40], "z", *long[37:]])), (22, "\n".join(["u", *long, *long])), (23, "\n".join(["same"] * 50)), (24, "\n".join(long[9:20]))]
+    got = {r.doc_id: r for r in lines.dedup_report(table(spark, rows)).collect()}
+    want = longest_runs(rows)
+    assert {d: r.runs for d, r in got.items()} == want
+    assert want[21] == "0+40<20.1,41+40<20.38" and want[22] == "1+77<20.1,78+77<20.1" and want[23] == "1+49<23.0" and want[24] == "0+11<20.10"
+    assert (got[21].n_runs, got[21].longest, got[21].n_deleted) == (2, 40, 80)
+
+
+def test_long_single_lines(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n {long}\nd"), (3, f"e\n{long[:-4]}\nf"), (4, f"{long[:-4]}")]
+    got = {r.doc_id: (r.deleted, r.runs) for r in lines.dedup_report(table(spark, rows)).collect()}
+    assert got == {1: ("", ""), 2: ("1", "1+1<1.1"), 3: ("", ""), 4: ("", "")}
+    assert {r.doc_id: r.text for r in lines.dedup(table(spark, rows)).collect()}[2] == "c\nd"
+
+
+def test_documents_of_very_many_lines(spark):
+    """In time proportional to the lines."""
+    own = [f"line {i}" for i in range(60_000)]
+    docs = table(spark, [(1, "\n".join(own)), (2, "new\n" + "\n".join(own) + "\nnew"), (3, "\n".join(own[::2]))])
+    begin = time.time()
+    got = {r.doc_id: r.text for r in lines.dedup(docs).collect()}
+    assert got[2] == "new\nnew" and got[1] == "\n".join(own) and got[3] == "\n".join(own[::2])
+    assert time.time() - begin < 90
+
+
+def test_clashing_columns(spark):
+    docs = table(spark, [(1, "a\nb\nc"), (2, "x\na\nb")]).selectExpr("doc_id", "text", "1 AS version", "2 AS cut", "3 AS __version", "4 AS pos", "5 AS runs")
+    out = lines.dedup(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "a\nb\nc", 1, 2, 3, 4, 5), (2, "x", 1, 2, 3, 4, 5)]
+
+
 def test_no_repeats_and_empty(spark):
     assert [r.n_deleted for r in lines.dedup_report(table(spark, [(1, "a\nb")])).collect()] == [0]
     assert lines.dedup_report(table(spark, [])).collect() == []
