@@ -72,3 +72,37 @@ def test_names_that_open_sentences(spark):
     got = find(spark, [item, "Read this.\n" + other + "\nThe end.", mixed], [(1, item)])
     assert set(got) == {(0, 1), (1, 1)} and got[1, 1].consistency == 1.0
     assert find(spark, ["Well, " + item.replace("Tom has", "tom has")], [(1, item)])[0, 1].coverage >= leaks.COVERED
+
+
+def test_names_of_several_words(spark):
+    item = "Alice Smith lives in New York with two cats and pays the rent to Robert Brown every month. How much does Alice Smith pay Robert Brown in a year?"
+    other = "Bob Jones lives in Boston with two cats and pays the rent to Ann every month. How much does Bob Jones pay Ann in a year?"
+    got = find(spark, [other, item, "Yesterday we said: " + other], [(1, item)])
+    assert set(got) == {(0, 1), (1, 1), (2, 1)} and got[0, 1].consistency == 1.0 and got[0, 1].begin == 0
+    assert got[0, 1].finish == len(other.split()) and got[2, 1].begin == 3
+
+
+def test_short_and_bare_items(spark):
+    """Word for word what has few tokens or literals; too little evidence is no leak of a template."""
+    items = [(1, "What is 7 times 8"), (2, "Capital of France?"), (3, "1 2 3 5 8 13 21 34 55"), (4, "Barack Hussein Obama II"), (5, "Paris")]
+    texts = ["what is 9 times 6 and more", "She asked: what is 7 times 8? He knew.", "the capital of France, is it?", "capital of Spain and Paris", "count 1 2 3 5 8 13 21 34 55 on", "count 2 3 4 6 9 14 22 35 56 on", "as Barack Hussein Obama II said", "as Barack Hussein Obama I said", "What is 7 times 8. " * 3]
+    assert set(find(spark, texts, items)) == {(1, 1), (2, 2), (4, 3), (6, 4), (8, 1)}
+
+
+def test_slots_map_one_to_one(spark):
+    """Different values of the item that all become one are no consistent variant."""
+    item = "the first box holds 3 apples and then the second bag has 8 pears and then the third sack has 12 plums and then the last cart has 40 figs at 9 cents"
+    same = item
+    for x in ("3", "8", "12", "40", "9"):
+        same = same.replace(f" {x} ", " 7 ")
+    moved = item.replace(" 3 ", " 4 ").replace(" 8 ", " 5 ").replace(" 12 ", " 6 ").replace(" 40 ", " 70 ").replace(" 9 ", " 11 ")
+    got = find(spark, [same, moved, item], [(1, item)])
+    assert set(got) == {(1, 1), (2, 1)}
+
+
+def test_very_long_text_and_salted_join(spark, monkeypatch):
+    filler = "words that say nothing at all about it " * 40_000
+    texts = [filler + ITEM + " " + filler, filler]
+    assert set(find(spark, texts)) == {(0, 1)}
+    monkeypatch.setattr(leaks, "BROADCAST_ROWS", 0)
+    assert set(find(spark, texts)) == {(0, 1)}
