@@ -43,7 +43,8 @@ from chronoweave.llm.language import fold
 from chronoweave.llm.staging import read_table, release, stage
 from chronoweave.llm.textops import U, mix, words_of
 
-ORDER = 3
+#: Words of the longest n-gram. Any order works; see the README for what order 3 costs.
+ORDER = 2
 #: Words and histories are known by so many bits of their hash.
 HASH_BITS = 56
 END = U(0xE0E0E0E0E0E0E0)
@@ -277,8 +278,9 @@ class _Grams:
         got = [(b, unpack(answers[b])) for b in sorted(answers)]
         if got:
             self.count[self.sent] = np.concatenate([x[0] for _, x in got])
-            self.sole[self.sent] = np.concatenate([x[1] for _, x in got]).astype(bool)
-            self.number[self.sent] = np.concatenate([np.cumsum(x[2], dtype=np.int64) + learnt.places[order][b] for b, x in got])
+            if any(len(x[1]) for _, x in got):
+                self.sole[self.sent] = np.concatenate([x[1] for _, x in got]).astype(bool)
+                self.number[self.sent] = np.concatenate([np.cumsum(x[2], dtype=np.int64) + learnt.places[order][b] for b, x in got])
         seen = self.count > 0
         self.p = np.where(seen, less(self.count, lost) / np.maximum(self.known, 1), learnt.free)
         if self.lower is None:
@@ -360,7 +362,7 @@ def _joint(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     return names, np.split(at.astype(np.int32), np.cumsum([len(x) for x in parts])[:-1])
 
 
-def _add_up(order: int, learnt):
+def _add_up(order: int, last: bool, learnt):
     """Counts of a bucket's n-grams, answered to its chunks; a last row with the numbers of n-grams, also by count, and the split histories' sums."""
 
     def answer(rows: list[dict]) -> pa.Table:
@@ -400,7 +402,7 @@ def _add_up(order: int, learnt):
             sums = _sums(history, np.where(count > 0, less(low, lost), 0) / over[history], len(names)) + ones * (1 - lost[1]) / over
             several = np.unique(np.concatenate([r[p[7] & 1 > 0] for r, p in zip(run_at, parts, strict=True)]))
             split = [{"name": int(x), "n": t, "low": y} for x, t, y in zip(names[several].tolist(), times[:, several].T.tolist(), sums[several].tolist(), strict=True)]
-        out, begin = [], 0
+        out, begin, none = [], 0, 0 if last else None  # the longest n-grams are no histories, so nobody asks for these two
         for i, p in enumerate(parts):
             mine = at[begin : begin + len(p[0])]
             begin += len(mine)
@@ -409,7 +411,7 @@ def _add_up(order: int, learnt):
                 unseen = (np.bincount(np.repeat(np.arange(len(lengths[i])), lengths[i])[c == 0], minlength=len(lengths[i])) > 0) | (p[7] & 2 > 0)
                 asked = np.flatnonzero(unseen & (p[7] & 1 == 0))
                 more = (small(asked), *(small(x) for x in times[:, run_at[i][asked]]), sums[run_at[i][asked]])
-            out.append({"chunk": chunks[i], "kind": order, "part": bucket, "blob": pack(small(c), (many[mine] == 1).view(np.uint8), small(gaps(mine.astype(np.int64))), *more)})
+            out.append({"chunk": chunks[i], "kind": order, "part": bucket, "blob": pack(small(c), (many[mine] == 1).view(np.uint8)[:none], small(gaps(mine.astype(np.int64)))[:none], *more)})
         out.append({"kind": order, "part": bucket, "types": len(types), "n": _seen_times(count).tolist(), "split": split})
         return answer(out)
 
@@ -459,7 +461,7 @@ def score(docs: DataFrame, held_out=None, order: int = ORDER, chunk_bytes: int =
     for k in range(1, order + 1):
         now = sc.broadcast(learnt)
         asked = own.mapInArrow(_ask_first(now), REQUESTS) if k == 1 else _with(own, answers).applyInArrow(_ask(k, now), REQUESTS)
-        counts = stage(asked.groupBy("bucket").applyInArrow(_add_up(k, now), ANSWERS), "ngrams")
+        counts = stage(asked.groupBy("bucket").applyInArrow(_add_up(k, k == order, now), ANSWERS), "ngrams")
         del asked
         facts = counts.where("blob IS NULL")
         n = np.zeros(CUT + 3, np.int64)
