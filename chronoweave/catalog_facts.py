@@ -154,34 +154,6 @@ def e_distinct_first(spark, d):
     return asof.distinct_first(table(spark, d, "events").withColumnRenamed("event_id", "pos"), "user_id", "event_type").select("user_id", "event_type", F.col("pos").alias("event_id"))
 
 
-@query("SELECT p_type, price, row_number() OVER (ORDER BY price, p_type)::INT AS place FROM (SELECT p_type, min(p_retailprice) AS price FROM part GROUP BY p_type)")
-def e_pool_min(spark, d):
-    pool = table(spark, d, "part").groupBy("p_type").agg(F.min("p_retailprice").alias("price"))
-    return pool.withColumn("place", F.row_number().over(Window.orderBy("price", "p_type")))
-
-
-@query(
-    """SELECT p.p_partkey, p.p_retailprice FROM part p, (SELECT p_retailprice AS price, p_type AS kind, p_partkey AS k FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)) r
-WHERE p.p_retailprice < r.price + 200 AND p.p_size > 10 AND lower(p.p_type) = lower(r.kind) AND p.p_partkey <> r.k"""
-)
-def e_filter_reference(spark, d):
-    part = table(spark, d, "part")
-    first = F.broadcast(part.agg(F.min_by(F.struct((F.col("p_retailprice") + 200).alias("price"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("k")), "p_partkey").alias("r")))
-    checks = [F.col("p_retailprice") < F.col("r.price"), F.col("p_size") > 10, F.lower("p_type") == F.lower("r.kind"), F.col("p_partkey") != F.col("r.k")]
-    return part.crossJoin(first).where(checks[0] & checks[1] & checks[2] & checks[3]).select("p_partkey", "p_retailprice")
-
-
-@query("SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey)::INT AS place FROM supplier WHERE s_acctbal > 0")
-def e_ordered_list(spark, d):
-    s = table(spark, d, "supplier").where("s_acctbal > 0")
-    return s.select("s_nationkey", "s_suppkey", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("place"))
-
-
-@query("SELECT p_type, min_by(p_partkey, (p_retailprice, p_partkey)) AS p_partkey FROM part WHERE p_size <= 25 GROUP BY p_type")
-def e_entity_top1(spark, d):
-    return table(spark, d, "part").where("p_size <= 25").groupBy("p_type").agg(F.min_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("p_partkey"))
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y%m%d')::DOUBLE ELSE o_totalprice END AS value FROM orders")
 def e_order_value(spark, d):
     raw = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.col("o_totalprice").cast("string"))
@@ -190,20 +162,6 @@ def e_order_value(spark, d):
     return facts.select("o_orderkey", order_value(name, F.struct("object_raw", "object_num")).alias("value"))
 
 
-@query("SELECT c_nationkey, arg_max(c_custkey, (c_acctbal, -c_custkey)) AS best, arg_min(c_custkey, (c_acctbal, c_custkey)) AS least FROM customer GROUP BY c_nationkey")
-def l_compare(spark, d):
-    c = table(spark, d, "customer")
-    return c.groupBy("c_nationkey").agg(F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("best"), F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("least"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size > 10 AND p_retailprice > (SELECT avg(p_retailprice) FROM part) AND p_type LIKE '%STEEL%' THEN 'yes' ELSE 'no' END AS answer FROM part")
-def l_boolean_checks(spark, d):
-    part = table(spark, d, "part")
-    mean = F.broadcast(part.agg(F.avg("p_retailprice").alias("mean")))
-    checks = F.array(F.col("p_size") > 10, F.col("p_retailprice") > F.col("mean"), F.col("p_type").contains("STEEL"))
-    return part.crossJoin(mean).select("p_partkey", F.when(F.forall(checks, lambda x: x), "yes").otherwise("no").alias("answer"))
-
-
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN strftime(ts, '%Y') WHEN 2 THEN event_id::VARCHAR ELSE event_type END AS answer FROM events")
 def l_scalar_answer(spark, d):
     e = table(spark, d, "events")
@@ -301,22 +259,28 @@ def v_entity(spark, d):
 
 
 @query(
-    """SELECT n_regionkey, true AS set_correct, count(*) < 2 OR false AS order_correct, CASE WHEN count(*) < 2 THEN 'matched' ELSE 'ordered_list_order_not_matched' END AS order_reason FROM nation GROUP BY n_regionkey"""
+    """WITH r AS (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY 1)
+SELECT k AS n_regionkey, k % 3 = 0 AS set_correct, k % 3 = 0 AND n < 2 AS order_correct,
+  CASE k % 3 WHEN 0 THEN 'matched' WHEN 1 THEN 'entity_list_not_matched' ELSE 'entity_list_length_not_matched' END AS set_reason,
+  CASE k % 3 WHEN 0 THEN CASE WHEN n < 2 THEN 'matched' ELSE 'ordered_list_order_not_matched' END WHEN 1 THEN 'ordered_list_not_matched' ELSE 'ordered_list_length_not_matched' END AS order_reason FROM r"""
 )
 def v_lists(spark, d):
     n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("truth"))
-    answer, truth = F.array_join(F.reverse("truth"), ", "), F.to_json("truth")
+    k, given = F.col("n_regionkey") % 3, F.reverse("truth")
+    given = F.when(k == 0, given).when(k == 1, F.concat(F.array(F.lit("Atlantis")), F.slice(given, 2, 100))).otherwise(F.concat(given, F.array(F.lit("Atlantis"))))
+    answer, truth = F.array_join(given, ", "), F.to_json("truth")
     df = n.select("n_regionkey", score.grade(F.lit("entity_list"), answer, truth).alias("s"), score.grade(F.lit("ordered_list"), answer, truth).alias("o"))
-    return df.select("n_regionkey", F.col("s.is_correct").alias("set_correct"), F.col("o.is_correct").alias("order_correct"), F.col("o.reason").alias("order_reason"))
+    return df.select("n_regionkey", F.col("s.is_correct").alias("set_correct"), F.col("o.is_correct").alias("order_correct"), F.col("s.reason").alias("set_reason"), F.col("o.reason").alias("order_reason"))
 
 
-@query("SELECT s_suppkey, s_suppkey % 2 = 0 AS is_correct, true AS same, CASE WHEN s_suppkey % 2 = 0 THEN 'matched' ELSE 'multi_field_not_matched' END AS reason, 'ordered' AS mapping FROM supplier")
+@query("SELECT s_suppkey, s_suppkey % 2 = 0 AS is_correct, CASE WHEN s_suppkey % 2 = 0 THEN 'matched' ELSE 'multi_field_not_matched' END AS reason, CASE WHEN s_suppkey % 3 = 0 THEN 'labeled' ELSE 'ordered' END AS mapping FROM supplier")
 def v_fields(spark, d):
     key = F.col("s_suppkey")
     fields = F.to_json(F.array(F.struct(F.lit("number").alias("name"), F.lit("year").alias("type"), key.cast("string").alias("value")), F.struct(F.lit("who").alias("name"), F.lit("entity").alias("type"), F.col("s_name").alias("value"))))
-    answer = F.concat((key + F.when(key % 2 == 0, 0).otherwise(1)).cast("string"), F.lit(", "), F.replace("s_name", F.lit("#"), F.lit("#")))
+    year = (key + F.when(key % 2 == 0, 0).otherwise(1)).cast("string")
+    answer = F.when(key % 3 == 0, F.concat(F.lit("who: "), F.col("s_name"), F.lit("; number: "), year)).otherwise(F.concat(year, F.lit(", "), F.col("s_name")))
     v = score.grade(F.lit("multi_field"), answer, fields)
-    return table(spark, d, "supplier").select("s_suppkey", v.alias("v")).select("s_suppkey", "v.is_correct", F.lit(True).alias("same"), "v.reason", "v.mapping")
+    return table(spark, d, "supplier").select("s_suppkey", v.alias("v")).select("s_suppkey", "v.is_correct", "v.reason", "v.mapping")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from chronoweave.catalog_facts import table
 from chronoweave.functions import text as T
 from chronoweave.operators import chunk, clean, retrieve
-from chronoweave.sources.facts import keyed_lines, with_manifest_defaults
+from chronoweave.sources.facts import keyed_lines, record_json, with_manifest_defaults
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -77,9 +77,9 @@ chunks AS (SELECT doc_id, heading, text, row_number() OVER (PARTITION BY doc_id
 HINTS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{n}' END" for n, p in NAMES.items()) + "], lambda x: x IS NOT NULL)"
 
 
-@query(CHUNKS + f"SELECT chunk_id, heading AS section, md5(text) AS hash, array_to_string({HINTS}, ',') AS hints, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''))::INT AS tokens FROM chunks")
+@query(CHUNKS + f"SELECT chunk_id, heading AS section, md5(text) AS hash, array_to_string({HINTS}, ',') AS hints, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''))::INT AS tokens, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^\\pL\\pN_])the($|[^\\pL\\pN_])') THEN 'the' END, CASE WHEN regexp_matches(lower(text), '(^|[^\\pL\\pN_])und($|[^\\pL\\pN_])') THEN 'und' END, CASE WHEN regexp_matches(lower(text), '(^|[^\\pL\\pN_])de($|[^\\pL\\pN_])') THEN 'de' END], lambda x: x IS NOT NULL), ',') AS tags FROM chunks")
 def c_chunks(spark, d):
-    return _chunks(spark, d).select("chunk_id", "section", F.md5("text").alias("hash"), F.array_join("predicate_hints", ",").alias("hints"), F.col("tokens_estimate").alias("tokens"))
+    return _chunks(spark, d).select("chunk_id", "section", F.md5("text").alias("hash"), F.array_join("predicate_hints", ",").alias("hints"), F.col("tokens_estimate").alias("tokens"), F.array_join("entities", ",").alias("tags"))
 
 
 @query(
@@ -234,15 +234,15 @@ def r_term_scores(spark, d):
 
 @query(
     """WITH c AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
-b AS (SELECT source, rank, length('[R' || rank || ' | source_id=' || source || ' | section= | score=1.00]' || E'\\nURL: ' || E'\\n' || text || E'\\n') AS len FROM c),
+b AS (SELECT source, rank, '[R' || rank || ' | source_id=' || source || ' | section= | score=1.00]' || E'\\nURL: ' || E'\\n' || text || E'\\n' AS block, length(block) AS len FROM c),
 r AS (SELECT *, sum(len) OVER (PARTITION BY source ORDER BY rank) AS run FROM b)
-SELECT source, count(*) AS n FROM r WHERE run <= 30000 GROUP BY source"""
+SELECT source, count(*) AS n, md5(trim(string_agg(block, E'\\n' ORDER BY rank), E' \\t\\n\\r\\x0b\\f')) AS context FROM r WHERE run <= 30000 GROUP BY source"""
 )
 def r_pack_context(spark, d):
     docs = _docs(spark, d)
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
     ranked = docs.select("source", F.col("source").alias("source_id"), "text", rank.alias("rank"), F.lit(1.0).alias("score"), F.lit("").alias("url"), F.lit("").alias("section"))
-    return retrieve.pack(ranked, 30_000, ["source"]).select("source", "n")
+    return retrieve.pack(ranked, 30_000, ["source"]).select("source", "n", F.md5("context").alias("context"))
 
 
 @query(RANKED + "SELECT chunk_id, rank::INT AS rank, false AS fallback FROM ranked")
@@ -296,6 +296,7 @@ def i_manifest(spark, d):
     return with_manifest_defaults(m).select("doc_id", "domain", "trust_level", F.size("target_questions").alias("n_targets"))
 
 
-@query("""SELECT n_nationkey, '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS json FROM nation""")
+@query("""SELECT s_suppkey, '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '","share":' || round(s_acctbal / 7, 4) || ',"none":null}' AS json FROM supplier""")
 def i_json(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.to_json(F.struct("n_name", "n_regionkey")).alias("json"))
+    df = table(spark, d, "supplier").select("s_suppkey", "s_name", (F.col("s_acctbal") / 7).alias("share"), F.lit(None).cast("string").alias("none"))
+    return df.select("s_suppkey", record_json(df, *df.columns).alias("json"))

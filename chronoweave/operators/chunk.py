@@ -155,3 +155,26 @@ def count_facts(entries: DataFrame, key: str = "source_id") -> DataFrame:
     said = F.concat(F.lit("As of "), F.get(names, month), F.lit(" "), year, F.lit(", "), "planet", F.lit(" had "), (F.col("n") + F.col("u")).cast("string"), F.lit(" confirmed moons or listed satellites in this source's discovery table. The count includes entries available through "), F.col("last.reference"), F.when(F.col("last.label") != "", F.concat(F.lit(" ("), F.col("last.label"), F.lit(")"))).otherwise(F.lit("")), F.lit(" and excludes later MPEC entries."))
     dated = per.select(*group, F.concat(F.lower("planet"), F.lit("_satellite_count_as_of_"), year, F.lit("_"), F.lpad(month.cast("string"), 2, "0")).alias("fact_id"), heading.alias("heading"), said.alias("text"))
     return total.unionByName(dated)
+
+
+def all_chunks(docs: DataFrame, size: int = 140, overlap: int = 30, entities=T.CHUNK_ENTITIES, hints=T.PREDICATE_HINTS) -> DataFrame:
+    """chunks(), and after them the sources' count facts as chunks: numbered <source>_fact_0000 on from the text chunks' number, with
+    structured_fact_id; content_type tells them apart."""
+    text = chunks(docs, size, overlap, entities, hints).withColumn("structured_fact_id", F.lit(None).cast("string"))
+    begin = text.groupBy("source_id").agg((F.max("nth") + 1).alias("begin"))
+    facts = count_facts(satellite_entries(docs.select("source_id", "text"))).join(docs.drop("text"), "source_id").join(begin, "source_id", "left")
+    nth = F.coalesce("begin", F.lit(0)) + F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("fact_id").contains("_as_of_"), "fact_id")) - 1
+    facts = facts.withColumn("nth", nth)
+    facts = facts.select(
+        F.format_string("%s_fact_%04d", "source_id", "nth").alias("chunk_id"),
+        *docs.drop("text").columns,
+        F.col("heading").alias("section"),
+        "text",
+        T.entity_tags(F.col("text"), entities).alias("entities"),
+        T.predicate_hints(F.col("text"), hints).alias("predicate_hints"),
+        F.greatest(F.size(T.words(F.col("text"))), F.lit(1)).alias("tokens_estimate"),
+        F.lit("structured_fact").alias("content_type"),
+        "nth",
+        F.col("fact_id").alias("structured_fact_id"),
+    )
+    return text.unionByName(facts)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructType
 
 from chronoweave.functions import text as T
@@ -76,12 +76,25 @@ def clean(pages: DataFrame, html: str = "html", fallback: str = "page_id") -> Da
     return df.withColumns({"content_hash": F.sha2("text", 256), "char_count": F.length("text")})
 
 
-def ingest(manifest: DataFrame, known: DataFrame, cleaned: DataFrame, refresh: bool = False) -> DataFrame:
+CLEANERS = ("wikipedia", "generic_html")
+
+
+def checked_cleaner(cleaner: Column) -> Column:
+    """The cleaner's name; an error for one that is not known."""
+    return F.when(cleaner.isin(*CLEANERS), cleaner).otherwise(F.raise_error(F.concat(F.lit("unknown cleaner: "), F.coalesce(cleaner, F.lit("null")))).cast("string"))
+
+
+def ingest(manifest: DataFrame, known: DataFrame, cleaned: DataFrame, refresh: bool = False, limit: int | None = None) -> DataFrame:
     """Documents of a manifest's sources: known ones keep their text and take the manifest's metadata; the others are read anew.
+    limit: only the manifest's first sources, by pos where it has one.
 
     manifest(source_id, ...), known and cleaned(source_id, title, text, content_hash, char_count).
     """
     body = ["title", "text", "content_hash", "char_count"]
+    if limit is not None:
+        manifest = manifest.orderBy("pos" if "pos" in manifest.columns else "source_id").limit(limit)
+    if "cleaner" in manifest.columns:
+        manifest = manifest.withColumn("cleaner", checked_cleaner(F.col("cleaner")))
     old = known.select("source_id", *body)
     kept = manifest.join(old, "source_id") if not refresh else manifest.join(old, "source_id").where("false")
     fresh = manifest.join(kept.select("source_id"), "source_id", "left_anti").join(cleaned.select("source_id", *body), "source_id")

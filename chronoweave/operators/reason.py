@@ -14,6 +14,7 @@ from chronoweave.functions.timewin import bounds, in_bounds, time_start
 from chronoweave.operators.asof import asof_lookup, best_order, facts_text
 from chronoweave.plans.question import ORDERABLE, compile_questions
 from chronoweave.sources.facts import to_number
+from chronoweave.sources.work import written
 
 # Words and labels that decide results.
 ATTRIBUTES = {
@@ -119,10 +120,15 @@ def _reference() -> Column:
 def reason(questions: DataFrame, facts: DataFrame) -> DataFrame:
     """Answers (qid, question, kind, ...) from facts alone.
 
-    Adds plan, strategy, derived (entities, null unless a pool answered),
+    A struct column time_override (semantic, value), where not null, stands in
+    for the question's own time. Adds plan, strategy, derived (entities, null unless a pool answered),
     reasoned and raw (arrays of facts), context (their text) and answer.
     """
-    q = compile_questions(questions).persist()  # read by every branch below; a lost part is compiled again
+    q = compile_questions(questions)
+    if "time_override" in questions.columns:
+        other = F.col("time_override")
+        own = F.col("plan").withField("semantic", other["semantic"]).withField("time_value", other["value"]).withField("has_time", F.lit(True)).withField("time_constraint", other["value"])
+        q = q.withColumn("plan", F.when(other.isNotNull(), own).otherwise(F.col("plan")))
     p = lambda name: F.col(f"plan.{name}")
     has = lambda m: F.array_contains("plan.modifiers", m)
     pool_class = F.coalesce(p("target_class"), p("list_target"))
@@ -139,14 +145,14 @@ def reason(questions: DataFrame, facts: DataFrame) -> DataFrame:
     mode = F.when((p("primary") == "LIST") | direct_class, F.when(has("ordering") & has("filter"), "filter_order").when(has("ordering") | (direct_class & p("ordering_attribute").isNotNull()), "order").when((p("primary") == "LIST") | (F.size(p("conditions")) > 0), "filter"))
     q = q.withColumn("mode", F.when(F.col("uses"), mode))
 
-    q = q.persist()
-    facts = facts.persist()
+    q = written(q, "plans")  # read by every branch below
     every = pools(facts)
     pool = q.where("mode IS NOT NULL").select("qid", "class").join(every, "class").select("qid", "entity", "place")
     bare = q.where("mode IN ('order', 'filter_order')").join(pool.select("qid").distinct(), "qid", "left_anti").select("qid", F.lower("attribute").alias("_p"))
     own = bare.join(facts.select(F.lower("predicate").alias("_p"), F.col("subject").alias("entity")).distinct(), "_p").select("qid", "entity")
-    pool = pool.unionByName(own.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("entity"))))
-    found = asof_lookup(_requests(q, pool), facts, ["qid", "role", "k", "place", "entity"]).persist()
+    pool = written(pool.unionByName(own.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("entity")))), "pool")
+    found = asof_lookup(_requests(q, pool), facts, ["qid", "role", "k", "place", "entity"])
+    found = written(found, "found")
 
     conditions = q.select("qid", "mode", F.col("plan.entities").alias("es"), F.col("plan.helpers").alias("hs"), F.posexplode("plan.conditions").alias("k", "x")).withColumn("r", _reference())
     reference = found.where("role = 'reference'").select("qid", "k", F.col("fact.object_num").alias("limit_num"))
@@ -231,7 +237,7 @@ def _loose(q: DataFrame, facts: DataFrame) -> DataFrame:
 def _largest_dwarf(q: DataFrame, every: DataFrame, facts: DataFrame) -> DataFrame:
     """(qid, largest): the dwarf planet of greatest diameter at the question's time, for questions that ask for it."""
     asks = q.where(F.lower("question").contains("largest diameter") | F.lower("question").contains("largest size")).select("qid", "c")
-    members = asks.crossJoin(F.broadcast(every.where("class = 'dwarf_planets'").select("entity", "place").limit(10_000)))
+    members = asks.withColumn("class", F.lit("dwarf_planets")).join(every, "class").drop("class")
     found = asof_lookup(members.withColumns({"subject": F.col("entity"), "predicate": F.lit("diameter")}), facts, ["qid", "entity"])
     return found.where("fact.object_num IS NOT NULL").groupBy("qid").agg(F.max_by(F.struct("entity", F.col("fact.object_num").alias("value")), F.struct(F.col("fact.object_num"), -F.col("place"))).alias("largest"))
 

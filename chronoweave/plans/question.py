@@ -251,7 +251,7 @@ def compile_questions(df: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
     n = F.size("_e")
     none = F.array().cast("array<string>")
     first = lambda k: F.slice("_e", 1, k)
-    rest = lambda k: F.when(n > k, F.slice("_e", k + 1, 1000)).otherwise(none)
+    rest = lambda k: F.when(n > k, F.slice("_e", k + 1, F.size("_e"))).otherwise(none)
     two = comparing & (n >= 2)
     yes_no = low.rlike(r"^(?:is|are|was|were|does|did)\b") & (n >= 2)
     whole = ((n >= 2) & (F.size("_mp") == 1) & low.rlike(r"\band\b")) | ((n == 1) & (F.size("_mp") > 0))

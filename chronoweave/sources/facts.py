@@ -6,6 +6,8 @@ object_num reads numbers and booleans, object_bool booleans.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chronoweave.functions.timewin import time_end, time_start
@@ -38,6 +40,44 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return typed(rows.select(F.col("pos").cast("long"), "f.*").withColumnRenamed("object", "object_raw"))
 
 
+def read_questions(spark: SparkSession, path: str, ids: Sequence[int] | None = None) -> DataFrame:
+    """A JSON array of questions, in file order by pos; of the given ids, or all. value, fields and ground_truth (value, else
+    fields, else empty) are JSON text."""
+    text = spark.read.text(path, wholetext=True)
+    spec = "struct<kind:string,value:variant,fields:variant>"
+    rows = text.select(F.posexplode(F.from_json("value", f"array<struct<id:int,question:string,answer_spec:{spec},entities:array<string>,type:string>>")).alias("pos", "q"))
+    part = lambda name: F.to_json(F.col(f"q.answer_spec.{name}"))
+    out = rows.select("q.id", "q.question", F.col("q.answer_spec.kind").alias("kind"), part("value").alias("value"), part("fields").alias("fields"), "q.entities", "q.type", F.col("pos").cast("long").alias("pos"))
+    out = out.withColumn("ground_truth", F.coalesce("value", "fields", F.lit("")))
+    return out if ids is None else out.where(F.col("id").isin(list(ids)))
+
+
+def row_by_id(df: DataFrame, value, key: str = "id") -> DataFrame:
+    """The first row with that key; an error when it is read if there is none."""
+    one = df.where(F.col(key) == F.lit(value)).limit(1).withColumn("_hit", F.lit(True))
+    missing = F.raise_error(F.lit(f"no row with {key} {value}")).cast("boolean")
+    out = df.sparkSession.range(1).select().join(one, F.lit(True), "left")
+    return out.where(F.when(F.col("_hit").isNull(), missing).otherwise(F.lit(True))).drop("_hit")
+
+
+def read_lines(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
+    """JSON lines, blank ones skipped; with a key the last line of each counts, in line order. A missing file has no rows."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    lines = spark.read.text(path).withColumn("_pos", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    out = lines.select("_pos", F.from_json("value", schema).alias("r")).select("_pos", "r.*")
+    return (out if key is None else keyed_lines(out, key, "_pos")).drop("_pos")
+
+
+def record_json(df: DataFrame, *columns: str) -> Column:
+    """The columns of df as one JSON object, fractions rounded to four places, null ones kept."""
+    kinds = dict(df.dtypes)
+    columns = [F.round(c, 4).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns]
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def facts_from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Facts from (subject, predicate, object text, time) tuples, in their order."""
     return typed(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "pos long, subject string, predicate string, object_raw string, time string"))
@@ -79,8 +119,9 @@ def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
     return keyed_lines(df.withColumn("id", F.col("id").try_cast("int")).where("id IS NOT NULL"), "id").drop("pos")
 
 
-def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Results as Parquet, JSON lines or CSV with a header; nested columns become JSON text in CSV."""
+def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """Results as Parquet, JSON lines or CSV with a header; nested columns become JSON text in CSV. With mode append, parts of a
+    run that may fail are kept as they come."""
     if fmt == "csv":
         df = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
-    df.write.mode("overwrite").option("header", fmt == "csv").format(fmt).save(path)
+    df.write.mode(mode).option("header", fmt == "csv").format(fmt).save(path)
