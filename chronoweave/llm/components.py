@@ -20,21 +20,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """For edges (a, b) of ordered ids (numbers, strings or bytes): (node, component), the component being the least id in it.
 
     Nodes without an edge to another node are not in the result. Each round is
     written to the shared folder; nothing is gathered on the driver but one
-    checksum a round.
+    checksum a round. Rounds go on until nothing changes; their number grows
+    with the logarithm of the longest path at most squared.
     """
     now = stage(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         now = stage(_star(_star(now, True), False), "edges")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

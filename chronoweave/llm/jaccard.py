@@ -15,7 +15,9 @@ shingles in one order for all documents) share a shingle.
    whose differing bits never outnumber the shingles in which two sets differ.
 4. Groups expand to those of their distinct sets that are left, which are
    verified against each other on whole sets, in blocks of bounded size.
-   A task gives a spanning forest of the links it finds.
+   A task gives a spanning forest of the links it finds. Under a leader of
+   several blocks all sets meet its first set, the pivot, and two sets that
+   both link with it need not meet: they are in one component already.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from chronoweave.llm.components import components
-from chronoweave.llm.staging import read_table, stage
+from chronoweave.llm.staging import read_table, spare, stage
 from chronoweave.llm.textops import U, mix, sub_batches, windows, words_of
 
 SHINGLE, PERCENT = 5, 75
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
-SALTS = 16
+#: A prefix shingle that the sketch counts more often is dealt to so many more tasks.
+SALTED = 4096
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -93,12 +96,12 @@ def _signer(levels):
         hot_from = int(np.median(table)) + 6
         seen: set[int] = set()
         for batch in sub_batches(batches):
-            sizes, sets, groups, rare, hot, bits = [], [], [], [], [], []
+            sizes, sets, groups, rare, hot, salts, bits = [], [], [], [], [], [], []
             for x in shingle_sets(batch.column("text")):
                 n = len(x)
                 sizes.append(n)
                 if not n:
-                    sets.append(None), groups.append(None), rare.append(None), hot.append(None), bits.append(None)
+                    sets.append(None), groups.append(None), rare.append(None), hot.append(None), salts.append(None), bits.append(None)
                     continue
                 bits.append(parity(x))
                 level = table[_cell(x)]
@@ -108,16 +111,17 @@ def _signer(levels):
                 group = int.from_bytes(xxhash.xxh3_64_digest(prefix.tobytes() + n.to_bytes(8, "little")), "big", signed=True)
                 groups.append(group)
                 if group in seen:
-                    rare.append(None), hot.append(None)
+                    rare.append(None), hot.append(None), salts.append(None)
                     continue
                 if len(seen) < 200_000:  # only saves rows; what is sent twice meets in its group again
                     seen.add(group)
                 often = level[take] >= hot_from
                 rare.append(prefix[~often].view(np.int64))
                 hot.append(prefix[often].view(np.int64))
+                salts.append(np.ceil(2.0 ** (level[take][often] / 4) / SALTED).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("version"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(groups, pa.int64()), _lists(rare), _lists(hot), pa.array(bits, pa.binary())],
-                names=["doc_id", "version", "n", "s", "g", "rare", "hot", "bits"],
+                [batch.column("doc_id"), batch.column("version"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(groups, pa.int64()), _lists(rare), _lists(hot), _lists(salts), pa.array(bits, pa.binary())],
+                names=["doc_id", "version", "n", "s", "g", "rare", "hot", "salts", "bits"],
             )
 
     return sign
@@ -202,7 +206,7 @@ def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             x[owner[starts[p] : starts[p] + counts[p]], k] = 1
         overlap += np.triu(x @ x.T, 1)
     overlap = overlap + overlap.T
-    linked = (100 + PERCENT) * overlap >= PERCENT * (sizes[:, None] + sizes[None, :])
+    linked = (100 + PERCENT) * np.rint(overlap).astype(np.int64) >= PERCENT * (sizes[:, None] + sizes[None, :])
     np.fill_diagonal(linked, False)
     out, fresh = [], np.ones(m, bool)
     for root in range(m):
@@ -231,11 +235,12 @@ def _verify(table: pa.Table) -> pa.Table:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, n, s, g, rare, hot, bits) of each row: set size, key of the set, key of its group, prefix shingles unless sent before, bitmap."""
+    """(doc_id, version, n, s, g, rare, hot, salts, bits) of each row: set size, key of the set, key of its group, prefix shingles unless sent
+    before (of frequent ones also to how many tasks they are dealt), bitmap."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     df = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("version"))
-    return stage(df.mapInArrow(_signer(levels), f"doc_id {kind}, version long, n long, s binary, g long, rare array<long>, hot array<long>, bits binary"), "signatures")
+    return stage(df.mapInArrow(_signer(levels), f"doc_id {kind}, version long, n long, s binary, g long, rare array<long>, hot array<long>, salts array<long>, bits binary"), "signatures")
 
 
 def leaders(signed: DataFrame) -> DataFrame:
@@ -244,10 +249,11 @@ def leaders(signed: DataFrame) -> DataFrame:
     Where sizes in a bucket leap by more than the similarity allows, no pair
     across can link, and the larger ones get a leader of their own.
 
-    Shingles the sketch calls frequent are dealt to SALTS tasks first.
+    Shingles the sketch calls frequent are dealt to several tasks first, as many as their count there calls for.
     """
     rare = signed.select(F.explode("rare").alias("t"), F.lit(0).alias("salt"), "n", "g")
-    hot = signed.select(F.explode("hot").alias("t"), (F.lit(1) + F.pmod(F.xxhash64("g"), F.lit(SALTS))).cast("int").alias("salt"), "n", "g")
+    hot = signed.select(F.inline(F.arrays_zip(F.col("hot").alias("t"), F.col("salts").alias("k"))), "n", "g")
+    hot = hot.select("t", (F.lit(1) + F.pmod(F.xxhash64("g"), F.col("k"))).cast("int").alias("salt"), "n", "g")
     bucket = Window.partitionBy("t", "salt").orderBy("n", "g")
     upto = bucket.rowsBetween(Window.unboundedPreceding, 0)
     leap = lambda before, after: before.isNull() | after.isNull() | (after * PERCENT > before * 100)
@@ -266,23 +272,74 @@ def linked_sets(docs: DataFrame, signed: DataFrame) -> DataFrame:
     sets = stage(sets, "sets")
     own = sets.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("leader"), "g")
     members = leaders(signed).unionAll(own).distinct().join(sets.select("g", "s", "n", "bits"), "g").dropDuplicates(["leader", "s"])
-    pairs = _blocks(stage(members.select("leader", "s", "n", "bits"), "members"))
-    kept = pairs.groupBy("leader", "i", "j").applyInArrow(_filter, "leader long, s binary").distinct()
+    members = _sized(stage(members.select("leader", "s", "n", "bits"), "members"))
+    near = stage(_with_pivots(members, "bits").mapInArrow(_near_by_bits, "leader long, s binary, pivot binary"), "near")
+    pairs = _pairs_of_blocks(members, near).join(members.select("leader", "s", "n", "bits"), ["leader", "s"])
+    kept = pairs.groupBy("leader", "i", "j").applyInArrow(_filter, "leader long, s binary").unionAll(near.select("leader", "s")).unionAll(near.select("leader", F.col("pivot").alias("s"))).distinct()
     kept = stage(kept.join(sets.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "s"), "kept")
     wanted = kept.select("doc_id").distinct()
     text = docs.select("doc_id", F.col("text").cast("string").alias("text")).alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     codes = text.select("text").mapInArrow(_read_sets, "s binary, codes binary").join(kept.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"])
-    edges = _blocks(kept.drop("doc_id")).drop("n").join(codes, "s").groupBy("leader", "i", "j").applyInArrow(_verify, "a binary, b binary")
-    return components(edges).withColumnRenamed("node", "s")
+    codes = stage(codes, "codes")
+    kept = _sized(kept.select("leader", "s", "n"))
+    linked = stage(_with_pivots(kept.where("blocks > 1").join(codes, "s"), "codes").mapInArrow(_linked, "leader long, s binary, pivot binary"), "linked")
+    edges = _pairs_of_blocks(kept, linked).join(codes, "s").groupBy("leader", "i", "j").applyInArrow(_verify, "a binary, b binary")
+    return components(edges.unionAll(linked.select(F.col("pivot").alias("a"), F.col("s").alias("b")))).withColumnRenamed("node", "s")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """members once for each pair (i, j) of blocks of their leader that holds their own block; a block is of bounded size."""
+def _sized(members: DataFrame) -> DataFrame:
+    """members of leaders that have several, with blocks: into how many blocks of bounded size the leader's fit."""
     size = members.groupBy("leader").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
-    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    rows = members.join(size.select("leader", blocks.alias("blocks")), "leader").withColumn("own", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "blocks")
+    return members.join(size.select("leader", _n_blocks().alias("blocks")), "leader")
+
+
+def _n_blocks():
+    return F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+
+
+def _with_pivots(members: DataFrame, what: str) -> DataFrame:
+    """Members of leaders with several blocks, each with the leader's pivot: its first set, in the order of keys."""
+    many = members.where("blocks > 1")
+    pivot = many.groupBy("leader").agg(F.min_by(F.struct("s", "n", what), "s").alias("p"))
+    pivot = pivot.select("leader", F.col("p.s").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col(f"p.{what}").alias("pivot_what"))
+    return many.select("leader", "s", "n", F.col(what).alias("what")).join(pivot, "leader").where("s <> pivot")
+
+
+def _pivotal(test):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n", "what", "pivot_n", "pivot_what")), strict=True)
+            yield batch.select(["leader", "s", "pivot"]).take(pa.array([i for i, r in enumerate(rows) if test(*r)], pa.int64()))
+
+    return run
+
+
+def _overlap_links(n: int, codes: bytes, m: int, other: bytes) -> bool:
+    both = len(np.intersect1d(np.frombuffer(codes, U), np.frombuffer(other, U), assume_unique=True))
+    return (100 + PERCENT) * both >= PERCENT * (n + m)
+
+
+#: Of members with their pivot, those that may link with it, by bitmaps, and those that do, by whole sets.
+_near_by_bits = _pivotal(lambda n, bits, m, other: len(may_link([n, m], [bits, other])) == 2)
+_linked = _pivotal(_overlap_links)
+
+
+def _pairs_of_blocks(members: DataFrame, near: DataFrame) -> DataFrame:
+    """(leader, s, i, j): members gathered in tasks (i, j) so that any two of a leader meet, unless both are near its pivot.
+
+    Members near the pivot are with it in any case, so a leader of a million
+    variants of one text costs one comparison each; only the others, block j,
+    meet all blocks i. A leader that fits in one block is one task.
+    """
+    rows = members.select("leader", "s", "n", "blocks")
+    many = rows.where("blocks > 1").join(near.select("leader", "s", F.lit(True).alias("near")), ["leader", "s"], "left")
+    far = many.where("near IS NULL").groupBy("leader").agg(F.count("*").alias("k"), F.sum("n").alias("total")).select("leader", _n_blocks().alias("apart"))
+    many = many.join(far, "leader")
+    place = lambda of: F.pmod(F.xxhash64("s"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    out = rows.where("blocks = 1").select("leader", "s", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    out = out.unionAll(many.select("leader", "s", place("blocks").alias("i"), every("apart").alias("j")))
+    return out.unionAll(many.where("near IS NULL").select("leader", "s", every("blocks").alias("i"), place("apart").alias("j"))).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -306,9 +363,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = stage(classes(docs), "classes")
     pick = found.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("p"))
     pick = pick.select(F.col("p.doc_id").alias("doc_id"), F.col("p.version").alias("version")).unionAll(found.where("label IS NULL").select("doc_id", "version")).distinct()
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__version") == F.col("k.version"))
-    kept = docs.withColumn("__version", F.xxhash64("text")).alias("d").join(pick.alias("k"), same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "__version"]).drop("__version")
+    own = spare(docs, "version")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{own}") == F.col("k.version"))
+    kept = docs.withColumn(own, F.xxhash64("text")).alias("d").join(pick.alias("k"), same, "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).drop(own)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

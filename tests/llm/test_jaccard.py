@@ -1,5 +1,7 @@
 """The Jaccard join against all pairs."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -54,6 +56,36 @@ def test_one_large_group_in_blocks(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
 
 
+def test_pivots_spare_pairs_and_lose_no_link(spark, monkeypatch):
+    """Many variants of one text, with others that link only with some of them, in small blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(90):
+        own = list(base)
+        for _ in range(rnd.choice((1, 1, 2, 3))):
+            own[rnd.randrange(80)] = f"x{rnd.randrange(1000)}"
+        if i % 9 == 0:
+            own = own[: 60 + i // 9] + [f"z{i // 18}{k}" for k in range(14)]
+        rows.append((i, " ".join(own)))
+    got = jaccard.classes(table(spark, rows).repartition(4)).collect()
+    want = brute(rows)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want and len({c for _, _, c in want}) > 1
+    members = spark.createDataFrame([(1, bytes([i]), 10, 12) for i in range(90)], "leader long, s binary, n long, blocks int")
+    near = members.where("s <> X'00'").select("leader", "s")
+    assert jaccard._pairs_of_blocks(members, near).count() <= 2 * 90 + 12
+
+
+def test_links_of_great_sets_at_the_edge():
+    """A link of exactly 75 percent between sets whose sizes a 32-bit float can't multiply."""
+    n, both = 226_779, 194_382
+    a = np.arange(n, dtype=np.uint64)
+    b = np.concatenate([a[:both], np.arange(n, 2 * n - both, dtype=np.uint64)])
+    assert 100 * both == 75 * (2 * n - both) and jaccard.links_within([a, b]) == [(0, 1)]
+    assert jaccard.links_within([a, np.concatenate([b[1:], [np.uint64(10**9)]])]) == []
+
+
 def test_filter_never_drops_a_link():
     rng = np.random.default_rng(3)
     for _ in range(200):
