@@ -1,14 +1,17 @@
 """The pipeline's stages on a small corpus with odd rows."""
 
 import importlib
+import random
 import subprocess
 import sys
+import zlib
 
 import corpus_pipeline
 from chronoweave.llm import queries
 from tests.llm.common import corpus, table, words
 from tests.llm.test_jaccard import brute
 from tests.llm.test_leaks import ITEM
+from tests.llm.test_lines import BLANK, deleted
 
 BENCH = "item_id long, text string"
 
@@ -45,6 +48,50 @@ def test_stages(spark, tmp_path):
     assert docs.count() == len(before) and all(r.taken == r.size * r.repeats for r in docs.collect())
 
 
+def cut_lines(rows):
+    """The texts without what test_lines' brute force deletes, line by line; documents that lose their last word go."""
+    gone = deleted(rows, lambda x: (x[0], x[2]))
+    out = []
+    for d, t in rows:
+        own = gone.get((d, t), set())
+        nth, kept = -1, []
+        for line in (t or "").split("\n"):
+            word = bool(line.strip(BLANK))
+            nth += word
+            if not (word and nth in own):
+                kept.append(line)
+        if not own or any(x.strip(BLANK) for x in kept):
+            out.append((d, "\n".join(kept)))
+    return out
+
+
+def test_run_like_brute_force(spark, tmp_path):
+    """run() against plain Python for every stage: which documents are left, and with how many words."""
+    rows = [r for r in dict.fromkeys(corpus(21)) if r[0] is not None] + [(3000, "A leak: " + ITEM), (3001, "12 34 56")]
+    d = folder(spark, tmp_path, rows)
+    left = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+    left = cut_lines(left)
+    least = {c for _, n, c in brute(left) if n}
+    left = [(i, t) for i, t in left if str(i) in least and ITEM not in t]
+    got = corpus_pipeline.run(spark, d).collect()
+    assert sorted((r.doc_id, r.size) for r in got) == sorted((i, len(words(t))) for i, t in left)
+    assert all(r.taken == r.size * r.repeats for r in got)
+    total = sum(r.size for r in got)
+    assert all(r.source_size == total and abs(r.target - total) < 1e-6 for r in got), "one source takes its own size"
+    assert sum(r.taken for r in got) == total
+
+
+def test_labels_that_the_text_contradicts_go(spark, tmp_path):
+    rnd = random.Random(2)
+    lexicon = {k: ["".join(rnd.choice(a) for _ in range(rnd.randint(2, 7))) for _ in range(200)] for k, a in (("xx", "abcdefgh"), ("yy", "mnopqrst"))}
+    rows = [(i, " ".join(rnd.choices(lexicon[k], k=40)), k) for i in range(60) for k in [("xx", "yy")[i % 2]]]
+    wrong = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 3 == 1)
+    rows += [(wrong, " ".join(rnd.choices(lexicon["xx"], k=40)), "yy"), (300, " ".join(rnd.choices(lexicon["xx"], k=40)), None)]
+    docs = table(spark, rows)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - {wrong}
+
+
 def test_run_and_empty(spark, tmp_path):
     d = folder(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, d).collect() == []
