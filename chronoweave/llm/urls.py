@@ -15,7 +15,7 @@ from chronoweave.llm.staging import read_table
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 ORDER = 3
 #: Symbols: a-z, 0-9, these, any other byte, and the edge of a URL; the model has at most 2 * 48 ** 4 counts.
-MARKS = "./-_?&=#%:~"
+MARKS = "./-_?&=#%:"
 EDGE, OTHER, SYMBOLS = 0, 47, 48
 FOLDS = 5
 BINS, BIN = 1200, 0.01
@@ -24,7 +24,7 @@ _SYMBOL = np.full(256, OTHER, np.uint8)
 _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[48:58] = np.arange(27, 37)
-for _i, _c in enumerate(MARKS[:10]):
+for _i, _c in enumerate(MARKS):
     _SYMBOL[ord(_c)] = 37 + _i
 
 
@@ -165,8 +165,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     without a rule are allowed if their score reaches the threshold.
 
     A null url, or one without ://, has an empty host and path and score 0.
-    Null ids, repeated rows and other columns pass; an empty table gives no
-    rows; with rules that meet URLs of one kind only, all others are allowed.
+    Null ids, repeated rows and other columns pass; very long urls are scored
+    whole; a score at the threshold (a tie) is allowed, and of rules that fit
+    with the same length the last by name counts; an empty table gives no rows; with rules that meet URLs of one kind only, all others are allowed.
     """
     host, path = split_url(F.col("url").cast("string"))
     df = pages.select("page_id", host.alias("host"), path.alias("path"))

@@ -1,7 +1,10 @@
 """URL rules, the model's probabilities and verdicts."""
 
 import math
+import random
 import re
+import zlib
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -63,6 +66,53 @@ def test_learns_what_rules_say(spark):
     assert {got[i] for i in range(400, 420)} == {"allow"} and {got[i] for i in range(420, 440)} == {"block"}
 
 
+def symbol(byte):
+    c = chr(byte).lower()
+    if "a" <= c <= "z":
+        return ord(c) - 96
+    if "0" <= c <= "9":
+        return ord(c) - 21
+    return 37 + urls.MARKS.index(c) if c in urls.MARKS else urls.OTHER
+
+
+def test_scores_threshold_and_verdicts_like_brute_force(spark):
+    """The whole query against dictionaries: Witten-Bell over every order, the mean ratio, the best parting of the held-out fifth."""
+    rnd = random.Random(9)
+    part = lambda a: "".join(rnd.choice(a) for _ in range(rnd.randint(2, 9)))
+    found = [f"https://{part('abcde')}.{rnd.choice(['org', 'example.org', 'com', 'net'])}/{rnd.choice(['fr', 'de', 'es', 'en', part('xyz')])}/{part('abcxyz019~é')}-{part('mnop')}?q={i}" for i in range(400)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, "", 0) for i, u in enumerate(found)], PAGES)).collect()}
+    texts = {i: "".join(plain(u)[:2]) for i, u in enumerate(found)}
+    known = {i: plain(u)[3] for i, u in enumerate(found) if plain(u)[3]}
+    held = {i for i in known if zlib.crc32(texts[i].encode()) % urls.FOLDS == 0}
+    grams = lambda t: [(*([0] * urls.ORDER + s)[k : k + urls.ORDER], ([0] * urls.ORDER + s)[k + urls.ORDER]) for s in [[symbol(b) for b in t.encode()]] for k in range(len(s))]
+    grams_ended = lambda t: grams(t) + ([tuple(([0] * urls.ORDER + [symbol(b) for b in t.encode()])[-urls.ORDER :]) + (0,)] if t else [])
+    after = {"allow": {}, "block": {}}
+    for i, v in known.items():
+        if i not in held:
+            for g in grams_ended(texts[i]):
+                for k in range(urls.ORDER + 1):
+                    own = after[v].setdefault(g[urls.ORDER - k : urls.ORDER], Counter())
+                    own[g[-1]] += 1
+
+    def log_p(v, g):
+        p = 1 / urls.SYMBOLS
+        for k in range(urls.ORDER + 1):
+            own = after[v].get(g[urls.ORDER - k : urls.ORDER])
+            if own:
+                p = (own[g[-1]] + len(own) * p) / (sum(own.values()) + len(own))
+        return math.log(p)
+
+    score = {i: sum(log_p("allow", g) - log_p("block", g) for g in grams_ended(t)) / max(1, len(grams_ended(t))) for i, t in texts.items()}
+    for i, r in got.items():
+        assert r.score == pytest.approx(score[i], abs=1e-5)
+    bins = Counter((known[i] == "allow", max(-urls.BINS, min(urls.BINS, math.floor(got[i].score / urls.BIN)))) for i in held)
+    hits = lambda b: sum(n for (g, x), n in bins.items() if not g and x < b) / sum(n for (g, _), n in bins.items() if not g) + sum(n for (g, x), n in bins.items() if g and x >= b) / sum(n for (g, _), n in bins.items() if g)
+    best = max(range(-urls.BINS, urls.BINS + 2), key=lambda b: (round(hits(b), 12), -abs(b), b))
+    assert len(held) > 20 and known and len(known) < 400
+    for i, r in got.items():
+        assert r.verdict == known.get(i, "allow" if r.score >= best * urls.BIN else "block")
+
+
 def test_odd_tables(spark):
     assert urls.judge(spark.createDataFrame([], PAGES)).collect() == []
     one = urls.judge(spark.createDataFrame([(1, "http://a.net/" + "x" * 100_000, "", 0), (1, "http://a.net/", "", 0)], PAGES)).collect()
