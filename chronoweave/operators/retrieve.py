@@ -22,6 +22,60 @@ MOON_CLAIMS = (
 )
 
 
+# The points that a hit gives, by the name of its reason.
+POINTS = {
+    "title_url_phrase": 6.0, "title_url_token": 2.5, "title_url_entity": 8.0, "source_entity": 6.0, "text_entity": 3.0, "source_predicate": 5.0,
+    "short_source_penalty": -3.0, "substantial_source": 1.0, "phrase": 3.0, "entity": 5.0, "predicate": 3.0, "exact_time": 14.0,
+    "exact_time_without_entity": 3.0, "year": 4.0, "month": 2.0, "as_of_time_context": 3.0, "moon_count_claim": 8.0, "planet_order_section": 5.0,
+}
+DENSITY = {"phrase_most": 8.0, "phrase_base": 2.0, "phrase_log": 2.0, "token_most": 6.0, "token_weight": 0.8, "token_named": 1.0}
+SHORT_SOURCE, LONG_SOURCE, OTHER_TRUST = 1000, 5000, 0.5
+#: (modifier, points, reason, words of which a source's text has one, or a pattern).
+SUPPORT = (
+    ("filter", 3.0, "filter_support", ("fewer than", "less than", "beyond", "located", "kuiper belt")),
+    ("ordering", 3.0, "ordering_support", ("discovered", "discovery", "in order", "first")),
+    ("comparison", 3.0, "comparison_support", ("greater", "less", "more", "fewer", "mass", "distance")),
+    ("time_lookup", 3.0, "time_support", r"\b(?:as of|by|before|after|in)\s+(?:[a-z]+\s+)?\d{4}\b"),
+)
+#: (modifier or predicate asked for, or none, points, reason, part of the chunk, words of which that has one, only for planets' own pages).
+CONTEXTS = (
+    ("filter", 2.5, "filter_context", "text", ("kuiper belt", "trans-neptunian", "located"), False),
+    ("filter", 2.5, "comparative_filter_context", "text", ("fewer", "less than", "beyond earth", "orbit beyond", "moons"), False),
+    ("moon_count", 5.0, "moon_section", "section", ("moon", "satellite"), False),
+    ("moon_count", 5.0, "moon_count_terms", "text", ("known moons", "confirmed moons", "natural satellites", "confirmed satellites"), False),
+    ("moon_count", 4.0, "planet_moon_context", "text", ("moon", "satellite"), True),
+    ("distance_from_sun", 3.0, "planet_orbit_context", "text", ("from the sun", "au", "orbit", "fifth planet", "seventh planet", "eighth planet", "fourth planet"), True),
+    ("ordering", 2.5, "ordering_context", "text", ("discovered", "discovery", "first observed"), False),
+    ("ordering", 5.0, "ordered_discovery_section", "text", ("in order of discovery",), False),
+    (None, 2.0, "dwarf_planet_context", "text", ("dwarf planet",), False),
+)
+ORDER_SECTIONS, SYSTEM_TITLE, SYSTEM_POINTS, SYSTEM_WORDS = ("inner planets", "outer planets", "orbits"), "solar system", 4.0, ("inner planets", "outer planets", "au)", "from the sun")
+MENTIONS = {"word": "discovered", "least": 2, "base": 2.0, "reason": "multiple_discovery_mentions"}
+WEAK_CHUNKS, WEAK_SCORE = 3, 8.0
+
+
+class Sheet:
+    """Points and reasons of a score: each entry counts where its condition holds."""
+
+    def __init__(self) -> None:
+        self.points: list[Column] = [F.lit(0.0)]
+        self.reasons: list[Column] = []
+
+    def add(self, hit: Column, points: Column | float, reason: Column | str | None, named: Column | None = None) -> None:
+        """named: where the reason is told, if not wherever the points count."""
+        points = points if isinstance(points, Column) else F.lit(points)
+        hit = F.coalesce(hit, F.lit(False))
+        self.points.append(F.when(hit, points).otherwise(0.0))
+        if reason is not None:
+            self.reasons.append(F.when(hit if named is None else hit & named, reason if isinstance(reason, Column) else F.lit(reason)))
+
+    def score(self) -> Column:
+        return reduce(lambda a, b: a + b, self.points)
+
+    def told(self) -> Column:
+        return F.array_compact(F.array(*self.reasons)) if self.reasons else F.array().cast("array<string>")
+
+
 def _any(text: Column, parts: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
 
@@ -68,8 +122,8 @@ def token_counts(df: DataFrame, key: str, terms: Column | None = None) -> DataFr
     return df.select(key, F.explode(T.tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
-def source_score(query: dict) -> Column:
-    """The score of a profile row for one question.
+def source_sheet(query: dict) -> Sheet:
+    """What counts for a profile row (with _tokens, its words) for one question.
 
     query: terms, entities (lower case), predicates and modifiers. Phrases and
     words count in title, url and slug, then by their density in the text, both
@@ -78,33 +132,40 @@ def source_score(query: dict) -> Column:
     """
     where = F.lower(F.concat_ws(" ", "title", "url", T.slug(F.col("url"))))
     text, total = F.col("text"), F.greatest(F.lit(1.0), F.col("token_total") / 1000.0)
-    parts = []
+    sheet = Sheet()
     for term in query["terms"]:
         if " " in term:
             n = T.occurrences(text, F.lit(term))
-            parts += [F.when(where.contains(term), 6.0).otherwise(0.0), F.when(n > 0, F.least(F.lit(8.0), 2.0 + F.log(n + F.lit(1.0)) * 2.0)).otherwise(0.0)]
+            sheet.add(where.contains(term), POINTS["title_url_phrase"], f"title_url_phrase:{term}")
+            sheet.add(n > 0, F.least(F.lit(DENSITY["phrase_most"]), DENSITY["phrase_base"] + F.log(n + F.lit(1.0)) * DENSITY["phrase_log"]), F.concat(F.lit(f"density_phrase:{term}:"), n.cast("string")))
         else:
-            n = F.size(F.filter("_tokens", _is(term)))
-            parts += [F.when(where.contains(term), 2.5).otherwise(0.0), F.least(F.lit(6.0), n / total * 0.8)]
+            density = F.size(F.filter("_tokens", _is(term))) / total
+            points = F.least(F.lit(DENSITY["token_most"]), density * DENSITY["token_weight"])
+            sheet.add(where.contains(term), POINTS["title_url_token"], f"title_url_token:{term}")
+            sheet.add(density > 0, points, F.concat(F.lit(f"density_token:{term}:"), F.format_string("%.2f", density)), points >= DENSITY["token_named"])
     known = F.transform("entities", lambda e: F.lower(e))
-    for e in dict.fromkeys(query["entities"]):
-        parts.append(F.when(where.contains(e), 8.0).when(F.array_contains(known, e), 6.0).when(text.contains(e), 3.0).otherwise(0.0))
+    for e in [e for e in dict.fromkeys(query["entities"]) if e]:
+        titled, listed = where.contains(e), F.array_contains(known, e)
+        sheet.add(titled, POINTS["title_url_entity"], f"title_url_entity:{e}")
+        sheet.add(~titled & listed, POINTS["source_entity"], f"entity:{e}")
+        sheet.add(~titled & ~listed & text.contains(e), POINTS["text_entity"], f"text_entity:{e}")
     for p in query["predicates"]:
-        parts.append(F.when(F.array_contains("predicates", p), 5.0).otherwise(0.0))
-    support = {
-        "filter": _any(text, ("fewer than", "less than", "beyond", "located", "kuiper belt")),
-        "ordering": _any(text, ("discovered", "discovery", "in order", "first")),
-        "comparison": _any(text, ("greater", "less", "more", "fewer", "mass", "distance")),
-        "time_lookup": text.rlike(r"\b(?:as of|by|before|after|in)\s+(?:[a-z]+\s+)?\d{4}\b"),
-    }
-    parts += [F.when(support[m], 3.0).otherwise(0.0) for m in query["modifiers"] if m in support]
+        sheet.add(F.array_contains("predicates", p), POINTS["source_predicate"], f"predicate:{p}")
+    for modifier, points, reason, words in SUPPORT:
+        if modifier in query["modifiers"]:
+            sheet.add(text.rlike(words) if isinstance(words, str) else _any(text, words), points, reason)
     level = F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv])
-    parts += [F.coalesce(F.element_at(level, F.col("trust_level")), F.lit(0.5)), F.when(F.col("char_count") < 1000, -3.0).when(F.col("char_count") > 5000, 1.0).otherwise(0.0)]
-    return F.greatest(reduce(lambda a, b: a + b, parts), F.lit(0.0))
+    sheet.add(F.lit(True), F.coalesce(F.element_at(level, F.col("trust_level")), F.lit(OTHER_TRUST)), F.concat(F.lit("trust:"), F.coalesce("trust_level", F.lit(""))))
+    sheet.add(F.col("char_count") < SHORT_SOURCE, POINTS["short_source_penalty"], "short_source_penalty")
+    sheet.add(F.col("char_count") > LONG_SOURCE, POINTS["substantial_source"], "substantial_source")
+    return sheet
 
 
 def score_sources(profile: DataFrame, query: dict) -> DataFrame:
-    return profile.withColumn("_tokens", T.tokens(F.col("text"))).withColumn("score", source_score(query)).drop("_tokens").where("score > 0")
+    """profile rows with score, 0 at least, and reasons; those without a score go."""
+    sheet = source_sheet(query)
+    df = profile.withColumn("_tokens", T.tokens(F.col("text")))
+    return df.withColumns({"score": F.greatest(sheet.score(), F.lit(0.0)), "reasons": sheet.told()}).drop("_tokens").where("score > 0")
 
 
 def select_sources(scored: DataFrame, profile: DataFrame, top: int = 5, least: float = 8.0, planet_list: bool = False) -> DataFrame:
@@ -121,62 +182,64 @@ def select_sources(scored: DataFrame, profile: DataFrame, top: int = 5, least: f
     return some.unionByName(weak)
 
 
-def time_terms(question: str) -> dict[str, list[str]]:
-    import re
+def time_terms(question: Column) -> Column:
+    """struct(years, months, phrases) that a question names: years from 1800 to 2099, months, and months with a year that stand together."""
+    low = F.lower(question)
+    years = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\b((?:18|19|20)\d{2})\b"), F.lit(1)))
+    months = F.array_compact(F.array(*[F.when(low.rlike(rf"\b{m}\b"), F.lit(m)) for m in MONTHS]))
+    both = F.flatten(F.transform(months, lambda m: F.transform(years, lambda y: F.concat(m, F.lit(" "), y))))
+    return F.struct(years.alias("years"), months.alias("months"), F.filter(both, lambda x: low.contains(x)).alias("phrases"))
 
-    low = question.lower()
-    years = list(dict.fromkeys(re.findall(r"\b(?:18|19|20)\d{2}\b", low)))
-    months = [m for m in MONTHS if re.search(rf"\b{m}\b", low)]
-    return {"years": years, "months": months, "phrases": [f"{m} {y}" for m in months for y in years if f"{m} {y}" in low]}
 
-
-def chunk_score(query: dict) -> Column:
-    """The score of a chunk row for one question: words by 1 + ln tf, phrases, entities, hints, and the contexts of filters, counts, times, orbits and order."""
-    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("section", F.lit("")), "text"))
-    toks = T.tokens(text)
-    tf = lambda term: F.size(F.filter(toks, _is(term)))
-    parts = []
+def chunk_sheet(query: dict) -> Sheet:
+    """What counts for a chunk row (with _all, its lower-case title, section and text, and _tokens) for one question: words by
+    1 + ln tf, phrases, entities, hints, and the contexts of filters, counts, times, orbits and order."""
+    text, sheet = F.col("_all"), Sheet()
+    tf = lambda term: F.size(F.filter("_tokens", _is(term)))
     for term in query["terms"]:
-        parts.append(F.when(text.contains(term), 3.0).otherwise(0.0) if " " in term else F.when(tf(term) > 0, 1.0 + F.log(tf(term))).otherwise(0.0))
+        if " " in term:
+            sheet.add(text.contains(term), POINTS["phrase"], f"phrase:{term}")
+        else:
+            sheet.add(tf(term) > 0, 1.0 + F.log(tf(term)), None)
     entities = [e for e in dict.fromkeys(query["entities"]) if e]
-    parts += [F.when(text.contains(e), 5.0).otherwise(0.0) for e in entities]
-    parts += [F.when(F.array_contains("predicate_hints", p), 3.0).otherwise(0.0) for p in query["predicates"]]
-    if "filter" in query["modifiers"]:
-        parts += [F.when(_any(text, ("kuiper belt", "trans-neptunian", "located")), 2.5).otherwise(0.0), F.when(_any(text, ("fewer", "less than", "beyond earth", "orbit beyond", "moons")), 2.5).otherwise(0.0)]
+    for e in entities:
+        sheet.add(text.contains(e), POINTS["entity"], f"entity:{e}")
+    for p in query["predicates"]:
+        sheet.add(F.array_contains("predicate_hints", p), POINTS["predicate"], f"predicate:{p}")
     section, title = F.lower(F.coalesce("section", F.lit(""))), F.lower(F.coalesce("title", F.lit("")))
     planet = F.replace(title, F.lit(" (planet)"), F.lit("")).isin(*NAMES)
-    if "moon_count" in query["predicates"]:
-        parts += [
-            F.when(_any(section, ("moon", "satellite")), 5.0).otherwise(0.0),
-            F.when(_any(text, ("known moons", "confirmed moons", "natural satellites", "confirmed satellites")), 5.0).otherwise(0.0),
-            F.when(reduce(lambda a, b: a | b, [text.rlike(c) for c in MOON_CLAIMS]), 8.0).otherwise(0.0),
-            F.when(planet & _any(text, ("moon", "satellite")), 4.0).otherwise(0.0),
-        ]
+    wanted = {None, *query["modifiers"], *query["predicates"]}
+    for what, points, reason, part, words, own_page in CONTEXTS:
+        if what in wanted:
+            hit = _any(section if part == "section" else text, words)
+            sheet.add(planet & hit if own_page else hit, points, reason)
+    if "moon_count" in wanted:
+        sheet.add(reduce(lambda a, b: a | b, [text.rlike(c) for c in MOON_CLAIMS]), POINTS["moon_count_claim"], "moon_count_claim")
+    if "distance_from_sun" in wanted:
+        sheet.add(section.isin(*ORDER_SECTIONS), POINTS["planet_order_section"], "planet_order_section")
+        sheet.add((title == SYSTEM_TITLE) & _any(text, SYSTEM_WORDS), SYSTEM_POINTS, "solar_system_order_context")
+    if "ordering" in wanted:
+        n = tf(MENTIONS["word"])
+        sheet.add(n >= MENTIONS["least"], MENTIONS["base"] + F.log(n), MENTIONS["reason"])
     times = query.get("times") or {"years": [], "months": [], "phrases": []}
     named = _any(text, entities) if entities else F.lit(False)
-    parts += [F.when(text.contains(x), F.when(named, 14.0).otherwise(3.0)).otherwise(0.0) for x in times["phrases"]]
-    parts += [F.when(named & text.rlike(rf"\b{y}\b"), 4.0).otherwise(0.0) for y in times["years"]]
-    parts += [F.when(named & text.rlike(rf"\b{m}\b"), 2.0).otherwise(0.0) for m in times["months"]]
+    for x in times["phrases"]:
+        sheet.add(named & text.contains(x), POINTS["exact_time"], f"exact_time:{x}")
+        sheet.add(~named & text.contains(x), POINTS["exact_time_without_entity"], f"exact_time_without_entity:{x}")
+    for unit in ("year", "month"):
+        for x in times[f"{unit}s"]:
+            sheet.add(named & text.rlike(rf"\b{x}\b"), POINTS[unit], f"{unit}:{x}")
     if times["phrases"]:
-        parts.append(F.when(named & text.contains("as of") & _any(text, times["phrases"]), 3.0).otherwise(0.0))
-    if "distance_from_sun" in query["predicates"]:
-        parts += [
-            F.when(section.isin("inner planets", "outer planets", "orbits"), 5.0).otherwise(0.0),
-            F.when((title == "solar system") & _any(text, ("inner planets", "outer planets", "au)", "from the sun")), 4.0).otherwise(0.0),
-            F.when(planet & _any(text, ("from the sun", "au", "orbit", "fifth planet", "seventh planet", "eighth planet", "fourth planet")), 3.0).otherwise(0.0),
-        ]
-    if "ordering" in query["modifiers"]:
-        parts += [
-            F.when(_any(text, ("discovered", "discovery", "first observed")), 2.5).otherwise(0.0),
-            F.when(text.contains("in order of discovery"), 5.0).otherwise(0.0),
-            F.when(tf("discovered") >= 2, 2.0 + F.log(tf("discovered"))).otherwise(0.0),
-        ]
-    parts.append(F.when(text.contains("dwarf planet"), 2.0).otherwise(0.0))
-    return reduce(lambda a, b: a + b, parts)
+        sheet.add(named & text.contains("as of") & _any(text, times["phrases"]), POINTS["as_of_time_context"], "as_of_time_context")
+    return sheet
 
 
 def score_chunks(chunks: DataFrame, query: dict) -> DataFrame:
-    return chunks.withColumn("score", chunk_score(query)).where("score > 0")
+    """chunks with score and reasons; those without a score go. A chunk's words are taken once, whatever the question's terms."""
+    sheet = chunk_sheet(query)
+    df = chunks.withColumn("_all", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("section", F.lit("")), "text")))
+    df = df.withColumn("_tokens", T.tokens(F.col("_all")))
+    return df.withColumns({"score": sheet.score(), "reasons": sheet.told()}).drop("_all", "_tokens").where("score > 0")
 
 
 def term_scores(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -197,7 +260,7 @@ def cap_top(scored: DataFrame, top: int = 12, per_source: int = 4, order: str =
 
 def is_weak(ranked: DataFrame) -> DataFrame:
     """(weak): under three chunks, or a best score under 8."""
-    return ranked.agg(((F.count("*") < 3) | (F.coalesce(F.max("score"), F.lit(0.0)) < 8.0)).alias("weak"))
+    return ranked.agg(((F.count("*") < WEAK_CHUNKS) | (F.coalesce(F.max("score"), F.lit(0.0)) < WEAK_SCORE)).alias("weak"))
 
 
 def with_fallback(selected: DataFrame, everywhere: DataFrame) -> DataFrame:
@@ -208,6 +271,11 @@ def with_fallback(selected: DataFrame, everywhere: DataFrame) -> DataFrame:
     return own.unionByName(other).withColumnRenamed("weak", "fallback")
 
 
+def fallback_reason(weak: Column, selected: Column, source_reason: Column) -> Column:
+    """Why chunks of all sources were taken or sources chosen anyway: weak chunks first, then no sources, then the selection's own reason."""
+    return F.when(weak, "weak_auto_source_chunks").when(selected == 0, "no_sources_selected").otherwise(F.coalesce(source_reason, F.lit("")))
+
+
 def retrieve(chunks: DataFrame, query: dict, sources: DataFrame | None = None, mode: str = "global", top: int = 12, per_source: int = 4, is_list: bool = False) -> DataFrame:
     """The best chunks for a question, of all sources or (auto-source) of the selected ones unless these give a weak result."""
     if mode not in ("global", "auto-source"):
