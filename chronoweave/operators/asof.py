@@ -1,8 +1,8 @@
 """The latest, earliest or as-of fact of each key, and raw retrieval of facts for requests.
 
-Every lookup is an equi-join on the key with the time rule as a residual, then
-a rank of one: Spark keeps a hash or sort-merge join, sees the rank's limit
-and prunes each key's rows before the shuffle.
+Lookups are running minima over a key's facts and requests in the order of
+time, or, where the rule has two sides, an equi-join on the key with the rule
+as a residual and a rank of one, which Spark prunes before the shuffle.
 """
 
 from __future__ import annotations
@@ -57,14 +57,41 @@ def asof_lookup(requests: DataFrame, facts: DataFrame, ids: list[str]) -> DataFr
 
     requests: ids, subject, predicate, and the constraint's c (struct of
     bounds; null for none). Keys compare in lower case. Facts come back as a
-    struct column fact, and requests without one are not in the result.
+    struct column fact, and requests without one are not in the result. Of
+    requests with the same ids one fact, the best of all, is found.
+
+    Requests as of, before or after a time stand among the facts of their key
+    in the order of time, and each reads the best fact so far, so that a key
+    costs its requests plus its facts, not their product. Only requests for a
+    span of time meet every fact of their key.
     """
     left = requests.withColumn("_s", F.lower("subject")).withColumn("_p", F.lower("predicate")).drop("subject", "predicate")
-    right = facts.withColumn("_s", F.lower("subject")).withColumn("_p", F.lower("predicate"))
-    met = left.join(right, ["_s", "_p"]).where(F.col("c").isNull() | in_bounds(F.col("t_start"), F.col("t_end"), F.col("c")))
-    after = F.coalesce(F.col("c")["kind"] == "after", F.lit(False))
-    out = _first(met, ids, best_order(after))
-    return out.select(*[c for c in left.columns if c not in ("_s", "_p", "c")], F.struct(*facts.columns).alias("fact"))
+    kept = [c for c in left.columns if c not in ("_s", "_p", "c")]
+    right = facts.select(F.lower("subject").alias("_s"), F.lower("predicate").alias("_p"), F.col("t_start").alias("_a"), F.col("t_end").alias("_b"), F.col("pos").alias("_n"), F.struct(*facts.columns).alias("fact"))
+    kind = F.col("c")["kind"]
+
+    spans = left.where(kind == "between").join(right, ["_s", "_p"]).where(F.coalesce((F.col("_a") >= F.col("c.s")) & (F.col("_b") <= F.col("c.e")), F.lit(False)))
+    undated = F.row_number().over(Window.partitionBy("_s", "_p").orderBy((-F.col("_b")).asc_nulls_last(), (-F.col("_a")).asc_nulls_last(), F.col("_n")))
+    free = left.where("c IS NULL").join(right.withColumn("_r", undated).where("_r = 1").drop("_r"), ["_s", "_p"])
+
+    # a request at a time follows the facts of that time if these may match, else it stands before them
+    least = F.struct((-F.col("_b")).alias("x"), (-F.col("_a")).alias("y"), F.col("_n").alias("z"))
+    first = F.struct(F.col("_a").alias("x"), F.col("_b").alias("y"), F.col("_n").alias("z"))
+    asked = lambda name, at, turn: left.where((kind == name) & at.isNotNull()).select("_s", "_p", F.lit(name).alias("_k"), at.alias("_at"), F.lit(turn).alias("_t"), F.struct(*kept).alias("_q"))
+    held = lambda name, at, turn, best: right.where("_a IS NOT NULL").select("_s", "_p", F.lit(name).alias("_k"), at.alias("_at"), F.lit(turn).alias("_t"), F.struct(best.alias("o"), "_a", "_b", "_n", "fact").alias("_f"))
+    rows = held("exact", F.col("_a"), 0, least).unionByName(held("before", F.col("_b"), 1, least)).unionByName(held("after", -F.col("_a"), 1, first))
+    rows = rows.join(left.select(F.coalesce(kind, F.lit("")).alias("_k")).distinct().hint("broadcast"), "_k", "left_semi")
+    for name, at, turn in (("exact", F.col("c.e"), 1), ("before", F.col("c.s"), 0), ("after", -F.col("c.e"), 0)):
+        rows = rows.unionByName(asked(name, at, turn), allowMissingColumns=True)
+    upto = Window.partitionBy("_k", "_s", "_p").orderBy("_at", "_t").rowsBetween(Window.unboundedPreceding, 0)
+    timed = rows.withColumn("_f", F.min("_f").over(upto)).where("_q IS NOT NULL AND _f IS NOT NULL")
+    timed = timed.select("_q.*", F.col("_k") == "after", "_f._a", "_f._b", "_f._n", "_f.fact").toDF(*kept, "_after", "_a", "_b", "_n", "fact")
+
+    one = lambda df: df.select(*kept, F.lit(False).alias("_after"), "_a", "_b", "_n", "fact")
+    out = timed.unionAll(one(spans)).unionAll(one(free))
+    early, late = F.col("_a"), F.col("_b")
+    rank = F.row_number().over(Window.partitionBy(*ids).orderBy(F.when(F.col("_after"), early).otherwise(-late).asc_nulls_last(), F.when(F.col("_after"), late).otherwise(-early).asc_nulls_last(), F.col("_n")))
+    return out.withColumn("_r", rank).where("_r = 1").select(*kept, "fact")
 
 
 def retrieve(facts: DataFrame, entities: list[str], predicates: list[str], constraint: str | None = None, semantic: str | None = None, limit: int = 3) -> DataFrame:
