@@ -347,8 +347,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
     component_id is the least doc_id reachable by links. Rows without words
     link with nothing: their component_id is their doc_id and label is null.
-    Null ids are skipped by the minimum; repeated rows count each and link;
-    other columns are ignored; an empty table gives no rows.
+    Null and empty texts have no words. Null ids are skipped by the minimum;
+    repeated rows count each and link; a similarity of exactly 75 percent (a
+    tie) links; very long texts are sets like others; other columns are
+    ignored; an empty table gives no rows.
     """
     signed = signatures(docs)
     rows = signed.select("doc_id", "version", "n", "s").join(linked_sets(docs, signed), "s", "left").withColumn("label", F.coalesce("component", "s"))

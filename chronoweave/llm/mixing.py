@@ -56,9 +56,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float =
     reruns agree. Prefix sums run over 4096 ranges of it per source and only
     then inside a range, so that no task ever holds a whole source.
 
-    Null text has size 0, null source is a source of its own, null doc_id is
-    hashed as empty; repeated rows count each; an empty table gives no rows;
-    other columns are ignored.
+    Null or empty text has size 0, null source is a source of its own, null
+    doc_id is hashed as empty; repeated rows count each; ties in the seeded
+    order go by doc_id, then size; a very long text may make its source miss
+    the target by half its size, as it is taken whole or not; an empty table
+    gives no rows; other columns are ignored.
     """
     base = stage(
         docs.select(
