@@ -334,3 +334,33 @@ def a_regressions(spark, d):
 def a_coverage(spark, d):
     j = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").withColumn("hit", F.lit(True)), "doc_id", "left")
     return score.coverage(j, F.col("hit").isNotNull())
+
+
+#: Answers for a person of two given names and a surname that is the nation's, and whether they are right and by which reason.
+PERSONS = (
+    ("Ann Beth {}", True, False, "matched"), ("Ann {}", True, True, "matched"), ("A. B. {}", True, True, "matched"), ("Ann B. {}", True, True, "matched"), ("{}", False, False, "entity_not_matched"),
+    ("It was Ann {} who saw it", True, True, "matched"), ("Carl {}", False, False, "entity_not_matched"), ("Ann Beth", False, False, "entity_not_matched"),
+)
+
+
+@query(
+    "SELECT n_nationkey, k::INT AS k, is_correct, manual_check, reason FROM nation, (VALUES " + ", ".join(f"({i}, {r}, {m}, '{why}')" for i, (_, r, m, why) in enumerate(PERSONS)) + ") AS p(k, is_correct, manual_check, reason)"
+    " WHERE NOT contains(n_name, ' ')"
+)
+def v_persons(spark, d):
+    n = table(spark, d, "nation").where("NOT contains(n_name, ' ')").withColumn("name", F.regexp_replace(F.initcap(F.translate("n_name", "_-0123456789", "abcdefghijkl")), "[^A-Za-z]", ""))
+    forms = F.array(*[F.struct(F.lit(i).alias("k"), F.replace(F.lit(form), F.lit("{}"), F.col("name")).alias("answer")) for i, (form, *_) in enumerate(PERSONS)])
+    df = n.select("n_nationkey", "name", F.inline(forms)).withColumn("truth", F.concat(F.lit('"Ann Beth '), "name", F.lit('"')))
+    return df.select("n_nationkey", "k", score.grade(F.lit("entity"), F.col("answer"), F.col("truth")).alias("v")).select("n_nationkey", "k", "v.is_correct", "v.manual_check", "v.reason")
+
+
+@query(
+    "SELECT s_suppkey::INT AS k, s_suppkey % 3 <> 2 AS is_correct, CASE s_suppkey % 3 WHEN 2 THEN 'entity_list_not_matched' ELSE 'matched' END AS reason FROM supplier"
+)
+def v_assignment(spark, d):
+    """Lists whose answers fit several goals, so that only an assignment of all shows whether they are right."""
+    k = F.col("s_suppkey")
+    truth = F.to_json(F.array(F.lit("Ann Beth Stone"), F.lit("Ann Carla Stone"), F.concat(F.lit("Item "), k.cast("string"))))
+    given = F.when(k % 3 == 0, F.concat(F.lit("Ann Stone, Ann Beth Stone, Item "), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("Item "), k.cast("string"), F.lit(", A. C. Stone, Ann Stone"))).otherwise(F.concat(F.lit("Ann Carla Stone, A. C. Stone, Item "), k.cast("string")))
+    df = table(spark, d, "supplier").select(k.cast("int").alias("k"), score.grade(F.lit("entity_list"), given, truth).alias("v"))
+    return df.select("k", "v.is_correct", "v.reason")

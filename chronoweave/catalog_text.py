@@ -300,3 +300,28 @@ def i_manifest(spark, d):
 def i_json(spark, d):
     df = table(spark, d, "supplier").select("s_suppkey", "s_name", (F.col("s_acctbal") / 7).alias("share"), F.lit(None).cast("string").alias("none"))
     return df.select("s_suppkey", record_json(df, *df.columns).alias("json"))
+
+
+@query(
+    """WITH e(token, i, term) AS (VALUES """ + ", ".join(f"('{k}', {i}, '{w}')" for k, v in T.EXPANSIONS.items() for i, w in enumerate(v, 1)) + f"""),
+t AS (SELECT n_nationkey, regexp_extract_all(lower('How many of the moons beyond ' || n_name || ' were located, discovered or confirmed with less mass than Jupiter?'), '[a-z0-9]+') AS t FROM nation),
+u AS (SELECT n_nationkey, unnest(t) AS token, unnest(range(len(t))) AS pos FROM t),
+k AS (SELECT * FROM u WHERE token NOT IN ({STOP})),
+x AS (SELECT n_nationkey, token AS term, pos * 100 AS spot FROM k UNION ALL SELECT n_nationkey, term, pos * 100 + i FROM k JOIN e USING (token)),
+m AS (SELECT n_nationkey, term, min(spot) AS spot FROM x GROUP BY ALL)
+SELECT n_nationkey, string_agg(term, '|' ORDER BY spot) AS terms FROM m GROUP BY n_nationkey"""
+)
+def s_expansions(spark, d):
+    text = F.concat(F.lit("How many of the moons beyond "), "n_name", F.lit(" were located, discovered or confirmed with less mass than Jupiter?"))
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(T.query_terms(text), "|").alias("terms"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN k = 0 THEN y ELSE '' END AS years, CASE WHEN k < 2 THEN m ELSE '' END AS months, CASE WHEN k = 0 THEN m || ' ' || y ELSE '' END AS phrases
+FROM (SELECT o_orderkey, o_orderkey % 3 AS k, year(o_orderdate)::VARCHAR AS y, lower(monthname(o_orderdate)) AS m FROM orders)"""
+)
+def r_times(spark, d):
+    day, k = F.col("o_orderdate"), F.col("o_orderkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("As of "), F.date_format(day, "MMMM yyyy"), F.lit(", how many?"))).when(k == 1, F.concat(F.lit("In "), F.date_format(day, "MMMM"), F.lit("?"))).otherwise("When was it 17 or 12345?")
+    df = table(spark, d, "orders").select("o_orderkey", retrieve.time_terms(text).alias("t"))
+    return df.select("o_orderkey", *[F.array_join(f"t.{c}", ",").alias(c) for c in ("years", "months", "phrases")])
