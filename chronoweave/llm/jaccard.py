@@ -22,7 +22,7 @@ shingles in one order for all documents) share a shingle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -274,7 +274,7 @@ def linked_sets(docs: DataFrame, signed: DataFrame) -> DataFrame:
     members = leaders(signed).unionAll(own).distinct().join(sets.select("g", "s", "n", "bits"), "g").dropDuplicates(["leader", "s"])
     members = _sized(stage(members.select("leader", "s", "n", "bits"), "members"))
     near = stage(_with_pivots(members, "bits").mapInArrow(_near_by_bits, "leader long, s binary, pivot binary"), "near")
-    pairs = _pairs_of_blocks(members, near).join(members.select("leader", "s", "n", "bits"), ["leader", "s"])
+    pairs = _pairs_of_blocks(members, near, ["n", "bits"])
     kept = pairs.groupBy("leader", "i", "j").applyInArrow(_filter, "leader long, s binary").unionAll(near.select("leader", "s")).unionAll(near.select("leader", F.col("pivot").alias("s"))).distinct()
     kept = stage(kept.join(sets.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "s"), "kept")
     wanted = kept.select("doc_id").distinct()
@@ -324,22 +324,23 @@ _near_by_bits = _pivotal(lambda n, bits, m, other: len(may_link([n, m], [bits, o
 _linked = _pivotal(_overlap_links)
 
 
-def _pairs_of_blocks(members: DataFrame, near: DataFrame) -> DataFrame:
-    """(leader, s, i, j): members gathered in tasks (i, j) so that any two of a leader meet, unless both are near its pivot.
+def _pairs_of_blocks(members: DataFrame, near: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """(leader, s, i, j) and more columns of members gathered in tasks (i, j) so that any two of a leader meet, unless both are near its pivot.
 
     Members near the pivot are with it in any case, so a leader of a million
     variants of one text costs one comparison each; only the others, block j,
     meet all blocks i. A leader that fits in one block is one task.
     """
-    rows = members.select("leader", "s", "n", "blocks")
-    many = rows.where("blocks > 1").join(near.select("leader", "s", F.lit(True).alias("near")), ["leader", "s"], "left")
+    own = ["leader", "s", *more]
+    one = members.where("blocks = 1").select(*own, F.lit(0).alias("i"), F.lit(0).alias("j"))
+    many = members.where("blocks > 1").select(*dict.fromkeys([*own, "n", "blocks"])).join(near.select("leader", "s", F.lit(True).alias("near")), ["leader", "s"], "left")
     far = many.where("near IS NULL").groupBy("leader").agg(F.count("*").alias("k"), F.sum("n").alias("total")).select("leader", _n_blocks().alias("apart"))
     many = many.join(far, "leader")
     place = lambda of: F.pmod(F.xxhash64("s"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    out = rows.where("blocks = 1").select("leader", "s", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    out = out.unionAll(many.select("leader", "s", place("blocks").alias("i"), every("apart").alias("j")))
-    return out.unionAll(many.where("near IS NULL").select("leader", "s", every("blocks").alias("i"), place("apart").alias("j"))).distinct()
+    met = many.select(*own, place("blocks").alias("i"), every("apart").alias("j"))
+    met = met.unionAll(many.where("near IS NULL").select(*own, every("blocks").alias("i"), place("apart").alias("j")))
+    return one.unionAll(met.dropDuplicates(["leader", "s", "i", "j"]))
 
 
 def classes(docs: DataFrame) -> DataFrame:
