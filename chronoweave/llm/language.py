@@ -18,7 +18,7 @@ SLICES, SLICE_CHARS = 64, 256
 BLOCK = 512
 LITERAL = 256
 #: A label is held to be wrong if another language's normalised phrases are this share fewer.
-CONFIDENT = 0.2
+CONFIDENT = 0.35
 UNKNOWN = "und"
 _CODES = 0x110000
 
