@@ -60,4 +60,4 @@ def test_one_key_with_very_many_rows(spark):
     asked = spark.range(30_000).select(F.col("id").alias("qid"), F.lit("K").alias("subject"), F.lit("p").alias("predicate"), c.alias("c"))
     begin = time.time()
     out = asof_lookup(asked, facts, ["qid"])
-    assert out.where("fact.pos = qid").count() == 30_000 and time.time() - begin < 60
+    assert out.where("fact.pos = qid").count() == 30_000 and time.time() - begin < 120
