@@ -281,11 +281,12 @@ def retrieve(chunks: DataFrame, query: dict, sources: DataFrame | None = None, m
     if mode not in ("global", "auto-source"):
         raise ValueError(f"unknown retrieval mode: {mode}")
     per_source = min(per_source, 2) if is_list else per_source
-    everywhere = cap_top(score_chunks(chunks, query), top, per_source)
     if mode == "global":
-        return everywhere.withColumn("fallback", F.lit(False))
-    inside = chunks.join(sources.select("source_id"), "source_id", "left_semi")
-    return with_fallback(cap_top(score_chunks(inside, query), top, per_source), everywhere)
+        return cap_top(score_chunks(chunks, query), top, per_source).withColumn("fallback", F.lit(False))
+    inside = cap_top(score_chunks(chunks.join(sources.select("source_id"), "source_id", "left_semi"), query), top, per_source)
+    # all chunks are scored only where the selected ones are weak: else the other side of this join is empty
+    needed = chunks.crossJoin(F.broadcast(is_weak(inside).where("weak").select()))
+    return with_fallback(inside, cap_top(score_chunks(needed, query), top, per_source))
 
 
 def pack(ranked: DataFrame, max_chars: int = 12_000, by: Sequence[str] = ()) -> DataFrame:
