@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from chronoweave.llm.staging import read_table, spare, stage
+from chronoweave.llm.staging import few, read_table, spare, stage
 from chronoweave.llm.textops import U, Words, mix, sub_batches, window, windows, words_of
 
 KEYS = ["doc_id", "version", "item_id", "item_version", "item_words", "passage"]
@@ -367,7 +367,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, con
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that repeat a benchmark item."""
     own = spare(docs, "version")
-    bad = matches(docs, benchmark).select("doc_id", "version").distinct()
+    bad = few(stage(matches(docs, benchmark).select("doc_id", "version").distinct(), "leaks"))
     same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col(f"d.{own}") == F.col("b.version"))
     return docs.withColumn(own, F.xxhash64("text")).alias("d").join(bad.alias("b"), same, "left_anti").drop(own)
 

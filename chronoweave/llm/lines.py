@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chronoweave.llm.staging import read_table, spare, stage
+from chronoweave.llm.staging import FEW_ROWS, read_table, spare, stage
 from chronoweave.llm.textops import WORD
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -113,6 +113,13 @@ def _runs_of(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     return runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(row)).alias("runs"))
 
 
+def _cuts(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """(doc_id, version, runs) with the stretches that go alone: broadcast where they are few (a piece is two numbers), so that texts are not shuffled."""
+    runs = stage(_runs_of(docs, min_lines, min_words).select(*KEY, F.transform("runs", lambda r: F.struct(r["begin"].alias("begin"), r["finish"].alias("finish"))).alias("runs")), "cuts")
+    size = runs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("pieces")).first()
+    return F.broadcast(runs) if size.rows + size.pieces / 5 <= FEW_ROWS else runs
+
+
 def _deleted() -> Column:
     """Positions, among lines with a word, that a document's runs cover."""
     return F.flatten(F.transform("g.runs", lambda r: F.sequence(r["begin"], r["finish"] - 1)))
@@ -157,7 +164,7 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
     time proportional to its lines.
     """
     version, at, lines, worded = (spare(docs, c) for c in ("version", "cut_runs", "cut_lines", "cut_worded"))
-    runs = _runs_of(docs, min_lines, min_words).withColumnRenamed("runs", at)
+    runs = _cuts(docs, min_lines, min_words).withColumnRenamed("runs", at)
     # lines and the numbers of those with a word are made below the join, so that nothing above repeats that for each line
     keyed = docs.withColumn(version, F.xxhash64("text")).withColumn(lines, F.split("text", "\n", -1))
     words = F.transform(F.col(lines), lambda x, i: F.when(_has_word(x), i))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -43,6 +44,15 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.table(table)
 
 
+#: A table of so many rows of a few numbers is sent to all executors: some 20 MB.
+FEW_ROWS = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A staged table with a hint to broadcast it if it has FEW_ROWS at most, so that what it is joined with stays where it is; a larger one as it is."""
+    return broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of results that nothing refers to any more; it does so when the driver's JVM collects its garbage."""
     spark.sparkContext._jvm.System.gc()
