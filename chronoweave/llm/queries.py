@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import jaccard, katz, language, leaks, licenses, lines, merkle, mixing, passages, quality, urls
+from chronoweave.llm import digests, jaccard, katz, language, leaks, licenses, lines, merkle, mixing, passages, quality, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": lines.op9,
     "op10_mixing_sources": mixing.op10,
     "op12_merkle_manifest": merkle.op12,
+    "op13_document_fingerprints": digests.op13,
 }
 #: The others hold models or hashes that SQL can't express; tests/llm holds them against brute force.
 ORACLE_SQL = {
