@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import digests, jaccard, katz, language, leaks, licenses, lines, merkle, mixing, passages, quality, urls
+from chronoweave.llm import digests, drift, jaccard, katz, language, leaks, licenses, lines, merkle, mixing, passages, quality, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language.op8,
     "op9_line_dedup": lines.op9,
     "op10_mixing_sources": mixing.op10,
+    "op11_drifted_schema_rewrite": drift.op11,
     "op12_merkle_manifest": merkle.op12,
     "op13_document_fingerprints": digests.op13,
 }
