@@ -36,13 +36,14 @@ class Model:
     threshold: float
 
 
-def split_url(url: Column) -> tuple[Column, Column]:
-    """Host and path as the rules read them."""
+def split_url(url: Column) -> tuple[Column, Column, Column]:
+    """Host and path as the rules read them, and what the models read: the host and all that follows it, query and fragment too."""
     rest = F.when(url.contains("://"), F.regexp_replace(url, r"(?s)^.*?://", "")).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
     host = F.regexp_extract(rest, r"(?s)^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    host = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return host, path, F.concat(host, F.regexp_extract(rest, r"(?s)^[^/?#]*(.*)$", 1))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
@@ -162,17 +163,18 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
 
     The rules' verdicts are also what the two models learn from: URLs that a
     rule allows are the accepted, those that one blocks the rejected. URLs
-    without a rule are allowed if their score reaches the threshold.
+    without a rule are allowed if their score reaches the threshold. The
+    models read all that follows ://.
 
     A null url, or one without ://, has an empty host and path and score 0.
     Null ids, repeated rows and other columns pass; very long urls are scored
     whole; a score at the threshold (a tie) is allowed, and of rules that fit
     with the same length the last by name counts; an empty table gives no rows; with rules that meet URLs of one kind only, all others are allowed.
     """
-    host, path = split_url(F.col("url").cast("string"))
-    df = pages.select("page_id", host.alias("host"), path.alias("path"))
+    host, path, whole = split_url(F.col("url").cast("string"))
+    df = pages.select("page_id", host.alias("host"), path.alias("path"), whole.alias("__text"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    df = df.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("known"), F.concat("host", "path").alias("__text"))
+    df = df.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("known"), "__text")
     model = learn(df.where("known IS NOT NULL").select(F.col("__text").alias("text"), (F.col("known") == "allow").alias("good")))
     out = score(df, model.ratio)
     guess = F.when(F.col("__score") >= model.threshold, "allow").otherwise("block")

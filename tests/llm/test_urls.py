@@ -66,6 +66,15 @@ def test_learns_what_rules_say(spark):
     assert {got[i] for i in range(400, 420)} == {"allow"} and {got[i] for i in range(420, 440)} == {"block"}
 
 
+def test_learns_from_query_and_fragment(spark):
+    """URLs that differ in their query or fragment only are told apart."""
+    good = [f"http://a{i % 7}.org/p?book={i}#text" for i in range(200)]
+    bad = [f"http://a{i % 7}.com/de/p?session={i}#buy" for i in range(200)]
+    asked = [f"http://a{i % 7}.net/p?{x}" for x in ("book=5#text", "session=5#buy") for i in range(20)]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame([(i, u, "", 0) for i, u in enumerate(good + bad + asked)], PAGES)).collect()}
+    assert {got[i] for i in range(400, 420)} == {"allow"} and {got[i] for i in range(420, 440)} == {"block"}
+
+
 def symbol(byte):
     c = chr(byte).lower()
     if "a" <= c <= "z":
@@ -79,9 +88,9 @@ def test_scores_threshold_and_verdicts_like_brute_force(spark):
     """The whole query against dictionaries: Witten-Bell over every order, the mean ratio, the best parting of the held-out fifth."""
     rnd = random.Random(9)
     part = lambda a: "".join(rnd.choice(a) for _ in range(rnd.randint(2, 9)))
-    found = [f"https://{part('abcde')}.{rnd.choice(['org', 'example.org', 'com', 'net'])}/{rnd.choice(['fr', 'de', 'es', 'en', part('xyz')])}/{part('abcxyz019~é')}-{part('mnop')}?q={i}" for i in range(400)]
+    found = [f"https://{part('abcde')}.{rnd.choice(['org', 'example.org', 'com', 'net'])}/{rnd.choice(['fr', 'de', 'es', 'en', part('xyz')])}/{part('abcxyz019~é')}-{part('mnop')}{rnd.choice(['', f'?q={i}', f'?page={i}&ref=x', '#top', f'?{part("uvw")}#{part("rst")}'])}" for i in range(400)]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, "", 0) for i, u in enumerate(found)], PAGES)).collect()}
-    texts = {i: "".join(plain(u)[:2]) for i, u in enumerate(found)}
+    texts = {i: plain(u)[0] + u[len("https://") + len(plain(u)[0]) :] for i, u in enumerate(found)}
     known = {i: plain(u)[3] for i, u in enumerate(found) if plain(u)[3]}
     held = {i for i in known if zlib.crc32(texts[i].encode()) % urls.FOLDS == 0}
     grams = lambda t: [(*([0] * urls.ORDER + s)[k : k + urls.ORDER], ([0] * urls.ORDER + s)[k + urls.ORDER]) for s in [[symbol(b) for b in t.encode()]] for k in range(len(s))]
