@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chronoweave import catalog_facts, catalog_reason, catalog_text
+from chronoweave import catalog_batch, catalog_facts, catalog_reason, catalog_text
 
-QUERIES: dict = {**catalog_facts.QUERIES, **catalog_reason.QUERIES, **catalog_text.QUERIES}
-ORACLE_SQL: dict = {**catalog_facts.ORACLE_SQL, **catalog_reason.ORACLE_SQL, **catalog_text.ORACLE_SQL}
+QUERIES: dict = {**catalog_facts.QUERIES, **catalog_reason.QUERIES, **catalog_text.QUERIES, **catalog_batch.QUERIES}
+ORACLE_SQL: dict = {**catalog_facts.ORACLE_SQL, **catalog_reason.ORACLE_SQL, **catalog_text.ORACLE_SQL, **catalog_batch.ORACLE_SQL}
 
 
 def flagship(spark, sf_dir: str):
