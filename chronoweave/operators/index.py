@@ -9,7 +9,6 @@ chunks whose upper bound passes it are scored in full.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -24,18 +23,20 @@ BLOCK, HOT = 128, 1 << 16
 PROBE, SHARE = 20, 1 / 16
 #: Scores are sums of fractions; a bound may fall short of one by that much.
 SLACK = 1e-6
+#: Hints and contexts are indexed beside words, under names that no word has.
+PREDICATE, CONTEXT = "predicate:", "context:"
 QUESTION = "terms array<string>, entities array<string>, predicates array<string>, modifiers array<string>, times struct<years:array<string>,months:array<string>,phrases:array<string>>"
 
 
 @dataclass
 class Index:
-    """chunks: with low (title, section and text in lower case) and tfs (token to count). postings: (token, tf, block,
-    chunks). levels: (token, tf, n). contexts: which of CONTEXTS and the special hits some chunk has. most: the largest tf."""
+    """chunks: with low (title, section and text in lower case), tfs (token to count) and hits (reasons that hold whatever the
+    question's words). postings: (token, tf, block, chunks), of words and of hints and hits. levels: (token, tf, n). most: the
+    largest tf."""
 
     chunks: DataFrame
     postings: DataFrame
     levels: DataFrame
-    contexts: Mapping[str, bool]
     most: int
 
 
@@ -71,8 +72,10 @@ def build_index(chunks: DataFrame) -> Index:
     low = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("section", F.lit("")), F.coalesce("text", F.lit(""))))
     df = chunks.withColumn("low", low).withColumn("tokens", T.tokens(F.col("low")))
     tfs = F.map_from_entries(F.transform(F.array_distinct("tokens"), lambda t: F.struct(t, F.size(F.filter("tokens", lambda x: x == t)))))
-    df = written(df.withColumn("tfs", tfs).drop("tokens"), "indexed")
-    rows = df.select("chunk_id", F.explode("tfs").alias("token", "tf"))
+    hits = F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.lit(reason)) for _, _, reason, hit in _context_hits()]))
+    df = written(df.withColumn("tfs", tfs).withColumn("hits", hits).drop("tokens"), "indexed")
+    marks = lambda c, kind: F.transform(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))), lambda x: F.struct(F.concat(F.lit(kind), x).alias("key"), F.lit(1).alias("value")))
+    rows = df.select("chunk_id", F.inline(F.concat(F.map_entries("tfs"), marks(F.col("predicate_hints"), PREDICATE), marks(F.col("hits"), CONTEXT))).alias("token", "tf"))
     levels = written(rows.groupBy("token", "tf").agg(F.count("*").alias("n")), "levels")
     size = levels.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("tf"), F.lit(1)).alias("most")).first()
     limit = max(BLOCK, size.n // HOT)
@@ -86,9 +89,7 @@ def build_index(chunks: DataFrame) -> Index:
         rest = rest.select("token", "tf", F.lit(0).alias("block"), "chunk_id")
     postings = blocked.unionByName(rest).groupBy("token", "tf", "block").agg(F.collect_list("chunk_id").alias("chunks"))
     postings = written(postings.sortWithinPartitions("token", F.desc("tf")), "postings")
-    hits = _context_hits()
-    seen = df.agg(*[F.coalesce(F.max(hit), F.lit(False)).alias(reason) for _, _, reason, hit in hits]).first().asDict()
-    return Index(df, postings, levels, seen, size.most)
+    return Index(df, postings, levels, size.most)
 
 
 def _asks(what: str | None) -> Column:
@@ -101,16 +102,22 @@ def _single(terms: Column) -> Column:
     return F.filter(F.array_distinct(terms), lambda t: ~t.contains(" "))
 
 
+def _wanted() -> Column:
+    """What the question in q looks up in the index, each once: (token, points), null points for words, whose impact depends on their count."""
+    words = F.transform(_single(F.col("q.terms")), lambda t: F.struct(t.alias("token"), F.lit(None).cast("double").alias("points")))
+    times = lambda x: F.size(F.filter("q.predicates", lambda y: y == x)).cast("double")
+    hints = F.transform(F.array_distinct("q.predicates"), lambda x: F.struct(F.concat(F.lit(PREDICATE), x).alias("token"), (times(x) * R.POINTS["predicate"]).alias("points")))
+    contexts = [F.when(_asks(what), F.struct(F.lit(CONTEXT + reason).alias("token"), F.lit(points).alias("points"))) for what, points, reason, _ in _context_hits()]
+    return F.concat(words, hints, F.array_compact(F.array(*contexts)))
+
+
 def bonus(index: Index) -> Column:
-    """The most points that the question in q can give a chunk besides those of its words."""
+    """The most points that the question in q can give a chunk for what the index does not hold: parts of texts, and words said often."""
     p, count = R.POINTS, lambda c: F.size(F.col(f"q.{c}")).cast("double")
     phrases = F.size(F.filter("q.terms", lambda t: t.contains(" "))).cast("double")
-    out = phrases * p["phrase"] + count("entities") * p["entity"] + count("predicates") * p["predicate"]
-    for what, points, reason, _ in _context_hits():
-        if index.contexts[reason]:
-            out = out + F.when(_asks(what), points).otherwise(0.0)
-    out = out + F.when(_asks("ordering"), R.MENTIONS["base"] + F.log(F.lit(float(index.most)))).otherwise(0.0)
     times = count("times.phrases")
+    out = phrases * p["phrase"] + count("entities") * p["entity"]
+    out = out + F.when(_asks("ordering"), R.MENTIONS["base"] + F.log(F.lit(float(index.most)))).otherwise(0.0)
     out = out + times * p["exact_time"] + F.when(times > 0, p["as_of_time_context"]).otherwise(0.0)
     return out + count("times.years") * p["year"] + count("times.months") * p["month"]
 
@@ -120,16 +127,22 @@ def _each(hits: Column, reason: str) -> Column:
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
-    """pairs of a question q and a chunk (with low and tfs) with score and reasons, as score_chunks gives them for one question."""
+    """pairs of a question q and a chunk of the index with score and reasons, as score_chunks gives them for one question."""
     p, low = R.POINTS, F.col("low")
-    tf = lambda t: F.element_at("tfs", t)
-    words = F.aggregate(_single(F.col("q.terms")), F.lit(0.0), lambda a, t: a + F.coalesce(impact(tf(t)), F.lit(0.0)))
-    phrases = F.filter("q.terms", lambda t: t.contains(" ") & low.contains(t))
-    entities = F.filter(F.array_distinct("q.entities"), lambda e: (e != "") & low.contains(e))
-    predicates = F.filter("q.predicates", lambda x: F.coalesce(F.array_contains("predicate_hints", x), F.lit(False)))
-    num = lambda a: F.size(a).cast("double")
-    score = words + num(phrases) * p["phrase"] + num(entities) * p["entity"] + num(predicates) * p["predicate"]
-    reasons = [_each(phrases, "phrase"), _each(entities, "entity"), _each(predicates, "predicate")]
+    found = {
+        "_phrases": F.filter("q.terms", lambda t: t.contains(" ") & low.contains(t)),
+        "_entities": F.filter(F.array_distinct("q.entities"), lambda e: (e != "") & low.contains(e)),
+        "_predicates": F.filter("q.predicates", lambda x: F.coalesce(F.array_contains("predicate_hints", x), F.lit(False))),
+        "_times": F.filter("q.times.phrases", lambda x: low.contains(x)),
+        "_years": F.filter("q.times.years", lambda x: F.rlike(low, F.concat(F.lit(r"\b"), x, F.lit(r"\b")))),
+        "_months": F.filter("q.times.months", lambda x: F.rlike(low, F.concat(F.lit(r"\b"), x, F.lit(r"\b")))),
+        "_words": F.aggregate(_single(F.col("q.terms")), F.lit(0.0), lambda a, t: a + F.coalesce(impact(F.element_at("tfs", t)), F.lit(0.0))),
+        "_order": F.when(_asks("ordering"), F.element_at("tfs", F.lit(R.MENTIONS["word"]))),
+    }
+    pairs = pairs.withColumns(found)
+    num, named = lambda c: F.size(c).cast("double"), F.size("_entities") > 0
+    score = F.col("_words") + num("_phrases") * p["phrase"] + num("_entities") * p["entity"] + num("_predicates") * p["predicate"]
+    reasons = [_each(F.col("_phrases"), "phrase"), _each(F.col("_entities"), "entity"), _each(F.col("_predicates"), "predicate")]
 
     def once(hit: Column, points: Column | float, reason: str) -> None:
         nonlocal score
@@ -137,20 +150,18 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
         score = score + F.when(hit, points).otherwise(0.0)
         reasons.append(F.when(hit, F.array(F.lit(reason))).otherwise(F.array().cast("array<string>")))
 
-    for what, points, reason, hit in _context_hits():
-        once(_asks(what) & hit, points, reason)
-    found = tf(F.lit(R.MENTIONS["word"]))
-    once(_asks("ordering") & (found >= R.MENTIONS["least"]), R.MENTIONS["base"] + F.log(found), R.MENTIONS["reason"])
-    named = num(entities) > 0
-    times = F.filter("q.times.phrases", lambda x: low.contains(x))
-    score = score + num(times) * F.when(named, p["exact_time"]).otherwise(p["exact_time_without_entity"])
-    reasons.append(F.when(named, _each(times, "exact_time")).otherwise(_each(times, "exact_time_without_entity")))
+    for what, points, reason, _ in _context_hits():
+        once(F.array_contains("hits", reason) & _asks(what), points, reason)
+    once(F.col("_order") >= R.MENTIONS["least"], R.MENTIONS["base"] + F.log("_order"), R.MENTIONS["reason"])
+    score = score + num("_times") * F.when(named, p["exact_time"]).otherwise(p["exact_time_without_entity"])
+    reasons.append(F.when(named, _each(F.col("_times"), "exact_time")).otherwise(_each(F.col("_times"), "exact_time_without_entity")))
+    none = F.array().cast("array<string>")
     for unit in ("year", "month"):
-        hits = F.filter(f"q.times.{unit}s", lambda x: named & F.rlike(low, F.concat(F.lit(r"\b"), x, F.lit(r"\b"))))
+        hits = F.when(named, F.col(f"_{unit}s")).otherwise(none)
         score = score + num(hits) * p[unit]
         reasons.append(_each(hits, unit))
-    once(named & low.contains("as of") & (num(times) > 0), p["as_of_time_context"], "as_of_time_context")
-    return pairs.withColumns({"score": score, "reasons": F.flatten(F.array(*reasons))})
+    once(named & low.contains("as of") & (F.size("_times") > 0), p["as_of_time_context"], "as_of_time_context")
+    return pairs.withColumns({"score": score, "reasons": F.flatten(F.array(*reasons))}).drop(*found)
 
 
 @dataclass
@@ -168,7 +179,10 @@ def _postings(index: Index, levels: DataFrame) -> DataFrame:
 
 
 def _scored(index: Index, questions: DataFrame, pairs: DataFrame) -> DataFrame:
-    return score_pairs(pairs.join(questions.select("qid", "q"), "qid").join(index.chunks, "chunk_id")).where("score > 0")
+    # pairs are short, scoring them is not: they stay dealt out, where adaptive execution would put them together by size
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.join(questions.select("qid", "q"), "qid").repartition(n, "chunk_id")
+    return score_pairs(pairs.join(index.chunks, "chunk_id"))
 
 
 def search(index: Index, questions: DataFrame, top: int = 12, per_source: int = 4, digits: int | None = None) -> Search:
@@ -188,8 +202,8 @@ def search(index: Index, questions: DataFrame, top: int = 12, per_source: int =
     times = F.struct(*[F.coalesce(F.col(f"times.{c}"), none).alias(c) for c in ("years", "months", "phrases")])
     packed = questions.select("qid", F.struct(*[v.alias(c) for c, v in full.items()], times.alias("times")).alias("q"))
     asked = written(packed.withColumn("bonus", bonus(index)), "questions")
-    levels = asked.select("qid", F.explode(_single(F.col("q.terms"))).alias("token")).join(index.levels, "token")
-    levels = written(levels.withColumn("impact", impact(F.col("tf"))), "asked_levels")
+    levels = asked.select("qid", F.inline(_wanted())).join(index.levels, "token")
+    levels = written(levels.select("qid", "token", "tf", "n", F.coalesce("points", impact(F.col("tf"))).alias("impact")), "asked_levels")
 
     cheap = Window.partitionBy("qid").orderBy(F.col("rarest"), "token", "tf").rowsBetween(Window.unboundedPreceding, 0)
     probe = levels.withColumn("rarest", F.sum("n").over(Window.partitionBy("qid", "token"))).withColumn("upto", F.sum("n").over(cheap))
@@ -217,7 +231,9 @@ def search(index: Index, questions: DataFrame, top: int = 12, per_source: int =
     if not open_ones.isEmpty():
         # these questions are scored against all chunks: chunks without any of their words may be among the best
         pairs = pairs.join(open_ones, "qid", "left_anti").unionByName(index.chunks.select("chunk_id").crossJoin(open_ones))
-    scored = _scored(index, asked, pairs).drop("q", "low", "tfs")
+    scored = _scored(index, asked, pairs).drop("q", "low", "tfs", "hits")
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
-    return Search(plan.select("qid", "token", "tf", "n", "read"), probed, R.cap_top(scored, top, per_source, by=["qid"]))
+    # chunks without a score come last, so that they go after the ranking: a condition before it would take each score twice
+    ranked = R.cap_top(scored, top, per_source, by=["qid"]).where("score > 0")
+    return Search(plan.select("qid", "token", "tf", "n", "read"), probed, ranked)

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from chronoweave.functions import text as T
-from chronoweave.operators import chunk, index, retrieve
+from chronoweave.operators import index, retrieve
 
 CHUNK = "chunk_id string, source_id string, nth int, title string, url string, section string, text string, entities array<string>, predicate_hints array<string>"
 Q = f"qid int, {index.QUESTION}"
@@ -61,7 +61,6 @@ def test_reads_under_a_fifth(spark):
     assert found.ranked.count() == 32
     total = found.plan.agg({"n": "sum"}).first()[0]
     read = found.plan.where("read").agg({"n": "sum"}).first()[0] + found.probed.agg({"n": "sum"}).first()[0]
-    print("read", read, "probed", found.probed.agg({"n": "sum"}).first()[0], "of", total)
     assert read * 5 < total
 
 
@@ -74,7 +73,7 @@ def test_blocks_are_small_and_whole(spark, monkeypatch):
         made_index = index.build_index(chunks)
         rows = made_index.postings.collect()
         assert max(len(r.chunks) for r in rows) < 6 * block
-        got = sorted((r.token, r.tf, c) for r in rows for c in r.chunks)
+        got = sorted((r.token, r.tf, c) for r in rows for c in r.chunks if ":" not in r.token)
         own = chunks.select("chunk_id", retrieve.F.explode(T.tokens(retrieve.F.concat_ws(" ", retrieve.F.coalesce("title", retrieve.F.lit("")), retrieve.F.coalesce("section", retrieve.F.lit("")), "text"))).alias("token"))
         assert got == sorted((r.token, r.tf, r.chunk_id) for r in own.groupBy("chunk_id", "token").agg(retrieve.F.count("*").alias("tf")).collect())
 
@@ -84,4 +83,3 @@ def test_nothing_to_find(spark):
     assert index.search(empty, spark.createDataFrame(QUESTIONS, Q)).ranked.count() == 0
     some = index.build_index(made(spark, 5))
     assert index.search(some, spark.createDataFrame([], Q)).ranked.count() == 0
-    assert chunk is not None
