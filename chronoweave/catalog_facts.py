@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from chronoweave.functions.timewin import bounds, span
+from chronoweave.functions.timewin import bounds, in_bounds, span
 from chronoweave.operators import asof, score
 from chronoweave.operators.reason import order_value, retrieve_batch, scalar_text, year_text
 from chronoweave.plans.question import compile_questions, normalize_time, time_constraint, time_semantic
@@ -95,9 +95,16 @@ def t_between(spark, d):
     return _best(spark, d, "1996-03..1999-06-15", "BETWEEN")
 
 
-@query(_picked("false", LATEST))
+@query(
+    FACTS
+    + """SELECT pos, coalesce(CASE pos % 5 WHEN 0 THEN t_start <= 19970630 WHEN 3 THEN true WHEN 4 THEN t_end < 19980101 ELSE false END, false) AS matched FROM w"""
+)
 def t_unreadable(spark, d):
-    return _best(spark, d, "1997-13", "EXACT")
+    """Facts against readable constraints, unreadable ones (which match nothing) and none (which matches all), a row each."""
+    k = F.col("pos") % 5
+    constraint = F.when(k == 0, "1997-06").when(k == 1, "1997-13").when(k == 2, "soon").when(k == 4, "1998")
+    hit = in_bounds(F.col("t_start"), F.col("t_end"), bounds(constraint, F.when(k == 4, "BEFORE").otherwise("EXACT")))
+    return _facts(spark, d).select("pos", F.coalesce(constraint.isNull() | hit, F.lit(False)).alias("matched"))
 
 
 @query(
@@ -212,9 +219,13 @@ ASKED = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{shape}', '{mods}', '{when}')" for i, _, shape, mods, when in ASKED) + ") AS t(qid, shape, modifiers, semantic)")
+@query(
+    "SELECT o_orderkey AS qid, shape, modifiers, semantic FROM orders JOIN (VALUES " + ", ".join(f"({i}, '{shape}', '{mods}', '{when}')" for i, _, shape, mods, when in ASKED) + ") AS t(i, shape, modifiers, semantic) ON i = 1 + o_orderkey % 8"
+)
 def q_shapes(spark, d):
-    q = spark.createDataFrame([(i, text) for i, text, *_ in ASKED], "qid int, question string")
+    """A question for each order, of eight kinds, with a number of the order's own at its end."""
+    texts = F.element_at(F.array(*[F.lit(text) for _, text, *_ in ASKED]), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    q = table(spark, d, "orders").select(F.col("o_orderkey").alias("qid"), F.concat(texts, F.lit(" #"), F.col("o_orderkey").cast("string")).alias("question"))
     p = compile_questions(q)
     return p.select("qid", F.col("plan.primary").alias("shape"), F.array_join("plan.modifiers", ",").alias("modifiers"), F.col("plan.semantic").alias("semantic"))
 
@@ -235,7 +246,7 @@ def v_number(spark, d):
 
 @query(
     """WITH a AS (SELECT event_id % 6 AS k, event_id % 2 = 0 AS truth FROM events)
-SELECT k, truth, CASE WHEN k IN (3, 5) THEN false WHEN k = 4 THEN truth ELSE truth END AS is_correct, k IN (2, 3, 4) AS manual_check,
+SELECT k, truth, k NOT IN (3, 5) AND truth AS is_correct, k IN (2, 3, 4) AS manual_check,
   CASE WHEN k = 3 THEN 'ambiguous_negated_boolean' WHEN k = 5 THEN 'invalid_boolean_format' WHEN truth THEN 'matched' ELSE CASE k WHEN 0 THEN 'parsed_clean_boolean' WHEN 1 THEN 'parsed_safe_prefixed_boolean' WHEN 2 THEN 'ambiguous_boolean_with_hedging' ELSE 'parsed_boolean_with_formatting_noise' END END AS reason, count(*) AS n
 FROM a GROUP BY ALL"""
 )
@@ -284,13 +295,14 @@ def v_fields(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT p_partkey, p_brand, p_type FROM part)
-SELECT p_partkey, true AS sets, p_brand <= p_type AS orders FROM a WHERE p_brand <> p_type"""
+    """WITH a AS (SELECT p_partkey, p_brand, p_type, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_brand END AS other FROM part)
+SELECT p_partkey, p_brand = other OR p_type = other AS sets, p_brand = other AND p_brand <= p_type AS orders FROM a WHERE p_brand <> p_type AND p_type <> other"""
 )
 def v_arrays(spark, d):
-    both, ranked = F.array("p_type", "p_brand"), F.array_sort(F.array("p_type", "p_brand"))
-    p = table(spark, d, "part").where("p_brand <> p_type")
-    return p.select("p_partkey", score.same_set(both, ranked).alias("sets"), score.same_order(F.array("p_brand", "p_type"), ranked).alias("orders"))
+    """A given list of two against the sorted truth; a third of the parts have another second member."""
+    p = table(spark, d, "part").withColumn("other", F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.col("p_brand"))).where("p_brand <> p_type AND p_type <> other")
+    truth = F.array_sort(F.array("p_type", "other"))
+    return p.select("p_partkey", score.same_set(F.array("p_type", "p_brand"), truth).alias("sets"), score.same_order(F.array("p_brand", "p_type"), truth).alias("orders"))
 
 
 def _runs(spark, d):

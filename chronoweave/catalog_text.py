@@ -245,14 +245,20 @@ def r_pack_context(spark, d):
     return retrieve.pack(ranked, 30_000, ["source"]).select("source", "n", F.md5("context").alias("context"))
 
 
-@query(RANKED + "SELECT chunk_id, rank::INT AS rank, false AS fallback FROM ranked")
+@query(
+    RANKED
+    + """, v AS (SELECT count(*) < 3 OR max(sc) < 8 AS weak FROM ranked)
+SELECT 'own' AS chosen, chunk_id, rank::INT AS rank, weak AS fallback FROM ranked, v UNION ALL SELECT 'other', chunk_id, rank::INT, true FROM ranked"""
+)
 def r_fallback(spark, d):
+    """own: a selection that stands if it is strong; other: one source and words that no chunk has, which all chunks replace."""
     cs = _chunks(spark, d)
     one = cs.agg(F.min("source_id").alias("source_id"))
     weak = dict(ASKED, terms=["zzzz"], entities=[], predicates=[], modifiers=[])
     inside = retrieve.cap_top(retrieve.score_chunks(cs.join(F.broadcast(one), "source_id", "left_semi"), weak), 12, 2)
-    out = retrieve.with_fallback(inside, _ranked(spark, d, 12, 2))
-    return out.select("chunk_id", "rank", F.lit(False).alias("fallback"))
+    ranked = _ranked(spark, d, 12, 2)
+    out = retrieve.with_fallback(ranked, ranked).withColumn("chosen", F.lit("own")).unionByName(retrieve.with_fallback(inside, ranked).withColumn("chosen", F.lit("other")))
+    return out.select("chosen", "chunk_id", "rank", "fallback")
 
 
 @query(r"""SELECT page_id, trim(split_part(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '[ \t]+', ' ', 'g'), ' *\n *', E'\n', 'g'), ' | ', 1)) AS title FROM pages""")

@@ -30,7 +30,7 @@ QUESTION = "terms array<string>, entities array<string>, predicates array<string
 
 @dataclass
 class Index:
-    """chunks: with low (title, section and text in lower case), tfs (token to count) and hits (reasons that hold whatever the
+    """chunks: with tfs (token of title, section and text to count) and hits (reasons that hold whatever the
     question's words). postings: (token, tf, block, chunks), of words and of hints and hits. levels: (token, tf, n). most: the
     largest tf."""
 
@@ -44,6 +44,10 @@ def impact(tf: Column) -> Column:
     return 1.0 + F.log(tf)
 
 
+def _low() -> Column:
+    return F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("section", F.lit("")), F.coalesce("text", F.lit(""))))
+
+
 def _context_hits() -> list[tuple[str | None, float, str, Column]]:
     """(modifier or predicate asked for, points, reason, hit) that hold whatever the question's words."""
     low, section, title = F.col("low"), F.lower(F.coalesce("section", F.lit(""))), F.lower(F.coalesce("title", F.lit("")))
@@ -69,11 +73,13 @@ def build_index(chunks: DataFrame) -> Index:
     which are HOT at most, the others by a join, so that no key gathers more
     than a block. Null texts count as empty.
     """
-    low = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("section", F.lit("")), F.coalesce("text", F.lit(""))))
-    df = chunks.withColumn("low", low).withColumn("tokens", T.tokens(F.col("low")))
-    tfs = F.map_from_entries(F.transform(F.array_distinct("tokens"), lambda t: F.struct(t, F.size(F.filter("tokens", lambda x: x == t)))))
+    df = chunks.withColumn("low", _low()).withColumn("tokens", F.array_sort(T.tokens(F.col("low"))))
+    new = lambda i: (i == 0) | (F.get(F.col("tokens"), i) != F.get(F.col("tokens"), i - 1))
+    df = df.withColumn("starts", F.when(F.size("tokens") > 0, F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), new)).otherwise(F.array().cast("array<int>")))
+    count = lambda i, k: F.coalesce(F.get(F.col("starts"), k + 1), F.size("tokens")) - i
+    tfs = F.map_from_arrays(F.transform("starts", lambda i: F.get(F.col("tokens"), i)), F.transform("starts", count))
     hits = F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.lit(reason)) for _, _, reason, hit in _context_hits()]))
-    df = written(df.withColumn("tfs", tfs).withColumn("hits", hits).drop("tokens"), "indexed")
+    df = written(df.withColumn("tfs", tfs).withColumn("hits", hits).drop("low", "tokens", "starts"), "indexed")
     marks = lambda c, kind: F.transform(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))), lambda x: F.struct(F.concat(F.lit(kind), x).alias("key"), F.lit(1).alias("value")))
     rows = df.select("chunk_id", F.inline(F.concat(F.map_entries("tfs"), marks(F.col("predicate_hints"), PREDICATE), marks(F.col("hits"), CONTEXT))).alias("token", "tf"))
     levels = written(rows.groupBy("token", "tf").agg(F.count("*").alias("n")), "levels")
@@ -127,7 +133,8 @@ def _each(hits: Column, reason: str) -> Column:
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
-    """pairs of a question q and a chunk of the index with score and reasons, as score_chunks gives them for one question."""
+    """pairs of a question q and a chunk of the index, with its title, section and text in lower case (low), with score and
+    reasons, as score_chunks gives them for one question."""
     p, low = R.POINTS, F.col("low")
     found = {
         "_phrases": F.filter("q.terms", lambda t: t.contains(" ") & low.contains(t)),
@@ -182,7 +189,8 @@ def _scored(index: Index, questions: DataFrame, pairs: DataFrame) -> DataFrame:
     # pairs are short, scoring them is not: they stay dealt out, where adaptive execution would put them together by size
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.join(questions.select("qid", "q"), "qid").repartition(n, "chunk_id")
-    return score_pairs(pairs.join(index.chunks, "chunk_id"))
+    chunks = index.chunks.select("chunk_id", "source_id", "predicate_hints", "tfs", "hits", _low().alias("low"))
+    return score_pairs(pairs.join(chunks, "chunk_id")).select("qid", "chunk_id", "source_id", "score", "reasons")
 
 
 def search(index: Index, questions: DataFrame, top: int = 12, per_source: int = 4, digits: int | None = None) -> Search:
@@ -231,9 +239,10 @@ def search(index: Index, questions: DataFrame, top: int = 12, per_source: int =
     if not open_ones.isEmpty():
         # these questions are scored against all chunks: chunks without any of their words may be among the best
         pairs = pairs.join(open_ones, "qid", "left_anti").unionByName(index.chunks.select("chunk_id").crossJoin(open_ones))
-    scored = _scored(index, asked, pairs).drop("q", "low", "tfs", "hits")
+    scored = _scored(index, asked, pairs)
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
     # chunks without a score come last, so that they go after the ranking: a condition before it would take each score twice
     ranked = R.cap_top(scored, top, per_source, by=["qid"]).where("score > 0")
+    ranked = ranked.join(index.chunks.drop("source_id", "tfs", "hits"), "chunk_id")
     return Search(plan.select("qid", "token", "tf", "n", "read"), probed, ranked)

@@ -60,13 +60,20 @@ def row_by_id(df: DataFrame, value, key: str = "id") -> DataFrame:
     return out.where(F.when(F.col("_hit").isNull(), missing).otherwise(F.lit(True))).drop("_hit")
 
 
+def _line_order() -> Column:
+    """Where a line stands: its file by path, its split of the file, and its row there. Row numbers alone follow the order in
+    which splits are packed into partitions, the larger ones first."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
 def read_lines(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
-    """JSON lines, blank ones skipped; with a key the last line of each counts, in line order. A missing file has no rows."""
+    """JSON lines, blank ones skipped; with a key the last line of each counts, in the order of the files' paths and their lines. A missing
+    file has no rows."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], schema)
-    lines = spark.read.text(path).withColumn("_pos", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    lines = spark.read.text(path).withColumn("_pos", _line_order()).where(F.trim("value") != "")
     out = lines.select("_pos", F.from_json("value", schema).alias("r")).select("_pos", "r.*")
     return (out if key is None else keyed_lines(out, key, "_pos")).drop("_pos")
 
@@ -112,11 +119,12 @@ def with_manifest_defaults(df: DataFrame) -> DataFrame:
 
 
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Earlier results by id; rows whose id is no integer go, and the last of an id counts."""
-    df = spark.read.csv(path, header=True).withColumn("pos", F.monotonically_increasing_id())
+    """Earlier results by id; rows whose id is no integer go, and the last of an id counts, in the order of the files' paths and their lines."""
+    df = spark.read.csv(path, header=True)
     if "id" not in df.columns:
         return df.where("false")
-    return keyed_lines(df.withColumn("id", F.col("id").try_cast("int")).where("id IS NOT NULL"), "id").drop("pos")
+    df = df.withColumn("_pos", _line_order())
+    return keyed_lines(df.withColumn("id", F.col("id").try_cast("int")).where("id IS NOT NULL"), "id", "_pos").drop("_pos")
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -62,3 +62,28 @@ def test_small_text_functions(spark):
     df = spark.createDataFrame([("one\n two   three", "2020", None)], "t string, d string, c string")
     row = df.select(T.one_line(F.col("t"), 7).alias("short"), T.one_line(F.col("t"), 100).alias("whole"), T.query_predicates(F.lit("how many moons and when was it discovered")).alias("p"), timewin.matches(F.lit(20200101), F.lit(20201231), F.col("c"), F.lit("exact")).alias("all"), timewin.matches(F.lit(20200101), F.lit(20201231), F.lit("1999"), F.lit("exact")).alias("none")).first()
     assert row.whole == "one two three" and row.short.endswith("...") and len(row.short) <= 10 and "moon_count" in row.p and row["all"] and not row["none"]
+
+
+def test_last_line_over_uneven_files(spark, tmp_path):
+    """The last line of a key is that of the last file by path, whatever the sizes of the files and the packing of their splits."""
+    import json
+
+    from chronoweave.sources.facts import read_lines, read_results_csv
+
+    line = lambda i, v: json.dumps({"id": i, "v": v}) + "\n"
+    (tmp_path / "part-0").write_text(line(1, "old"))
+    (tmp_path / "part-1").write_text("".join(line(i, "x" * 50) for i in range(2, 2002)) + "\n" + line(1, "new") + line(7, "seven"))
+    (tmp_path / "part-2").write_text(line(7, "last"))
+    for most in (128 << 20, 4096):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            got = {r.id: r.v for r in read_lines(spark, str(tmp_path), "id int, v string", key="id").collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len(got) == 2001 and got[1] == "new" and got[7] == "last"
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,pos\n1,old\nx,none\n")
+    (folder / "b.csv").write_text("id,pos\n" + "".join(f"{i},y\n" for i in range(2, 2002)) + "1,new\n")
+    got = {r.id: r.pos for r in read_results_csv(spark, str(folder)).collect()}
+    assert len(got) == 2001 and got[1] == "new"
