@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoweave.catalog_facts import table
+from chronoweave.catalog_facts import FACTS, table
 from chronoweave.catalog_text import CHUNKS, HINTS, NAMES, STOP, _chunks
 from chronoweave.functions import text as T
-from chronoweave.operators import index, retrieve
+from chronoweave.functions.timewin import bounds
+from chronoweave.operators import asof, index, retrieve
+from chronoweave.sources.facts import facts_from_orders
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -61,3 +63,21 @@ def r_batch(spark, d):
     )
     found = index.search(index.build_index(_chunks(spark, d)), asked, digits=6).ranked
     return found.select("qid", "chunk_id", "rank", "score", F.array_join("reasons", ";").alias("reasons"))
+
+
+@query(
+    FACTS
+    + """, r AS (SELECT o_orderkey AS qid, o_custkey::VARCHAR AS subject, o_orderpriority AS predicate, strftime(o_orderdate - INTERVAL 1 DAY * (o_orderkey % 700), '%Y%m%d')::INT AS s,
+  CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate + INTERVAL 1 DAY * (o_orderkey % 900), '%Y%m%d')::INT WHEN 1 THEN year(o_orderdate) * 10000 + 1231
+    ELSE strftime(last_day(o_orderdate + INTERVAL 1 DAY * 400), '%Y%m%d')::INT END AS e FROM orders)
+SELECT qid, w.pos, w.time FROM r JOIN w USING (subject, predicate) WHERE t_start >= s AND t_end <= e
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY t_end DESC, t_start DESC, w.pos) = 1"""
+)
+def t_spans(spark, d):
+    """The latest fact of each order's customer and priority within a span of its own, which ends on a day, with a year or with a month."""
+    orders = table(spark, d, "orders")
+    day, key, days = F.col("o_orderdate").cast("date"), F.col("o_orderkey"), lambda n: n.cast("int")
+    begin = F.date_format(F.date_sub(day, days(key % 700)), "yyyy-MM-dd")
+    end = F.when(key % 3 == 0, F.date_format(F.date_add(day, days(key % 900)), "yyyy-MM-dd")).when(key % 3 == 1, F.date_format(day, "yyyy")).otherwise(F.date_format(F.date_add(day, 400), "yyyy-MM"))
+    asked = orders.select(key.alias("qid"), F.col("o_custkey").cast("string").alias("subject"), F.col("o_orderpriority").alias("predicate"), bounds(F.concat(begin, F.lit(".."), end), F.lit("between")).alias("c"))
+    return asof.asof_lookup(asked, facts_from_orders(orders), ["qid"]).select("qid", "fact.pos", "fact.time")

@@ -1,15 +1,15 @@
 """The latest, earliest or as-of fact of each key, and raw retrieval of facts for requests.
 
 Lookups are running minima over a key's facts and requests in the order of
-time, or, where the rule has two sides, an equi-join on the key with the rule
-as a residual and a rank of one, which Spark prunes before the shuffle.
+time, or, where the rule has two sides, equi-joins on the nodes of the
+calendar that hold the facts and make up the requests.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chronoweave.functions.timewin import bounds, in_bounds
+from chronoweave.functions.timewin import bounds, covering_nodes, in_bounds, is_calendar, is_span, span_nodes
 
 
 def latest_order() -> list[Column]:
@@ -52,6 +52,32 @@ def best_order(after: Column) -> list[Column]:
     return [F.when(after, F.col("t_start")).otherwise(-F.col("t_end")).asc_nulls_last(), F.when(after, F.col("t_end")).otherwise(-F.col("t_start")).asc_nulls_last(), F.col("pos").asc()]
 
 
+def spans_lookup(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left, requests (_s, _p, c, ..) for facts within c.s to c.e, with the latest such fact of right (_s, _p, _a, _b, _n, fact).
+
+    Days, months and years are nested or apart. So each fact stands at the
+    few nodes of the calendar that hold it, each node of a key keeps its best
+    fact, and a span is cut into the few nodes that make it up, whose best
+    facts' best is the answer: a key costs its facts plus its requests, times
+    the height of the calendar, and its nodes are dealt out. Facts whose
+    window is no day, month or year, and spans whose ends are no days, meet
+    all of their key.
+    """
+    dated = right.where("_a IS NOT NULL AND _b IS NOT NULL")
+    plain, days = is_calendar(F.col("_a"), F.col("_b")), is_span(F.col("c.s"), F.col("c.e"))
+    best = F.max(F.struct("_b", "_a", (-F.col("_n")).alias("_m"))).alias("_best")
+    held = dated.where(plain).select("_s", "_p", "_a", "_b", "_n", F.inline(covering_nodes(F.col("_a"), F.col("_b")))).groupBy("_s", "_p", "level", "node").agg(best)
+    kept = [c for c in left.columns if c not in ("_s", "_p", "c")]
+    asked = left.where(days).select("_s", "_p", F.struct(*kept).alias("_q"), F.inline(span_nodes(F.col("c.s"), F.col("c.e"))))
+    found = asked.join(held, ["_s", "_p", "level", "node"]).groupBy("_s", "_p", "_q").agg(F.max("_best").alias("_best"))
+    found = found.select("_s", "_p", "_q.*", F.col("_best._a").alias("_a"), F.col("_best._b").alias("_b"), (-F.col("_best._m")).alias("_n"))
+    found = found.join(dated, ["_s", "_p", "_a", "_b", "_n"]).select(*kept, "_a", "_b", "_n", "fact")
+    # the two below are empty where all windows and spans are those of the calendar, so their joins cost nothing then
+    odd = left.join(dated.where(~plain), ["_s", "_p"]).unionByName(left.where(~days).join(dated.where(plain), ["_s", "_p"]))
+    other = odd.where((F.col("_a") >= F.col("c.s")) & (F.col("_b") <= F.col("c.e")))
+    return found.unionByName(other.select(*kept, "_a", "_b", "_n", "fact"))
+
+
 def asof_lookup(requests: DataFrame, facts: DataFrame, ids: list[str]) -> DataFrame:
     """One best fact for each request.
 
@@ -62,15 +88,15 @@ def asof_lookup(requests: DataFrame, facts: DataFrame, ids: list[str]) -> DataFr
 
     Requests as of, before or after a time stand among the facts of their key
     in the order of time, and each reads the best fact so far, so that a key
-    costs its requests plus its facts, not their product. Only requests for a
-    span of time meet every fact of their key.
+    costs its requests plus its facts, not their product. Requests for a span
+    of time go through the calendar (see spans_lookup).
     """
     left = requests.withColumn("_s", F.lower("subject")).withColumn("_p", F.lower("predicate")).drop("subject", "predicate")
     kept = [c for c in left.columns if c not in ("_s", "_p", "c")]
     right = facts.select(F.lower("subject").alias("_s"), F.lower("predicate").alias("_p"), F.col("t_start").alias("_a"), F.col("t_end").alias("_b"), F.col("pos").alias("_n"), F.struct(*facts.columns).alias("fact"))
     kind = F.col("c")["kind"]
 
-    spans = left.where(kind == "between").join(right, ["_s", "_p"]).where(F.coalesce((F.col("_a") >= F.col("c.s")) & (F.col("_b") <= F.col("c.e")), F.lit(False)))
+    spans = spans_lookup(left.where(kind == "between"), right)
     undated = F.row_number().over(Window.partitionBy("_s", "_p").orderBy((-F.col("_b")).asc_nulls_last(), (-F.col("_a")).asc_nulls_last(), F.col("_n")))
     free = left.where("c IS NULL").join(right.withColumn("_r", undated).where("_r = 1").drop("_r"), ["_s", "_p"])
 
