@@ -21,6 +21,10 @@ from chronoweave.sources.work import written
 BLOCK, HOT = 128, 1 << 16
 #: Postings probed for a question's threshold: so many for each chunk that is asked for, or this share of all of its words.
 PROBE, SHARE = 20, 1 / 16
+#: Of the chunks probed, those with the most points so far are scored in full: so many for each that is asked for.
+TRIED = 8
+#: So many questions at most are sent to all tasks.
+FEW_QUESTIONS = 2000
 #: Scores are sums of fractions; a bound may fall short of one by that much.
 SLACK = 1e-6
 #: Hints and contexts are indexed beside words, under names that no word has.
@@ -188,16 +192,19 @@ def _postings(index: Index, levels: DataFrame) -> DataFrame:
 def _scored(index: Index, questions: DataFrame, pairs: DataFrame) -> DataFrame:
     # pairs are short, scoring them is not: they stay dealt out, where adaptive execution would put them together by size
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.join(questions.select("qid", "q"), "qid").repartition(n, "chunk_id")
+    few = questions.count() <= FEW_QUESTIONS
+    pairs = (pairs if few else pairs.join(questions.select("qid", "q"), "qid")).repartition(n, "chunk_id")
     chunks = index.chunks.select("chunk_id", "source_id", "predicate_hints", "tfs", "hits", _low().alias("low"))
-    return score_pairs(pairs.join(chunks, "chunk_id")).select("qid", "chunk_id", "source_id", "score", "reasons")
+    both = pairs.join(chunks, "chunk_id")
+    both = both.join(F.broadcast(questions.select("qid", "q")), "qid") if few else both
+    return score_pairs(both).select("qid", "chunk_id", "source_id", "score", "reasons")
 
 
 def search(index: Index, questions: DataFrame, top: int = 12, per_source: int = 4, digits: int | None = None) -> Search:
     """The best top chunks of each question, of each source per_source at most: (qid, chunk columns, score, reasons, rank).
 
     questions: qid and the columns of QUESTION; nulls count as empty. First
-    the rarest words' postings are probed, and the chunks found there scored in full: the worst of the best of these is the
+    the rarest words' postings are probed, and the best chunks found there scored in full: the worst of the best of these is the
     threshold, which more chunks can only raise. Then levels are given up,
     those with the most postings for their points first, as long as all that
     is given up and all other points together stay under it; a chunk that no
@@ -218,7 +225,9 @@ def search(index: Index, questions: DataFrame, top: int = 12, per_source: int =
     share = F.greatest(F.lit(float(PROBE * max(top, 1))), F.sum("n").over(Window.partitionBy("qid")) * SHARE)
     probe = probe.withColumn("share", share).where(F.col("upto") - F.col("n") < F.col("share"))
     probed = probe.groupBy("qid").agg(F.sum("n").alias("n"))
-    first = _scored(index, asked, _postings(index, probe.select("qid", "token", "tf")).select("qid", "chunk_id").distinct()).select("qid", "source_id", "chunk_id", "score")
+    tried = _postings(index, probe.select("qid", "token", "tf", "impact")).groupBy("qid", "chunk_id").agg(F.sum("impact").alias("part"))
+    tried = tried.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("part"), "chunk_id"))).where(F.col("nth") <= TRIED * max(top, 1))
+    first = _scored(index, asked, tried.select("qid", "chunk_id")).select("qid", "source_id", "chunk_id", "score")
     best = R.cap_top(first, top, per_source, by=["qid"]).groupBy("qid").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     bound = asked.join(best.where(F.col("n") >= max(top, 1)), "qid", "left").select("qid", "bonus", (F.coalesce("least", F.lit(0.0)) - F.col("bonus") - SLACK).alias("room"))
     bound = written(bound, "bounds")
