@@ -20,7 +20,7 @@ from chronoweave.sources.work import written
 #: Postings in a block, about; levels of over 1 / HOT of all postings are HOT at most.
 BLOCK, HOT = 128, 1 << 16
 #: Postings probed for a question's threshold: so many for each chunk that is asked for, or this share of all of its words.
-PROBE, SHARE = 20, 1 / 16
+PROBE, SHARE = 20, 1 / 64
 #: Of the chunks probed, those with the most points so far are scored in full: so many for each that is asked for.
 TRIED = 8
 #: So many questions at most are sent to all tasks.
