@@ -1,8 +1,9 @@
 """The latest, earliest or as-of fact of each key, and raw retrieval of facts for requests.
 
-Lookups are running minima over a key's facts and requests in the order of
-time, or, where the rule has two sides, equi-joins on the nodes of the
-calendar that hold the facts and make up the requests.
+Lookups are running minima over the days of a key's facts and requests, in two
+levels, or, where the rule has two sides, equi-joins on the nodes of the
+calendar that hold the facts and make up the requests. Only places and times
+take part in them; facts are joined to what was found at the end.
 """
 
 from __future__ import annotations
@@ -52,8 +53,18 @@ def best_order(after: Column) -> list[Column]:
     return [F.when(after, F.col("t_start")).otherwise(-F.col("t_end")).asc_nulls_last(), F.when(after, F.col("t_end")).otherwise(-F.col("t_start")).asc_nulls_last(), F.col("pos").asc()]
 
 
+#: Times are days as numbers, YYYYMMDD: the quotient by this is the year.
+YEAR = 10_000
+KEY = ["_s", "_p"]
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """df through a generator of one row: what reads its columns does not repeat the expressions that made them, each time in each condition."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def spans_lookup(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left, requests (_s, _p, c, ..) for facts within c.s to c.e, with the latest such fact of right (_s, _p, _a, _b, _n, fact).
+    """left, requests (_s, _p, c, ..) for facts within c.s to c.e, with _a, _b, _n of the latest such fact of right (_s, _p, _a, _b, _n).
 
     Days, months and years are nested or apart. So each fact stands at the
     few nodes of the calendar that hold it, each node of a key keeps its best
@@ -66,16 +77,58 @@ def spans_lookup(left: DataFrame, right: DataFrame) -> DataFrame:
     dated = right.where("_a IS NOT NULL AND _b IS NOT NULL")
     plain, days = is_calendar(F.col("_a"), F.col("_b")), is_span(F.col("c.s"), F.col("c.e"))
     best = F.max(F.struct("_b", "_a", (-F.col("_n")).alias("_m"))).alias("_best")
-    held = dated.where(plain).select("_s", "_p", "_a", "_b", "_n", F.inline(covering_nodes(F.col("_a"), F.col("_b")))).groupBy("_s", "_p", "level", "node").agg(best)
-    kept = [c for c in left.columns if c not in ("_s", "_p", "c")]
-    asked = left.where(days).select("_s", "_p", F.struct(*kept).alias("_q"), F.inline(span_nodes(F.col("c.s"), F.col("c.e"))))
-    found = asked.join(held, ["_s", "_p", "level", "node"]).groupBy("_s", "_p", "_q").agg(F.max("_best").alias("_best"))
-    found = found.select("_s", "_p", "_q.*", F.col("_best._a").alias("_a"), F.col("_best._b").alias("_b"), (-F.col("_best._m")).alias("_n"))
-    found = found.join(dated, ["_s", "_p", "_a", "_b", "_n"]).select(*kept, "_a", "_b", "_n", "fact")
+    held = dated.where(plain).select(*KEY, "_a", "_b", "_n", F.inline(covering_nodes(F.col("_a"), F.col("_b")))).groupBy(*KEY, "level", "node").agg(best)
+    kept = [c for c in left.columns if c not in (*KEY, "c")]
+    asked = left.where(days).select(*KEY, F.struct(*kept).alias("_q"), F.inline(span_nodes(F.col("c.s"), F.col("c.e"))))
+    found = asked.join(held, [*KEY, "level", "node"]).groupBy(*KEY, "_q").agg(F.max("_best").alias("_best"))
+    found = found.select("_q.*", *KEY, F.col("_best._a").alias("_a"), F.col("_best._b").alias("_b"), (-F.col("_best._m")).alias("_n"))
     # the two below are empty where all windows and spans are those of the calendar, so their joins cost nothing then
-    odd = left.join(dated.where(~plain), ["_s", "_p"]).unionByName(left.where(~days).join(dated.where(plain), ["_s", "_p"]))
+    odd = left.join(dated.where(~plain), KEY).unionByName(left.where(~days).join(dated.where(plain), KEY))
     other = odd.where((F.col("_a") >= F.col("c.s")) & (F.col("_b") <= F.col("c.e")))
-    return found.unionByName(other.select(*kept, "_a", "_b", "_n", "fact"))
+    return found.unionByName(other.select(*kept, *KEY, "_a", "_b", "_n"))
+
+
+def best_so_far(events: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """The least value of a key up to each of its times: (keys, at, value), a row for each time of each key; nulls count as no value.
+
+    First each day keeps its least value, before rows are shuffled; then the
+    days of a year run on within that year, and the least of each year is
+    carried into the next ones by a window over years. So the rows of one key
+    are dealt out by days and years, and no task has more of a key than the
+    days of its years or its years.
+    """
+    days = events.groupBy(*keys, at).agg(F.min(value).alias("_v")).withColumn("_y", F.floor(F.col(at) / YEAR))
+    years = days.groupBy(*keys, "_y").agg(F.min("_v").alias("_carried"))
+    before = Window.partitionBy(*keys).orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
+    years = years.withColumn("_carried", F.min("_carried").over(before))
+    within = Window.partitionBy(*keys, "_y").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    out = days.withColumn("_v", F.min("_v").over(within)).join(years, [*keys, "_y"])
+    return out.select(*keys, at, F.least("_v", "_carried").alias(value))
+
+
+def timed_lookup(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left, requests (_s, _p, c, ..) as of, before or after a time, with _after and the best fact's _a, _b, _n.
+
+    Facts as of a time begin by then, those before it have ended by the day
+    before, those after it begin on the day after or later; time runs
+    backwards for these. Requests and facts meet by the running best of their
+    key's days.
+    """
+    kind = F.col("c")["kind"]
+    kept = [c for c in left.columns if c not in (*KEY, "c")]
+    late, early = F.struct((-F.col("_b")).alias("x"), (-F.col("_a")).alias("y"), F.col("_n").alias("z")), F.struct(F.col("_a").alias("x"), F.col("_b").alias("y"), F.col("_n").alias("z"))
+    rules = (("exact", F.col("_a"), late, F.col("c.e")), ("before", F.col("_b"), late, F.col("c.s") - 1), ("after", -F.col("_a"), early, -F.col("c.e") - 1))
+    at = F.when(kind == rules[0][0], rules[0][3])
+    for name, _, _, when in rules[1:]:
+        at = at.when(kind == name, when)
+    asked = left.select(*kept, *KEY, kind.alias("_k"), at.alias("_at")).where("_at IS NOT NULL")
+    events = F.array(*[F.struct(F.lit(name).alias("_k"), day.alias("_at"), order.alias("_o")) for name, day, order, _ in rules])
+    facts = right.where("_a IS NOT NULL").select(*KEY, F.inline(events))
+    facts = facts.join(asked.select("_k").distinct().hint("broadcast"), "_k", "left_semi")
+    best = best_so_far(facts.unionByName(asked.select(*KEY, "_k", "_at"), allowMissingColumns=True), [*KEY, "_k"], "_at", "_o").where("_o IS NOT NULL")
+    found, after = asked.join(best, [*KEY, "_k", "_at"]), F.col("_k") == "after"
+    x, y = F.col("_o.x"), F.col("_o.y")
+    return found.select(*kept, *KEY, after.alias("_after"), F.when(after, x).otherwise(-y).alias("_a"), F.when(after, y).otherwise(-x).alias("_b"), F.col("_o.z").alias("_n"))
 
 
 def asof_lookup(requests: DataFrame, facts: DataFrame, ids: list[str]) -> DataFrame:
@@ -84,40 +137,31 @@ def asof_lookup(requests: DataFrame, facts: DataFrame, ids: list[str]) -> DataFr
     requests: ids, subject, predicate, and the constraint's c (struct of
     bounds; null for none). Keys compare in lower case. Facts come back as a
     struct column fact, and requests without one are not in the result. Of
-    requests with the same ids one fact, the best of all, is found.
+    requests with the same ids one fact, the best of all, is found. pos tells
+    facts apart.
 
-    Requests as of, before or after a time stand among the facts of their key
-    in the order of time, and each reads the best fact so far, so that a key
-    costs its requests plus its facts, not their product. Requests for a span
-    of time go through the calendar (see spans_lookup).
+    A key costs its requests plus its facts, not their product, and is dealt
+    out by its days (see timed_lookup, spans_lookup): facts are reduced to the
+    best of each day before they are shuffled, and only facts that were found
+    are taken whole, by one join at the end.
     """
     left = requests.withColumn("_s", F.lower("subject")).withColumn("_p", F.lower("predicate")).drop("subject", "predicate")
-    kept = [c for c in left.columns if c not in ("_s", "_p", "c")]
-    right = facts.select(F.lower("subject").alias("_s"), F.lower("predicate").alias("_p"), F.col("t_start").alias("_a"), F.col("t_end").alias("_b"), F.col("pos").alias("_n"), F.struct(*facts.columns).alias("fact"))
-    kind = F.col("c")["kind"]
-
-    spans = spans_lookup(left.where(kind == "between"), right)
-    undated = F.row_number().over(Window.partitionBy("_s", "_p").orderBy((-F.col("_b")).asc_nulls_last(), (-F.col("_a")).asc_nulls_last(), F.col("_n")))
-    free = left.where("c IS NULL").join(right.withColumn("_r", undated).where("_r = 1").drop("_r"), ["_s", "_p"])
-
-    # a request at a time follows the facts of that time if these may match, else it stands before them
-    least = F.struct((-F.col("_b")).alias("x"), (-F.col("_a")).alias("y"), F.col("_n").alias("z"))
-    first = F.struct(F.col("_a").alias("x"), F.col("_b").alias("y"), F.col("_n").alias("z"))
-    asked = lambda name, at, turn: left.where((kind == name) & at.isNotNull()).select("_s", "_p", F.lit(name).alias("_k"), at.alias("_at"), F.lit(turn).alias("_t"), F.struct(*kept).alias("_q"))
-    held = lambda name, at, turn, best: right.where("_a IS NOT NULL").select("_s", "_p", F.lit(name).alias("_k"), at.alias("_at"), F.lit(turn).alias("_t"), F.struct(best.alias("o"), "_a", "_b", "_n", "fact").alias("_f"))
-    rows = held("exact", F.col("_a"), 0, least).unionByName(held("before", F.col("_b"), 1, least)).unionByName(held("after", -F.col("_a"), 1, first))
-    rows = rows.join(left.select(F.coalesce(kind, F.lit("")).alias("_k")).distinct().hint("broadcast"), "_k", "left_semi")
-    for name, at, turn in (("exact", F.col("c.e"), 1), ("before", F.col("c.s"), 0), ("after", -F.col("c.e"), 0)):
-        rows = rows.unionByName(asked(name, at, turn), allowMissingColumns=True)
-    upto = Window.partitionBy("_k", "_s", "_p").orderBy("_at", "_t").rowsBetween(Window.unboundedPreceding, 0)
-    timed = rows.withColumn("_f", F.min("_f").over(upto)).where("_q IS NOT NULL AND _f IS NOT NULL")
-    timed = timed.select("_q.*", F.col("_k") == "after", "_f._a", "_f._b", "_f._n", "_f.fact").toDF(*kept, "_after", "_a", "_b", "_n", "fact")
-
-    one = lambda df: df.select(*kept, F.lit(False).alias("_after"), "_a", "_b", "_n", "fact")
-    out = timed.unionAll(one(spans)).unionAll(one(free))
+    left = computed_once(left)
+    kept = [c for c in left.columns if c not in (*KEY, "c")]
+    whole = facts.select(F.lower("subject").alias("_s"), F.lower("predicate").alias("_p"), F.col("pos").alias("_n"), F.struct(*facts.columns).alias("fact"))
+    right = computed_once(facts.select(F.lower("subject").alias("_s"), F.lower("predicate").alias("_p"), F.col("t_start").alias("_a"), F.col("t_end").alias("_b"), F.col("pos").alias("_n")))
+
+    nulls_last = F.struct(F.col("_b").isNull().alias("u"), (-F.col("_b")).alias("x"), F.col("_a").isNull().alias("v"), (-F.col("_a")).alias("y"), F.col("_n").alias("z"))
+    latest_one = right.groupBy(*KEY).agg(F.min(nulls_last).alias("_o")).select(*KEY, (-F.col("_o.y")).alias("_a"), (-F.col("_o.x")).alias("_b"), F.col("_o.z").alias("_n"))
+    free = left.where("c IS NULL").join(latest_one, KEY)
+    spans = spans_lookup(left.where(F.col("c.kind") == "between"), right)
+
+    one = lambda df, after: df.select(*kept, *KEY, after.alias("_after"), "_a", "_b", "_n")
+    out = one(timed_lookup(left, right), F.col("_after")).unionAll(one(spans, F.lit(False))).unionAll(one(free, F.lit(False)))
     early, late = F.col("_a"), F.col("_b")
     rank = F.row_number().over(Window.partitionBy(*ids).orderBy(F.when(F.col("_after"), early).otherwise(-late).asc_nulls_last(), F.when(F.col("_after"), late).otherwise(-early).asc_nulls_last(), F.col("_n")))
-    return out.withColumn("_r", rank).where("_r = 1").select(*kept, "fact")
+    found = out.withColumn("_r", rank).where("_r = 1")
+    return found.join(whole, [*KEY, "_n"]).select(*kept, "fact")
 
 
 def retrieve(facts: DataFrame, entities: list[str], predicates: list[str], constraint: str | None = None, semantic: str | None = None, limit: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from chronoweave.functions.timewin import bounds
-from chronoweave.operators.asof import asof_lookup
+from chronoweave.operators.asof import asof_lookup, best_so_far
 from chronoweave.sources.facts import facts_from_rows
 
 
@@ -92,3 +92,34 @@ def test_spans_of_one_key_take_linear_time(spark):
         assert asof_lookup(asked, facts, ["qid"]).where("fact.pos = qid").count() == n
         took.append(time.time() - begin)
     assert took[2] < 8 * took[1]
+
+
+def test_best_so_far_like_a_scan(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice("abc"), rnd.choice((1, -1)) * (rnd.choice((1999, 2000, 2001)) * 10_000 + rnd.randrange(101, 1232)), rnd.choice((None, rnd.randrange(1000)))) for _ in range(600)]
+    got = {(r.k, r.at): r.v for r in best_so_far(spark.createDataFrame(rows, "k string, at int, v int"), ["k"], "at", "v").collect()}
+    assert set(got) == {(k, at) for k, at, _ in rows}
+    for (k, at), v in got.items():
+        assert v == min((x for kk, a, x in rows if kk == k and a <= at and x is not None), default=None)
+
+
+def test_one_key_is_dealt_out(spark):
+    """120,000 facts and as many requests of one key over 40 years: what is shuffled of the facts is a row a day, and no task
+    of the running best has more than twice the median's rows."""
+    n = 120_000
+    day = lambda x: F.date_format(F.date_add(F.lit("1960-01-01").cast("date"), (x % 14_600).cast("int")), "yyyyMMdd").cast("int")
+    events = spark.range(n).select(F.lit("k").alias("k"), day(F.col("id")).alias("at"), F.col("id").alias("v"))
+    best = best_so_far(events, ["k"], "at", "v")
+    assert best.count() == 14_600 and best.where("v <> 0").count() == 0
+    parts = sorted(r["count"] for r in events.select("k", F.floor(F.col("at") / 10_000).alias("y"), "at").distinct().repartition(8, "k", "y").groupBy(F.spark_partition_id()).count().collect())
+    assert parts[-1] < 0.5 * 14_600
+
+
+def test_one_day_of_one_key(spark):
+    """Facts and requests that all have one key and one day."""
+    n = 20_000
+    facts = spark.range(n).select(F.col("id").alias("pos"), F.lit("k").alias("subject"), F.lit("p").alias("predicate"), F.lit("").alias("object_raw"), F.lit(20000101).alias("t_start"), F.lit(20000101).alias("t_end"))
+    kind = F.element_at(F.array(*map(F.lit, ("exact", "before", "after"))), (F.col("id") % 3 + 1).cast("int"))
+    c = F.struct((F.lit(20000101) + (F.col("id") % 3 == 1).cast("int") - (F.col("id") % 3 == 2).cast("int")).alias("s"), (F.lit(20000101) - (F.col("id") % 3 == 2).cast("int")).alias("e"), kind.alias("kind"))
+    asked = spark.range(n).select(F.col("id").alias("qid"), F.lit("k").alias("subject"), F.lit("p").alias("predicate"), c.alias("c"))
+    assert asof_lookup(asked, facts, ["qid"]).where("fact.pos = 0").count() == n
