@@ -11,7 +11,8 @@ BLANK = " \t\n\x0b\x0c\r"
 #: A run is deleted from so many lines on, or from so many words in one line.
 MIN_LINES, MIN_WORDS = 2, 50
 KEY = ["doc_id", "version"]
-RUN = [*KEY, "pos", "first_doc", "first_version", "first_pos", "length", "top"]
+#: Keys of more than MANY rows and more than a HOT-th of all rows are joined by broadcast.
+HOT, MANY = 1000, 50_000
 
 
 def _key(docs: DataFrame):
@@ -22,6 +23,10 @@ def _has_word(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK)) != ""
 
 
+def _place() -> Column:
+    return F.struct("doc_id", "version", "pos")
+
+
 def line_ids(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, version, pos, h1, h2, long): the lines with a word, by two hashes; pos counts them; long: min_words words or more."""
     parts = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
@@ -30,11 +35,23 @@ def line_ids(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return df.select(*KEY, "pos", F.xxhash64("line").alias("h1"), F.hash("line", F.lit(1)).alias("h2"), long.alias("long"))
 
 
+def _with_keys(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """rows joined with staged keys(by, n: rows that have the key, ..). Keys of more than MANY rows and of more than a HOT-th of all
+    are HOT at most: these are broadcast, so that no task gets all rows of one; the rest are joined by shuffle."""
+    size = keys.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
+    limit = max(MANY, size.all // HOT)
+    if size.most <= limit:
+        return rows.join(keys, by)
+    hot = F.broadcast(keys.where(F.col("n") > limit))
+    rest = rows.join(hot.select(*by), by, "left_anti").join(keys.where(F.col("n") <= limit), by)
+    return rows.join(hot, by).unionByName(rest)
+
+
 def _ranked(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """The keys of two rows or more, ranked in their order, with their first place; and rows of such keys with rank and first place."""
-    keys = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "pos")).alias("first")).where("n > 1").drop("n")
+    keys = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
     ranked = stage(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id()), "ranks")
-    return ranked, rows.join(ranked, by).select(*KEY, "pos", F.col("name").alias("rank"), "first", "long")
+    return ranked, _with_keys(rows, ranked, by).select(*KEY, "pos", F.col("name").alias("rank"), "first", "long")
 
 
 def suffix_ranks(docs: DataFrame, min_words: int = MIN_WORDS) -> list[DataFrame]:
@@ -68,42 +85,75 @@ def _same(a: str, b: str, pairs: list[tuple[str, str]]) -> Column:
     return out
 
 
+def _level(ranks: list[DataFrame], j: int) -> DataFrame:
+    """The places of a block of 2^j lines whose block of 2^(j+1) lines no earlier place has: all but each block's first repeat
+    2^j lines or more, but fewer than 2^(j+1), of an earlier place."""
+    rows = ranks[j].select(*KEY, "pos", F.xxhash64(F.lit(j), "rank").alias("node"), F.lit(1 << j).alias("length"))
+    if j + 1 < len(ranks):
+        longer = ranks[j + 1].where(_place() > F.col("first")).select(*KEY, "pos")
+        rows = rows.alias("a").join(longer.alias("b"), _same("a", "b", [(c, c) for c in (*KEY, "pos")]), "left_anti")
+    return rows
+
+
+def longest_repeats(ranks: list[DataFrame], least: int = 0) -> DataFrame | None:
+    """(doc_id, version, pos, length, first): of each place the longest block of 2^least lines or more that an earlier place has, and the first place that has it.
+
+    Blocks that stand more than once are a tree, longer ones under their
+    beginnings, the intervals of the suffix array by their longest common
+    prefix. A place is the first one of some nodes on its path and no longer
+    of their parent: that parent is its longest repeat. Levels of 2^j lines
+    come from the ranks; the nodes between 2^j and 2^(j+1) are found by
+    halving: places of a node that go on alike for 2^i more lines make up a
+    node of their own, and only the first of them stays to stand for all in
+    the half below. A node of k places settles k - 1 of them, so that a round
+    holds at most two rows a place, whatever the lengths.
+    """
+    nodes = None
+    for i in range(len(ranks) - 1, -1, -1):
+        if nodes is not None:
+            nodes = stage(_halved(nodes, ranks[i], i), "nodes")
+        if i >= least:
+            level = _level(ranks, i)
+            nodes = level if nodes is None else nodes.unionByName(level)
+    if nodes is None:
+        return None
+    firsts = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
+    return _with_keys(nodes, stage(firsts, "firsts"), ["node"]).where(_place() > F.col("first")).select(*KEY, "pos", "length", "first")
+
+
+def _halved(nodes: DataFrame, ranks: DataFrame, i: int) -> DataFrame:
+    """Nodes of places alike in length lines, and in fewer than length + 2^(i+1), cut at length + 2^i."""
+    ahead = nodes.alias("a").join(ranks.alias("b"), _same("a", "b", [(c, c) for c in KEY]) & (F.col("a.pos") + F.col("a.length") == F.col("b.pos")), "left")
+    rows = stage(ahead.select("a.*", F.col("b.rank").alias("rank")), "ahead")
+    pairs = rows.where("rank IS NOT NULL").groupBy("node", "rank").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
+    alike = stage(_with_keys(rows, stage(pairs, "pairs"), ["node", "rank"]), "alike")
+    upper = alike.select(*KEY, "pos", F.xxhash64(F.lit(i), "node", "rank").alias("node"), (F.col("length") + (1 << i)).alias("length"))
+    later = alike.where(_place() > F.col("first")).select(*KEY, "pos", "node")
+    lower = rows.alias("a").join(later.alias("b"), _same("a", "b", [(c, c) for c in (*KEY, "pos", "node")]), "left_anti").select(*KEY, "pos", "node", "length")
+    return upper.unionByName(lower)
+
+
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, version, pos, length, first_doc, first_version, first_pos, upto): maximal runs of lines that stand earlier too; upto: where the runs before it end.
 
-    At each place the longest block of 2^j lines that stands earlier is looked
-    up, and the first place that has it. Where the place before goes on to the
-    same, its run holds this one; at the others the longest common prefix of
-    both suffixes is found from the ranks, adding 2^i lines, i going down,
-    where both have one rank at i. Of these runs those count that no run from
-    an earlier place of the document holds. A line of min_words words is a run.
+    Each place's run is its longest that an earlier place has, with the first
+    place that has it whole; those count that no run from an earlier place of
+    the document holds. A line of min_words words is a run of one.
     """
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
+    if min_lines < 1:
+        raise ValueError("min_lines must be 1 or more")
     ranks = suffix_ranks(docs, min_words)
-    least = min_lines.bit_length() - 1
-    earlier = None
-    for j, rows in enumerate(ranks):
-        rows = rows.where(F.struct("doc_id", "version", "pos") > F.col("first"))
-        rows = (rows if j >= least else rows.where("long" if j == 0 else "false")).select(*KEY, "pos", F.struct(F.lit(j).alias("top"), "first").alias("best"))
-        earlier = rows if earlier is None else earlier.unionAll(rows)
-    if earlier is None:
+    if not ranks:
         return line_ids(docs, min_words).where("false").select(*KEY, "pos", F.col("pos").alias("length"), F.col("doc_id").alias("first_doc"), F.col("version").alias("first_version"), F.col("pos").alias("first_pos"), F.col("pos").alias("upto"))
-    best = earlier.repartition(*KEY).groupBy(*KEY, "pos").agg(F.max_by("best", "best.top").alias("best"))
-    runs = best.select(*KEY, "pos", F.col("best.top").alias("top"), F.col("best.first.doc_id").alias("first_doc"), F.col("best.first.version").alias("first_version"), F.col("best.first.pos").alias("first_pos"))
-    before = lambda c: F.lag(c).over(Window.partitionBy(*KEY).orderBy("pos"))
-    held = (before("pos") == F.col("pos") - 1) & before("first_doc").eqNullSafe(F.col("first_doc")) & (before("first_version") == F.col("first_version")) & (before("first_pos") == F.col("first_pos") - 1)
-    runs = runs.withColumn("held", F.coalesce(held, F.lit(False))).where("NOT held")
-    runs = stage(runs.withColumn("length", F.expr("shiftleft(1, top)")).select(*RUN), "runs")
-    for i in range(len(ranks) - 2, -1, -1):
-        more = runs.where(F.col("top") > i)
-        own = more.alias("r").join(ranks[i].alias("a"), _same("r", "a", [("doc_id", "doc_id"), ("version", "version")]) & (F.col("r.pos") + F.col("r.length") == F.col("a.pos")), "left").select("r.*", F.col("a.rank").alias("here"))
-        both = own.alias("r").join(ranks[i].alias("b"), _same("r", "b", [("first_doc", "doc_id"), ("first_version", "version")]) & (F.col("r.first_pos") + F.col("r.length") == F.col("b.pos")), "left").select("r.*", F.col("b.rank").alias("there"))
-        longer = both.withColumn("length", F.col("length") + F.when(F.col("here") == F.col("there"), 1 << i).otherwise(0)).select(*RUN)
-        runs = stage(longer.unionAll(runs.where(F.col("top") <= i)), "runs")
-    past = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    found = ranks[0].where(F.col("long") & (_place() > F.col("first"))).select(*KEY, "pos", F.lit(1).alias("length"), "first")
+    longest = longest_repeats(ranks, min_lines.bit_length() - 1)
+    if longest is not None:
+        found = found.unionByName(longest.where(F.col("length") >= min_lines))
+    runs = found.select(*KEY, "pos", "length", F.col("first.doc_id").alias("first_doc"), F.col("first.version").alias("first_version"), F.col("first.pos").alias("first_pos"))
+    # of a place's two runs the longer comes first, so that the one line is held by it
+    past = Window.partitionBy(*KEY).orderBy("pos", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
     upto = F.coalesce(F.max(F.col("pos") + F.col("length")).over(past), F.lit(0))
-    return runs.withColumn("upto", upto).where("pos + length > upto").select(*KEY, "pos", "length", "first_doc", "first_version", "first_pos", "upto")
+    return runs.withColumn("upto", upto).where("pos + length > upto")
 
 
 def _runs_of(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
@@ -183,19 +233,21 @@ def op9(spark, sf_dir: str) -> DataFrame:
     return dedup_report(read_table(spark, sf_dir, "documents"))
 
 
-#: Blocks of every length 2^j spelled out; the longest at each place that stands earlier; maximal runs by comparing line for line.
+#: Blocks grown line by line while they stand more than once, told apart by chained hashes: the last length at which a place is not its block's first is its longest repeat.
 OP9_SQL = r"""
-WITH parts AS (
+WITH RECURSIVE parts AS (
   SELECT doc_id, list_filter(list_transform(string_split(text, E'\n'), lambda s: trim(s, E' \t\n\x0b\x0c\r')), lambda s: s <> '') AS l FROM documents),
-lines AS (SELECT doc_id, l, unnest(range(len(l)))::INT AS pos FROM parts),
-blocks AS (SELECT doc_id, pos, j, md5(array_to_string(l[pos + 1 : pos + (1 << j)], E'\n')) AS h FROM lines, (SELECT unnest(range(14))::INT AS j)
-  WHERE pos + (1 << j) <= len(l) AND (j > 0 OR len(regexp_extract_all(l[pos + 1], '[^\x20\x09-\x0D]+')) >= 50)),
-firsts AS (SELECT doc_id, pos, j, first_value({'d': doc_id, 'p': pos}) OVER (PARTITION BY j, h ORDER BY doc_id, pos) AS f FROM blocks),
-tops AS (SELECT doc_id, pos, arg_max(f, j) AS f FROM firsts WHERE doc_id <> f.d OR pos <> f.p GROUP BY ALL),
-starts AS (SELECT * FROM tops WINDOW w AS (PARTITION BY doc_id ORDER BY pos) QUALIFY NOT coalesce(lag(pos) OVER w = pos - 1 AND lag(f.d) OVER w = f.d AND lag(f.p) OVER w = f.p - 1, false)),
-pairs AS (SELECT s.doc_id, s.pos, s.f, least(len(a.l) - s.pos, len(b.l) - s.f.p) AS m, a.l AS x, b.l AS y FROM starts s JOIN parts a ON a.doc_id = s.doc_id JOIN parts b ON b.doc_id = s.f.d),
-lengths AS (SELECT doc_id, pos, f, coalesce(nullif(list_position(list_transform(range(m), lambda i: x[pos + 1 + i] = y[f.p + 1 + i]), false), 0) - 1, m)::INT AS n FROM pairs),
-runs AS (SELECT *, coalesce(max(pos + n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM lengths QUALIFY pos + n > upto),
+lines AS (SELECT doc_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS line FROM parts),
+grown AS (
+  SELECT doc_id, pos, 1 AS m, md5(line) AS h, first_value({'d': doc_id, 'p': pos}) OVER w AS f FROM lines WINDOW w AS (PARTITION BY line ORDER BY doc_id, pos)
+  QUALIFY count(*) OVER (PARTITION BY line) > 1
+  UNION ALL
+  SELECT doc_id, pos, m + 1, k, first_value({'d': doc_id, 'p': pos}) OVER (PARTITION BY k ORDER BY doc_id, pos)
+  FROM (SELECT g.doc_id, g.pos, g.m, md5(g.h || md5(n.line)) AS k FROM grown g JOIN lines n ON n.doc_id = g.doc_id AND n.pos = g.pos + g.m)
+  QUALIFY count(*) OVER (PARTITION BY k) > 1),
+longest AS (SELECT doc_id, pos, max(m) AS n, arg_max(f, m) AS f FROM grown WHERE doc_id <> f.d OR pos <> f.p GROUP BY doc_id, pos),
+kept AS (SELECT g.* FROM longest g JOIN lines x USING (doc_id, pos) WHERE n >= 2 OR len(regexp_extract_all(x.line, '[^\x20\x09-\x0D]+')) >= 50),
+runs AS (SELECT *, coalesce(max(pos + n) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM kept QUALIFY pos + n > upto),
 gone AS (SELECT doc_id, unnest(range(greatest(pos, upto), pos + n)) AS pos FROM runs),
 per AS (SELECT doc_id, count(*) AS n_deleted, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS deleted FROM gone GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest, string_agg(pos || '+' || n || '<' || f.d || '.' || f.p, ',' ORDER BY pos) AS runs FROM runs GROUP BY doc_id)

@@ -3,6 +3,8 @@
 import random
 import time
 
+import pytest
+
 from chronoweave.llm import lines
 from tests.llm.common import corpus, table
 
@@ -63,30 +65,42 @@ def test_longer_runs(spark):
     assert got == {1: "", 2: "", 3: "0,1,2,3,4"}
 
 
-def longest_runs(rows):
-    """{doc_id: runs} by comparing lines from the first place of the longest block of 2^j lines on."""
+def longest_runs(rows, k=2):
+    """{doc_id: runs} by comparing each place with every earlier one, line for line."""
     docs = sorted((d, [x for x in (y.strip(BLANK) for y in (t or "").split("\n")) if x]) for d, t in dict(rows).items())
-    texts, first = dict(docs), {}
-    for d, own in docs:
-        for p in range(len(own)):
-            for j in range(12):
-                if p + (1 << j) <= len(own):
-                    first.setdefault((j, *own[p : p + (1 << j)]), (d, p))
-    out = {}
-    for d, own in docs:
-        upto, found = 0, []
-        for p in range(len(own)):
-            tops = [first[j, *own[p : p + (1 << j)]] for j in range(1, 12) if p + (1 << j) <= len(own)]
-            tops = [f for f in tops if f != (d, p)]
-            if tops:
-                (fd, fp), n = tops[-1], 0
-                while p + n < len(own) and fp + n < len(texts[fd]) and own[p + n] == texts[fd][fp + n]:
-                    n += 1
-                if p + n > upto:
-                    found.append(f"{p}+{n}<{fd}.{fp}")
-                    upto = p + n
-        out[d] = ",".join(found)
-    return out
+    places = [(d, p) for d, own in docs for p in range(len(own))]
+    texts, out = dict(docs), {d: [] for d, _ in docs}
+    ends = dict.fromkeys(texts, 0)
+    for at, (d, p) in enumerate(places):
+        best, where = 0, None
+        for fd, fp in places[:at]:
+            a, b, n = texts[d], texts[fd], 0
+            while p + n < len(a) and fp + n < len(b) and a[p + n] == b[fp + n]:
+                n += 1
+            if n > best:
+                best, where = n, (fd, fp)
+        if best >= k and p + best > ends[d]:
+            out[d].append(f"{p}+{best}<{where[0]}.{where[1]}")
+            ends[d] = p + best
+    return {d: ",".join(r) for d, r in out.items()}
+
+
+def test_later_holder_of_a_longer_run(spark):
+    rows = [(1, "A\nB\nx"), (2, "A\nB\nC\ny"), (3, "A\nB\nC\nz")]
+    got = {r.doc_id: (r.runs, r.n_runs, r.longest) for r in lines.dedup_report(table(spark, rows)).collect()}
+    assert got == {1: ("", 0, 0), 2: ("0+2<1.0", 1, 2), 3: ("0+3<2.0", 1, 3)}
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_runs_like_all_places(spark, k, monkeypatch):
+    """With k = 2 frequent lines and blocks are joined as hot ones are."""
+    monkeypatch.setattr(lines, "MANY", 3 if k == 2 else lines.MANY)
+    monkeypatch.setattr(lines, "HOT", 40 if k == 2 else lines.HOT)
+    rnd = random.Random(k)
+    rows = [(i, "\n".join(rnd.choice("ab" if i % 3 else "abcde") for _ in range(rnd.randint(0, 25)))) for i in range(14)]
+    rows += [(30 + i, "\n".join([f"p{n}" for n in range(i, 40 - 3 * i)] + [f"end {i}"])) for i in range(8)]
+    got = {r.doc_id: r.runs for r in lines.dedup_report(table(spark, rows), k).collect()}
+    assert got == longest_runs(rows, k)
 
 
 def test_maximal_runs(spark):
@@ -112,12 +126,15 @@ def test_long_single_lines(spark):
 
 def test_documents_of_very_many_lines(spark):
     """In time proportional to the lines."""
-    own = [f"line {i}" for i in range(60_000)]
-    docs = table(spark, [(1, "\n".join(own)), (2, "new\n" + "\n".join(own) + "\nnew"), (3, "\n".join(own[::2]))])
-    begin = time.time()
-    got = {r.doc_id: r.text for r in lines.dedup(docs).collect()}
-    assert got[2] == "new\nnew" and got[1] == "\n".join(own) and got[3] == "\n".join(own[::2])
-    assert time.time() - begin < 140
+    times = []
+    for n in (30_000, 60_000):
+        own = [f"line {i}" for i in range(n)]
+        docs = table(spark, [(1, "\n".join(own)), (2, "new\n" + "\n".join(own) + "\nnew"), (3, "\n".join(own[::2]))])
+        begin = time.time()
+        got = {r.doc_id: r.text for r in lines.dedup(docs).collect()}
+        times.append(time.time() - begin)
+        assert got[2] == "new\nnew" and got[1] == "\n".join(own) and got[3] == "\n".join(own[::2])
+    assert times[1] < 2.5 * times[0]
 
 
 def test_clashing_columns(spark):
