@@ -29,13 +29,14 @@ FEW_QUESTIONS = 2000
 SLACK = 1e-6
 #: Hints and contexts are indexed beside words, under names that no word has.
 PREDICATE, CONTEXT = "predicate:", "context:"
+NUMBER = "chunk_no"
 QUESTION = "terms array<string>, entities array<string>, predicates array<string>, modifiers array<string>, times struct<years:array<string>,months:array<string>,phrases:array<string>>"
 
 
 @dataclass
 class Index:
-    """chunks: with tfs (token of title, section and text to count) and hits (reasons that hold whatever the
-    question's words). postings: (token, tf, block, chunks), of words and of hints and hits. levels: (token, tf, n). most: the
+    """chunks: with chunk_no (a number for its name), tfs (token of title, section and text to count) and hits (reasons that hold
+    whatever the question's words). postings: (token, tf, block, chunks by their numbers), of words and of hints and hits. levels: (token, tf, n). most: the
     largest tf."""
 
     chunks: DataFrame
@@ -75,9 +76,10 @@ def build_index(chunks: DataFrame) -> Index:
     A chunk's counts come from its own row; levels of many postings are cut
     into blocks by the chunk's hash, the hottest by a broadcast of their sizes,
     which are HOT at most, the others by a join, so that no key gathers more
-    than a block. Null texts count as empty.
+    than a block. Postings hold chunks' numbers, which are given as chunks are
+    written, in place of their names. Null texts count as empty.
     """
-    df = chunks.withColumn("low", _low()).withColumn("tokens", F.array_sort(T.tokens(F.col("low"))))
+    df = chunks.withColumn(NUMBER, F.monotonically_increasing_id()).withColumn("low", _low()).withColumn("tokens", F.array_sort(T.tokens(F.col("low"))))
     new = lambda i: (i == 0) | (F.get(F.col("tokens"), i) != F.get(F.col("tokens"), i - 1))
     df = df.withColumn("starts", F.when(F.size("tokens") > 0, F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), new)).otherwise(F.array().cast("array<int>")))
     count = lambda i, k: F.coalesce(F.get(F.col("starts"), k + 1), F.size("tokens")) - i
@@ -85,19 +87,20 @@ def build_index(chunks: DataFrame) -> Index:
     hits = F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.lit(reason)) for _, _, reason, hit in _context_hits()]))
     df = written(df.withColumn("tfs", tfs).withColumn("hits", hits).drop("low", "tokens", "starts"), "indexed")
     marks = lambda c, kind: F.transform(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))), lambda x: F.struct(F.concat(F.lit(kind), x).alias("key"), F.lit(1).alias("value")))
-    rows = df.select("chunk_id", F.inline(F.concat(F.map_entries("tfs"), marks(F.col("predicate_hints"), PREDICATE), marks(F.col("hits"), CONTEXT))).alias("token", "tf"))
+    rows = df.select(NUMBER, F.inline(F.concat(F.map_entries("tfs"), marks(F.col("predicate_hints"), PREDICATE), marks(F.col("hits"), CONTEXT))).alias("token", "tf"))
     levels = written(rows.groupBy("token", "tf").agg(F.count("*").alias("n")), "levels")
     size = levels.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("tf"), F.lit(1)).alias("most")).first()
     limit = max(BLOCK, size.n // HOT)
     hot, cold = levels.where(F.col("n") > limit), levels.where((F.col("n") <= limit) & (F.col("n") > BLOCK))
-    cut = lambda d: d.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("n") / BLOCK)).cast("int")).select("token", "tf", "block", "chunk_id")
-    blocked = cut(rows.join(F.broadcast(hot), ["token", "tf"]))
+    gathered = lambda d: d.groupBy("token", "tf", "block").agg(F.collect_list(NUMBER).alias("chunks"))
+    cut = lambda d: gathered(d.withColumn("block", F.pmod(F.xxhash64(NUMBER), F.ceil(F.col("n") / BLOCK)).cast("int")))
     rest = rows.join(F.broadcast(hot.select("token", "tf")), ["token", "tf"], "left_anti")
     if limit > BLOCK:
         rest = cut(rest.join(cold.unionByName(levels.where(F.col("n") <= BLOCK)), ["token", "tf"]))
     else:
-        rest = rest.select("token", "tf", F.lit(0).alias("block"), "chunk_id")
-    postings = blocked.unionByName(rest).groupBy("token", "tf", "block").agg(F.collect_list("chunk_id").alias("chunks"))
+        rest = gathered(rest.withColumn("block", F.lit(0)))
+    # hot levels and others are gathered apart: the others lie by token and tf since their join, and are not shuffled again
+    postings = cut(rows.join(F.broadcast(hot), ["token", "tf"])).unionByName(rest)
     postings = written(postings.sortWithinPartitions("token", F.desc("tf")), "postings")
     return Index(df, postings, levels, size.most)
 
@@ -186,18 +189,18 @@ class Search:
 
 
 def _postings(index: Index, levels: DataFrame) -> DataFrame:
-    return levels.join(index.postings.select("token", "tf", "chunks"), ["token", "tf"]).withColumn("chunk_id", F.explode("chunks")).drop("chunks")
+    return levels.join(index.postings.select("token", "tf", "chunks"), ["token", "tf"]).withColumn(NUMBER, F.explode("chunks")).drop("chunks")
 
 
 def _scored(index: Index, questions: DataFrame, pairs: DataFrame) -> DataFrame:
     # pairs are short, scoring them is not: they stay dealt out, where adaptive execution would put them together by size
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = questions.count() <= FEW_QUESTIONS
-    pairs = (pairs if few else pairs.join(questions.select("qid", "q"), "qid")).repartition(n, "chunk_id")
-    chunks = index.chunks.select("chunk_id", "source_id", "predicate_hints", "tfs", "hits", _low().alias("low"))
-    both = pairs.join(chunks, "chunk_id")
+    pairs = (pairs if few else pairs.join(questions.select("qid", "q"), "qid")).repartition(n, NUMBER)
+    chunks = index.chunks.select(NUMBER, "chunk_id", "source_id", "predicate_hints", "tfs", "hits", _low().alias("low"))
+    both = pairs.join(chunks, NUMBER)
     both = both.join(F.broadcast(questions.select("qid", "q")), "qid") if few else both
-    return score_pairs(both).select("qid", "chunk_id", "source_id", "score", "reasons")
+    return score_pairs(both).select("qid", NUMBER, "chunk_id", "source_id", "score", "reasons")
 
 
 def search(index: Index, questions: DataFrame, top: int = 12, per_source: int = 4, digits: int | None = None) -> Search:
@@ -225,9 +228,9 @@ def search(index: Index, questions: DataFrame, top: int = 12, per_source: int =
     share = F.greatest(F.lit(float(PROBE * max(top, 1))), F.sum("n").over(Window.partitionBy("qid")) * SHARE)
     probe = probe.withColumn("share", share).where(F.col("upto") - F.col("n") < F.col("share"))
     probed = probe.groupBy("qid").agg(F.sum("n").alias("n"))
-    tried = _postings(index, probe.select("qid", "token", "tf", "impact")).groupBy("qid", "chunk_id").agg(F.sum("impact").alias("part"))
-    tried = tried.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("part"), "chunk_id"))).where(F.col("nth") <= TRIED * max(top, 1))
-    first = _scored(index, asked, tried.select("qid", "chunk_id")).select("qid", "source_id", "chunk_id", "score")
+    tried = _postings(index, probe.select("qid", "token", "tf", "impact")).groupBy("qid", NUMBER).agg(F.sum("impact").alias("part"))
+    tried = tried.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("part"), NUMBER))).where(F.col("nth") <= TRIED * max(top, 1))
+    first = _scored(index, asked, tried.select("qid", NUMBER)).select("qid", "source_id", "chunk_id", "score")
     best = R.cap_top(first, top, per_source, by=["qid"]).groupBy("qid").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     bound = asked.join(best.where(F.col("n") >= max(top, 1)), "qid", "left").select("qid", "bonus", (F.coalesce("least", F.lit(0.0)) - F.col("bonus") - SLACK).alias("room"))
     bound = written(bound, "bounds")
@@ -242,16 +245,16 @@ def search(index: Index, questions: DataFrame, top: int = 12, per_source: int =
     plan = written(plan.withColumn("unread", unread).select("qid", "token", "tf", "n", "impact", "read", "unread"), "read_levels")
     rest = plan.select("qid", "token", "unread").distinct().groupBy("qid").agg(F.sum("unread").alias("rest"))
     met = _postings(index, plan.where("read").select("qid", "token", "tf", (F.col("impact") - F.col("unread")).alias("more")))
-    met = met.groupBy("qid", "chunk_id").agg(F.sum("more").alias("more")).join(bound.join(rest, "qid"), "qid")
-    pairs = met.where("more + rest >= room").select("qid", "chunk_id")
+    met = met.groupBy("qid", NUMBER).agg(F.sum("more").alias("more")).join(bound.join(rest, "qid"), "qid")
+    pairs = met.where("more + rest >= room").select("qid", NUMBER)
     open_ones = bound.where("room <= 0").select("qid")
     if not open_ones.isEmpty():
         # these questions are scored against all chunks: chunks without any of their words may be among the best
-        pairs = pairs.join(open_ones, "qid", "left_anti").unionByName(index.chunks.select("chunk_id").crossJoin(open_ones))
+        pairs = pairs.join(open_ones, "qid", "left_anti").unionByName(index.chunks.select(NUMBER).crossJoin(open_ones))
     scored = _scored(index, asked, pairs)
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
     # chunks without a score come last, so that they go after the ranking: a condition before it would take each score twice
     ranked = R.cap_top(scored, top, per_source, by=["qid"]).where("score > 0")
-    ranked = ranked.join(index.chunks.drop("source_id", "tfs", "hits"), "chunk_id")
+    ranked = ranked.join(index.chunks.drop("chunk_id", "source_id", "tfs", "hits"), NUMBER).drop(NUMBER)
     return Search(plan.select("qid", "token", "tf", "n", "read"), probed, ranked)
