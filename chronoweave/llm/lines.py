@@ -35,15 +35,15 @@ def line_ids(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return df.select(*KEY, "pos", F.xxhash64("line").alias("h1"), F.hash("line", F.lit(1)).alias("h2"), long.alias("long"))
 
 
-def _with_keys(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
-    """rows joined with staged keys(by, n: rows that have the key, ..). Keys of more than MANY rows and of more than a HOT-th of all
+def _with_keys(rows: DataFrame, keys: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with staged keys(by, n: rows that have the key, ..). Keys of more than MANY rows and of more than a HOT-th of all
     are HOT at most: these are broadcast, so that no task gets all rows of one; the rest are joined by shuffle."""
     size = keys.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
     limit = max(MANY, size.all // HOT)
     if size.most <= limit:
-        return rows.join(keys, by)
+        return rows.join(keys, by, how)
     hot = F.broadcast(keys.where(F.col("n") > limit))
-    rest = rows.join(hot.select(*by), by, "left_anti").join(keys.where(F.col("n") <= limit), by)
+    rest = rows.join(hot.select(*by), by, "left_anti").join(keys.where(F.col("n") <= limit), by, how)
     return rows.join(hot, by).unionByName(rest)
 
 
@@ -125,12 +125,13 @@ def _halved(nodes: DataFrame, ranks: DataFrame, i: int) -> DataFrame:
     """Nodes of places alike in length lines, and in fewer than length + 2^(i+1), cut at length + 2^i."""
     ahead = nodes.alias("a").join(ranks.alias("b"), _same("a", "b", [(c, c) for c in KEY]) & (F.col("a.pos") + F.col("a.length") == F.col("b.pos")), "left")
     rows = stage(ahead.select("a.*", F.col("b.rank").alias("rank")), "ahead")
-    pairs = rows.where("rank IS NOT NULL").groupBy("node", "rank").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
-    alike = stage(_with_keys(rows, stage(pairs, "pairs"), ["node", "rank"]), "alike")
-    upper = alike.select(*KEY, "pos", F.xxhash64(F.lit(i), "node", "rank").alias("node"), (F.col("length") + (1 << i)).alias("length"))
-    later = alike.where(_place() > F.col("first")).select(*KEY, "pos", "node")
-    lower = rows.alias("a").join(later.alias("b"), _same("a", "b", [(c, c) for c in (*KEY, "pos", "node")]), "left_anti").select(*KEY, "pos", "node", "length")
-    return upper.unionByName(lower)
+    go_on = rows.where("rank IS NOT NULL")
+    pairs = go_on.groupBy("node", "rank").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
+    met = _with_keys(go_on, stage(pairs, "pairs"), ["node", "rank"], "left")
+    upper = F.struct(F.xxhash64(F.lit(i), "node", "rank").alias("node"), (F.col("length") + (1 << i)).alias("length"))
+    stays = F.col("first").isNull() | ~(_place() > F.col("first"))
+    both = F.array_compact(F.array(F.when(F.col("first").isNotNull(), upper), F.when(stays, F.struct("node", "length"))))
+    return met.select(*KEY, "pos", F.inline(both)).unionByName(rows.where("rank IS NULL").select(*KEY, "pos", "node", "length"))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
