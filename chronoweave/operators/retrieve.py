@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronoweave.functions import text as T
+from chronoweave.operators.asof import computed_once
 
 MONTHS = "january february march april may june july august september october november december".split()
 NAMES = ("mercury", "venus", "earth", "mars", "jupiter", "saturn", "uranus", "neptune")
@@ -89,41 +92,155 @@ def is_planet_title(title: Column) -> Column:
 
 
 def profiles(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
-    """One row a source: text, token counts, entities, predicates, title, url, trust_level, char_count, chunk_count.
+    """One row a source: token counts, entities, predicates, title, url, trust_level, char_count, chunk_count.
 
     chunks(source_id, nth, text, entities, predicate_hints, title, url); a
     document's title, url, trust_level and char_count go before the first chunk's.
+    Texts stay with their chunks: score_sources reads them there.
     """
     own = chunks.groupBy("source_id").agg(
-        F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), " ")).alias("text"),
         F.array_distinct(F.flatten(F.collect_set("entities"))).alias("entities"),
         F.array_distinct(F.flatten(F.collect_set("predicate_hints"))).alias("predicates"),
         F.min_by("title", "nth").alias("_title"),
         F.min_by("url", "nth").alias("_url"),
         F.sum(F.length("text")).alias("_chars"),
         F.count("*").alias("chunk_count"),
-        F.min("nth").alias("_nth"),
+        F.coalesce(F.sum(F.when(F.col("text").isNotNull(), F.size(T.tokens(F.col("text"))))), F.lit(0)).cast("int").alias("token_total"),
     )
     docs = documents.select("source_id", "title", "url", "trust_level", "char_count") if documents is not None else own.select("source_id", *[F.lit(None).cast(t).alias(n) for n, t in (("title", "string"), ("url", "string"), ("trust_level", "string"), ("char_count", "long"))]).where("false")
     url = F.coalesce(F.nullif("url", F.lit("")), "_url", F.lit(""))
     out = own.join(docs, "source_id", "left")
     return out.select(
-        "source_id", "text", "entities", "predicates", "chunk_count",
+        "source_id", "entities", "predicates", "chunk_count",
         F.coalesce(F.nullif("title", F.lit("")), "_title", "source_id").alias("title"),
         url.alias("url"),
         F.coalesce("trust_level", T.trust(url)).alias("trust_level"),
         F.coalesce(F.nullif("char_count", F.lit(0)), "_chars").alias("char_count"),
-        F.size(T.tokens(F.col("text"))).alias("token_total"),
+        "token_total",
     )
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """md5 of each source's texts, joined by spaces, from rows in the order of sources and places; only the running hash is kept."""
+    source, running = None, None
+    out = lambda: pa.RecordBatch.from_pydict({"source_id": pa.array([source], pa.string()), "text_md5": pa.array([running.hexdigest()], pa.string())})
+    for batch in batches:
+        for own, text in zip(batch.column("source_id").to_pylist(), batch.column("text"), strict=True):
+            if running is None or own != source:
+                if running is not None:
+                    yield out()
+                source, running = own, hashlib.md5()
+            elif text.is_valid:
+                running.update(b" ")
+            running.update((text.as_py() or "").encode())
+    if running is not None:
+        yield out()
+
+
+def text_digests(chunks: DataFrame) -> DataFrame:
+    """(source_id, text_md5) of a source's whole lower-case text, its chunks joined by spaces in the order of nth. A hash runs
+    through a source in order, so each source is one task's; that holds one batch of chunks at a time."""
+    df = chunks.where("text IS NOT NULL").select(F.col("source_id").cast("string").alias("source_id"), "nth", F.lower("text").alias("text"))
+    df = df.repartition("source_id").sortWithinPartitions("source_id", "nth", "text").select("source_id", "text")
+    return df.mapInArrow(_digests, "source_id string, text_md5 string")
+
+
 def token_counts(df: DataFrame, key: str, terms: Column | None = None) -> DataFrame:
     """(key, token, tf) of df(key, text)."""
     return df.select(key, F.explode(T.tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
-def source_sheet(query: dict) -> Sheet:
-    """What counts for a profile row (with _tokens, its words) for one question.
+class _Whole:
+    """What stands in a source's text, from a row with its text and _tokens."""
+
+    def words(self, term: str) -> Column:
+        return F.size(F.filter("_tokens", _is(term)))
+
+    def phrases(self, term: str) -> Column:
+        return T.occurrences(F.col("text"), F.lit(term))
+
+    def any(self, parts: str | Sequence[str]) -> Column:
+        return F.col("text").rlike(parts) if isinstance(parts, str) else _any(F.col("text"), parts)
+
+
+class _Counted:
+    """What stands in a source's text, from a row with the counts of source_counts."""
+
+    def __init__(self, query: dict) -> None:
+        self.word, self.part, self.pattern = _asked_parts(query)
+
+    def words(self, term: str) -> Column:
+        return F.col(f"_word{self.word.index(term)}")
+
+    def phrases(self, term: str) -> Column:
+        return F.col(f"_part{self.part.index(term)}")
+
+    def any(self, parts: str | Sequence[str]) -> Column:
+        if isinstance(parts, str):
+            return F.col(f"_pattern{self.pattern.index(parts)}") > 0
+        return reduce(lambda a, b: a | b, [self.phrases(p) > 0 for p in parts])
+
+
+def _asked_parts(query: dict) -> tuple[list[str], list[str], list[str]]:
+    """Words, strings and patterns that a question looks for in a source's text."""
+    asked = [what for modifier, _, _, what in SUPPORT if modifier in query["modifiers"]]
+    words = [t for t in query["terms"] if " " not in t]
+    parts = [t for t in query["terms"] if " " in t] + [e for e in query["entities"] if e] + [w for what in asked if not isinstance(what, str) for w in what]
+    return list(dict.fromkeys(words)), list(dict.fromkeys(parts)), [what for what in asked if isinstance(what, str)]
+
+
+#: A match of SUPPORT's patterns has so many words at most.
+PATTERN_WORDS = 4
+
+
+def source_counts(chunks: DataFrame, query: dict) -> DataFrame:
+    """(source_id, _word<i>, _part<i>, _pattern<i>): how often a source's text, its chunks joined by spaces in the order of nth,
+    has what a question looks for.
+
+    Counted in each chunk; what may run on from one chunk into the next is
+    counted in the seams. A string has none but its own characters: so it can
+    cross an end of a chunk only in the run of such characters there, and the
+    runs of following chunks, whole chunks of such characters between them,
+    make a seam. So no more of a source's text comes together than a seam.
+    """
+    words, parts, patterns = _asked_parts(query)
+    df = chunks.where("text IS NOT NULL").select("source_id", "nth", F.lower("text").alias("_t"))
+    df = df.withColumns({"_k": T.tokens(F.col("_t")), "_n": F.length("_t")})
+    counts = {f"_word{i}": F.size(F.filter("_k", _is(w))).cast("long") for i, w in enumerate(words)}
+    sets = [F.lit("".join(sorted(set(p)))) for p in parts]
+    df = df.withColumns({f"_l{i}": F.col("_n") - F.length(F.ltrim(F.col("_t"), own)) for i, own in enumerate(sets)} | {f"_r{i}": F.length(F.rtrim(F.col("_t"), own)) for i, own in enumerate(sets)})
+    df = df.withColumns({f"_h{i}": F.substring(F.col("_t"), F.lit(1), F.col(f"_l{i}")) for i in range(len(parts))} | {f"_e{i}": F.substring(F.col("_t"), F.col(f"_r{i}") + 1, F.col("_n")) for i in range(len(parts))})
+    ends = []
+    for i, p in enumerate(parts):
+        whole, n = F.col(f"_l{i}") == F.col("_n"), lambda x, p=p: T.occurrences(F.col(x), F.lit(p)).cast("long")
+        counts[f"_part{i}"] = F.when(whole, 0).otherwise(n("_t") - n(f"_h{i}") - n(f"_e{i}"))
+        ends.append(F.struct(F.lit(f"_part{i}").alias("what"), whole.alias("whole"), F.col(f"_h{i}").alias("head"), F.col(f"_e{i}").alias("tail")))
+    if patterns:
+        df = df.withColumn("_w", T.words(F.col("_t")))
+    for i, p in enumerate(patterns):
+        w, most = F.col("_w"), PATTERN_WORDS
+        counts[f"_pattern{i}"] = F.col("_t").rlike(p).cast("long")
+        few = F.size(w) <= most
+        edge = lambda x: F.array_join(x, " ")
+        ends.append(F.struct(F.lit(f"_pattern{i}").alias("what"), few.alias("whole"), edge(F.slice(w, 1, most)).alias("head"), edge(F.when(few, w).otherwise(F.slice(w, -most, most))).alias("tail")))
+    names = list(counts)
+    inside = df.select("source_id", *[c.alias(n) for n, c in counts.items()]).groupBy("source_id").agg(*[F.sum(n).alias(n) for n in names])
+    if ends:
+        at = df.select("source_id", "nth", F.inline(F.array(*ends)))
+        seam = F.sum(F.when(F.col("whole"), 0).otherwise(1)).over(Window.partitionBy("source_id", "what").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+        piece = lambda k, side, text: F.struct(k.alias("seam"), F.lit(side).alias("side"), text.alias("piece"))
+        pieces = F.when(F.col("whole"), F.array(piece(F.col("k"), 1, F.col("head")))).otherwise(F.array(piece(F.col("k") - 1, 0, F.col("head")), piece(F.col("k"), 1, F.col("tail"))))
+        at = at.withColumn("k", seam).select("source_id", "what", "nth", F.inline(pieces))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "side", "piece"))), lambda x: x["piece"]), " ")
+        seams = at.groupBy("source_id", "what", "seam").agg(joined.alias("_t"))
+        found = {f"_part{i}": T.occurrences(F.col("_t"), F.lit(p)).cast("long") for i, p in enumerate(parts)} | {f"_pattern{i}": F.col("_t").rlike(p).cast("long") for i, p in enumerate(patterns)}
+        more = seams.select("source_id", *[F.when(F.col("what") == n, found[n]).otherwise(0).alias(n) if n in found else F.lit(0).cast("long").alias(n) for n in names])
+        inside = inside.unionByName(more.groupBy("source_id").agg(*[F.sum(n).alias(n) for n in names])).groupBy("source_id").agg(*[F.sum(n).alias(n) for n in names])
+    return inside
+
+
+def source_sheet(query: dict, found: _Whole | _Counted) -> Sheet:
+    """What counts for a profile row for one question.
 
     query: terms, entities (lower case), predicates and modifiers. Phrases and
     words count in title, url and slug, then by their density in the text, both
@@ -131,15 +248,15 @@ def source_sheet(query: dict) -> Sheet:
     the question's modifiers; trust and size of the source.
     """
     where = F.lower(F.concat_ws(" ", "title", "url", T.slug(F.col("url"))))
-    text, total = F.col("text"), F.greatest(F.lit(1.0), F.col("token_total") / 1000.0)
+    total = F.greatest(F.lit(1.0), F.col("token_total") / 1000.0)
     sheet = Sheet()
     for term in query["terms"]:
         if " " in term:
-            n = T.occurrences(text, F.lit(term))
+            n = found.phrases(term)
             sheet.add(where.contains(term), POINTS["title_url_phrase"], f"title_url_phrase:{term}")
             sheet.add(n > 0, F.least(F.lit(DENSITY["phrase_most"]), DENSITY["phrase_base"] + F.log(n + F.lit(1.0)) * DENSITY["phrase_log"]), F.concat(F.lit(f"density_phrase:{term}:"), n.cast("string")))
         else:
-            density = F.size(F.filter("_tokens", _is(term))) / total
+            density = found.words(term) / total
             points = F.least(F.lit(DENSITY["token_most"]), density * DENSITY["token_weight"])
             sheet.add(where.contains(term), POINTS["title_url_token"], f"title_url_token:{term}")
             sheet.add(density > 0, points, F.concat(F.lit(f"density_token:{term}:"), F.format_string("%.2f", density)), points >= DENSITY["token_named"])
@@ -148,12 +265,12 @@ def source_sheet(query: dict) -> Sheet:
         titled, listed = where.contains(e), F.array_contains(known, e)
         sheet.add(titled, POINTS["title_url_entity"], f"title_url_entity:{e}")
         sheet.add(~titled & listed, POINTS["source_entity"], f"entity:{e}")
-        sheet.add(~titled & ~listed & text.contains(e), POINTS["text_entity"], f"text_entity:{e}")
+        sheet.add(~titled & ~listed & found.any([e]), POINTS["text_entity"], f"text_entity:{e}")
     for p in query["predicates"]:
         sheet.add(F.array_contains("predicates", p), POINTS["source_predicate"], f"predicate:{p}")
     for modifier, points, reason, words in SUPPORT:
         if modifier in query["modifiers"]:
-            sheet.add(text.rlike(words) if isinstance(words, str) else _any(text, words), points, reason)
+            sheet.add(found.any(words), points, reason)
     level = F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv])
     sheet.add(F.lit(True), F.coalesce(F.element_at(level, F.col("trust_level")), F.lit(OTHER_TRUST)), F.concat(F.lit("trust:"), F.coalesce("trust_level", F.lit(""))))
     sheet.add(F.col("char_count") < SHORT_SOURCE, POINTS["short_source_penalty"], "short_source_penalty")
@@ -161,21 +278,32 @@ def source_sheet(query: dict) -> Sheet:
     return sheet
 
 
-def score_sources(profile: DataFrame, query: dict) -> DataFrame:
-    """profile rows with score, 0 at least, and reasons; those without a score go."""
-    sheet = source_sheet(query)
-    df = profile.withColumn("_tokens", T.tokens(F.col("text")))
-    return df.withColumns({"score": F.greatest(sheet.score(), F.lit(0.0)), "reasons": sheet.told()}).drop("_tokens").where("score > 0")
+def score_sources(profile: DataFrame, query: dict, chunks: DataFrame | None = None) -> DataFrame:
+    """profile rows with score, 0 at least, and reasons; those without a score go. Texts are read from chunks(source_id, nth,
+    text), without gathering a source's, or where none are given from the profile's text."""
+    if chunks is None:
+        df, sheet = profile.withColumn("_tokens", T.tokens(F.col("text"))), source_sheet(query, _Whole())
+        extra = ["_tokens"]
+    else:
+        counts = source_counts(chunks, query).withColumnRenamed("source_id", "_source")
+        extra = counts.columns
+        df = computed_once(profile).join(computed_once(counts), F.col("source_id").eqNullSafe(F.col("_source")), "left").fillna(0, [c for c in extra if c != "_source"])
+        sheet = source_sheet(query, _Counted(query))
+    scored = df.withColumns({"score": F.greatest(sheet.score(), F.lit(0.0)), "reasons": sheet.told()}).drop(*extra)
+    return computed_once(scored).where("score > 0")
 
 
 def select_sources(scored: DataFrame, profile: DataFrame, top: int = 5, least: float = 8.0, planet_list: bool = False) -> DataFrame:
     """(source_id, rank, fallback): the best sources with score least or more; all planets' own for a list of planets; the best whatever their score if these are under two."""
     top = max(top, 12) if planet_list else top
-    ranked = scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "source_id"))).where(F.col("rank") <= top)
-    strong = ranked.where(F.col("score") >= least).select("source_id", "rank")
-    if planet_list:
-        more = profile.where(is_planet_title(F.col("title"))).select("source_id").join(strong, "source_id", "left_anti").withColumn("rank", F.lit(top) + F.row_number().over(Window.orderBy("source_id")))
-        strong = strong.unionByName(more)
+    better = Window.orderBy(F.desc("score"), "source_id")
+    ranked = scored.orderBy(F.desc("score"), "source_id").limit(top).withColumn("rank", F.row_number().over(better)).withColumn("_strong", F.col("score") >= least)
+    if not planet_list:
+        ranked = ranked.withColumn("fallback", F.sum(F.col("_strong").cast("int")).over(Window.partitionBy()) < 2)
+        return ranked.where("_strong OR fallback").select("source_id", "rank", "fallback")
+    strong = ranked.where("_strong").select("source_id", "rank")
+    more = profile.where(is_planet_title(F.col("title"))).select("source_id").join(strong, "source_id", "left_anti").withColumn("rank", F.lit(top) + F.row_number().over(Window.orderBy("source_id")))
+    strong = strong.unionByName(more)
     n = strong.agg(F.count("*").alias("n"))
     some = strong.crossJoin(F.broadcast(n)).where("n >= 2").select("source_id", "rank", F.lit(False).alias("fallback"))
     weak = ranked.crossJoin(F.broadcast(n)).where("n < 2").select("source_id", "rank", F.lit(True).alias("fallback"))

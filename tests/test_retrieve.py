@@ -87,3 +87,26 @@ def test_last_line_over_uneven_files(spark, tmp_path):
     (folder / "b.csv").write_text("id,pos\n" + "".join(f"{i},y\n" for i in range(2, 2002)) + "1,new\n")
     got = {r.id: r.pos for r in read_results_csv(spark, str(folder)).collect()}
     assert len(got) == 2001 and got[1] == "new"
+
+
+def test_sources_by_their_chunks(spark):
+    """Chunks' counts and seams give what a source's whole text gives: phrases over ends of chunks, overlapping ones, short, empty and missing chunks."""
+    import hashlib
+    import random
+
+    rng = random.Random(5)
+    words = ["moon", "moon", "in", "may", "2019", "x", "", "moon moon", "as", "of", "less", "than", "é", "lessthan", "moons", "oon m", "2019_", "The."]
+    rows = [(s, n, " ".join(rng.choice(words) for _ in range(rng.choice((0, 1, 1, 2, 3, 9)))) if rng.random() < 0.95 else None) for s in ("a", "b", "c", "d", "e", None) for n in range(60 if s in ("a", "b") else 4)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "source_id string, nth long, text string").withColumns({"predicate_hints": F.array().cast("array<string>"), "entities": F.array().cast("array<string>"), "title": F.lit("t"), "url": F.lit("")})
+    query = {"terms": ["moon moon", "moon", "in may"], "entities": ["of less", "than x"], "predicates": [], "modifiers": ["filter", "time_lookup"]}
+    whole = {}
+    for s, _, t in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        whole.setdefault(s, []).extend([] if t is None else [t.lower()])
+    profile = retrieve.profiles(df)
+    text = spark.createDataFrame([(s, " ".join(t)) for s, t in whole.items()], "s string, text string")
+    told = lambda d: {r.source_id: (round(r.score, 6), r.reasons) for r in d.collect()}
+    want = told(retrieve.score_sources(profile.join(text, F.col("source_id").eqNullSafe(F.col("s"))), query))
+    assert told(retrieve.score_sources(profile, query, df)) == want and len(want) > 3
+    assert {r.source_id: r.text_md5 for r in retrieve.text_digests(df).collect()} == {s: hashlib.md5(" ".join(t).encode()).hexdigest() for s, t in whole.items() if t}
+    assert "text" not in profile.columns
