@@ -40,6 +40,8 @@ def sections(docs: DataFrame, key: str = "doc_id", fallback: Column | None = Non
     part = lambda x, k: F.array_join(F.transform(F.slice(F.col("_l"), x["i"] + 2, F.greatest(stop(k) - x["i"] - 1, F.lit(0))), lambda y: y["s"]), "\n")
     cut = F.filter(F.transform("_h", lambda x, k: F.struct(x["h"].alias("heading"), part(x, k).alias("text"))), lambda x: x["text"] != "")
     whole = F.array(F.struct(F.col("_f").alias("heading"), F.col("_t").alias("text")))
+    df = df.withColumn("_c", cut)
+    cut = F.col("_c")
     return df.select(key, F.posexplode(F.when(F.size(cut) > 0, cut).otherwise(whole)).alias("section", "s")).select(key, "section", "s.heading", "s.text")
 
 
@@ -48,7 +50,9 @@ def word_windows(df: DataFrame, size: int = 140, overlap: int = 30) -> DataFrame
     step = max(1, size - overlap)
     df = df.withColumn("_w", T.words(F.col("text")))
     last = F.when(F.size("_w") <= size, 0).otherwise(F.ceil((F.size("_w") - size) / step))
-    return df.withColumn("window", F.explode(F.sequence(F.lit(0), last.cast("int")))).withColumn("text", F.array_join(F.slice("_w", F.col("window") * step + 1, size), " ")).drop("_w")
+    # windows are cut before rows are made of them, so that a row has its own words only
+    cut = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.array_join(F.slice("_w", i * step + 1, size), " "))
+    return df.select(*[c for c in df.columns if c not in ("text", "_w")], F.posexplode(cut).alias("window", "_t")).withColumn("text", F.col("_t")).drop("_t")
 
 
 def chunks(docs: DataFrame, size: int = 140, overlap: int = 30, entities=T.CHUNK_ENTITIES, hints=T.PREDICATE_HINTS) -> DataFrame:

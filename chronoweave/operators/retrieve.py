@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronoweave.functions import text as T
 from chronoweave.operators.asof import computed_once
+from chronoweave.sources.work import written
 
 MONTHS = "january february march april may june july august september october november december".split()
 NAMES = ("mercury", "venus", "earth", "mars", "jupiter", "saturn", "uranus", "neptune")
@@ -367,12 +368,17 @@ def score_chunks(chunks: DataFrame, query: dict) -> DataFrame:
     sheet = chunk_sheet(query)
     df = chunks.withColumn("_all", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("section", F.lit("")), "text")))
     df = df.withColumn("_tokens", T.tokens(F.col("_all")))
-    return df.withColumns({"score": sheet.score(), "reasons": sheet.told()}).drop("_all", "_tokens").where("score > 0")
+    # scored once: a condition on the score would repeat it, words and all, in the filter
+    return computed_once(df.withColumns({"score": sheet.score(), "reasons": sheet.told()}).drop("_all", "_tokens")).where("score > 0")
 
 
 def term_scores(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(qid, key, score) of the word part of the score for many questions at once: terms meet token counts in one equi-join, not questions times chunks."""
-    tf = token_counts(chunks, key)
+    """(qid, key, score) of the word part of the score for many questions at once: terms meet token counts in one equi-join, not questions times chunks.
+
+    Texts are dealt out by key once; counting, meeting and adding up then stay
+    where a key's text is, so that only texts are shuffled.
+    """
+    tf = token_counts(chunks.select(key, "text").repartition(key), key)
     asked = queries.select("qid", F.explode("terms").alias("token")).distinct()
     return tf.join(asked, "token").groupBy("qid", key).agg(F.sum(1.0 + F.log("tf")).alias("score"))
 
@@ -392,7 +398,8 @@ def is_weak(ranked: DataFrame) -> DataFrame:
 
 
 def with_fallback(selected: DataFrame, everywhere: DataFrame) -> DataFrame:
-    """selected, or everywhere if selected is weak, with fallback."""
+    """selected, or everywhere if selected is weak, with fallback. selected is some rows, which are found once."""
+    selected = written(selected, "selected")
     weak = F.broadcast(is_weak(selected))
     own = selected.crossJoin(weak).where("NOT weak")
     other = everywhere.crossJoin(weak).where("weak")
@@ -411,7 +418,7 @@ def retrieve(chunks: DataFrame, query: dict, sources: DataFrame | None = None, m
     per_source = min(per_source, 2) if is_list else per_source
     if mode == "global":
         return cap_top(score_chunks(chunks, query), top, per_source).withColumn("fallback", F.lit(False))
-    inside = cap_top(score_chunks(chunks.join(sources.select("source_id"), "source_id", "left_semi"), query), top, per_source)
+    inside = written(cap_top(score_chunks(chunks.join(sources.select("source_id"), "source_id", "left_semi"), query), top, per_source), "selected")
     # all chunks are scored only where the selected ones are weak: else the other side of this join is empty
     needed = chunks.crossJoin(F.broadcast(is_weak(inside).where("weak").select()))
     return with_fallback(inside, cap_top(score_chunks(needed, query), top, per_source))

@@ -110,3 +110,31 @@ def test_sources_by_their_chunks(spark):
     assert told(retrieve.score_sources(profile, query, df)) == want and len(want) > 3
     assert {r.source_id: r.text_md5 for r in retrieve.text_digests(df).collect()} == {s: hashlib.md5(" ".join(t).encode()).hexdigest() for s, t in whole.items() if t}
     assert "text" not in profile.columns
+
+
+def _plan(df, kind="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), kind)().toString()
+
+
+def test_only_texts_are_shuffled_for_term_scores(spark):
+    """Counting and adding up stay where a text was dealt to; a key's several texts count together."""
+    chunks = spark.createDataFrame([("a", "sun sun moon"), ("a", "sun"), ("b", "moon")], "chunk_id string, text string")
+    asked = spark.createDataFrame([(1, ["sun", "moon"])], "qid int, terms array<string>")
+    scored = retrieve.term_scores(asked, chunks)
+    assert {r.chunk_id: round(r.score, 6) for r in scored.collect()} == {"a": round(2 + 1.0986122887, 6), "b": 1.0}
+    from chronoweave import catalog
+
+    dealt = [line for line in _plan(catalog.QUERIES["r_term_scores"](spark, "/root/testdata/sf0.001"), "executedPlan").splitlines() if "Exchange hashpartitioning" in line and "doc_id" in line]
+    assert len(dealt) == 1 and "REPARTITION_BY_COL" in dealt[0]
+
+
+def test_a_chunk_is_scored_once(spark, chunks):
+    """A condition on the score takes the score; it does not take the words again."""
+    assert _plan(retrieve.score_chunks(chunks, ASKED)).count("regexp_extract_all") == 1
+
+
+def test_selected_chunks_are_found_once(spark, chunks):
+    """Whether the selection is weak and what it is come from one table."""
+    selected = retrieve.cap_top(retrieve.score_chunks(chunks, ASKED))
+    out = retrieve.with_fallback(selected, selected.where("false"))
+    assert "regexp_extract_all" not in _plan(out) and out.count() == 0
