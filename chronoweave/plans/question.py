@@ -7,8 +7,9 @@ are parameters (a Lexicon); the default is the astronomy one.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -41,6 +42,16 @@ PREDICATES = {
     "ordering": (r"(?:order\s+of|in\s+order|rank(?:ed)?|decreasing\s+order|increasing\s+order|smallest\s+to\s+largest|largest\s+to\s+smallest)", ("order", "rank", "decreasing", "increasing", "smallest to largest", "largest to smallest")),
     "comparison": (r"(?:between\s+.*\s+which|compared\s+to|greater\s+than|less\s+than|more\s+than|fewer\s+than|which\s+is\s+(?:greater|larger|smaller|farther|closer))", ("between", "compared to", "greater than", "less than", "more than", "fewer than")),
 }
+#: Strings of which every match of a rule's pattern has one: a text without them need not be tried.
+NEEDS = {
+    PREDICATES[name][0]: needs
+    for name, needs in {
+        "moon_count": ("moons", "satellites", "bodies"), "discovered_on": ("discover", "found"), "discovered_by": ("discover", "found", "astronomer", "finder"),
+        "recognized_on": ("recogni",), "first_observed_on": ("observ", "seen"), "mass": ("mass", "heav", "light"), "distance_from_sun": ("sun",), "surface_gravity": ("gravit",),
+        "classification": ("classif", "planet", "recogni"), "planet_type": ("planet", "terrestrial", "giant"), "location": ("locat", "found", "belt"),
+        "ordering": ("order", "rank", "smallest"), "comparison": ("between", "compared", "than", "which"),
+    }.items()
+}
 HELPERS = ("ordering", "comparison")
 ORDERABLE = ("discovered_on", "recognized_on", "first_observed_on")
 BODIES = r"(?:planets|dwarf\s+planets|dwarfs|moons|satellites|objects|bodies)"
@@ -124,6 +135,11 @@ def _pos(text: Column, pattern: str) -> Column:
     return F.regexp_instr(text, F.lit(f"({pattern})"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _sorted_names(found: list[tuple[Column, int, str]]) -> Column:
     """Names by place, then by the number given with them; those at place 0 left out."""
     rows = F.array(*[F.struct(p.alias("p"), F.lit(o).alias("o"), F.lit(n).alias("n")) for p, o, n in found])
@@ -133,14 +149,15 @@ def _sorted_names(found: list[tuple[Column, int, str]]) -> Column:
 def spot_entities(text: Column, names: Sequence[str] = ENTITIES) -> Column:
     """Known names in the order of their first places, the longer first at one place."""
     low = F.lower(text)
-    return _sorted_names([(_pos(low, rf"\b{literal(n.lower())}\b"), -len(n), n) for n in names])
+    # a plain search is far cheaper than a pattern, which most names need not meet
+    return _sorted_names([(F.when(low.contains(n.lower()), _pos(low, rf"\b{literal(n.lower())}\b")).otherwise(0), -len(n), n) for n in names])
 
 
 def entities(text: Column, names: Sequence[str] = ENTITIES) -> Column:
     """Known names; without any, Moon and Moons stand in where those words do."""
     low, known = F.lower(text), spot_entities(text, names)
     stand_in = F.array_compact(F.array(F.when(low.rlike(r"\bmoon\b"), F.lit("Moon")), F.when(low.rlike(r"\bmoons\b"), F.lit("Moons"))))
-    return F.when(F.size(known) > 0, known).otherwise(stand_in)
+    return _once(known, lambda k: F.when(F.size(k) > 0, k).otherwise(stand_in))
 
 
 def predicates(text: Column, rules: Mapping = PREDICATES) -> Column:
@@ -149,8 +166,13 @@ def predicates(text: Column, rules: Mapping = PREDICATES) -> Column:
     return F.array_compact(F.array(*[F.when(_hit(low, *rule), F.lit(name)) for name, rule in rules.items()]))
 
 
+def _needed(low: Column, pattern: str) -> Column:
+    """Whether a text has one of the strings without which the pattern has no match; true where none are known."""
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in NEEDS[pattern]]) if pattern in NEEDS else F.lit(True)
+
+
 def _hit(low: Column, pattern: str, words: Sequence[str]) -> Column:
-    out = low.rlike(pattern)
+    out = _needed(low, pattern) & low.rlike(pattern)
     for w in words:
         out = out | low.contains(w)
     return out
@@ -160,7 +182,7 @@ def predicate_mentions(text: Column, rules: Mapping = PREDICATES) -> Column:
     """Predicates in the order of their mentions: the pattern's place, or else the first place of a word."""
     low, found = F.lower(text), []
     for i, (name, (pattern, words)) in enumerate(rules.items()):
-        at = F.nullif(_pos(low, pattern), F.lit(0))
+        at = F.nullif(F.when(_needed(low, pattern), _pos(low, pattern)), F.lit(0))
         spots = [F.nullif(F.instr(low, w), F.lit(0)) for w in words]
         word = F.least(*spots) if len(spots) > 1 else spots[0] if spots else F.lit(None).cast("int")
         found.append((F.coalesce(at, word, F.lit(0)), i, name))
@@ -185,9 +207,14 @@ def normalize_time(token: Column) -> Column:
     )
 
 
+def _dated(low: Column) -> Column:
+    """Whether there are four digits in a row, as in every TOKEN: else no pattern with one needs to be tried."""
+    return low.rlike(r"\d{4}")
+
+
 def _range(low: Column, joiners: str) -> tuple[Column, Column, Column]:
     pattern = rf"(?:between|from)\s+({TOKEN})\s+(?:{joiners})\s+({TOKEN})"
-    return low.rlike(pattern), F.regexp_extract(low, pattern, 1), F.regexp_extract(low, pattern, 2)
+    return _dated(low) & low.rlike(pattern), F.regexp_extract(low, pattern, 1), F.regexp_extract(low, pattern, 2)
 
 
 def time_constraint(text: Column) -> Column:
@@ -197,7 +224,7 @@ def time_constraint(text: Column) -> Column:
     out = [F.when(hit, F.concat(normalize_time(a), F.lit(".."), normalize_time(b)))]
     for words in PARSER_PREPOSITIONS:
         pattern = rf"(?:{words})\s+({TOKEN})"
-        out.append(F.when(low.rlike(pattern), normalize_time(F.regexp_extract(low, pattern, 1))))
+        out.append(F.when(_dated(low) & low.rlike(pattern), normalize_time(F.regexp_extract(low, pattern, 1))))
     return F.coalesce(*out)
 
 
@@ -205,13 +232,14 @@ def time_semantic(text: Column) -> Column:
     """struct(semantic, value) of the classifier, whose forms and precedence differ from the parser's; semantic none without a time."""
     low = F.lower(text)
     hit, a, b = _range(low, "and|to|through")
+    dated = _dated(low)
     both = F.concat(F.coalesce(normalize_time(a), a), F.lit(".."), F.coalesce(normalize_time(b), b))
     both = F.when(normalize_time(a).isNotNull() & normalize_time(b).isNotNull(), both).otherwise(F.concat(a, F.lit(".."), b))
     name, value = F.when(hit, "between"), F.when(hit, both)
     for kind in ("before", "after", "exact"):
         pattern = rf"(?:{PREPOSITIONS[kind]})\s+({TOKEN})"
-        token = F.regexp_extract(low, pattern, 1)
-        name, value = name.when(low.rlike(pattern), kind), value.when(low.rlike(pattern), F.coalesce(normalize_time(token), token))
+        token, hit = F.regexp_extract(low, pattern, 1), dated & low.rlike(pattern)
+        name, value = name.when(hit, kind), value.when(hit, F.coalesce(normalize_time(token), token))
     return F.struct(name.otherwise("none").alias("semantic"), value.alias("value"))
 
 
