@@ -62,13 +62,20 @@ def _pages(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([read_page(x) for x in b], columns=["title", "text"])
 
 
-def clean(pages: DataFrame, html: str = "html", fallback: str = "page_id") -> DataFrame:
+def closed_references(html: Column) -> Column:
+    """html in which an & that begins no reference with a semicolon is text: a reference cut off, as &amp at the end of a title, stays as it is."""
+    return F.regexp_replace(html, "&(?!#?[A-Za-z0-9]+;)", "&amp;")
+
+
+def clean(pages: DataFrame, html: str = "html", fallback: str = "page_id", open_references: bool = True) -> DataFrame:
     """pages with title, text, content_hash and char_count instead of html.
 
+    open_references: whether references without a semicolon are read, as browsers do.
+
     HTML needs a real tokenizer (scripts hold tags in strings), so parsing runs
     in Arrow batches; all else is Column operations.
     """
-    page = _pages(F.col(html))
+    page = _pages(F.col(html) if open_references else closed_references(F.col(html)))
     df = pages.withColumn("_p", page).drop(html)
     title = F.btrim(F.split_part(T.squeeze(F.col("_p.title")), F.lit(" | "), F.lit(1)), F.lit(T.SPACE))
     body = F.concat(F.btrim(F.concat(title, F.lit("\n\n"), T.squeeze(F.col("_p.text"))), F.lit(T.SPACE)), F.lit("\n"))
