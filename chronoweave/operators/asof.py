@@ -1,8 +1,7 @@
 """The latest, earliest or as-of fact of each key, and raw retrieval of facts for requests.
 
 Lookups are running minima over the days of a key's facts and requests, in two
-levels, or, where the rule has two sides, equi-joins on the nodes of the
-calendar that hold the facts and make up the requests. Only places and times
+levels; where the rule has two sides, one for each grain of time. Only places and times
 take part in them; facts are joined to what was found at the end.
 """
 
@@ -10,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chronoweave.functions.timewin import bounds, covering_nodes, in_bounds, is_calendar, is_span, span_nodes
+from chronoweave.functions.timewin import bounds, in_bounds, is_calendar
 
 
 def latest_order() -> list[Column]:
@@ -66,44 +65,47 @@ def computed_once(df: DataFrame) -> DataFrame:
 def spans_lookup(left: DataFrame, right: DataFrame) -> DataFrame:
     """left, requests (_s, _p, c, ..) for facts within c.s to c.e, with _a, _b, _n of the latest such fact of right (_s, _p, _a, _b, _n).
 
-    Days, months and years are nested or apart. So each fact stands at the
-    few nodes of the calendar that hold it, each node of a key keeps its best
-    fact, and a span is cut into the few nodes that make it up, whose best
-    facts' best is the answer: a key costs its facts plus its requests, times
-    the height of the calendar, and its nodes are dealt out. Facts whose
-    window is no day, month or year, and spans whose ends are no days, meet
-    all of their key.
+    Days are apart or equal, and so are months and years. So of a key's days,
+    of its months and of its years the last one that ends by c.e also begins
+    last, and if it begins before c.s no other of these lies in the span: the
+    answer is the best of three running bests at c.e, and a key costs its
+    facts plus its requests. Facts whose window is no day, month or year meet
+    all requests of their key.
     """
     dated = right.where("_a IS NOT NULL AND _b IS NOT NULL")
-    plain, days = is_calendar(F.col("_a"), F.col("_b")), is_span(F.col("c.s"), F.col("c.e"))
-    best = F.max(F.struct("_b", "_a", (-F.col("_n")).alias("_m"))).alias("_best")
-    held = dated.where(plain).select(*KEY, "_a", "_b", "_n", F.inline(covering_nodes(F.col("_a"), F.col("_b")))).groupBy(*KEY, "level", "node").agg(best)
+    plain = is_calendar(F.col("_a"), F.col("_b"))
     kept = [c for c in left.columns if c not in (*KEY, "c")]
-    asked = left.where(days).select(*KEY, F.struct(*kept).alias("_q"), F.inline(span_nodes(F.col("c.s"), F.col("c.e"))))
-    found = asked.join(held, [*KEY, "level", "node"]).groupBy(*KEY, "_q").agg(F.max("_best").alias("_best"))
-    found = found.select("_q.*", *KEY, F.col("_best._a").alias("_a"), F.col("_best._b").alias("_b"), (-F.col("_best._m")).alias("_n"))
-    # the two below are empty where all windows and spans are those of the calendar, so their joins cost nothing then
-    odd = left.join(dated.where(~plain), KEY).unionByName(left.where(~days).join(dated.where(plain), KEY))
-    other = odd.where((F.col("_a") >= F.col("c.s")) & (F.col("_b") <= F.col("c.e")))
+    asked = left.where("c.s <= c.e").select(*kept, *KEY, F.col("c.s").alias("_from"), F.col("c.e").alias("_at"))
+    grain = F.when(F.col("_a") == F.col("_b"), 0).when(F.col("_b") - F.col("_a") == 1130, 2).otherwise(1)
+    order = F.struct((-F.col("_b")).alias("x"), (-F.col("_a")).alias("y"), F.col("_n").alias("z"))
+    grains = ["_days", "_months", "_years"]
+    held = dated.where(plain).select(*KEY, F.col("_b").alias("_at"), *[F.when(grain == i, order).alias(g) for i, g in enumerate(grains)])
+    best = best_so_far(held.unionByName(asked.select(*KEY, "_at"), allowMissingColumns=True), KEY, "_at", *grains)
+    within = [F.when(-F.col(f"{g}.y") >= F.col("_from"), F.col(g)) for g in grains]
+    found = asked.join(best, [*KEY, "_at"]).withColumn("_o", F.least(*within)).where("_o IS NOT NULL")
+    found = found.select(*kept, *KEY, (-F.col("_o.y")).alias("_a"), (-F.col("_o.x")).alias("_b"), F.col("_o.z").alias("_n"))
+    # empty where all windows are those of the calendar, so its join costs nothing then
+    other = left.join(dated.where(~plain), KEY).where((F.col("_a") >= F.col("c.s")) & (F.col("_b") <= F.col("c.e")))
     return found.unionByName(other.select(*kept, *KEY, "_a", "_b", "_n"))
 
 
-def best_so_far(events: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    """The least value of a key up to each of its times: (keys, at, value), a row for each time of each key; nulls count as no value.
+def best_so_far(events: DataFrame, keys: list[str], at: str, *values: str) -> DataFrame:
+    """The least of each value of a key up to each of its times: (keys, at, values), a row for each time of each key; nulls count as no value.
 
-    First each day keeps its least value, before rows are shuffled; then the
+    First each day keeps its least values, before rows are shuffled; then the
     days of a year run on within that year, and the least of each year is
     carried into the next ones by a window over years. So the rows of one key
     are dealt out by days and years, and no task has more of a key than the
     days of its years or its years.
     """
-    days = events.groupBy(*keys, at).agg(F.min(value).alias("_v")).withColumn("_y", F.floor(F.col(at) / YEAR))
-    years = days.groupBy(*keys, "_y").agg(F.min("_v").alias("_carried"))
+    each = lambda f, to="{}", of="{}": [f(of.format(v)).alias(to.format(v)) for v in values]
+    days = events.groupBy(*keys, at).agg(*each(F.min)).withColumn("_y", F.floor(F.col(at) / YEAR))
+    years = days.groupBy(*keys, "_y").agg(*each(F.min, "{}_carried"))
     before = Window.partitionBy(*keys).orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)
-    years = years.withColumn("_carried", F.min("_carried").over(before))
+    years = years.select(*keys, "_y", *each(lambda v: F.min(v).over(before), "{}_carried", "{}_carried"))
     within = Window.partitionBy(*keys, "_y").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    out = days.withColumn("_v", F.min("_v").over(within)).join(years, [*keys, "_y"])
-    return out.select(*keys, at, F.least("_v", "_carried").alias(value))
+    out = days.select(*keys, at, "_y", *each(lambda v: F.min(v).over(within))).join(years, [*keys, "_y"])
+    return out.select(*keys, at, *each(lambda v: F.least(v, f"{v}_carried")))
 
 
 def timed_lookup(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -127,3 +127,12 @@ def test_one_day_of_one_key(spark):
     c = F.struct((F.lit(20000101) + (F.col("id") % 3 == 1).cast("int") - (F.col("id") % 3 == 2).cast("int")).alias("s"), (F.lit(20000101) - (F.col("id") % 3 == 2).cast("int")).alias("e"), kind.alias("kind"))
     asked = spark.range(n).select(F.col("id").alias("qid"), F.lit("k").alias("subject"), F.lit("p").alias("predicate"), c.alias("c"))
     assert asof_lookup(asked, facts, ["qid"]).where("fact.pos = 0").count() == n
+
+
+def test_spans_are_not_cut_into_nodes(spark):
+    """A span of nearly four years costs one row, not one for each of its days, months and years."""
+    facts = facts_from_rows(spark, [("k", "p", str(i), f"200{i % 5}-0{i % 9 + 1}") for i in range(40)])
+    asked = spark.createDataFrame([(0, "k", "p", (20000102, 20031230, "between"))], "qid int, subject string, predicate string, c struct<s:int,e:int,kind:string>")
+    found = asof_lookup(asked, facts, ["qid"])
+    assert [r.fact.time for r in found.collect()] == ["2003-09"]
+    assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
