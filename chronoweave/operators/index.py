@@ -21,8 +21,9 @@ from chronoweave.sources.work import written
 BLOCK, HOT = 128, 1 << 16
 #: Postings probed for a question's threshold: so many for each chunk that is asked for, or this share of all of its words.
 PROBE, SHARE = 20, 1 / 64
-#: Of the chunks probed, those with the most points so far are scored in full: so many for each that is asked for.
-TRIED = 8
+#: Of the chunks probed, those with the most points so far are scored in full: so many for each that is asked for. Their number does not
+#: grow with the chunks, but what passes the threshold does.
+TRIED = 32
 #: So many questions at most are sent to all tasks.
 FEW_QUESTIONS = 2000
 #: Scores are sums of fractions; a bound may fall short of one by that much.
@@ -124,15 +125,22 @@ def _wanted() -> Column:
     return F.concat(words, hints, F.array_compact(F.array(*contexts)))
 
 
-def bonus(index: Index) -> Column:
-    """The most points that the question in q can give a chunk for what the index does not hold: parts of texts, and words said often."""
-    p, count = R.POINTS, lambda c: F.size(F.col(f"q.{c}")).cast("double")
-    phrases = F.size(F.filter("q.terms", lambda t: t.contains(" "))).cast("double")
-    times = count("times.phrases")
-    out = phrases * p["phrase"] + count("entities") * p["entity"]
-    out = out + F.when(_asks("ordering"), R.MENTIONS["base"] + F.log(F.lit(float(index.most)))).otherwise(0.0)
-    out = out + times * p["exact_time"] + F.when(times > 0, p["as_of_time_context"]).otherwise(0.0)
-    return out + count("times.years") * p["year"] + count("times.months") * p["month"]
+def _parts(index: Index) -> list[Column]:
+    """What the question in q can find in a chunk that the index does not hold: parts, parts of texts with their points, and
+    fixed, the most points for words said often and for a time beside its context."""
+    p = R.POINTS
+    worth = lambda c, points: F.transform(c, lambda x: F.struct(x.alias("part"), F.lit(points).alias("points")))
+    parts = [worth(F.filter("q.terms", lambda t: t.contains(" ")), p["phrase"]), worth("q.entities", p["entity"]), worth("q.times.phrases", p["exact_time"])]
+    parts += [worth("q.times.years", p["year"]), worth("q.times.months", p["month"])]
+    fixed = F.when(_asks("ordering"), R.MENTIONS["base"] + F.log(F.lit(float(index.most)))).otherwise(0.0)
+    fixed = fixed + F.when(F.size("q.times.phrases") > 0, p["as_of_time_context"]).otherwise(0.0)
+    return [F.concat(*parts).alias("parts"), fixed.alias("fixed")]
+
+
+def bonus(low: Column | None = None) -> Column:
+    """The most points that a question with parts and fixed can give a chunk for what the index does not hold. With low, the chunk's
+    text in lower case, only for those parts that stand in it."""
+    return F.aggregate("parts", F.col("fixed"), lambda a, x: a + (x["points"] if low is None else F.when(low.contains(x["part"]), x["points"]).otherwise(0.0)))
 
 
 def _each(hits: Column, reason: str) -> Column:
@@ -193,13 +201,17 @@ def _postings(index: Index, levels: DataFrame) -> DataFrame:
 
 
 def _scored(index: Index, questions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Scores and reasons of pairs (qid, chunk_no); with have (the most points by what the index holds) and need, only of those
+    that reach need with what stands in their text, which is far cheaper to find than a score."""
     # pairs are short, scoring them is not: they stay dealt out, where adaptive execution would put them together by size
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = questions.count() <= FEW_QUESTIONS
-    pairs = (pairs if few else pairs.join(questions.select("qid", "q"), "qid")).repartition(n, NUMBER)
+    pairs = (pairs if few else pairs.join(questions.select("qid", "q", "parts", "fixed"), "qid")).repartition(n, NUMBER)
     chunks = index.chunks.select(NUMBER, "chunk_id", "source_id", "predicate_hints", "tfs", "hits", _low().alias("low"))
     both = pairs.join(chunks, NUMBER)
-    both = both.join(F.broadcast(questions.select("qid", "q")), "qid") if few else both
+    both = both.join(F.broadcast(questions.select("qid", "q", "parts", "fixed")), "qid") if few else both
+    if "have" in pairs.columns:
+        both = both.where(F.col("have") + bonus(F.col("low")) >= F.col("need")).drop("have", "need")
     return score_pairs(both).select("qid", NUMBER, "chunk_id", "source_id", "score", "reasons")
 
 
@@ -219,7 +231,7 @@ def search(index: Index, questions: DataFrame, top: int = 12, per_source: int =
     none = F.from_json(F.lit("[]"), "array<string>")
     times = F.struct(*[F.coalesce(F.col(f"times.{c}"), none).alias(c) for c in ("years", "months", "phrases")])
     packed = questions.select("qid", F.struct(*[v.alias(c) for c, v in full.items()], times.alias("times")).alias("q"))
-    asked = written(packed.withColumn("bonus", bonus(index)), "questions")
+    asked = written(packed.select("qid", "q", *_parts(index)), "questions")
     levels = asked.select("qid", F.inline(_wanted())).join(index.levels, "token")
     levels = written(levels.select("qid", "token", "tf", "n", F.coalesce("points", impact(F.col("tf"))).alias("impact")), "asked_levels")
 
@@ -232,8 +244,8 @@ def search(index: Index, questions: DataFrame, top: int = 12, per_source: int =
     tried = tried.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("part"), NUMBER))).where(F.col("nth") <= TRIED * max(top, 1))
     first = _scored(index, asked, tried.select("qid", NUMBER)).select("qid", "source_id", "chunk_id", "score")
     best = R.cap_top(first, top, per_source, by=["qid"]).groupBy("qid").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-    bound = asked.join(best.where(F.col("n") >= max(top, 1)), "qid", "left").select("qid", "bonus", (F.coalesce("least", F.lit(0.0)) - F.col("bonus") - SLACK).alias("room"))
-    bound = written(bound, "bounds")
+    bound = asked.join(best.where(F.col("n") >= max(top, 1)), "qid", "left").select("qid", bonus().alias("bonus"), (F.coalesce("least", F.lit(0.0)) - SLACK).alias("need"))
+    bound = written(bound.withColumn("room", F.col("need") - F.col("bonus")), "bounds")
 
     own = Window.partitionBy("qid", "token").orderBy("tf")
     gain = F.col("impact") - F.coalesce(F.lag("impact").over(own), F.lit(0.0))
@@ -246,11 +258,15 @@ def search(index: Index, questions: DataFrame, top: int = 12, per_source: int =
     rest = plan.select("qid", "token", "unread").distinct().groupBy("qid").agg(F.sum("unread").alias("rest"))
     met = _postings(index, plan.where("read").select("qid", "token", "tf", (F.col("impact") - F.col("unread")).alias("more")))
     met = met.groupBy("qid", NUMBER).agg(F.sum("more").alias("more")).join(bound.join(rest, "qid"), "qid")
-    pairs = met.where("more + rest >= room").select("qid", NUMBER)
-    open_ones = bound.where("room <= 0").select("qid")
+    pairs = met.where("more + rest >= room").select("qid", NUMBER, (F.col("more") + F.col("rest")).alias("have"), "need")
+    open_ones = bound.where("room <= 0").select("qid", "need")
     if not open_ones.isEmpty():
-        # these questions are scored against all chunks: chunks without any of their words may be among the best
-        pairs = pairs.join(open_ones, "qid", "left_anti").unionByName(index.chunks.select(NUMBER).crossJoin(open_ones))
+        # these questions meet all chunks: of chunks without any of their words, which points for parts of the text alone may put
+        # among the best, those that have such parts
+        other = index.chunks.select(NUMBER, _low().alias("low")).crossJoin(F.broadcast(open_ones.join(asked.select("qid", "parts", "fixed"), "qid")))
+        more = bonus(F.col("low"))
+        other = other.where((more > 0) & (more >= F.col("need"))).select("qid", NUMBER, F.lit(0.0).alias("have"), "need")
+        pairs = pairs.unionByName(other).groupBy("qid", NUMBER).agg(F.max("have").alias("have"), F.first("need").alias("need"))
     scored = _scored(index, asked, pairs)
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))

@@ -64,6 +64,27 @@ def test_reads_under_a_fifth(spark):
     assert read * 5 < total
 
 
+def test_scores_only_what_parts_of_the_text_can_raise(spark, monkeypatch):
+    """Points for parts that hardly any text has let many chunks near the threshold; only those whose text has them are scored in full."""
+    rnd = random.Random(7)
+    own = [[f"w{i}" for i in rnd.sample(range(40), 12)] for _ in range(6)]
+    asked = [(q, w, ["no such part", "nor this", "w1 w0"], [], [], ([], [], [])) for q, w in enumerate(own)]
+    chunks = made(spark, 2000)
+    made_index, counts, score = index.build_index(chunks), [], index.score_pairs
+
+    def counted(pairs):
+        counts.append(pairs.count())
+        return score(pairs)
+
+    monkeypatch.setattr(index, "score_pairs", counted)
+    monkeypatch.setattr(index, "TRIED", 8)
+    found = index.search(made_index, spark.createDataFrame(asked, Q), 4, 4, 6).ranked.collect()
+    assert len(found) == 24 and counts[1] * 5 < 6 * 2000
+    query = {"terms": own[2], "entities": asked[2][2], "predicates": [], "modifiers": [], "times": {"years": [], "months": [], "phrases": []}}
+    want = retrieve.cap_top(retrieve.score_chunks(chunks, query).withColumn("score", retrieve.F.round("score", 6)), 4, 4).collect()
+    assert sorted((r.chunk_id, r.score) for r in found if r.qid == 2) == sorted((r.chunk_id, r.score) for r in want)
+
+
 def test_blocks_are_small_and_whole(spark, monkeypatch):
     """Hot levels are cut into blocks; the postings are those of the chunks."""
     for block, hot in ((16, 1 << 16), (16, 8)):
