@@ -90,41 +90,53 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
     return np.minimum(255, 4 * np.log2(total + 1)).astype(np.uint8)
 
 
+def _prefix(x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """A set's prefix, the levels of its shingles, and the key of its group."""
+    n = len(x)
+    level = table[_cell(x)]
+    take = np.argsort(level, kind="stable")[: n - -(-PERCENT * n // 100) + 1]
+    return x[take], level[take], int.from_bytes(xxhash.xxh3_64_digest(x[take].tobytes() + n.to_bytes(8, "little")), "big", signed=True)
+
+
 def _signer(levels):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = levels.value
+        for batch in sub_batches(batches):
+            found = shingle_sets(batch.column("text"))
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found]
+            groups = [_prefix(x, table)[2] if len(x) else None for x in found]
+            bits = [parity(x) if len(x) else None for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("version"), pa.array([len(x) for x in found], pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.int64()), pa.array(bits, pa.binary())],
+                names=["doc_id", "version", "n", "s", "g", "bits"],
+            )
+
+    return sign
+
+
+def _prefixer(levels):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
         hot_from = int(np.median(table)) + 6
         seen: set[int] = set()
         for batch in sub_batches(batches):
-            sizes, sets, groups, rare, hot, salts, bits = [], [], [], [], [], [], []
+            sizes, groups, rare, hot, salts = [], [], [], [], []
             for x in shingle_sets(batch.column("text")):
-                n = len(x)
-                sizes.append(n)
-                if not n:
-                    sets.append(None), groups.append(None), rare.append(None), hot.append(None), salts.append(None), bits.append(None)
+                if not len(x):
                     continue
-                bits.append(parity(x))
-                level = table[_cell(x)]
-                take = np.argsort(level, kind="stable")[: n - -(-PERCENT * n // 100) + 1]
-                prefix = x[take]
-                sets.append(xxhash.xxh3_128_digest(x.tobytes()))
-                group = int.from_bytes(xxhash.xxh3_64_digest(prefix.tobytes() + n.to_bytes(8, "little")), "big", signed=True)
-                groups.append(group)
+                prefix, level, group = _prefix(x, table)
                 if group in seen:
-                    rare.append(None), hot.append(None), salts.append(None)
                     continue
                 if len(seen) < 200_000:  # only saves rows; what is sent twice meets in its group again
                     seen.add(group)
-                often = level[take] >= hot_from
+                often = level >= hot_from
+                sizes.append(len(x)), groups.append(group)
                 rare.append(prefix[~often].view(np.int64))
                 hot.append(prefix[often].view(np.int64))
-                salts.append(np.ceil(2.0 ** (level[take][often] / 4) / SALTED).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("version"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(groups, pa.int64()), _lists(rare), _lists(hot), _lists(salts), pa.array(bits, pa.binary())],
-                names=["doc_id", "version", "n", "s", "g", "rare", "hot", "salts", "bits"],
-            )
+                salts.append(np.ceil(2.0 ** (level[often] / 4) / SALTED).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(groups, pa.int64()), _lists(rare), _lists(hot), _lists(salts)], names=["n", "g", "rare", "hot", "salts"])
 
-    return sign
+    return cut
 
 
 def parity(codes: np.ndarray) -> bytes:
@@ -234,44 +246,51 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([keys[a] for a, _ in found], pa.binary()), "b": pa.array([keys[b] for _, b in found], pa.binary())})
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, n, s, g, rare, hot, salts, bits) of each row: set size, key of the set, key of its group, prefix shingles unless sent
-    before (of frequent ones also to how many tasks they are dealt), bitmap."""
+def signatures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, version, n, s, g, bits) of each row, written: set size, key of the set, key of its group, bitmap; and (n, g, rare, hot, salts) of
+    groups, most of them once: prefix shingles, and to how many tasks the frequent ones are dealt.
+
+    Prefixes are larger than all the rest and read once, so they are cut from the texts again and never written.
+    """
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    df = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("version"))
-    return stage(df.mapInArrow(_signer(levels), f"doc_id {kind}, version long, n long, s binary, g long, rare array<long>, hot array<long>, salts array<long>, bits binary"), "signatures")
+    text = F.col("text").cast("string").alias("text")
+    signed = docs.select("doc_id", text, F.xxhash64("text").alias("version")).mapInArrow(_signer(levels), f"doc_id {kind}, version long, n long, s binary, g long, bits binary")
+    return stage(signed, "signatures"), docs.select(text).mapInArrow(_prefixer(levels), "n long, g long, rare array<long>, hot array<long>, salts array<long>")
 
 
-def leaders(signed: DataFrame) -> DataFrame:
-    """(leader, g): each group under the first group, by size and key, of each prefix shingle that it shares.
+def leaders(prefixes: DataFrame) -> DataFrame:
+    """(leader, g), some of them repeated: each group under the first group, by size and key, of each prefix shingle that it shares.
 
     Where sizes in a bucket leap by more than the similarity allows, no pair
     across can link, and the larger ones get a leader of their own.
 
     Shingles the sketch calls frequent are dealt to several tasks first, as many as their count there calls for.
     """
-    rare = signed.select(F.explode("rare").alias("t"), F.lit(0).alias("salt"), "n", "g")
-    hot = signed.select(F.inline(F.arrays_zip(F.col("hot").alias("t"), F.col("salts").alias("k"))), "n", "g")
-    hot = hot.select("t", (F.lit(1) + F.pmod(F.xxhash64("g"), F.col("k"))).cast("int").alias("salt"), "n", "g")
+    # one pass over the texts for both kinds: rare shingles go to task 0
+    each = F.concat(F.transform("rare", lambda t: F.struct(t.alias("t"), F.lit(0).cast("long").alias("k"))), F.arrays_zip(F.col("hot").alias("t"), F.col("salts").alias("k")))
+    rows = prefixes.select(F.inline(each), "n", "g")
+    rows = rows.select("t", F.when(F.col("k") == 0, 0).otherwise(F.lit(1) + F.pmod(F.xxhash64("g"), F.col("k"))).cast("int").alias("salt"), "n", "g")
     bucket = Window.partitionBy("t", "salt").orderBy("n", "g")
     upto = bucket.rowsBetween(Window.unboundedPreceding, 0)
     leap = lambda before, after: before.isNull() | after.isNull() | (after * PERCENT > before * 100)
-    rows = rare.unionAll(hot).withColumn("opens", leap(F.lag("n").over(bucket), F.col("n"))).withColumn("closes", leap(F.col("n"), F.lead("n").over(bucket)))
+    rows = rows.withColumn("opens", leap(F.lag("n").over(bucket), F.col("n"))).withColumn("closes", leap(F.col("n"), F.lead("n").over(bucket)))
     rows = rows.withColumn("first", F.when(F.col("salt") > 0, F.first(F.struct("n", "g")).over(upto)).otherwise(F.last(F.when(F.col("opens"), F.struct("n", "g")), ignorenulls=True).over(upto)))
-    rows = stage(rows.where("salt > 0 OR NOT (opens AND closes)").select("t", "salt", "first", "g").distinct(), "shared")
-    common = rows.where("salt > 0")
-    top = common.groupBy("t").agg(F.min("first").alias("top"))
-    out = rows.where("salt = 0").select(F.col("first.g").alias("leader"), "g")
-    return out.unionAll(common.join(top, "t").select(F.col("top.g").alias("leader"), "g")).distinct()
+    rows = rows.where("salt > 0 OR NOT (opens AND closes)").select("t", "salt", "first", "g").distinct()
+    # only frequent shingles are looked at again
+    often = F.col("salt") > 0
+    rows = stage(rows.select(F.when(often, F.col("t")).alias("t"), F.when(often, F.col("first.n")).alias("n"), F.col("first.g").alias("leader"), "g"), "shared")
+    common = rows.where("t IS NOT NULL")
+    top = common.groupBy("t").agg(F.min(F.struct("n", "leader")).alias("top"))
+    return rows.where("t IS NULL").select("leader", "g").unionAll(common.join(top, "t").select(F.col("top.leader").alias("leader"), "g"))
 
 
-def linked_sets(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def linked_sets(docs: DataFrame, signed: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(s, component) of the sets that link with another set."""
     sets = signed.where("n > 0").groupBy("g", "s").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"))
     sets = stage(sets, "sets")
     own = sets.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("leader"), "g")
-    members = leaders(signed).unionAll(own).distinct().join(sets.select("g", "s", "n", "bits"), "g").dropDuplicates(["leader", "s"])
+    members = leaders(prefixes).unionAll(own).distinct().join(sets.select("g", "s", "n", "bits"), "g").dropDuplicates(["leader", "s"])
     members = _sized(stage(members.select("leader", "s", "n", "bits"), "members"))
     near = stage(_with_pivots(members, "bits").mapInArrow(_near_by_bits, "leader long, s binary, pivot binary"), "near")
     pairs = _pairs_of_blocks(members, near, ["n", "bits"])
@@ -353,8 +372,8 @@ def classes(docs: DataFrame) -> DataFrame:
     tie) links; very long texts are sets like others; other columns are
     ignored; an empty table gives no rows.
     """
-    signed = signatures(docs)
-    rows = signed.select("doc_id", "version", "n", "s").join(linked_sets(docs, signed), "s", "left").withColumn("label", F.coalesce("component", "s"))
+    signed, prefixes = signatures(docs)
+    rows = signed.select("doc_id", "version", "n", "s").join(linked_sets(docs, signed, prefixes), "s", "left").withColumn("label", F.coalesce("component", "s"))
     rows = stage(rows.select("doc_id", "version", F.col("n").alias("n_shingles"), "label"), "labels")
     least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "label", "left")

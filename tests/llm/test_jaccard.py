@@ -113,3 +113,14 @@ def test_keep_one(spark):
 
 def test_empty_table(spark):
     assert jaccard.classes(table(spark, [])).collect() == []
+
+
+def test_prefixes_are_not_written(spark, monkeypatch):
+    """Prefix shingles outweigh all else of a signature and are read once."""
+    held, stage = {}, jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, name, *a: held.setdefault(name, stage(df, name, *a)))
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(1, 60, 8)], "doc_id long, text string")
+    jaccard.classes(docs)
+    assert not [f.name for f in held["signatures"].schema if f.dataType.typeName() == "array"]
+    assert held["shared"].count() > 0
