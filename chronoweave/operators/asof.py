@@ -7,9 +7,12 @@ take part in them; facts are joined to what was found at the end.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronoweave.functions.timewin import bounds, in_bounds, is_calendar
+from chronoweave.sources.work import written
 
 
 def latest_order() -> list[Column]:
@@ -55,6 +58,8 @@ def best_order(after: Column) -> list[Column]:
 #: Times are days as numbers, YYYYMMDD: the quotient by this is the year.
 YEAR = 10_000
 KEY = ["_s", "_p"]
+#: Keys are counted in so many buckets; those with more rows than CROWDED are dealt out by days and years.
+BUCKETS, CROWDED = 1 << 16, 4096
 
 
 def computed_once(df: DataFrame) -> DataFrame:
@@ -74,7 +79,7 @@ def spans_lookup(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     dated = right.where("_a IS NOT NULL AND _b IS NOT NULL")
     plain = is_calendar(F.col("_a"), F.col("_b"))
-    kept = [c for c in left.columns if c not in (*KEY, "c")]
+    kept = [c for c in left.columns if c not in (*KEY, "_h", "c")]
     asked = left.where("c.s <= c.e").select(*kept, *KEY, F.col("c.s").alias("_from"), F.col("c.e").alias("_at"))
     grain = F.when(F.col("_a") == F.col("_b"), 0).when(F.col("_b") - F.col("_a") == 1130, 2).otherwise(1)
     order = F.struct((-F.col("_b")).alias("x"), (-F.col("_a")).alias("y"), F.col("_n").alias("z"))
@@ -85,7 +90,7 @@ def spans_lookup(left: DataFrame, right: DataFrame) -> DataFrame:
     found = asked.join(best, [*KEY, "_at"]).withColumn("_o", F.least(*within)).where("_o IS NOT NULL")
     found = found.select(*kept, *KEY, (-F.col("_o.y")).alias("_a"), (-F.col("_o.x")).alias("_b"), F.col("_o.z").alias("_n"))
     # empty where all windows are those of the calendar, so its join costs nothing then
-    other = left.join(dated.where(~plain), KEY).where((F.col("_a") >= F.col("c.s")) & (F.col("_b") <= F.col("c.e")))
+    other = left.join(dated.where(~plain).drop("_h"), KEY).where((F.col("_a") >= F.col("c.s")) & (F.col("_b") <= F.col("c.e")))
     return found.unionByName(other.select(*kept, *KEY, "_a", "_b", "_n"))
 
 
@@ -108,29 +113,43 @@ def best_so_far(events: DataFrame, keys: list[str], at: str, *values: str) -> Da
     return out.select(*keys, at, *each(lambda v: F.least(v, f"{v}_carried")))
 
 
-def timed_lookup(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left, requests (_s, _p, c, ..) as of, before or after a time, with _after and the best fact's _a, _b, _n.
+def _crowded(rows: DataFrame) -> list[int]:
+    """Buckets of keys, of BUCKETS, with over CROWDED rows and over eight times the mean."""
+    counts = rows.groupBy("_h").count()
+    found = counts.crossJoin(counts.agg(F.avg("count").alias("mean"))).where((F.col("count") > CROWDED) & (F.col("count") > 8 * F.col("mean")))
+    return [r["_h"] for r in found.select("_h").collect()]
+
+
+def timed_lookup(left: DataFrame, right: DataFrame, kinds: list[str], crowded: list[int]) -> DataFrame:
+    """left, requests (_s, _p, _h, c, ..) of these kinds as of, before or after a time, with _after and the best fact's _a, _b, _n.
 
     Facts as of a time begin by then, those before it have ended by the day
     before, those after it begin on the day after or later; time runs
-    backwards for these. Requests and facts meet by the running best of their
-    key's days.
+    backwards for these. Requests run along with the facts of their key in
+    one window; those of keys in crowded buckets meet by the running best of
+    their key's days.
     """
     kind = F.col("c")["kind"]
-    kept = [c for c in left.columns if c not in (*KEY, "c")]
+    kept = [c for c in left.columns if c not in (*KEY, "_h", "c")]
     late, early = F.struct((-F.col("_b")).alias("x"), (-F.col("_a")).alias("y"), F.col("_n").alias("z")), F.struct(F.col("_a").alias("x"), F.col("_b").alias("y"), F.col("_n").alias("z"))
-    rules = (("exact", F.col("_a"), late, F.col("c.e")), ("before", F.col("_b"), late, F.col("c.s") - 1), ("after", -F.col("_a"), early, -F.col("c.e") - 1))
-    at = F.when(kind == rules[0][0], rules[0][3])
-    for name, _, _, when in rules[1:]:
-        at = at.when(kind == name, when)
-    asked = left.select(*kept, *KEY, kind.alias("_k"), at.alias("_at")).where("_at IS NOT NULL")
+    rules = [r for r in (("exact", F.col("_a"), late, F.col("c.e")), ("before", F.col("_b"), late, F.col("c.s") - 1), ("after", -F.col("_a"), early, -F.col("c.e") - 1)) if r[0] in kinds]
+    at = F.lit(None).cast("int")
+    for name, _, _, when in rules:
+        at = F.when(kind == name, when).otherwise(at)
+    asked = left.select(F.struct(*kept).alias("_kept"), *KEY, "_h", kind.alias("_k"), at.alias("_at")).where("_at IS NOT NULL")
     events = F.array(*[F.struct(F.lit(name).alias("_k"), day.alias("_at"), order.alias("_o")) for name, day, order, _ in rules])
-    facts = right.where("_a IS NOT NULL").select(*KEY, F.inline(events))
-    facts = facts.join(asked.select("_k").distinct().hint("broadcast"), "_k", "left_semi")
-    best = best_so_far(facts.unionByName(asked.select(*KEY, "_k", "_at"), allowMissingColumns=True), [*KEY, "_k"], "_at", "_o").where("_o IS NOT NULL")
-    found, after = asked.join(best, [*KEY, "_k", "_at"]), F.col("_k") == "after"
-    x, y = F.col("_o.x"), F.col("_o.y")
-    return found.select(*kept, *KEY, after.alias("_after"), F.when(after, x).otherwise(-y).alias("_a"), F.when(after, y).otherwise(-x).alias("_b"), F.col("_o.z").alias("_n"))
+    facts = right.where("_a IS NOT NULL").select(*KEY, "_h", F.inline(events)).where("_at IS NOT NULL")
+
+    hot, by = F.col("_h").isin(crowded), [*KEY, "_k"]
+    so_far = Window.partitionBy(*by).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = asked.where(~hot).unionByName(facts.where(~hot), allowMissingColumns=True).withColumn("_o", F.min("_o").over(so_far))
+    found = both.where("_kept IS NOT NULL AND _o IS NOT NULL").select("_kept", *by, "_o")
+    if crowded:
+        rows = facts.where(hot).unionByName(asked.where(hot).drop("_kept"), allowMissingColumns=True)
+        best = best_so_far(rows, by, "_at", "_o").where("_o IS NOT NULL")
+        found = found.unionByName(asked.where(hot).join(best, [*by, "_at"]).select("_kept", *by, "_o"))
+    after, x, y = F.col("_k") == "after", F.col("_o.x"), F.col("_o.y")
+    return found.select("_kept.*", *KEY, after.alias("_after"), F.when(after, x).otherwise(-y).alias("_a"), F.when(after, y).otherwise(-x).alias("_b"), F.col("_o.z").alias("_n"))
 
 
 def asof_lookup(requests: DataFrame, facts: DataFrame, ids: list[str]) -> DataFrame:
@@ -142,27 +161,34 @@ def asof_lookup(requests: DataFrame, facts: DataFrame, ids: list[str]) -> DataFr
     requests with the same ids one fact, the best of all, is found. pos tells
     facts apart.
 
-    A key costs its requests plus its facts, not their product, and is dealt
-    out by its days (see timed_lookup, spans_lookup): facts are reduced to the
-    best of each day before they are shuffled, and only facts that were found
-    are taken whole, by one join at the end.
+    A key costs its requests plus its facts, not their product, and one with
+    very many is dealt out by its days (see timed_lookup, spans_lookup).
+    Times are read once, requests and the facts' places written with them; of
+    the rules only those that some request has are looked up, and only facts
+    that were found are taken whole, by one join at the end.
     """
-    left = requests.withColumn("_s", F.lower("subject")).withColumn("_p", F.lower("predicate")).drop("subject", "predicate")
-    left = computed_once(left)
-    kept = [c for c in left.columns if c not in (*KEY, "c")]
+    keyed = lambda df, *columns: df.select(*columns, F.lower("subject").alias("_s"), F.lower("predicate").alias("_p")).withColumn("_h", F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int"))
+    left = written(keyed(requests, *[c for c in requests.columns if c not in ("subject", "predicate")]), "requests")
+    kept = [c for c in left.columns if c not in (*KEY, "_h", "c")]
     whole = facts.select(F.lower("subject").alias("_s"), F.lower("predicate").alias("_p"), F.col("pos").alias("_n"), F.struct(*facts.columns).alias("fact"))
-    right = computed_once(facts.select(F.lower("subject").alias("_s"), F.lower("predicate").alias("_p"), F.col("t_start").alias("_a"), F.col("t_end").alias("_b"), F.col("pos").alias("_n")))
-
-    nulls_last = F.struct(F.col("_b").isNull().alias("u"), (-F.col("_b")).alias("x"), F.col("_a").isNull().alias("v"), (-F.col("_a")).alias("y"), F.col("_n").alias("z"))
-    latest_one = right.groupBy(*KEY).agg(F.min(nulls_last).alias("_o")).select(*KEY, (-F.col("_o.y")).alias("_a"), (-F.col("_o.x")).alias("_b"), F.col("_o.z").alias("_n"))
-    free = left.where("c IS NULL").join(latest_one, KEY)
-    spans = spans_lookup(left.where(F.col("c.kind") == "between"), right)
+    right = written(keyed(facts, F.col("t_start").alias("_a"), F.col("t_end").alias("_b"), F.col("pos").alias("_n")), "places")
+    kinds = [r[0] for r in left.select(F.when(F.col("c").isNull(), "free").otherwise(F.col("c.kind"))).distinct().collect()]
 
     one = lambda df, after: df.select(*kept, *KEY, after.alias("_after"), "_a", "_b", "_n")
-    out = one(timed_lookup(left, right), F.col("_after")).unionAll(one(spans, F.lit(False))).unionAll(one(free, F.lit(False)))
+    out = []
+    if "free" in kinds:
+        nulls_last = F.struct(F.col("_b").isNull().alias("u"), (-F.col("_b")).alias("x"), F.col("_a").isNull().alias("v"), (-F.col("_a")).alias("y"), F.col("_n").alias("z"))
+        latest_one = right.groupBy(*KEY).agg(F.min(nulls_last).alias("_o")).select(*KEY, (-F.col("_o.y")).alias("_a"), (-F.col("_o.x")).alias("_b"), F.col("_o.z").alias("_n"))
+        out.append(one(left.where("c IS NULL").join(latest_one, KEY), F.lit(False)))
+    if "between" in kinds:
+        out.append(one(spans_lookup(left.where(F.col("c.kind") == "between"), right), F.lit(False)))
+    timed = [k for k in kinds if k in ("exact", "before", "after")]
+    if timed or not out:
+        crowded = _crowded(left.select("_h").unionAll(right.select("_h"))) if timed else []
+        out.append(one(timed_lookup(left, right, timed or ["exact"], crowded), F.col("_after")))
     early, late = F.col("_a"), F.col("_b")
     rank = F.row_number().over(Window.partitionBy(*ids).orderBy(F.when(F.col("_after"), early).otherwise(-late).asc_nulls_last(), F.when(F.col("_after"), late).otherwise(-early).asc_nulls_last(), F.col("_n")))
-    found = out.withColumn("_r", rank).where("_r = 1")
+    found = reduce(DataFrame.unionAll, out).withColumn("_r", rank).where("_r = 1")
     return found.join(whole, [*KEY, "_n"]).select(*kept, "fact")
 
 

@@ -1,11 +1,13 @@
 """The as-of lookup against a plain scan, also for keys with very many facts and requests."""
 
+import calendar
 import random
 import time
 
 from pyspark.sql import functions as F
 
 from chronoweave.functions.timewin import bounds
+from chronoweave.operators import asof
 from chronoweave.operators.asof import asof_lookup, best_so_far
 from chronoweave.sources.facts import facts_from_rows
 
@@ -136,3 +138,37 @@ def test_spans_are_not_cut_into_nodes(spark):
     found = asof_lookup(asked, facts, ["qid"])
     assert [r.fact.time for r in found.collect()] == ["2003-09"]
     assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_requests_share_one_window_with_facts(spark):
+    """Requests as of, before and after a time cost one shuffle with the facts, one by their ids and the join of whole facts; no rule that none has is looked up."""
+    facts = facts_from_rows(spark, [("k", "p", str(i), f"200{i % 5}-0{i % 9 + 1}") for i in range(40)])
+    kinds = ("exact", "before", "after")
+    asked = spark.createDataFrame([(i, "k", "p", (20020101, 20020101, kinds[i % 3])) for i in range(9)], "qid int, subject string, predicate string, c struct<s:int,e:int,kind:string>")
+    found = asof_lookup(asked, facts, ["qid"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Window [") == 2 and "Aggregate" not in plan
+    assert len(found.collect()) == 9
+
+
+def test_keys_of_crowded_buckets_are_found_alike(spark, monkeypatch):
+    """A key with very many rows, dealt out by days and years, beside keys with few."""
+    monkeypatch.setattr(asof, "CROWDED", 20)
+    rnd = random.Random(17)
+    when = lambda: f"{rnd.randint(2001, 2009)}-{rnd.randint(1, 12):02d}"
+    rows = [("hot" if i % 3 else f"k{i}", "p", str(i), when()) for i in range(600)]
+    asked = [(i, "HOT" if i % 3 else f"K{i}", "p", rnd.choice(("exact", "before", "after")), when()) for i in range(600)]
+    df = spark.createDataFrame(asked, "qid int, subject string, predicate string, kind string, t string").select("qid", "subject", "predicate", bounds(F.col("t"), F.col("kind")).alias("c"))
+    found = asof_lookup(df, facts_from_rows(spark, rows), ["qid"])
+    assert "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()
+    got, keyed = {r.qid: r.fact.pos for r in found.collect()}, {}
+    for i, (s, p, _, t) in enumerate(rows):
+        keyed.setdefault(s, []).append((*bounds_of(t), i))
+    for i, s, p, kind, t in asked:
+        assert got.get(i) == pick(keyed.get(s.lower(), []), kind, bounds_of(t)), (kind, t)
+
+
+def bounds_of(t):
+    """The first and last day of a month as numbers."""
+    y, m = int(t[:4]), int(t[5:7])
+    return y * 10000 + m * 100 + 1, y * 10000 + m * 100 + calendar.monthrange(y, m)[1]
