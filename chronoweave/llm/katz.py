@@ -453,7 +453,7 @@ def score(docs: DataFrame, held_out=None, order: int = ORDER, chunk_bytes: int =
     held = (fold("doc_id", FOLDS) == 0) if held_out is None else held_out
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"), held.alias("held_out"))
     chunks = text.mapInArrow(_chunk(chunk_bytes), f"chunk long, ids array<{kind}>, held array<boolean>, tokens long, train long, train_tokens long, blob binary")
-    chunks = stage(chunks, "chunks", by="chunk")
+    chunks = stage(chunks, "chunks", "chunk")
     size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "train", "train_tokens")]).first()
     buckets = max(sc.defaultParallelism, -(-size.tokens // bucket_tokens))
     learnt = Learnt(size.train_tokens, size.train, buckets, max(bucket_tokens // 8, size.train_tokens // PARTS, 1), lost=[np.zeros(CUT + 2)], places=[None], splits=[None])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm import katz
 from chronoweave.llm.textops import WORD
+from tests.conftest import SMALL
 
 SCHEMA = "doc_id long, text string, n_words int"
 
@@ -110,3 +111,11 @@ def test_input_in_another_order_at_each_read(spark):
     want = brute(rows)[0]
     for r in katz.score(shaken, chunk_bytes=2000).collect():
         assert (r.n_tokens, r.score) == (want[r.doc_id][0], pytest.approx(want[r.doc_id][4], rel=1e-6))
+
+
+def test_query_moves_answers_only(spark):
+    """op7 over the smallest tables gives each document a row; the table of chunks is bucketed, so that evaluation shuffles nothing but the answers."""
+    got = katz.op7(spark, SMALL)
+    assert got.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(chunk") == 1
